@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Python's str.strip() removes every Unicode white space; Spark's trim only spaces.
@@ -30,19 +30,34 @@ def tokens(col: Column | str, stop_words: list[str] | None = None) -> Column:
     return F.coalesce(keep, F.array().cast("array<string>"))
 
 
-def term_counts(tok: Column) -> Column:
-    """``array<struct<term, tf>>`` for one row's tokens, no shuffle needed.
+def with_term_counts(df: DataFrame, tok: str, out: str = "terms") -> DataFrame:
+    """Adds ``out`` = ``array<struct<term, tf>>`` counted from the token array
+    column ``tok``; per row, no shuffle.
 
-    Work is bounded by the chunk size (distinct x tokens comparisons per row),
-    so a per-row count beats shuffling every (chunk, term) pair.
+    Sorts the tokens and reads run lengths (O(n log n) per row). Each
+    intermediate array is its own projected column: Catalyst does not share
+    subexpressions inside lambda bodies, so inlining them would re-sort the
+    tokens for every element.
     """
-    return F.transform(
-        F.array_distinct(tok),
-        lambda t: F.struct(
-            t.alias("term"),
-            F.size(F.filter(tok, lambda x: x == t)).cast("long").alias("tf"),
+    srt, starts = f"_{out}_sorted", f"_{out}_starts"
+    df = df.withColumn(srt, F.array_sort(F.col(tok)))
+    n = F.size(F.col(srt))
+    df = df.withColumn(
+        starts,
+        F.filter(
+            F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
+            lambda i: (i == 0) | (F.get(F.col(srt), i) != F.get(F.col(srt), i - 1)),
         ),
     )
+    counted = F.transform(
+        F.col(starts),
+        lambda x, j: F.struct(
+            F.get(F.col(srt), x).alias("term"),
+            (F.coalesce(F.get(F.col(starts), j + 1), n) - x).cast("long").alias("tf"),
+        ),
+    )
+    empty = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return df.withColumn(out, F.when(n == 0, empty).otherwise(counted)).drop(srt, starts)
 
 
 def term_id(term: Column) -> Column:
@@ -57,3 +72,20 @@ def hash_bucket(term: Column, dim: int) -> Column:
     return (F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long") % F.lit(dim)).cast(
         "int"
     )
+
+
+def explode_rows(df: DataFrame, array_col: str, alias: str, keep: list[str], pos: str | None = None) -> DataFrame:
+    """``explode`` (or ``posexplode`` with ``pos``) that keeps the array's
+    producer expression from being duplicated.
+
+    A plain ``explode`` makes the optimizer infer ``size(array) > 0`` and push
+    that filter below the projection which computes the array, re-evaluating
+    it (and any Python UDF or nested lambda in it) a second time. The outer
+    form plus a null filter on the generated column gives the same rows
+    without that inferred filter.
+    """
+    if pos is None:
+        out = df.select(*keep, F.explode_outer(array_col).alias(alias))
+    else:
+        out = df.select(*keep, F.posexplode_outer(array_col).alias(pos, alias))
+    return out.where(F.col(alias).isNotNull())

@@ -23,24 +23,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.config import BM25_B, BM25_EPSILON, BM25_K1, MAX_BROADCAST_ROWS
-from quarry.functions.text import term_counts, tokens
+from quarry.functions.text import explode_rows, tokens, with_term_counts
 from quarry.operators.sizing import broadcast_if_small
 
 
-def chunk_terms(
-    chunks: DataFrame, pk: str = "pk", text: str = "text", stop_words: list[str] | None = None
+def with_terms(
+    chunks: DataFrame, text: str = "text", stop_words: list[str] | None = None
 ) -> DataFrame:
-    """``(pk, dl, terms array<struct<term, tf>>)``, one row per chunk, no shuffle."""
-    tok = chunks.select(F.col(pk).alias("pk"), tokens(F.col(text), stop_words).alias("_tok"))
-    return tok.select(
-        "pk",
-        F.size("_tok").cast("long").alias("dl"),
-        term_counts(F.col("_tok")).alias("terms"),
-    )
+    """Adds ``dl`` (token count) and ``terms array<struct<term, tf>>`` to each
+    chunk row; a narrow map, no shuffle."""
+    out = chunks.withColumn("_tok", tokens(F.col(text), stop_words))
+    out = out.withColumn("dl", F.size("_tok").cast("long"))
+    return with_term_counts(out, "_tok", "terms").drop("_tok")
 
 
 def fit(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """E5 over ``chunk_terms`` output -> ``(bm25_terms, bm25_stats)``.
+    """E5 over ``with_terms`` output -> ``(bm25_terms, bm25_stats)``.
 
     ``n`` counts every chunk, also those without a token, as the library does.
     The document-frequency count is a shuffle on ``term`` after a map-side
@@ -52,7 +50,7 @@ def fit(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     n = stats.select(F.col("n").cast("double")).scalar()
     dfreq = (
-        terms.select(F.explode("terms").alias("t"))
+        explode_rows(terms, "terms", "t", [])
         .groupBy(F.col("t.term").alias("term"))
         .agg(F.count(F.lit(1)).alias("df"))
     )
@@ -81,7 +79,7 @@ def doc_weights(terms: DataFrame, stats: DataFrame) -> DataFrame:
     norm = F.lit(BM25_K1) * (
         F.lit(1.0 - BM25_B) + F.lit(BM25_B) * F.col("dl").cast("double") / avgdl
     )
-    return terms.select("pk", "dl", F.explode("terms").alias("t")).select(
+    return explode_rows(terms, "terms", "t", ["pk", "dl"]).select(
         "pk",
         F.col("t.term").alias("term"),
         (tf * F.lit(BM25_K1 + 1.0) / (tf + norm)).alias("weight"),
@@ -92,9 +90,11 @@ def query_terms(
     queries: DataFrame, stop_words: list[str] | None = None
 ) -> DataFrame:
     """``(query_id, term, qtf)``: term counts of each query text, no shuffle."""
-    return queries.select(
-        "query_id", F.explode(term_counts(tokens(F.col("query_text"), stop_words))).alias("t")
-    ).select("query_id", F.col("t.term").alias("term"), F.col("t.tf").alias("qtf"))
+    q = queries.select("query_id", tokens(F.col("query_text"), stop_words).alias("_tok"))
+    return (
+        explode_rows(with_term_counts(q, "_tok", "_qt"), "_qt", "t", ["query_id"])
+        .select("query_id", F.col("t.term").alias("term"), F.col("t.tf").alias("qtf"))
+    )
 
 
 def query_weights(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.config import CHUNK_OVERLAP, CHUNK_SIZE, SEPARATORS
-from quarry.functions.text import py_strip
+from quarry.functions.text import explode_rows, py_strip
 from quarry.operators.splitter import split_text
 
 
@@ -29,7 +29,8 @@ def _explode_chunks(
     df: DataFrame, chunks: Column, text_col: str, key_cols: list[str]
 ) -> DataFrame:
     others = [c for c in df.columns if c != text_col]
-    exploded = df.select(*others, F.posexplode(chunks).alias("chunk_pos", "_chunk"))
+    staged = df.withColumn("_chunks", chunks)
+    exploded = explode_rows(staged, "_chunks", "_chunk", others, pos="chunk_pos")
     return exploded.select(
         chunk_key(key_cols).alias("pk"),
         *others,

@@ -18,3 +18,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     if at_most(df, max_rows):
         return F.broadcast(df), True
     return df, False
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy per-row work at least one partition per core.
+
+    Only small inputs are touched: a scan that already has as many splits as
+    the cluster has cores (any large table) is returned unchanged, so this
+    never adds a shuffle of a big corpus.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df

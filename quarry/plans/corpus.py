@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.config import CHUNK_OVERLAP, CHUNK_SIZE
 from quarry.operators import bm25
 from quarry.operators.chunks import documents_as_sections, recursive_chunks, window_chunks
+from quarry.operators.sizing import spread
+from quarry.session import checkpoint_dir
 from quarry.sources.tables import queries_from_table, read_table
 
 
@@ -21,7 +23,7 @@ def document_chunks(
     overlap: int = CHUNK_OVERLAP,
 ) -> DataFrame:
     """``documents`` (whole texts) -> chunks(pk, doc_id, section_pos, source, chunk_pos, text)."""
-    sections = documents_as_sections(read_table(spark, sf_dir, "documents"))
+    sections = spread(documents_as_sections(read_table(spark, sf_dir, "documents")))
     keys = ["doc_id", "section_pos"]
     if chunker == "window":
         return window_chunks(sections, key_cols=keys, size=size, overlap=overlap)
@@ -30,6 +32,20 @@ def document_chunks(
     raise ValueError(f"unknown chunker {chunker!r}")
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute once and cut the lineage: an eager checkpoint written to the
+    shared checkpoint folder, so later stages (and recomputes after a lost
+    executor) read it instead of re-running the plan."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def indexed_chunks(spark: SparkSession, sf_dir: str, chunker: str = "window") -> DataFrame:
+    """Chunks with their token counts, materialised once:
+    (pk, doc_id, section_pos, source, chunk_pos, text, dl, terms)."""
+    return materialize(bm25.with_terms(document_chunks(spark, sf_dir, chunker)))
+
+
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``benchmark`` table as ``queries(query_id, query_text)``."""
     return queries_from_table(read_table(spark, sf_dir, "benchmark"), "item_id", "text")
@@ -45,6 +61,8 @@ class FullTextIndex:
 
 
 def full_text_index(chunks: DataFrame) -> FullTextIndex:
-    terms = bm25.chunk_terms(chunks)
-    vocab, stats = bm25.fit(terms)
-    return FullTextIndex(chunks, terms, vocab, stats, bm25.doc_weights(terms, stats))
+    """BM25 model and postings over chunks that already carry ``dl``/``terms``."""
+    if "terms" not in chunks.columns:
+        chunks = bm25.with_terms(chunks)
+    vocab, stats = bm25.fit(chunks)
+    return FullTextIndex(chunks, chunks, vocab, stats, bm25.doc_weights(chunks, stats))

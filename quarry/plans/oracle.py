@@ -117,3 +117,161 @@ SQL["bm25_query_weights"] = _with(_window_chunks(), BM25, QUERIES) + (
 SQL["full_text_topk"] = _with(_window_chunks(), BM25, QUERIES, full_text_hits_sql()) + (
     "SELECT query_id, rank, pk, round(score, 6) AS score, text FROM ft_hits"
 )
+
+
+# ------------------------------------------------------ step 2: dense search
+
+DENSE_EMB = """
+e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+en AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nv FROM e),
+pairs AS (
+  SELECT q.vec_id AS query_id, d.vec_id,
+         CASE WHEN q.nv = 0 OR d.nv = 0 THEN 0.0
+              ELSE list_dot_product(q.v, d.v) / (q.nv * d.nv) END AS score
+  FROM en q, en d
+),
+ranked AS (
+  SELECT query_id, vec_id, score,
+         row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id)::BIGINT AS rank
+  FROM pairs
+)"""
+
+SQL["dense_topk"] = _with(DENSE_EMB) + (
+    f"SELECT query_id, rank, vec_id, round(score, 6) AS score FROM ranked WHERE rank <= {TOP_K}"
+)
+SQL["dense_topk_blocked"] = SQL["dense_topk"]
+
+
+# ------------------------------------------- step 3: stand-in encoders, R2, R3
+
+DIM = 384
+
+
+def _bucket_sql(t: str, mod: int) -> str:
+    return f"((('0x' || substr(md5({t}), 1, 8))::BIGINT % {mod}))"
+
+
+def _hashed(name: str, key: str, tok_cte: str) -> str:
+    """Hashed unit vector of each row of ``tok_cte(key, toks)`` as sparse rows
+    ``{name}(key, b, v FLOAT)`` plus its norm ``{name}_n(key, n)``."""
+    return f"""
+{name}_c AS (
+  SELECT {key}, b, count(*)::BIGINT AS c
+  FROM (SELECT {key}, {_bucket_sql('t', DIM)}::INTEGER AS b
+        FROM (SELECT {key}, unnest(toks) AS t FROM {tok_cte}))
+  GROUP BY {key}, b
+),
+{name}_s AS (SELECT {key}, sum(c * c)::DOUBLE AS ss FROM {name}_c GROUP BY {key}),
+{name} AS (
+  SELECT {key}, b, (c::DOUBLE / sqrt(ss))::FLOAT AS v FROM {name}_c JOIN {name}_s USING ({key})
+),
+{name}_n AS (SELECT {key}, sqrt(sum(v::DOUBLE * v::DOUBLE)) AS n FROM {name} GROUP BY {key})"""
+
+
+QTOK = f"""
+qtok AS (SELECT query_id, {tokens_sql('query_text')} AS toks FROM queries)"""
+
+SEMANTIC = (
+    _hashed("dhv", "pk", "tok")
+    + ","
+    + _hashed("qhv", "query_id", "qtok")
+    + f""",
+sem_dots AS (
+  SELECT q.query_id, d.pk, sum((q.v::DOUBLE / qn.n) * (d.v::DOUBLE / dn.n)) AS score
+  FROM qhv q JOIN dhv d USING (b)
+       JOIN qhv_n qn ON qn.query_id = q.query_id
+       JOIN dhv_n dn ON dn.pk = d.pk
+  GROUP BY q.query_id, d.pk
+),
+sem_pairs AS (
+  SELECT q.query_id, c.pk, coalesce(s.score, 0.0) AS score
+  FROM queries q CROSS JOIN chunks c
+       LEFT JOIN sem_dots s ON s.query_id = q.query_id AND s.pk = c.pk
+),
+sem_ranked AS (
+  SELECT query_id, pk, score,
+         row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pk)::BIGINT AS rank
+  FROM sem_pairs
+),
+sem_hits AS (
+  SELECT r.query_id, r.rank, r.pk, r.score, c.text
+  FROM sem_ranked r JOIN chunks c USING (pk) WHERE r.rank <= {TOP_K}
+)"""
+)
+
+SQL["hash_embed"] = _with(_window_chunks(), BM25, _hashed("dhv", "pk", "tok")) + f"""
+SELECT c.pk,
+       CASE WHEN m.vm IS NULL THEN list_transform(range({DIM}), lambda i: 0::FLOAT)
+            ELSE list_transform(range({DIM}), lambda i: coalesce(map_extract_value(m.vm, i::INTEGER), 0::FLOAT))
+       END AS vector
+FROM chunks c
+LEFT JOIN (SELECT pk, map_from_entries(list(struct_pack(k := b, v := v))) AS vm FROM dhv GROUP BY pk) m
+  USING (pk)"""
+
+SQL["semantic_topk"] = _with(_window_chunks(), BM25, QUERIES, QTOK, SEMANTIC) + (
+    "SELECT query_id, rank, pk, round(score, 6) AS score, text FROM sem_hits"
+)
+
+SPARSE = f"""
+sp_d AS (
+  SELECT pk, {_bucket_sql('term', 2147483647)}::INTEGER AS term_id,
+         1.0::DOUBLE + ln(tf::DOUBLE) AS weight
+  FROM tf
+),
+sp_q AS (
+  SELECT query_id, {_bucket_sql('term', 2147483647)}::INTEGER AS term_id,
+         1.0::DOUBLE + ln(qtf::DOUBLE) AS weight
+  FROM qterms
+),
+sp_scored AS (
+  SELECT q.query_id, d.pk, sum(q.weight * d.weight) AS score
+  FROM sp_q q JOIN sp_d d USING (term_id) GROUP BY q.query_id, d.pk
+),
+sp_ranked AS (
+  SELECT query_id, pk, score,
+         row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pk)::BIGINT AS rank
+  FROM sp_scored
+)"""
+
+SQL["sparse_weights"] = _with(_window_chunks(), BM25, QUERIES, SPARSE) + (
+    "SELECT pk, term_id, round(weight, 6) AS weight FROM sp_d"
+)
+SQL["sparse_topk"] = _with(_window_chunks(), BM25, QUERIES, SPARSE) + f"""
+SELECT r.query_id, r.rank, r.pk, round(r.score, 6) AS score, c.text
+FROM sp_ranked r JOIN chunks c USING (pk) WHERE r.rank <= {TOP_K}"""
+
+
+# ------------------------------------------------------- step 4: RRF, context
+
+RRF = """
+rrf_lists AS (
+  SELECT query_id, text, 0 AS list_no, rank - 1 AS pos FROM sem_hits
+  UNION ALL
+  SELECT query_id, text, 1 AS list_no, rank - 1 AS pos FROM ft_hits
+),
+rrf_fused AS (
+  SELECT query_id, text, sum(1.0::DOUBLE / (pos + 60)::DOUBLE) AS score,
+         min(list_no * 1000000 + pos) AS first
+  FROM rrf_lists GROUP BY query_id, text
+),
+rrf_ranked AS (
+  SELECT query_id, text, score,
+         row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first)::BIGINT AS rank
+  FROM rrf_fused
+)"""
+
+HYBRID = (_window_chunks(), BM25, QUERIES, QTOK, SEMANTIC, full_text_hits_sql(), RRF)
+
+SQL["rrf_fuse"] = _with(*HYBRID) + (
+    "SELECT query_id, rank, text, round(score, 6) AS score FROM rrf_ranked"
+)
+SQL["hybrid_rrf"] = _with(*HYBRID) + (
+    f"SELECT query_id, rank, text, round(score, 6) AS score FROM rrf_ranked WHERE rank <= {TOP_K}"
+)
+CONTEXT = f"""
+ctx AS (
+  SELECT q.query_id, coalesce(string_agg(r.text, ' ' ORDER BY r.rank), '') AS context
+  FROM queries q LEFT JOIN (SELECT * FROM rrf_ranked WHERE rank <= {TOP_K}) r USING (query_id)
+  GROUP BY q.query_id
+)"""
+SQL["context_text"] = _with(*HYBRID, CONTEXT) + "SELECT query_id, context FROM ctx"

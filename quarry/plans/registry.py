@@ -13,10 +13,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.config import TOP_K
-from quarry.operators import bm25
-from quarry.operators.search import sparse_topk, with_text
-from quarry.plans.corpus import benchmark_queries, document_chunks, full_text_index
+from quarry.config import MAX_BROADCAST_ROWS, TOP_K, Settings
+from quarry.operators import bm25, encode, fusion, search
+from quarry.operators.search import sparse_topk as _sparse_topk
+from quarry.operators.search import with_text
+from quarry.operators.sizing import broadcast_if_small, spread
+from quarry.plans.corpus import (
+    benchmark_queries,
+    document_chunks,
+    full_text_index,
+    indexed_chunks,
+)
+from quarry.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -40,37 +48,141 @@ def chunk_windows(spark, sf_dir):
 
 @register
 def bm25_terms(spark, sf_dir):
-    ix = full_text_index(document_chunks(spark, sf_dir))
+    ix = full_text_index(indexed_chunks(spark, sf_dir))
     return ix.vocab.select("term", "df", _r6("idf"))
 
 
 @register
 def bm25_stats(spark, sf_dir):
-    ix = full_text_index(document_chunks(spark, sf_dir))
+    ix = full_text_index(indexed_chunks(spark, sf_dir))
     return ix.stats.select("n", _r6("avgdl"))
 
 
 @register
 def bm25_doc_weights(spark, sf_dir):
-    ix = full_text_index(document_chunks(spark, sf_dir))
+    ix = full_text_index(indexed_chunks(spark, sf_dir))
     return ix.postings.select("pk", "term", _r6("weight"))
 
 
 @register
 def bm25_query_weights(spark, sf_dir):
-    ix = full_text_index(document_chunks(spark, sf_dir))
+    ix = full_text_index(indexed_chunks(spark, sf_dir))
     qw, _ = bm25.query_weights(benchmark_queries(spark, sf_dir), ix.vocab)
     return qw.select("query_id", "term", _r6("weight"))
 
 
 def full_text_hits(spark, sf_dir, k=TOP_K, chunks=None):
-    chunks = chunks if chunks is not None else document_chunks(spark, sf_dir)
+    chunks = chunks if chunks is not None else indexed_chunks(spark, sf_dir)
     ix = full_text_index(chunks)
     qw, small = bm25.query_weights(benchmark_queries(spark, sf_dir), ix.vocab)
-    return with_text(sparse_topk(qw, ix.postings, k, small), chunks)
+    return with_text(_sparse_topk(qw, ix.postings, k, small), chunks)
 
 
 @register
 def full_text_topk(spark, sf_dir):
     hits = full_text_hits(spark, sf_dir)
     return hits.select("query_id", "rank", "pk", _r6("score"), "text")
+
+
+# ------------------------------------------------------ step 2: dense search
+
+
+def _embedding_queries(spark, sf_dir):
+    emb = spread(read_table(spark, sf_dir, "embeddings"))
+    return emb, emb.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@register
+def dense_topk(spark, sf_dir):
+    """Every embedding's 5 nearest neighbours (cosine) over the whole table;
+    query matrix broadcast after a size check, corpus scanned in place."""
+    emb, q = _embedding_queries(spark, sf_dir)
+    hits = search.dense_topk(q, emb, key="vec_id", vector="embedding", strategy="broadcast")
+    return hits.select("query_id", "rank", "vec_id", _r6("score"))
+
+
+@register
+def dense_topk_blocked(spark, sf_dir):
+    """Same result through the blocked cogroup plan used for large query sets."""
+    emb, q = _embedding_queries(spark, sf_dir)
+    hits = search.dense_topk(q, emb, key="vec_id", vector="embedding", strategy="blocked")
+    return hits.select("query_id", "rank", "vec_id", _r6("score"))
+
+
+# ------------------------------------------- step 3: stand-in encoders, R2, R3
+
+
+def semantic_hits(spark, sf_dir, chunks=None, queries=None, k=TOP_K):
+    chunks = chunks if chunks is not None else indexed_chunks(spark, sf_dir)
+    queries = queries if queries is not None else benchmark_queries(spark, sf_dir)
+    qv = encode.hash_vectors(queries, "query_text")
+    cv = encode.hash_vectors(chunks.select("pk", "text"), "text")
+    return search.with_text(search.dense_topk(qv, cv, k=k), chunks)
+
+
+@register
+def hash_embed(spark, sf_dir):
+    chunks = indexed_chunks(spark, sf_dir)
+    return encode.hash_vectors(chunks.select("pk", "text"), "text").select("pk", "vector")
+
+
+@register
+def semantic_topk(spark, sf_dir):
+    hits = semantic_hits(spark, sf_dir)
+    return hits.select("query_id", "rank", "pk", _r6("score"), "text")
+
+
+@register
+def sparse_weights(spark, sf_dir):
+    rows = encode.sparse_vectors(indexed_chunks(spark, sf_dir))
+    return rows.select("pk", "term_id", _r6("weight"))
+
+
+def sparse_hits(spark, sf_dir, chunks=None, k=TOP_K):
+    chunks = chunks if chunks is not None else indexed_chunks(spark, sf_dir)
+    queries = benchmark_queries(spark, sf_dir)
+    qrows = encode.sparse_vectors(queries, "query_text", key="query_id")
+    qrows, small = broadcast_if_small(qrows, MAX_BROADCAST_ROWS)
+    post = encode.sparse_vectors(chunks).withColumnRenamed("term_id", "term")
+    hits = search.sparse_topk(qrows.withColumnRenamed("term_id", "term"), post, k, small)
+    return search.with_text(hits, chunks)
+
+
+@register
+def sparse_topk(spark, sf_dir):
+    hits = sparse_hits(spark, sf_dir)
+    return hits.select("query_id", "rank", "pk", _r6("score"), "text")
+
+
+# ------------------------------------------------------- step 4: RRF, context
+
+
+def hybrid_lists(spark, sf_dir, settings: Settings = Settings()):
+    """Ranked lists fused by the hybrid strategies, in the reference's order:
+    dense, then learned sparse (if on), then full text (if on)."""
+    chunks = indexed_chunks(spark, sf_dir)
+    lists = [semantic_hits(spark, sf_dir, chunks=chunks, k=settings.top_k)]
+    if settings.enable_sparse:
+        lists.append(sparse_hits(spark, sf_dir, chunks=chunks, k=settings.top_k))
+    if settings.enable_full_text:
+        lists.append(full_text_hits(spark, sf_dir, k=settings.top_k, chunks=chunks))
+    return lists
+
+
+@register
+def rrf_fuse(spark, sf_dir):
+    """All fused texts (no cut) with their RRF score and fused rank."""
+    fused = fusion.rrf(hybrid_lists(spark, sf_dir), k=1 << 30)
+    return fused.select("query_id", "rank", "text", _r6("score"))
+
+
+@register
+def hybrid_rrf(spark, sf_dir):
+    fused = fusion.rrf(hybrid_lists(spark, sf_dir), k=TOP_K)
+    return fused.select("query_id", "rank", "text", _r6("score"))
+
+
+@register
+def context_text(spark, sf_dir):
+    fused = fusion.rrf(hybrid_lists(spark, sf_dir), k=TOP_K)
+    return fusion.context(fused, benchmark_queries(spark, sf_dir))
