@@ -275,3 +275,36 @@ ctx AS (
   GROUP BY q.query_id
 )"""
 SQL["context_text"] = _with(*HYBRID, CONTEXT) + "SELECT query_id, context FROM ctx"
+
+
+# ------------------------------------------------ step 5: sections, base URL
+
+
+def base_url_sql(u: str) -> str:
+    return (
+        "'https://' || regexp_replace(regexp_replace(regexp_replace("
+        f"{u}, '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '/[^/]*$', '')"
+    )
+
+
+def _entities(x: str) -> str:
+    out = x
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        out = f"replace({out}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
+    return out
+
+
+SQL["page_base_url"] = f"SELECT page_id, {base_url_sql('url')} AS base_url FROM pages"
+
+# Regex form of the nav section: the element's text is its markup with tags
+# removed and entities decoded; the source uses the first href inside it.
+SQL["nav_sections"] = f"""
+WITH nav AS (
+  SELECT page_id, url, regexp_extract(html, '(?s)<nav[^>]*>(.*?)</nav>', 1) AS inner_html
+  FROM pages WHERE regexp_matches(html, '(?s)<body[\\s>].*<nav[\\s>]')
+)
+SELECT page_id, 0::BIGINT AS section_pos,
+       {base_url_sql('url')} || '/' || {_entities("regexp_extract(inner_html, 'href=\"([^\"]*)\"', 1)")} AS source,
+       {strip_sql(_entities("regexp_replace(inner_html, '<[^>]*>', '', 'g')"))} AS text
+FROM nav
+WHERE regexp_matches(inner_html, '<a[^>]*href=')"""

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.config import MAX_BROADCAST_ROWS, TOP_K, Settings
-from quarry.operators import bm25, encode, fusion, search
+from quarry.operators import bm25, encode, fusion, search, sections
+from quarry.operators import chunks as chunking
 from quarry.operators.search import sparse_topk as _sparse_topk
 from quarry.operators.search import with_text
 from quarry.operators.sizing import broadcast_if_small, spread
@@ -186,3 +187,49 @@ def hybrid_rrf(spark, sf_dir):
 def context_text(spark, sf_dir):
     fused = fusion.rrf(hybrid_lists(spark, sf_dir), k=TOP_K)
     return fusion.context(fused, benchmark_queries(spark, sf_dir))
+
+
+# ------------------------------------------------ step 5: sections, chunking
+
+
+def _pages(spark, sf_dir):
+    return spread(read_table(spark, sf_dir, "pages"))
+
+
+@register
+def nav_sections(spark, sf_dir):
+    """Sections of every page with ``<nav>`` as the section element."""
+    return sections.sections(_pages(spark, sf_dir), tag="nav")
+
+
+@register
+def page_base_url(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages")
+    return pages.select("page_id", sections.base_url(F.col("url")).alias("base_url"))
+
+
+@register
+def article_sections(spark, sf_dir):
+    """Content sections: ``<article>``, sourced to the page (it holds no link)."""
+    return sections.sections(_pages(spark, sf_dir), tag="article", anchor_policy="page")
+
+
+@register
+def skip_report(spark, sf_dir):
+    """Why pages/sections gave no row, with the reference's default element."""
+    return sections.skip_report(_pages(spark, sf_dir), tag="section")
+
+
+@register
+def recursive_chunks(spark, sf_dir):
+    """P6 over every whole document text (500/50, recursive separators)."""
+    chunks = document_chunks(spark, sf_dir, chunker="recursive")
+    return chunks.select("pk", "doc_id", "chunk_pos", "source", "text")
+
+
+@register
+def page_chunks(spark, sf_dir):
+    """Pages -> article sections -> recursive chunks (P1-P8 end to end)."""
+    secs = sections.sections(_pages(spark, sf_dir), tag="article", anchor_policy="page")
+    chunks = chunking.recursive_chunks(secs, key_cols=["page_id", "section_pos"])
+    return chunks.select("pk", "page_id", "section_pos", "chunk_pos", "source", "text")
