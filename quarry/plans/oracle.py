@@ -308,3 +308,28 @@ SELECT page_id, 0::BIGINT AS section_pos,
        {strip_sql(_entities("regexp_replace(inner_html, '<[^>]*>', '', 'g')"))} AS text
 FROM nav
 WHERE regexp_matches(inner_html, '<a[^>]*href=')"""
+
+
+# ------------------------------------------- step 6: knowledge store tables
+
+NON_EMPTY = """
+kn AS (SELECT c.pk, c.text, c.source FROM chunks c JOIN tok t USING (pk) WHERE len(t.toks) > 0)"""
+
+SQL["non_empty_chunks"] = _with(_window_chunks(), BM25, NON_EMPTY) + "SELECT pk, text FROM kn"
+SQL["vector_map"] = _with(_window_chunks(), BM25) + (
+    "SELECT pk, term, round(weight::FLOAT::DOUBLE, 6) AS weight FROM post"
+)
+SQL["postings"] = _with(_window_chunks(), BM25) + (
+    "SELECT term, pk, round(weight, 6) AS weight FROM post"
+)
+SQL["knowledge_table"] = (
+    _with(_window_chunks(), BM25, _hashed("dhv", "pk", "tok"), NON_EMPTY)
+    + f"""
+SELECT k.pk, k.text, k.source,
+       CASE WHEN m.vm IS NULL THEN list_transform(range({DIM}), lambda i: 0::FLOAT)
+            ELSE list_transform(range({DIM}), lambda i: coalesce(map_extract_value(m.vm, i::INTEGER), 0::FLOAT))
+       END AS dense_vector
+FROM kn k
+LEFT JOIN (SELECT pk, map_from_entries(list(struct_pack(k := b, v := v))) AS vm FROM dhv GROUP BY pk) m
+  USING (pk)"""
+)

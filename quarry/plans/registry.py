@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.config import MAX_BROADCAST_ROWS, TOP_K, Settings
+from quarry.config import DENSE_DIM, MAX_BROADCAST_ROWS, TOP_K, Settings
 from quarry.operators import bm25, encode, fusion, search, sections
 from quarry.operators import chunks as chunking
 from quarry.operators.search import sparse_topk as _sparse_topk
@@ -25,6 +25,9 @@ from quarry.plans.corpus import (
     full_text_index,
     indexed_chunks,
 )
+from quarry.plans import build
+from quarry.session import scratch_path
+from quarry.sources.store import Store, read_store, write_store
 from quarry.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,3 +236,44 @@ def page_chunks(spark, sf_dir):
     secs = sections.sections(_pages(spark, sf_dir), tag="article", anchor_policy="page")
     chunks = chunking.recursive_chunks(secs, key_cols=["page_id", "section_pos"])
     return chunks.select("pk", "page_id", "section_pos", "chunk_pos", "source", "text")
+
+
+# ------------------------------------------- step 6: knowledge store tables
+
+
+@register
+def knowledge_table(spark, sf_dir):
+    """Knowledge rows (P10 applied) over whole documents, written with the
+    store layout to the shared folder and read back."""
+    rows, _ = build.knowledge_rows(indexed_chunks(spark, sf_dir))
+    root = scratch_path(spark, "store")
+    rows.write.mode("overwrite").parquet(f"{root}/knowledge")
+    back = spark.read.parquet(f"{root}/knowledge")
+    return back.select("pk", "text", "source", "dense_vector")
+
+
+@register
+def non_empty_chunks(spark, sf_dir):
+    rows, _ = build.knowledge_rows(indexed_chunks(spark, sf_dir))
+    return rows.select("pk", "text")
+
+
+@register
+def vector_map(spark, sf_dir):
+    """The stored BM25 vector maps as sorted rows (pk, term, weight)."""
+    rows, _ = build.knowledge_rows(indexed_chunks(spark, sf_dir))
+    exploded = rows.select("pk", F.explode_outer("full_text_vector").alias("term", "weight"))
+    return exploded.where(F.col("term").isNotNull()).select(
+        "pk", "term", F.round(F.col("weight").cast("double"), 6).alias("weight")
+    )
+
+
+@register
+def postings(spark, sf_dir):
+    """Postings written partitioned by term bucket, read back whole."""
+    chunks = indexed_chunks(spark, sf_dir)
+    rows, ix = build.knowledge_rows(chunks)
+    root = scratch_path(spark, "store")
+    write_store(Store(rows, ix.postings, ix.vocab, ix.stats), root, DENSE_DIM)
+    back = read_store(spark, root).postings
+    return back.select("term", "pk", _r6("weight"))
