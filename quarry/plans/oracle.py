@@ -333,3 +333,179 @@ FROM kn k
 LEFT JOIN (SELECT pk, map_from_entries(list(struct_pack(k := b, v := v))) AS vm FROM dhv GROUP BY pk) m
   USING (pk)"""
 )
+
+
+# ------------------------------- steps 7-9: rerank, prompts, HyDE, cascade
+
+from quarry.config import HYDE_PROMPT, RAG_PROMPT, STUB_RESPONSE, TRUST_THRESHOLD  # noqa: E402
+from quarry.functions.template import split_template  # noqa: E402
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def template_sql(template: str, query: str, context: str | None = None) -> str:
+    parts = split_template(template)
+    names = {v for k, v in parts if k == "var"}
+    out = []
+    for kind, v in parts:
+        if kind == "lit":
+            out.append(_lit(v))
+        elif v == "query":
+            out.append(query)
+        elif v == "context" and names == {"context", "query"}:
+            out.append(context)
+    return "(" + " || ".join(out) + ")"
+
+
+def coverage_sql(q: str, r: str) -> str:
+    qd = f"list_distinct({tokens_sql(q)})"
+    return (
+        f"CASE WHEN len({qd}) = 0 THEN 0.0::DOUBLE "
+        f"ELSE len(list_intersect({qd}, {tokens_sql(r)}))::DOUBLE / len({qd})::DOUBLE END"
+    )
+
+
+def semantic_sql(p: str, qtab: str, qtok: str) -> str:
+    """Dense (hashed) top k of the queries in ``qtab``; needs ``dhv`` defined."""
+    return (
+        _hashed(f"{p}_qv", "query_id", qtok)
+        + f""",
+{p}_dots AS (
+  SELECT q.query_id, d.pk, sum((q.v::DOUBLE / qn.n) * (d.v::DOUBLE / dn.n)) AS score
+  FROM {p}_qv q JOIN dhv d USING (b)
+       JOIN {p}_qv_n qn ON qn.query_id = q.query_id
+       JOIN dhv_n dn ON dn.pk = d.pk
+  GROUP BY q.query_id, d.pk
+),
+{p}_pairs AS (
+  SELECT q.query_id, c.pk, coalesce(s.score, 0.0) AS score
+  FROM {qtab} q CROSS JOIN chunks c
+       LEFT JOIN {p}_dots s ON s.query_id = q.query_id AND s.pk = c.pk
+),
+{p}_ranked AS (
+  SELECT query_id, pk, score,
+         row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pk)::BIGINT AS rank
+  FROM {p}_pairs
+),
+{p}_hits AS (
+  SELECT r.query_id, r.rank, r.pk, r.score, c.text
+  FROM {p}_ranked r JOIN chunks c USING (pk) WHERE r.rank <= {TOP_K}
+)"""
+    )
+
+
+RERANK = f"""
+rr_qd AS (
+  SELECT query_id, term, idf
+  FROM (SELECT query_id, unnest(list_distinct(toks)) AS term FROM qtok) JOIN vocab USING (term)
+),
+rr_cand AS (
+  SELECT DISTINCT query_id, text FROM (
+    SELECT query_id, text FROM sem_hits UNION ALL SELECT query_id, text FROM ft_hits)
+),
+rr_ct AS (
+  SELECT query_id, text, unnest(list_distinct({tokens_sql('text')})) AS term FROM rr_cand
+),
+rr_s AS (
+  SELECT query_id, text, sum(idf) AS s FROM rr_ct JOIN rr_qd USING (query_id, term)
+  GROUP BY query_id, text
+),
+rr_ranked AS (
+  SELECT query_id, text, coalesce(s, 0.0::DOUBLE) AS score,
+         row_number() OVER (PARTITION BY query_id
+                            ORDER BY round(coalesce(s, 0.0::DOUBLE), 9) DESC, text)::BIGINT AS rank
+  FROM rr_cand LEFT JOIN rr_s USING (query_id, text)
+)"""
+
+HYDE = f"""
+hy_top AS (
+  SELECT q.query_id, q.query_text, coalesce(f.text, '') AS response
+  FROM queries q LEFT JOIN (SELECT query_id, text FROM ft_hits WHERE rank = 1) f USING (query_id)
+),
+hyde_q AS (SELECT query_id, concat_ws(' ', query_text, response) AS query_text FROM hy_top),
+htok AS (SELECT query_id, {tokens_sql('query_text')} AS toks FROM hyde_q),
+""" + semantic_sql("hy", "hyde_q", "htok")
+
+FULL = (*HYBRID, RERANK, HYDE)
+
+SQL["hybrid_rerank"] = _with(*HYBRID, RERANK) + (
+    f"SELECT query_id, rank, text, round(score, 6) AS score FROM rr_ranked WHERE rank <= {TOP_K}"
+)
+SQL["rag_prompt"] = _with(*HYBRID, CONTEXT) + (
+    "SELECT c.query_id, "
+    + template_sql(RAG_PROMPT, "q.query_text", "c.context")
+    + " AS prompt FROM ctx c JOIN queries q USING (query_id)"
+)
+SQL["hyde_prompt"] = (
+    "SELECT item_id::BIGINT AS query_id, "
+    + template_sql(HYDE_PROMPT, "text")
+    + " AS prompt FROM benchmark"
+)
+SQL["hyde_topk"] = _with(*FULL) + (
+    "SELECT query_id, rank, pk, round(score, 6) AS score, text FROM hy_hits"
+)
+
+
+def _eval_sql(name: str, priority: int, hits: str | None) -> str:
+    if hits is None:
+        src = "SELECT query_id, query_text, '' AS context, '' AS response FROM queries"
+    else:
+        src = f"""SELECT q.query_id, q.query_text,
+         coalesce(string_agg(h.text, ' ' ORDER BY h.rank), '') AS context,
+         coalesce(max(CASE WHEN h.rank = 1 THEN h.text END), '') AS response
+  FROM queries q LEFT JOIN (SELECT * FROM {hits} WHERE rank <= {TOP_K}) h USING (query_id)
+  GROUP BY q.query_id, q.query_text"""
+    return f"""
+ev{priority} AS (
+  SELECT query_id, '{name}' AS strategy, {priority}::BIGINT AS priority,
+         {template_sql(RAG_PROMPT, 'query_text', 'context')} AS prompt, response,
+         {coverage_sql('query_text', 'response')} AS trust_score
+  FROM ({src})
+)"""
+
+
+CASCADE = ",".join(
+    [
+        _eval_sql("no_retrieval", 1, None),
+        _eval_sql("semantic_search", 2, "sem_hits"),
+        _eval_sql("hybrid_search_with_rrf", 3, "rrf_ranked"),
+        _eval_sql("hybrid_search_with_reranker", 4, "rr_ranked"),
+        _eval_sql("hyde_retrieval", 5, "hy_hits"),
+    ]
+) + f""",
+evals AS (
+  SELECT * FROM ev1 UNION ALL SELECT * FROM ev2 UNION ALL SELECT * FROM ev3
+  UNION ALL SELECT * FROM ev4 UNION ALL SELECT * FROM ev5
+),
+acc AS (
+  SELECT query_id, min(priority) AS ap, arg_min(strategy, priority) AS strategy,
+         arg_min(trust_score, priority) AS trust_score, arg_min(response, priority) AS response
+  FROM evals WHERE trust_score >= {TRUST_THRESHOLD} GROUP BY query_id
+),
+answers AS (
+  SELECT q.query_id, a.strategy, a.trust_score,
+         coalesce(a.response, {_lit(STUB_RESPONSE)}) AS response, a.ap
+  FROM queries q LEFT JOIN acc a USING (query_id)
+),
+report AS (
+  SELECT e.query_id, e.strategy, e.priority, e.trust_score, e.response
+  FROM evals e JOIN answers a USING (query_id)
+  WHERE a.ap IS NULL OR e.priority <= a.ap
+)"""
+
+SQL["coverage_score"] = _with(*HYBRID, _eval_sql("hybrid_search_with_rrf", 3, "rrf_ranked")) + (
+    "SELECT query_id, response, round(trust_score, 6) AS trust_score FROM ev3"
+)
+SQL["cascade_answer"] = _with(*FULL, CASCADE) + (
+    "SELECT query_id, strategy, round(trust_score, 6) AS trust_score, response FROM answers"
+)
+SQL["cascade_answer_eager"] = SQL["cascade_answer"]
+SQL["cascade_report"] = _with(*FULL, CASCADE) + (
+    "SELECT query_id, strategy, priority, round(trust_score, 6) AS trust_score, response FROM report"
+)
+SQL["dry_run_answer"] = (
+    "SELECT item_id::BIGINT AS query_id, NULL::VARCHAR AS strategy, NULL::DOUBLE AS trust_score, "
+    f"{_lit(STUB_RESPONSE)} AS response FROM benchmark"
+)

@@ -13,8 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.config import DENSE_DIM, MAX_BROADCAST_ROWS, TOP_K, Settings
-from quarry.operators import bm25, encode, fusion, search, sections
+from quarry.config import DENSE_DIM, HYDE_PROMPT, MAX_BROADCAST_ROWS, RAG_PROMPT, TOP_K, Settings
+from quarry.operators import bm25, encode, fusion, generate, search, sections
 from quarry.operators import chunks as chunking
 from quarry.operators.search import sparse_topk as _sparse_topk
 from quarry.operators.search import with_text
@@ -26,6 +26,8 @@ from quarry.plans.corpus import (
     indexed_chunks,
 )
 from quarry.plans import build
+from quarry.plans.cascade import cascade_eager, cascade_lazy
+from quarry.plans.strategies import Retriever
 from quarry.session import scratch_path
 from quarry.sources.store import Store, read_store, write_store
 from quarry.sources.tables import read_table
@@ -277,3 +279,82 @@ def postings(spark, sf_dir):
     write_store(Store(rows, ix.postings, ix.vocab, ix.stats), root, DENSE_DIM)
     back = read_store(spark, root).postings
     return back.select("term", "pk", _r6("weight"))
+
+
+# ------------------------------- steps 7-9: rerank, prompts, HyDE, cascade
+
+
+def _retriever(spark, sf_dir, **settings):
+    return Retriever(indexed_chunks(spark, sf_dir), Settings(**settings))
+
+
+@register
+def hybrid_rerank(spark, sf_dir):
+    r = _retriever(spark, sf_dir)
+    hits = r.hybrid_rerank(benchmark_queries(spark, sf_dir))
+    return hits.select("query_id", "rank", "text", _r6("score"))
+
+
+@register
+def rag_prompt(spark, sf_dir):
+    """RAG prompt of every query with its hybrid (RRF) context."""
+    r = _retriever(spark, sf_dir)
+    queries = benchmark_queries(spark, sf_dir)
+    ctx = fusion.context(r.hybrid_rrf(queries), queries)
+    rows = queries.join(ctx, "query_id")
+    return rows.select(
+        "query_id",
+        generate.prompt_column(RAG_PROMPT, F.col("query_text"), F.col("context")).alias("prompt"),
+    )
+
+
+@register
+def hyde_prompt(spark, sf_dir):
+    queries = benchmark_queries(spark, sf_dir)
+    return queries.select(
+        "query_id", generate.prompt_column(HYDE_PROMPT, F.col("query_text")).alias("prompt")
+    )
+
+
+@register
+def coverage_score(spark, sf_dir):
+    """Stand-in response and trust score of the hybrid (RRF) strategy."""
+    r = _retriever(spark, sf_dir)
+    ev = r.evaluate("hybrid_search_with_rrf", benchmark_queries(spark, sf_dir), 3)
+    return ev.select("query_id", "response", _r6("trust_score"))
+
+
+@register
+def hyde_topk(spark, sf_dir):
+    r = _retriever(spark, sf_dir)
+    hits = r.hyde(benchmark_queries(spark, sf_dir))
+    return hits.select("query_id", "rank", "pk", _r6("score"), "text")
+
+
+@register
+def cascade_answer(spark, sf_dir):
+    """C1, lazy rounds: one answer per query (stub when none is trusted)."""
+    answers, _ = cascade_lazy(_retriever(spark, sf_dir), benchmark_queries(spark, sf_dir))
+    return answers.select("query_id", "strategy", _r6("trust_score"), "response")
+
+
+@register
+def cascade_report(spark, sf_dir):
+    """Strategies tried per query, up to and including the accepted one."""
+    _, report = cascade_lazy(_retriever(spark, sf_dir), benchmark_queries(spark, sf_dir))
+    return report.select("query_id", "strategy", "priority", _r6("trust_score"), "response")
+
+
+@register
+def cascade_answer_eager(spark, sf_dir):
+    """C1, eager form (all strategies, then min_by priority): same answers."""
+    answers, _ = cascade_eager(_retriever(spark, sf_dir), benchmark_queries(spark, sf_dir))
+    return answers.select("query_id", "strategy", _r6("trust_score"), "response")
+
+
+@register
+def dry_run_answer(spark, sf_dir):
+    """No model at all; responses are '' with score 0, so the stub wins."""
+    r = _retriever(spark, sf_dir, dry_run=True)
+    answers, _ = cascade_lazy(r, benchmark_queries(spark, sf_dir))
+    return answers.select("query_id", "strategy", _r6("trust_score"), "response")
