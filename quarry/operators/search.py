@@ -159,6 +159,11 @@ def dense_topk(
     return hits.withColumnRenamed("pk", key) if key != "pk" else hits
 
 
+def _rows_per_block(n_queries: int, max_cells: int = 4_000_000) -> int:
+    """Rows scored at once so a score block holds at most ``max_cells``."""
+    return max(1, max_cells // max(1, n_queries))
+
+
 def _ids(values: pd.Series) -> np.ndarray:
     arr = values.to_numpy()
     return arr.astype(str) if arr.dtype == object else arr
@@ -172,11 +177,14 @@ def _broadcast_block_product(q: DataFrame, c: DataFrame, k: int, out_schema) ->
 
     def score_batches(batches):
         ids, m = shared.value
+        if len(ids) == 0:
+            return
+        step = _rows_per_block(len(ids))
         for pdf in batches:
-            if len(pdf) == 0 or len(ids) == 0:
-                continue
-            d = _unit_rows(list(pdf["dv"]))
-            yield _local_topk(d @ m.T, _ids(pdf["pk"]), ids, k)
+            for i in range(0, len(pdf), step):
+                part = pdf.iloc[i : i + step]
+                d = _unit_rows(list(part["dv"]))
+                yield _local_topk(d @ m.T, _ids(part["pk"]), ids, k)
 
     return c.mapInPandas(score_batches, out_schema)
 
@@ -207,3 +215,89 @@ def _blocked_block_product(
         .cogroup(qs.groupBy("qb", "cb"))
         .applyInPandas(score_block, out_schema)
     )
+
+
+# ---------------------------------------------- sparse search, in-task scoring
+
+
+def bm25_scan_topk(
+    query_weights: DataFrame,
+    chunks: DataFrame,
+    stats: DataFrame,
+    k: int = TOP_K,
+    k1: float = 1.5,
+    b: float = 0.75,
+) -> DataFrame:
+    """Full-text top k without a (query, chunk) shuffle.
+
+    ``query_weights(query_id, term, weight)`` must be proven small (the caller
+    checks its size). It is broadcast with ``avgdl``; every task scores its own
+    chunks (``pk``, ``dl``, ``terms``) against all queries with numpy and keeps
+    only its local top k per query, so the corpus is never shuffled and only
+    k rows per query and task reach the final ``row_number``. Same scores and
+    order as ``sparse_topk`` over ``bm25.doc_weights`` (documents sharing no
+    term with a query never appear).
+    """
+    qp = query_weights.toPandas()
+    avgdl = float(stats.select("avgdl").first()[0] or 0.0)
+    qids = np.unique(qp["query_id"].to_numpy(dtype=np.int64))
+    terms = pd.Index(pd.unique(qp["term"]))
+    t_idx = terms.get_indexer(qp["term"])
+    q_idx = np.searchsorted(qids, qp["query_id"].to_numpy(dtype=np.int64))
+    order = np.argsort(t_idx, kind="stable")
+    t_sorted, q_sorted = t_idx[order], q_idx[order]
+    w_sorted = qp["weight"].to_numpy(dtype=np.float64)[order]
+    starts = np.searchsorted(t_sorted, np.arange(len(terms) + 1))
+    shared = chunks.sparkSession.sparkContext.broadcast(
+        (qids, terms, starts, q_sorted, w_sorted, avgdl)
+    )
+    out_schema = T.StructType(
+        [
+            T.StructField("query_id", T.LongType()),
+            T.StructField("pk", chunks.schema["pk"].dataType),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+
+    def score_block(pdf, ids, vocab, st, qs, ws, avg):
+        n, nq = len(pdf), len(ids)
+        lens = pdf["_t"].map(len).to_numpy()
+        if lens.sum() == 0:
+            return None
+        flat_terms = pd.Index(np.concatenate(pdf["_t"].to_numpy()))
+        tf = np.concatenate(pdf["_tf"].to_numpy()).astype(np.float64)
+        row = np.repeat(np.arange(n), lens)
+        col = vocab.get_indexer(flat_terms)
+        hit = col >= 0
+        row, col, tf = row[hit], col[hit], tf[hit]
+        if len(row) == 0:
+            return None
+        dl = pdf["dl"].to_numpy(dtype=np.float64)[row]
+        dw = tf * (k1 + 1.0) / (tf + k1 * ((1.0 - b) + b * dl / avg))
+        fan = st[col + 1] - st[col]
+        src = np.repeat(np.arange(len(row)), fan)
+        offs = np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan)
+        pos = np.repeat(st[col], fan) + offs
+        scores = np.zeros((n, nq))
+        matched = np.zeros((n, nq), dtype=bool)
+        np.add.at(scores, (row[src], qs[pos]), dw[src] * ws[pos])
+        matched[row[src], qs[pos]] = True
+        scores[~matched] = -np.inf
+        res = _local_topk(scores, _ids(pdf["pk"]), ids, k)
+        return res[np.isfinite(res["score"].to_numpy())]
+
+    def score(batches):
+        ids, vocab, st, qs, ws, avg = shared.value
+        if len(ids) == 0:
+            return
+        step = _rows_per_block(len(ids))
+        for pdf in batches:
+            for i in range(0, len(pdf), step):
+                res = score_block(pdf.iloc[i : i + step], ids, vocab, st, qs, ws, avg)
+                if res is not None and len(res):
+                    yield res
+
+    local = chunks.select(
+        "pk", "dl", F.col("terms.term").alias("_t"), F.col("terms.tf").alias("_tf")
+    ).mapInPandas(score, out_schema)
+    return top_k(local, k)

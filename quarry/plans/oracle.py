@@ -117,6 +117,7 @@ SQL["bm25_query_weights"] = _with(_window_chunks(), BM25, QUERIES) + (
 SQL["full_text_topk"] = _with(_window_chunks(), BM25, QUERIES, full_text_hits_sql()) + (
     "SELECT query_id, rank, pk, round(score, 6) AS score, text FROM ft_hits"
 )
+SQL["full_text_topk_join"] = SQL["full_text_topk"]
 
 
 # ------------------------------------------------------ step 2: dense search

@@ -77,19 +77,31 @@ def bm25_query_weights(spark, sf_dir):
     return qw.select("query_id", "term", _r6("weight"))
 
 
-def full_text_hits(spark, sf_dir, k=TOP_K, chunks=None):
+def full_text_hits(spark, sf_dir, k=TOP_K, chunks=None, plan="auto"):
     chunks = chunks if chunks is not None else indexed_chunks(spark, sf_dir)
     ix = full_text_index(chunks)
     qw, small = bm25.query_weights(benchmark_queries(spark, sf_dir), ix.vocab)
-    return with_text(_sparse_topk(qw, ix.postings, k, small), chunks)
+    if plan == "scan" or (plan == "auto" and small):
+        hits = search.bm25_scan_topk(qw, chunks, ix.stats, k)
+    else:
+        hits = _sparse_topk(qw, ix.postings, k, small)
+    return with_text(hits, chunks)
 
 
 @register
 def full_text_topk(spark, sf_dir):
+    """Full-text top 5; query weights proven small -> in-task scoring scan."""
     hits = full_text_hits(spark, sf_dir)
     return hits.select("query_id", "rank", "pk", _r6("score"), "text")
 
 
+@register
+def full_text_topk_join(spark, sf_dir):
+    """Same result by the relational plan: postings x query terms, sum, top k."""
+    hits = full_text_hits(spark, sf_dir, plan="join")
+    return hits.select("query_id", "rank", "pk", _r6("score"), "text")
+
+
 # ------------------------------------------------------ step 2: dense search
 
 

@@ -66,9 +66,14 @@ class Retriever:
         return search.with_text(hits, self.chunks).select(*HIT_COLS)
 
     def full_text(self, queries: DataFrame) -> DataFrame:
-        """E7 -> J2 -> A3 -> W3 -> J3."""
+        """E7 -> J2 -> A3 -> W3 -> J3. A proven-small query side is
+        broadcast and scored inside each corpus task (no pair shuffle);
+        otherwise the relational postings join is planned."""
         qw, small = bm25.query_weights(queries, self.index.vocab)
-        hits = search.sparse_topk(qw, self.index.postings, self.settings.top_k, small)
+        if small:
+            hits = search.bm25_scan_topk(qw, self.chunks, self.index.stats, self.settings.top_k)
+        else:
+            hits = search.sparse_topk(qw, self.index.postings, self.settings.top_k, False)
         return search.with_text(hits, self.chunks).select(*HIT_COLS)
 
     def sparse(self, queries: DataFrame) -> DataFrame:
