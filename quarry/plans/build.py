@@ -73,21 +73,33 @@ def knowledge_rows(
     return rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]), ix
 
 
-def build_store(
+def page_chunks(
     pages: DataFrame,
     settings: Settings = Settings(),
     tag: str = "section",
     anchor_policy: str = "skip",
     chunker: str = "recursive",
-    make_encoder=None,
-) -> Store:
-    """pages(page_id, url, html) -> the four store tables (lazy)."""
+) -> DataFrame:
+    """pages -> sections -> chunks with tokens counted, materialised once:
+    (pk, page_id, section_pos, source, chunk_pos, text, dl, terms)."""
     secs = sections(spread(pages), tag=tag, anchor_policy=anchor_policy)
     chunk = recursive_chunks if chunker == "recursive" else window_chunks
     chunks = chunk(
         secs, key_cols=["page_id", "section_pos"], size=settings.chunk_size, overlap=settings.chunk_overlap
     )
-    chunks = materialize(bm25.with_terms(chunks))
+    return materialize(bm25.with_terms(chunks))
+
+
+def build_store(
+    pages: DataFrame,
+    settings: Settings = Settings(),
+    tag: str = "section",
+    anchor_policy: str = "skip",
+    chunker: str = "recursive",
+    make_encoder=None,
+) -> Store:
+    """pages(page_id, url, html) -> the four store tables (lazy)."""
+    chunks = page_chunks(pages, settings, tag, anchor_policy, chunker)
     rows, ix = knowledge_rows(chunks, settings, make_encoder)
     return Store(rows, ix.postings, ix.vocab, ix.stats)
 

@@ -113,9 +113,10 @@ def _embedding_queries(spark, sf_dir):
 @register
 def dense_topk(spark, sf_dir):
     """Every embedding's 5 nearest neighbours (cosine) over the whole table;
-    query matrix broadcast after a size check, corpus scanned in place."""
+    query matrix broadcast when its size check passes (else blocked plan),
+    corpus scanned in place."""
     emb, q = _embedding_queries(spark, sf_dir)
-    hits = search.dense_topk(q, emb, key="vec_id", vector="embedding", strategy="broadcast")
+    hits = search.dense_topk(q, emb, key="vec_id", vector="embedding", strategy="auto")
     return hits.select("query_id", "rank", "vec_id", _r6("score"))
 
 
