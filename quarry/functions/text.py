@@ -23,7 +23,7 @@ def tokens(col: Column | str, stop_words: list[str] | None = None) -> Column:
     """``array<string>`` of analyzer tokens, in text order, repeats kept."""
     c = F.col(col) if isinstance(col, str) else col
     parts = F.split(F.lower(c), TOKEN_SPLIT)
-    keep = F.filter(parts, lambda t: t != F.lit(""))
+    keep = F.array_remove(parts, F.lit(""))
     if stop_words:
         stops = F.array(*[F.lit(w) for w in stop_words])
         keep = F.filter(keep, lambda t: ~F.array_contains(stops, t))

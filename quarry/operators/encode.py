@@ -25,23 +25,36 @@ from quarry.config import BATCH_SIZE, DENSE_DIM
 from quarry.functions.text import explode_rows, hash_bucket, term_id, tokens, with_term_counts
 
 
+def _unit_counts(buckets: pd.Series, counts: pd.Series | None, dim: int) -> pd.Series:
+    n = len(buckets)
+    lens = buckets.map(len).to_numpy()
+    m = np.zeros((n, dim), dtype=np.float64)
+    if lens.sum() > 0:
+        flat = np.concatenate([np.asarray(b, dtype=np.int64) for b in buckets])
+        w = 1.0 if counts is None else np.concatenate([np.asarray(c, dtype=np.float64) for c in counts])
+        np.add.at(m, (np.repeat(np.arange(n), lens), flat), w)
+    norms = np.sqrt((m * m).sum(axis=1))
+    norms[norms == 0] = 1.0
+    m = (m / norms[:, None]).astype(np.float32)
+    return pd.Series(list(m))
+
+
 def _bincount_unit_udf(dim: int):
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def bincount_unit(buckets: pd.Series) -> pd.Series:
-        n = len(buckets)
-        lens = buckets.map(len).to_numpy()
-        m = np.zeros((n, dim), dtype=np.float64)
-        if lens.sum() > 0:
-            flat = np.concatenate([np.asarray(b, dtype=np.int64) for b in buckets])
-            np.add.at(m, (np.repeat(np.arange(n), lens), flat), 1.0)
-        norms = np.sqrt((m * m).sum(axis=1))
-        norms[norms == 0] = 1.0
-        m = (m / norms[:, None]).astype(np.float32)
-        return pd.Series(list(m))
+        return _unit_counts(buckets, None, dim)
 
     return bincount_unit
 
 
+def _weighted_unit_udf(dim: int):
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def weighted_unit(buckets: pd.Series, counts: pd.Series) -> pd.Series:
+        return _unit_counts(buckets, counts, dim)
+
+    return weighted_unit
+
+
 def hash_vectors(
     df: DataFrame, text_col: str = "text", dim: int = DENSE_DIM, out: str = "vector"
 ) -> DataFrame:
@@ -55,6 +68,18 @@ def hash_vectors(
     return staged.withColumn(out, _bincount_unit_udf(dim)(F.col("_buckets"))).drop("_buckets")
 
 
+def hash_vectors_from_terms(
+    df: DataFrame, terms_col: str = "terms", dim: int = DENSE_DIM, out: str = "vector"
+) -> DataFrame:
+    """Same vectors as ``hash_vectors`` from already counted ``terms``
+    (``array<struct<term, tf>>``): one md5 per distinct term, no re-tokenising."""
+    staged = df.withColumn(
+        "_buckets", F.transform(F.col(terms_col), lambda t: hash_bucket(t["term"], dim))
+    ).withColumn("_counts", F.col(f"{terms_col}.tf"))
+    vec = _weighted_unit_udf(dim)(F.col("_buckets"), F.col("_counts"))
+    return staged.withColumn(out, vec).drop("_buckets", "_counts")
+
+
 def sparse_vectors(df: DataFrame, text_col: str = "text", key: str = "pk") -> DataFrame:
     """Sparse stand-in (E3/E4) as exploded rows ``(key, term_id, weight)``.
 

@@ -58,7 +58,7 @@ def knowledge_rows(
     ix = full_text_index(chunks)
     rows = ix.chunks
     if make_encoder is None:
-        rows = encode.hash_vectors(rows, "text", settings.dense_dim, out="dense_vector")
+        rows = encode.hash_vectors_from_terms(rows, "terms", settings.dense_dim, out="dense_vector")
     else:
         rows = encode.encode_with_model(rows, make_encoder, "text", out="dense_vector")
     cols = ["pk", "text", "dense_vector", "source"]

@@ -11,7 +11,7 @@ from quarry.config import CHUNK_OVERLAP, CHUNK_SIZE
 from quarry.operators import bm25
 from quarry.operators.chunks import documents_as_sections, recursive_chunks, window_chunks
 from quarry.operators.sizing import spread
-from quarry.session import checkpoint_dir
+from quarry.session import scratch_path
 from quarry.sources.tables import queries_from_table, read_table
 
 
@@ -33,11 +33,14 @@ def document_chunks(
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage: an eager checkpoint written to the
-    shared checkpoint folder, so later stages (and recomputes after a lost
-    executor) read it instead of re-running the plan."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once and cut the lineage: write the rows as parquet into the
+    shared checkpoint folder and read them back. Later stages (and recomputes
+    after a lost executor) read the files instead of re-running the plan, and
+    get column pruning: a scan needing ``pk, dl, terms`` skips the text.
+    (``Dataset.checkpoint`` would compute the plan twice without a persist.)"""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def indexed_chunks(spark: SparkSession, sf_dir: str, chunker: str = "window") -> DataFrame:

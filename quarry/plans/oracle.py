@@ -209,6 +209,7 @@ FROM chunks c
 LEFT JOIN (SELECT pk, map_from_entries(list(struct_pack(k := b, v := v))) AS vm FROM dhv GROUP BY pk) m
   USING (pk)"""
 
+SQL["hash_embed_terms"] = SQL["hash_embed"]
 SQL["semantic_topk"] = _with(_window_chunks(), BM25, QUERIES, QTOK, SEMANTIC) + (
     "SELECT query_id, rank, pk, round(score, 6) AS score, text FROM sem_hits"
 )

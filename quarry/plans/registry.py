@@ -135,7 +135,7 @@ def semantic_hits(spark, sf_dir, chunks=None, queries=None, k=TOP_K):
     chunks = chunks if chunks is not None else indexed_chunks(spark, sf_dir)
     queries = queries if queries is not None else benchmark_queries(spark, sf_dir)
     qv = encode.hash_vectors(queries, "query_text")
-    cv = encode.hash_vectors(chunks.select("pk", "text"), "text")
+    cv = encode.hash_vectors_from_terms(chunks.select("pk", "terms"))
     return search.with_text(search.dense_topk(qv, cv, k=k), chunks)
 
 
@@ -145,6 +145,13 @@ def hash_embed(spark, sf_dir):
     return encode.hash_vectors(chunks.select("pk", "text"), "text").select("pk", "vector")
 
 
+@register
+def hash_embed_terms(spark, sf_dir):
+    """Same vectors built from the counted terms of each chunk."""
+    chunks = indexed_chunks(spark, sf_dir)
+    return encode.hash_vectors_from_terms(chunks.select("pk", "terms")).select("pk", "vector")
+
+
 @register
 def semantic_topk(spark, sf_dir):
     hits = semantic_hits(spark, sf_dir)

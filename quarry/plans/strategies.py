@@ -41,16 +41,23 @@ class Retriever:
 
     @cached_property
     def index(self) -> FullTextIndex:
-        return full_text_index(self.chunks)
+        """BM25 model fitted once; the vocabulary is written (checkpoint) so
+        every strategy and cascade round looks terms up without refitting."""
+        ix = full_text_index(self.chunks)
+        ix.vocab = materialize(ix.vocab)
+        return ix
 
     @cached_property
     def vectors(self) -> DataFrame:
         """Dense vectors of every chunk, computed once (pk, vector)."""
-        base = self.chunks.select("pk", "text")
         if self.models.dense_encoder is None:
-            out = encode.hash_vectors(base, "text", self.settings.dense_dim)
+            out = encode.hash_vectors_from_terms(
+                self.chunks.select("pk", "terms"), "terms", self.settings.dense_dim
+            )
         else:
-            out = encode.encode_with_model(base, self.models.dense_encoder, "text")
+            out = encode.encode_with_model(
+                self.chunks.select("pk", "text"), self.models.dense_encoder, "text"
+            )
         return materialize(out.select("pk", "vector"))
 
     # ----------------------------------------------------------- retrievers
