@@ -46,6 +46,15 @@ def main() -> None:
     spark.range(1000).selectExpr("sum(id)").collect()
 
     times = {}
+    # the knowledge build (chunks + token counts, BM25 vocabulary, dense
+    # vectors) runs once, as in a deployment; queries then reuse it
+    from quarry.plans.registry import _retriever
+
+    t0 = time.perf_counter()
+    r = _retriever(spark, sf_dir)
+    r.index, r.vectors  # noqa: B018 - force the written tables
+    times["corpus_build"] = round(time.perf_counter() - t0, 3)
+    print(f"corpus_build: {times['corpus_build']}s", file=sys.stderr, flush=True)
     for name in names:
         t0 = time.perf_counter()
         df = QUERIES[name](spark, sf_dir)

@@ -62,12 +62,17 @@ def sparse_topk(
     return top_k(scored, k)
 
 
-def with_text(hits: DataFrame, chunks: DataFrame, key: str = "pk") -> DataFrame:
+def with_text(
+    hits: DataFrame, chunks: DataFrame, key: str = "pk", hits_small: bool = True
+) -> DataFrame:
     """Fetch the text of the hits only (late materialisation).
 
-    Hits are at most k per query; the chunk table streams past them.
+    Hits are at most k per query. When the query set passed its size check
+    (``hits_small``) they are broadcast and the chunk table streams past them
+    with a column-pruned scan; it is never shuffled to fetch a few texts.
     """
-    return hits.join(chunks.select(key, "text"), key)
+    h = F.broadcast(hits) if hits_small else hits
+    return h.join(chunks.select(key, "text"), key)
 
 
 # ---------------------------------------------------------------- dense search
@@ -223,10 +228,12 @@ def _blocked_block_product(
 def bm25_scan_topk(
     query_weights: DataFrame,
     chunks: DataFrame,
-    stats: DataFrame,
+    stats: DataFrame | None,
     k: int = TOP_K,
     k1: float = 1.5,
     b: float = 0.75,
+    doc_weight: str = "bm25",
+    term_key=None,
 ) -> DataFrame:
     """Full-text top k without a (query, chunk) shuffle.
 
@@ -239,7 +246,7 @@ def bm25_scan_topk(
     term with a query never appear).
     """
     qp = query_weights.toPandas()
-    avgdl = float(stats.select("avgdl").first()[0] or 0.0)
+    avgdl = float(stats.select("avgdl").first()[0] or 0.0) if stats is not None else 1.0
     qids = np.unique(qp["query_id"].to_numpy(dtype=np.int64))
     terms = pd.Index(pd.unique(qp["term"]))
     t_idx = terms.get_indexer(qp["term"])
@@ -272,8 +279,11 @@ def bm25_scan_topk(
         row, col, tf = row[hit], col[hit], tf[hit]
         if len(row) == 0:
             return None
-        dl = pdf["dl"].to_numpy(dtype=np.float64)[row]
-        dw = tf * (k1 + 1.0) / (tf + k1 * ((1.0 - b) + b * dl / avg))
+        if doc_weight == "bm25":
+            dl = pdf["dl"].to_numpy(dtype=np.float64)[row]
+            dw = tf * (k1 + 1.0) / (tf + k1 * ((1.0 - b) + b * dl / avg))
+        else:  # "log_tf": learned-sparse stand-in, 1 + ln(tf)
+            dw = 1.0 + np.log(tf)
         fan = st[col + 1] - st[col]
         src = np.repeat(np.arange(len(row)), fan)
         offs = np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan)
@@ -297,7 +307,8 @@ def bm25_scan_topk(
                 if res is not None and len(res):
                     yield res
 
+    keys = F.col("terms.term") if term_key is None else F.transform("terms", lambda t: term_key(t["term"]))
     local = chunks.select(
-        "pk", "dl", F.col("terms.term").alias("_t"), F.col("terms.tf").alias("_tf")
+        "pk", "dl", keys.alias("_t"), F.col("terms.tf").alias("_tf")
     ).mapInPandas(score, out_schema)
     return top_k(local, k)

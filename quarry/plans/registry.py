@@ -13,15 +13,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.config import DENSE_DIM, HYDE_PROMPT, MAX_BROADCAST_ROWS, RAG_PROMPT, TOP_K, Settings
+from quarry.config import (
+    DENSE_DIM,
+    HYDE_PROMPT,
+    MAX_BROADCAST_QUERIES,
+    MAX_BROADCAST_ROWS,
+    RAG_PROMPT,
+    TOP_K,
+    Settings,
+)
 from quarry.operators import bm25, encode, fusion, generate, search, sections
 from quarry.operators import chunks as chunking
 from quarry.operators.search import sparse_topk as _sparse_topk
 from quarry.operators.search import with_text
-from quarry.operators.sizing import broadcast_if_small, spread
+from quarry.functions.text import term_id
+from quarry.operators.sizing import at_most, broadcast_if_small, spread
 from quarry.plans.corpus import (
     benchmark_queries,
     document_chunks,
+    built_once,
     full_text_index,
     indexed_chunks,
 )
@@ -85,7 +95,7 @@ def full_text_hits(spark, sf_dir, k=TOP_K, chunks=None, plan="auto"):
         hits = search.bm25_scan_topk(qw, chunks, ix.stats, k)
     else:
         hits = _sparse_topk(qw, ix.postings, k, small)
-    return with_text(hits, chunks)
+    return with_text(hits, chunks, hits_small=small)
 
 
 @register
@@ -136,7 +146,9 @@ def semantic_hits(spark, sf_dir, chunks=None, queries=None, k=TOP_K):
     queries = queries if queries is not None else benchmark_queries(spark, sf_dir)
     qv = encode.hash_vectors(queries, "query_text")
     cv = encode.hash_vectors_from_terms(chunks.select("pk", "terms"))
-    return search.with_text(search.dense_topk(qv, cv, k=k), chunks)
+    small = at_most(qv, MAX_BROADCAST_QUERIES)
+    hits = search.dense_topk(qv, cv, k=k, strategy="broadcast" if small else "blocked")
+    return search.with_text(hits, chunks, hits_small=small)
 
 
 @register
@@ -168,10 +180,14 @@ def sparse_hits(spark, sf_dir, chunks=None, k=TOP_K):
     chunks = chunks if chunks is not None else indexed_chunks(spark, sf_dir)
     queries = benchmark_queries(spark, sf_dir)
     qrows = encode.sparse_vectors(queries, "query_text", key="query_id")
-    qrows, small = broadcast_if_small(qrows, MAX_BROADCAST_ROWS)
-    post = encode.sparse_vectors(chunks).withColumnRenamed("term_id", "term")
-    hits = search.sparse_topk(qrows.withColumnRenamed("term_id", "term"), post, k, small)
-    return search.with_text(hits, chunks)
+    qrows = qrows.withColumnRenamed("term_id", "term")
+    small = at_most(qrows, MAX_BROADCAST_ROWS)
+    if small:
+        hits = search.bm25_scan_topk(qrows, chunks, None, k, doc_weight="log_tf", term_key=term_id)
+    else:
+        post = encode.sparse_vectors(chunks).withColumnRenamed("term_id", "term")
+        hits = search.sparse_topk(qrows, post, k, False)
+    return search.with_text(hits, chunks, hits_small=small)
 
 
 @register
@@ -305,7 +321,9 @@ def postings(spark, sf_dir):
 
 
 def _retriever(spark, sf_dir, **settings):
-    return Retriever(indexed_chunks(spark, sf_dir), Settings(**settings))
+    """One retriever (written vocabulary and vectors) per corpus and settings."""
+    key = ("retriever", sf_dir, tuple(sorted(settings.items())))
+    return built_once(spark, key, lambda: Retriever(indexed_chunks(spark, sf_dir), Settings(**settings)))
 
 
 @register

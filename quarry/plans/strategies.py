@@ -14,9 +14,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.config import HYDE_PROMPT, MAX_BROADCAST_ROWS, RAG_PROMPT, Settings
+from quarry.config import HYDE_PROMPT, MAX_BROADCAST_QUERIES, MAX_BROADCAST_ROWS, RAG_PROMPT, Settings
+from quarry.functions.text import term_id
 from quarry.operators import bm25, encode, fusion, generate, search
-from quarry.operators.sizing import broadcast_if_small
+from quarry.operators.sizing import at_most
 from quarry.plans.corpus import FullTextIndex, full_text_index, materialize
 
 HIT_COLS = ["query_id", "rank", "pk", "text", "score"]
@@ -69,8 +70,12 @@ class Retriever:
 
     def dense(self, queries: DataFrame) -> DataFrame:
         """R2 (semantic search): E2 -> J1 -> W1 -> J3."""
-        hits = search.dense_topk(self._encode_queries(queries), self.vectors, k=self.settings.top_k)
-        return search.with_text(hits, self.chunks).select(*HIT_COLS)
+        qv = self._encode_queries(queries)
+        small = at_most(qv, MAX_BROADCAST_QUERIES)
+        hits = search.dense_topk(
+            qv, self.vectors, k=self.settings.top_k, strategy="broadcast" if small else "blocked"
+        )
+        return search.with_text(hits, self.chunks, hits_small=small).select(*HIT_COLS)
 
     def full_text(self, queries: DataFrame) -> DataFrame:
         """E7 -> J2 -> A3 -> W3 -> J3. A proven-small query side is
@@ -81,20 +86,21 @@ class Retriever:
             hits = search.bm25_scan_topk(qw, self.chunks, self.index.stats, self.settings.top_k)
         else:
             hits = search.sparse_topk(qw, self.index.postings, self.settings.top_k, False)
-        return search.with_text(hits, self.chunks).select(*HIT_COLS)
+        return search.with_text(hits, self.chunks, hits_small=small).select(*HIT_COLS)
 
     def sparse(self, queries: DataFrame) -> DataFrame:
         """R3 with the learned-sparse stand-in."""
         q = encode.sparse_vectors(queries, "query_text", key="query_id")
-        q, small = broadcast_if_small(q, MAX_BROADCAST_ROWS)
-        post = encode.sparse_vectors(self.chunks.select("pk", "text"))
-        hits = search.sparse_topk(
-            q.withColumnRenamed("term_id", "term"),
-            post.withColumnRenamed("term_id", "term"),
-            self.settings.top_k,
-            small,
-        )
-        return search.with_text(hits, self.chunks).select(*HIT_COLS)
+        q = q.withColumnRenamed("term_id", "term")
+        small = at_most(q, MAX_BROADCAST_ROWS)
+        if small:
+            hits = search.bm25_scan_topk(
+                q, self.chunks, None, self.settings.top_k, doc_weight="log_tf", term_key=term_id
+            )
+        else:
+            post = encode.sparse_vectors(self.chunks.select("pk", "text"))
+            hits = search.sparse_topk(q, post.withColumnRenamed("term_id", "term"), self.settings.top_k, False)
+        return search.with_text(hits, self.chunks, hits_small=small).select(*HIT_COLS)
 
     def ranked_lists(self, queries: DataFrame) -> list[DataFrame]:
         lists = [self.dense(queries)]
