@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.config import MAX_BROADCAST_QUERIES, TOP_K
-from quarry.operators.sizing import at_most
+from quarry.operators.sizing import at_most, collect_if_small
 
 
 def top_k(scored: DataFrame, k: int, group: str = "query_id", key: str = "pk") -> DataFrame:
@@ -123,9 +123,13 @@ def dense_topk(
     strategy: str = "auto",
     max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
     block_rows: int = 4096,
-) -> DataFrame:
+    with_plan: bool = False,
+):
     """J1 + W1: exact cosine top-k of every query over the whole corpus.
 
+    Returns the hits, or ``(hits, broadcast_used)`` with ``with_plan``; the
+    flag tells the caller its hits are bounded by a checked query count.
+
     ``queries(query_id, <query_vector>)``, ``corpus(<key>, <vector>)``. No
     cross join is planned and no (query, document) pair is materialised:
 
@@ -152,16 +156,21 @@ def dense_topk(
         F.col("query_id").cast("long").alias("query_id"), F.col(query_vector).alias("qv")
     )
     c = corpus.select(F.col(key).alias("pk"), F.col(vector).alias("dv"))
-    if strategy == "auto":
-        strategy = "broadcast" if at_most(q, max_broadcast_queries) else "blocked"
+    qp = None
+    if strategy in ("auto", "broadcast"):
+        qp = collect_if_small(q, max_broadcast_queries)
+        if qp is None and strategy == "broadcast":
+            raise ValueError("query set too large to broadcast; use strategy='blocked'")
+        strategy = "broadcast" if qp is not None else "blocked"
     if strategy == "broadcast":
-        local = _broadcast_block_product(q, c, k, out_schema)
+        local = _broadcast_block_product(qp, c, k, out_schema)
     elif strategy == "blocked":
         local = _blocked_block_product(q, c, k, out_schema, block_rows)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     hits = top_k(local, k)
-    return hits.withColumnRenamed("pk", key) if key != "pk" else hits
+    hits = hits.withColumnRenamed("pk", key) if key != "pk" else hits
+    return (hits, strategy == "broadcast") if with_plan else hits
 
 
 def _rows_per_block(n_queries: int, max_cells: int = 4_000_000) -> int:
@@ -174,11 +183,11 @@ def _ids(values: pd.Series) -> np.ndarray:
     return arr.astype(str) if arr.dtype == object else arr
 
 
-def _broadcast_block_product(q: DataFrame, c: DataFrame, k: int, out_schema) -> DataFrame:
-    qp = q.toPandas()  # bounded by the row check in dense_topk
+def _broadcast_block_product(qp: pd.DataFrame, c: DataFrame, k: int, out_schema) -> DataFrame:
+    # ``qp`` holds at most ``max_broadcast_queries`` rows (checked by the caller)
     qids = qp["query_id"].to_numpy(dtype=np.int64)
     qmat = _unit_rows(list(qp["qv"]))
-    shared = q.sparkSession.sparkContext.broadcast((qids, qmat))
+    shared = c.sparkSession.sparkContext.broadcast((qids, qmat))
 
     def score_batches(batches):
         ids, m = shared.value
@@ -226,9 +235,9 @@ def _blocked_block_product(
 
 
 def bm25_scan_topk(
-    query_weights: DataFrame,
+    query_weights,
     chunks: DataFrame,
-    stats: DataFrame | None,
+    stats,
     k: int = TOP_K,
     k1: float = 1.5,
     b: float = 0.75,
@@ -237,16 +246,22 @@ def bm25_scan_topk(
 ) -> DataFrame:
     """Full-text top k without a (query, chunk) shuffle.
 
-    ``query_weights(query_id, term, weight)`` must be proven small (the caller
-    checks its size). It is broadcast with ``avgdl``; every task scores its own
+    ``query_weights(query_id, term, weight)`` (a DataFrame proven small by
+    the caller, or its rows already fetched as pandas) is broadcast with
+    ``avgdl`` (``stats`` table or a number); every task scores its own
     chunks (``pk``, ``dl``, ``terms``) against all queries with numpy and keeps
     only its local top k per query, so the corpus is never shuffled and only
     k rows per query and task reach the final ``row_number``. Same scores and
     order as ``sparse_topk`` over ``bm25.doc_weights`` (documents sharing no
     term with a query never appear).
     """
-    qp = query_weights.toPandas()
-    avgdl = float(stats.select("avgdl").first()[0] or 0.0) if stats is not None else 1.0
+    qp = query_weights if isinstance(query_weights, pd.DataFrame) else query_weights.toPandas()
+    if stats is None:
+        avgdl = 1.0
+    elif isinstance(stats, (int, float)):
+        avgdl = float(stats)
+    else:
+        avgdl = float(stats.select("avgdl").first()[0] or 0.0)
     qids = np.unique(qp["query_id"].to_numpy(dtype=np.int64))
     terms = pd.Index(pd.unique(qp["term"]))
     t_idx = terms.get_indexer(qp["term"])

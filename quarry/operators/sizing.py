@@ -31,3 +31,10 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
+
+
+def collect_if_small(df: DataFrame, max_rows: int):
+    """The rows of ``df`` as pandas when there are at most ``max_rows`` of
+    them, else ``None``; one bounded job both proves the size and fetches."""
+    pdf = df.limit(max_rows + 1).toPandas()
+    return pdf if len(pdf) <= max_rows else None

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from quarry.config import (
     DENSE_DIM,
     HYDE_PROMPT,
-    MAX_BROADCAST_QUERIES,
     MAX_BROADCAST_ROWS,
     RAG_PROMPT,
     TOP_K,
@@ -146,8 +145,7 @@ def semantic_hits(spark, sf_dir, chunks=None, queries=None, k=TOP_K):
     queries = queries if queries is not None else benchmark_queries(spark, sf_dir)
     qv = encode.hash_vectors(queries, "query_text")
     cv = encode.hash_vectors_from_terms(chunks.select("pk", "terms"))
-    small = at_most(qv, MAX_BROADCAST_QUERIES)
-    hits = search.dense_topk(qv, cv, k=k, strategy="broadcast" if small else "blocked")
+    hits, small = search.dense_topk(qv, cv, k=k, with_plan=True)
     return search.with_text(hits, chunks, hits_small=small)
 
 
@@ -369,17 +367,27 @@ def hyde_topk(spark, sf_dir):
     return hits.select("query_id", "rank", "pk", _r6("score"), "text")
 
 
+def _lazy_cascade(spark, sf_dir):
+    """One lazy cascade run per corpus (its rounds are written tables); the
+    answer and report queries read the same run."""
+    return built_once(
+        spark,
+        ("cascade", sf_dir),
+        lambda: cascade_lazy(_retriever(spark, sf_dir), benchmark_queries(spark, sf_dir)),
+    )
+
+
 @register
 def cascade_answer(spark, sf_dir):
     """C1, lazy rounds: one answer per query (stub when none is trusted)."""
-    answers, _ = cascade_lazy(_retriever(spark, sf_dir), benchmark_queries(spark, sf_dir))
+    answers, _ = _lazy_cascade(spark, sf_dir)
     return answers.select("query_id", "strategy", _r6("trust_score"), "response")
 
 
 @register
 def cascade_report(spark, sf_dir):
     """Strategies tried per query, up to and including the accepted one."""
-    _, report = cascade_lazy(_retriever(spark, sf_dir), benchmark_queries(spark, sf_dir))
+    _, report = _lazy_cascade(spark, sf_dir)
     return report.select("query_id", "strategy", "priority", _r6("trust_score"), "response")
 
 

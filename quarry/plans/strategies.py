@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.config import HYDE_PROMPT, MAX_BROADCAST_QUERIES, MAX_BROADCAST_ROWS, RAG_PROMPT, Settings
+from quarry.config import HYDE_PROMPT, MAX_BROADCAST_ROWS, RAG_PROMPT, Settings
 from quarry.functions.text import term_id
 from quarry.operators import bm25, encode, fusion, generate, search
 from quarry.operators.sizing import at_most
@@ -23,6 +23,7 @@ from quarry.plans.corpus import FullTextIndex, full_text_index, materialize
 HIT_COLS = ["query_id", "rank", "pk", "text", "score"]
 
 
+
 @dataclass
 class Models:
     """Caller-supplied model factories (each built once per task). ``None``
@@ -68,13 +69,15 @@ class Retriever:
             return encode.hash_vectors(queries, "query_text", self.settings.dense_dim)
         return encode.encode_with_model(queries, self.models.dense_encoder, "query_text")
 
+    @cached_property
+    def avgdl(self) -> float:
+        return float(self.index.stats.select("avgdl").first()[0] or 0.0)
+
     def dense(self, queries: DataFrame) -> DataFrame:
-        """R2 (semantic search): E2 -> J1 -> W1 -> J3."""
+        """R2 (semantic search): E2 -> J1 -> W1 -> J3. The query matrix is
+        broadcast when its size check passes, else the blocked plan runs."""
         qv = self._encode_queries(queries)
-        small = at_most(qv, MAX_BROADCAST_QUERIES)
-        hits = search.dense_topk(
-            qv, self.vectors, k=self.settings.top_k, strategy="broadcast" if small else "blocked"
-        )
+        hits, small = search.dense_topk(qv, self.vectors, k=self.settings.top_k, with_plan=True)
         return search.with_text(hits, self.chunks, hits_small=small).select(*HIT_COLS)
 
     def full_text(self, queries: DataFrame) -> DataFrame:
@@ -83,7 +86,7 @@ class Retriever:
         otherwise the relational postings join is planned."""
         qw, small = bm25.query_weights(queries, self.index.vocab)
         if small:
-            hits = search.bm25_scan_topk(qw, self.chunks, self.index.stats, self.settings.top_k)
+            hits = search.bm25_scan_topk(qw, self.chunks, self.avgdl, self.settings.top_k)
         else:
             hits = search.sparse_topk(qw, self.index.postings, self.settings.top_k, False)
         return search.with_text(hits, self.chunks, hits_small=small).select(*HIT_COLS)
