@@ -297,8 +297,10 @@ def bm25_scan_topk(
         if doc_weight == "bm25":
             dl = pdf["dl"].to_numpy(dtype=np.float64)[row]
             dw = tf * (k1 + 1.0) / (tf + k1 * ((1.0 - b) + b * dl / avg))
-        else:  # "log_tf": learned-sparse stand-in, 1 + ln(tf)
+        elif doc_weight == "log_tf":  # learned-sparse stand-in, 1 + ln(tf)
             dw = 1.0 + np.log(tf)
+        else:  # "stored": the value already is the document weight
+            dw = tf
         fan = st[col + 1] - st[col]
         src = np.repeat(np.arange(len(row)), fan)
         offs = np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan)
@@ -322,8 +324,18 @@ def bm25_scan_topk(
                 if res is not None and len(res):
                     yield res
 
-    keys = F.col("terms.term") if term_key is None else F.transform("terms", lambda t: term_key(t["term"]))
-    local = chunks.select(
-        "pk", "dl", keys.alias("_t"), F.col("terms.tf").alias("_tf")
-    ).mapInPandas(score, out_schema)
+    if doc_weight == "stored":
+        # a written store: ``full_text_vector`` maps term -> BM25 weight
+        cols = [
+            F.map_keys("full_text_vector").alias("_t"),
+            F.map_values("full_text_vector").cast("array<double>").alias("_tf"),
+        ]
+        local = chunks.select("pk", F.lit(0).alias("dl"), *cols).mapInPandas(score, out_schema)
+    else:
+        keys = (
+            F.col("terms.term") if term_key is None else F.transform("terms", lambda t: term_key(t["term"]))
+        )
+        local = chunks.select(
+            "pk", "dl", keys.alias("_t"), F.col("terms.tf").alias("_tf")
+        ).mapInPandas(score, out_schema)
     return top_k(local, k)

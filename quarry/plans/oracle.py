@@ -511,3 +511,21 @@ SQL["dry_run_answer"] = (
     "SELECT item_id::BIGINT AS query_id, NULL::VARCHAR AS strategy, NULL::DOUBLE AS trust_score, "
     f"{_lit(STUB_RESPONSE)} AS response FROM benchmark"
 )
+
+
+# Search over the written store: document weights were stored as FLOAT.
+SQL["store_full_text_topk"] = (
+    _with(_window_chunks(), BM25, QUERIES)
+    + """, stored AS (SELECT pk, term, weight::FLOAT::DOUBLE AS w FROM post),
+st_scored AS (
+  SELECT query_id, pk, sum(qw.weight * stored.w) AS score
+  FROM qw JOIN stored USING (term) GROUP BY query_id, pk
+),
+st_ranked AS (
+  SELECT query_id, pk, score,
+         row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pk)::BIGINT AS rank
+  FROM st_scored
+)
+SELECT r.query_id, r.rank, r.pk, round(r.score, 6) AS score, c.text
+FROM st_ranked r JOIN chunks c USING (pk) WHERE r.rank <= 5"""
+)

@@ -38,7 +38,7 @@ from quarry.plans import build
 from quarry.plans.cascade import cascade_eager, cascade_lazy
 from quarry.plans.strategies import Retriever
 from quarry.session import scratch_path
-from quarry.sources.store import Store, read_store, write_store
+from quarry.sources.store import Store, read_store, search_store, write_store
 from quarry.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -404,3 +404,21 @@ def dry_run_answer(spark, sf_dir):
     r = _retriever(spark, sf_dir, dry_run=True)
     answers, _ = cascade_lazy(r, benchmark_queries(spark, sf_dir))
     return answers.select("query_id", "strategy", _r6("trust_score"), "response")
+
+
+
+@register
+def store_full_text_topk(spark, sf_dir):
+    """Build the store from whole documents, write it, load it back (S9) and
+    answer ``benchmark`` by full text from the stored weights."""
+    chunks = indexed_chunks(spark, sf_dir)
+    root = built_once(spark, ("store", sf_dir), lambda: _write_store(spark, chunks))
+    hits = search_store(read_store(spark, root), benchmark_queries(spark, sf_dir))
+    return hits.select("query_id", "rank", "pk", _r6("score"), "text")
+
+
+def _write_store(spark, chunks):
+    rows, ix = build.knowledge_rows(chunks)
+    root = scratch_path(spark, "store")
+    write_store(Store(rows, ix.postings, ix.vocab, ix.stats), root, DENSE_DIM)
+    return root

@@ -97,3 +97,24 @@ def read_store(spark: SparkSession, root: str) -> Store:
         bm25_terms=spark.read.parquet(f"{root}/bm25_terms"),
         bm25_stats=spark.read.parquet(f"{root}/bm25_stats"),
     )
+
+
+def search_store(
+    store: Store,
+    queries: DataFrame,
+    k: int = 5,
+    max_broadcast_rows: int = 2_000_000,
+) -> DataFrame:
+    """Full-text top k over a written store (S9 then R4), the reference's
+    query path: query terms weighted by the stored ``bm25_terms`` idf, matched
+    against each row's stored ``full_text_vector``. With a proven-small query
+    side every task scores its own knowledge rows (no shuffle of pairs);
+    otherwise the relational plan runs over the ``postings`` table."""
+    from quarry.operators import bm25, search
+
+    qw, small = bm25.query_weights(queries, store.bm25_terms, max_broadcast_rows=max_broadcast_rows)
+    if small:
+        hits = search.bm25_scan_topk(qw, store.knowledge, None, k, doc_weight="stored")
+    else:
+        hits = search.sparse_topk(qw, store.postings, k, False)
+    return search.with_text(hits, store.knowledge, hits_small=small)

@@ -25,6 +25,9 @@ NAMES = [
     "hyde_topk",
     "cascade_answer",
     "cascade_report",
+    "store_full_text_topk",
+    "sparse_weights",
+    "hash_embed_terms",
 ]
 
 
