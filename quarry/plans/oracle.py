@@ -529,3 +529,13 @@ st_ranked AS (
 SELECT r.query_id, r.rank, r.pk, round(r.score, 6) AS score, c.text
 FROM st_ranked r JOIN chunks c USING (pk) WHERE r.rank <= 5"""
 )
+
+
+CONV_QUERIES = QUERIES.replace(
+    "queries AS (SELECT item_id::BIGINT AS query_id, text AS query_text FROM benchmark)",
+    "queries AS (SELECT (conv_id * 1000 + turn)::BIGINT AS query_id, text AS query_text "
+    "FROM conversations WHERE role = 'user')",
+)
+SQL["conversation_full_text_topk"] = _with(
+    _window_chunks(), BM25, CONV_QUERIES, full_text_hits_sql()
+) + "SELECT query_id, rank, pk, round(score, 6) AS score, text FROM ft_hits"

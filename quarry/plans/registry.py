@@ -39,7 +39,7 @@ from quarry.plans.cascade import cascade_eager, cascade_lazy
 from quarry.plans.strategies import Retriever
 from quarry.session import scratch_path
 from quarry.sources.store import Store, read_store, search_store, write_store
-from quarry.sources.tables import read_table
+from quarry.sources.tables import read_table, user_questions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -86,10 +86,11 @@ def bm25_query_weights(spark, sf_dir):
     return qw.select("query_id", "term", _r6("weight"))
 
 
-def full_text_hits(spark, sf_dir, k=TOP_K, chunks=None, plan="auto"):
+def full_text_hits(spark, sf_dir, k=TOP_K, chunks=None, plan="auto", queries=None):
     chunks = chunks if chunks is not None else indexed_chunks(spark, sf_dir)
+    queries = queries if queries is not None else benchmark_queries(spark, sf_dir)
     ix = full_text_index(chunks)
-    qw, small = bm25.query_weights(benchmark_queries(spark, sf_dir), ix.vocab)
+    qw, small = bm25.query_weights(queries, ix.vocab)
     if plan == "scan" or (plan == "auto" and small):
         hits = search.bm25_scan_topk(qw, chunks, ix.stats, k)
     else:
@@ -422,3 +423,12 @@ def _write_store(spark, chunks):
     root = scratch_path(spark, "store")
     write_store(Store(rows, ix.postings, ix.vocab, ix.stats), root, DENSE_DIM)
     return root
+
+
+
+@register
+def conversation_full_text_topk(spark, sf_dir):
+    """Every user turn of ``conversations`` as a question, full text top 5."""
+    questions = user_questions(read_table(spark, sf_dir, "conversations"))
+    hits = full_text_hits(spark, sf_dir, queries=questions)
+    return hits.select("query_id", "rank", "pk", _r6("score"), "text")
