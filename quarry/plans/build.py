@@ -22,6 +22,7 @@ from quarry.operators.sections import sections
 from quarry.operators.sizing import spread
 from quarry.plans.corpus import full_text_index, materialize
 from quarry.sources.store import Store, knowledge_schema, write_store
+from quarry.sources.tables import count_rows
 
 
 def full_text_vector(chunks: DataFrame, stats: DataFrame) -> DataFrame:
@@ -47,6 +48,7 @@ def knowledge_rows(
     chunks: DataFrame,
     settings: Settings = Settings(),
     make_encoder: Callable[[], Callable[[list[str]], np.ndarray]] | None = None,
+    counts: dict | None = None,
 ) -> tuple[DataFrame, object]:
     """Knowledge rows and the full-text index they were scored with.
 
@@ -67,7 +69,12 @@ def knowledge_rows(
         rows = rows.join(sparse, "pk", "left")
         cols.append("sparse_vector")
     if settings.enable_full_text:
-        rows = full_text_vector(rows, ix.stats).where(F.size("full_text_vector") > 0)
+        rows = full_text_vector(rows, ix.stats)
+        if counts is not None:  # S2/P10: rows before and after, counted in passing
+            rows, counts["before_filter"] = count_rows(rows, "before_filter")
+        rows = rows.where(F.size("full_text_vector") > 0)
+        if counts is not None:
+            rows, counts["after_filter"] = count_rows(rows, "after_filter")
         cols.append("full_text_vector")
     schema = knowledge_schema(settings.dense_dim, settings.enable_sparse, settings.enable_full_text)
     return rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]), ix

@@ -539,3 +539,8 @@ CONV_QUERIES = QUERIES.replace(
 SQL["conversation_full_text_topk"] = _with(
     _window_chunks(), BM25, CONV_QUERIES, full_text_hits_sql()
 ) + "SELECT query_id, rank, pk, round(score, 6) AS score, text FROM ft_hits"
+
+SQL["cascade_summary"] = _with(*FULL, CASCADE) + (
+    "SELECT query_id, count(*)::BIGINT AS n_tried, "
+    "string_agg(strategy, ' > ' ORDER BY priority) AS tried FROM report GROUP BY query_id"
+)

@@ -36,6 +36,7 @@ from quarry.plans.corpus import (
 )
 from quarry.plans import build
 from quarry.plans.cascade import cascade_eager, cascade_lazy
+from quarry.plans.cascade import summary as cascade_summary_of
 from quarry.plans.strategies import Retriever
 from quarry.session import scratch_path
 from quarry.sources.store import Store, read_store, search_store, write_store
@@ -432,3 +433,11 @@ def conversation_full_text_topk(spark, sf_dir):
     questions = user_questions(read_table(spark, sf_dir, "conversations"))
     hits = full_text_hits(spark, sf_dir, queries=questions)
     return hits.select("query_id", "rank", "pk", _r6("score"), "text")
+
+
+
+@register
+def cascade_summary(spark, sf_dir):
+    """Strategies tried per query, in priority order, as one row."""
+    _, report = _lazy_cascade(spark, sf_dir)
+    return cascade_summary_of(report)

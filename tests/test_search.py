@@ -84,8 +84,10 @@ def test_empty_vector_filter(spark):
         [("p1", "-?#", "s"), ("p2", "real words here", "s")], "pk string, text string, source string"
     )
     chunks = bm25.with_terms(chunks)
-    on, _ = knowledge_rows(chunks, Settings(dense_dim=8))
+    counts = {}
+    on, _ = knowledge_rows(chunks, Settings(dense_dim=8), counts=counts)
     off, _ = knowledge_rows(chunks, Settings(dense_dim=8, enable_full_text=False))
     assert sorted(r.pk for r in on.collect()) == ["p2"]
+    assert counts["before_filter"].get["n"] == 2 and counts["after_filter"].get["n"] == 1
     assert sorted(r.pk for r in off.collect()) == ["p1", "p2"]
     assert "full_text_vector" not in off.columns
