@@ -8,6 +8,7 @@ method takes and returns DataFrames with ``query_id`` as the key.
 
 from __future__ import annotations
 
+import copy
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -40,6 +41,28 @@ class Retriever:
     chunks: DataFrame  # materialised: pk, text, ..., dl, terms
     settings: Settings = field(default_factory=Settings)
     models: Models = field(default_factory=Models)
+    prefetched: dict | None = None
+
+    def prefetch(self, queries: DataFrame) -> "Retriever":
+        """A copy whose ranked lists (dense, sparse, full text) for ``queries``
+        are computed once and written; strategies then take the rows of the
+        queries they are given with a semi join instead of searching again.
+        Retrieval is deterministic per query, so results are unchanged."""
+        other = copy.copy(self)
+        other.prefetched = None
+        lists = {"dense": materialize(self.dense(queries))}
+        if self.settings.enable_sparse:
+            lists["sparse"] = materialize(self.sparse(queries))
+        if self.settings.enable_full_text:
+            lists["full_text"] = materialize(self.full_text(queries))
+        other.prefetched = lists
+        return other
+
+    def _list(self, name: str, queries: DataFrame) -> DataFrame:
+        if self.prefetched is not None and name in self.prefetched:
+            ids = F.broadcast(queries.select("query_id"))  # at most the prefetched query set
+            return self.prefetched[name].join(ids, "query_id", "left_semi")
+        return {"dense": self.dense, "sparse": self.sparse, "full_text": self.full_text}[name](queries)
 
     @cached_property
     def index(self) -> FullTextIndex:
@@ -106,11 +129,11 @@ class Retriever:
         return search.with_text(hits, self.chunks, hits_small=small).select(*HIT_COLS)
 
     def ranked_lists(self, queries: DataFrame) -> list[DataFrame]:
-        lists = [self.dense(queries)]
+        lists = [self._list("dense", queries)]
         if self.settings.enable_sparse:
-            lists.append(self.sparse(queries))
+            lists.append(self._list("sparse", queries))
         if self.settings.enable_full_text:
-            lists.append(self.full_text(queries))
+            lists.append(self._list("full_text", queries))
         return lists
 
     def no_retrieval(self, queries: DataFrame) -> DataFrame:
@@ -148,7 +171,7 @@ class Retriever:
             rows = queries.withColumn("prompt", generate.prompt_column(HYDE_PROMPT, F.col("query_text")))
             out = generate.generate_responses(rows, self.models.generator, self.settings.max_output_tokens)
             return out.select("query_id", F.col("response").alias("query_text"))
-        top = generate.first_passage(self.full_text(queries), queries)
+        top = generate.first_passage(self._list("full_text", queries), queries)
         return queries.join(top, "query_id").select(
             "query_id", F.concat_ws(" ", "query_text", "response").alias("query_text")
         )
@@ -162,12 +185,12 @@ class Retriever:
     def hits(self, strategy: str, queries: DataFrame) -> DataFrame:
         fn = {
             "no_retrieval": self.no_retrieval,
-            "semantic_search": self.dense,
+            "semantic_search": lambda q: self._list("dense", q),
             "hybrid_search_with_rrf": self.hybrid_rrf,
             "hybrid_search_with_reranker": self.hybrid_rerank,
             "hyde_retrieval": self.hyde,
-            "full_text_search": self.full_text,
-            "sparse_search": self.sparse,
+            "full_text_search": lambda q: self._list("full_text", q),
+            "sparse_search": lambda q: self._list("sparse", q),
         }[strategy]
         return fn(queries)
 
