@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.config import BATCH_SIZE, MAX_OUTPUT_TOKENS, SYSTEM_PROMPT
+from quarry.config import BATCH_SIZE, MAX_BROADCAST_ROWS, MAX_OUTPUT_TOKENS, SYSTEM_PROMPT
 from quarry.functions.template import substitute
 from quarry.functions.text import explode_rows, tokens
+from quarry.operators.sizing import broadcast_if_small
 
 
 def prompt_column(template: str, query: Column, context: Column | None = None) -> Column:
@@ -95,12 +96,15 @@ def idf_overlap(candidates: DataFrame, queries: DataFrame, vocab: DataFrame) ->
     """R6 stand-in scorer: ``(query_id, text, score)`` for every candidate,
     score = sum of idf over distinct query tokens present in the text.
     Only the query's own terms are joined; candidates are few per query."""
-    qterms = explode_rows(
+    qt = explode_rows(
         queries.select("query_id", F.array_distinct(tokens(F.col("query_text"))).alias("_q")),
         "_q",
         "term",
         ["query_id"],
-    ).join(vocab.select("term", "idf"), "term")
+    )
+    # the vocabulary grows with the corpus: stream it past the (checked) query terms
+    qt, _ = broadcast_if_small(qt, MAX_BROADCAST_ROWS)
+    qterms = vocab.select("term", "idf").join(qt, "term")
     cterms = explode_rows(
         candidates.select("query_id", "text", F.array_distinct(tokens(F.col("text"))).alias("_t")),
         "_t",

@@ -15,7 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.config import HYDE_PROMPT, MAX_BROADCAST_ROWS, RAG_PROMPT, Settings
+from quarry.config import HYDE_PROMPT, MAX_BROADCAST_QUERIES, MAX_BROADCAST_ROWS, RAG_PROMPT, Settings
 from quarry.functions.text import term_id
 from quarry.operators import bm25, encode, fusion, generate, search
 from quarry.operators.sizing import at_most
@@ -42,6 +42,7 @@ class Retriever:
     settings: Settings = field(default_factory=Settings)
     models: Models = field(default_factory=Models)
     prefetched: dict | None = None
+    prefetch_small: bool = False
 
     def prefetch(self, queries: DataFrame) -> "Retriever":
         """A copy whose ranked lists (dense, sparse, full text) for ``queries``
@@ -50,6 +51,7 @@ class Retriever:
         Retrieval is deterministic per query, so results are unchanged."""
         other = copy.copy(self)
         other.prefetched = None
+        other.prefetch_small = at_most(queries, MAX_BROADCAST_QUERIES)
         lists = {"dense": materialize(self.dense(queries))}
         if self.settings.enable_sparse:
             lists["sparse"] = materialize(self.sparse(queries))
@@ -60,7 +62,9 @@ class Retriever:
 
     def _list(self, name: str, queries: DataFrame) -> DataFrame:
         if self.prefetched is not None and name in self.prefetched:
-            ids = F.broadcast(queries.select("query_id"))  # at most the prefetched query set
+            ids = queries.select("query_id")
+            if self.prefetch_small:  # a subset of the query set checked in prefetch
+                ids = F.broadcast(ids)
             return self.prefetched[name].join(ids, "query_id", "left_semi")
         return {"dense": self.dense, "sparse": self.sparse, "full_text": self.full_text}[name](queries)
 
