@@ -513,8 +513,10 @@ SQL["dry_run_answer"] = (
 )
 
 
-# Search over the written store: document weights were stored as FLOAT.
-SQL["store_full_text_topk"] = (
+# Search over the written store through its postings (double weights) equals
+# the full-text search; through the stored maps the weights are FLOAT.
+SQL["store_full_text_topk"] = SQL["full_text_topk"]
+SQL["store_full_text_topk_scan"] = (
     _with(_window_chunks(), BM25, QUERIES)
     + """, stored AS (SELECT pk, term, weight::FLOAT::DOUBLE AS w FROM post),
 st_scored AS (

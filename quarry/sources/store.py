@@ -104,15 +104,38 @@ def search_store(
     queries: DataFrame,
     k: int = 5,
     max_broadcast_rows: int = 2_000_000,
+    max_filter_terms: int = 10_000,
+    plan: str = "auto",
 ) -> DataFrame:
     """Full-text top k over a written store (S9 then R4), the reference's
-    query path: query terms weighted by the stored ``bm25_terms`` idf, matched
-    against each row's stored ``full_text_vector``. With a proven-small query
-    side every task scores its own knowledge rows (no shuffle of pairs);
-    otherwise the relational plan runs over the ``postings`` table."""
+    query path: query terms weighted by the stored ``bm25_terms`` idf.
+
+    * ``postings`` (default when the query side is proven small and has at
+      most ``max_filter_terms`` distinct terms): the terms and their buckets
+      become static filters, so the scan reads only the ``term_bucket``
+      partitions and (files being sorted by term) the row groups of the query
+      terms; the weights are joined from a broadcast and summed per chunk.
+    * ``scan``: every task scores its knowledge rows' stored maps.
+    * otherwise (query side too large to broadcast): the relational join over
+      the whole postings table.
+    """
     from quarry.operators import bm25, search
 
     qw, small = bm25.query_weights(queries, store.bm25_terms, max_broadcast_rows=max_broadcast_rows)
+    if small and plan in ("auto", "postings"):
+        qp = qw.toPandas()  # proven small above
+        terms = sorted(set(qp["term"]))
+        if len(terms) <= max_filter_terms or plan == "postings":
+            spark = store.postings.sparkSession
+            qdf = spark.createDataFrame(qp, qw.schema)
+            buckets = [
+                r[0] for r in qdf.select(term_bucket(F.col("term")).alias("b")).distinct().collect()
+            ]  # at most TERM_BUCKETS values
+            post = store.postings.where(
+                F.col("term_bucket").isin(buckets) & F.col("term").isin(terms)
+            )
+            hits = search.sparse_topk(qdf, post, k, True)
+            return search.with_text(hits, store.knowledge, hits_small=True)
     if small:
         hits = search.bm25_scan_topk(qw, store.knowledge, None, k, doc_weight="stored")
     else:

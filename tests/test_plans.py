@@ -49,3 +49,17 @@ def test_bm25_fit_uses_subqueries_not_joins(spark):
     # a narrow map over chunks: the only exchange is the global average
     # inside the avgdl subquery (SinglePartition), never a hash shuffle
     assert "Join" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_store_search_reads_only_query_term_postings(spark):
+    from quarry.plans.registry import store_full_text_topk
+
+    df = store_full_text_topk(spark, SF_SMALL)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    out = buf.getvalue()
+    part = [l for l in out.splitlines() if "PartitionFilters" in l and "term_bucket" in l]
+    pushed = [l for l in out.splitlines() if "PushedFilters" in l and "In(term" in l]
+    assert any(" IN (" in l for l in part), part  # bucket partitions pruned at planning
+    assert pushed  # term filter reaches the parquet reader (row groups by min/max)
