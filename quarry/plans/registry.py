@@ -281,13 +281,9 @@ def page_chunks(spark, sf_dir):
 
 @register
 def knowledge_table(spark, sf_dir):
-    """Knowledge rows (P10 applied) over whole documents, written with the
-    store layout to the shared folder and read back."""
-    rows, _ = build.knowledge_rows(indexed_chunks(spark, sf_dir))
-    root = scratch_path(spark, "store")
-    rows.write.mode("overwrite").parquet(f"{root}/knowledge")
-    back = spark.read.parquet(f"{root}/knowledge")
-    return back.select("pk", "text", "source", "dense_vector")
+    """Knowledge rows (P10 applied) over whole documents, as written to the
+    store in the shared folder and read back."""
+    return _store(spark, sf_dir).knowledge.select("pk", "text", "source", "dense_vector")
 
 
 @register
@@ -308,13 +304,8 @@ def vector_map(spark, sf_dir):
 
 @register
 def postings(spark, sf_dir):
-    """Postings written partitioned by term bucket, read back whole."""
-    chunks = indexed_chunks(spark, sf_dir)
-    rows, ix = build.knowledge_rows(chunks)
-    root = scratch_path(spark, "store")
-    write_store(Store(rows, ix.postings, ix.vocab, ix.stats), root, DENSE_DIM)
-    back = read_store(spark, root).postings
-    return back.select("term", "pk", _r6("weight"))
+    """Postings as written to the store (partitioned by term bucket), read back whole."""
+    return _store(spark, sf_dir).postings.select("term", "pk", _r6("weight"))
 
 
 # ------------------------------- steps 7-9: rerank, prompts, HyDE, cascade

@@ -28,3 +28,16 @@ def test_verbatim_items_found_in_top_k(spark):
         found.setdefault(r.query_id, set()).add(pk_doc[r.pk])
     recalled = [item for item, docs in expected.items() if found.get(item, set()) & docs]
     assert len(recalled) == len(expected), (len(recalled), len(expected))
+
+
+def test_cascade_has_both_outcomes(spark):
+    from quarry.config import STUB_RESPONSE
+    from quarry.plans.registry import cascade_answer
+
+    rows = cascade_answer(spark, SF_MID).collect()
+    accepted = [r for r in rows if r.strategy is not None]
+    stubs = [r for r in rows if r.strategy is None]
+    assert len(rows) == 40
+    assert accepted and stubs
+    assert all(r.trust_score >= 0.98 for r in accepted)
+    assert all(r.response == STUB_RESPONSE for r in stubs)
