@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.config import MAX_BROADCAST_QUERIES, TOP_K
-from quarry.operators.sizing import at_most, collect_if_small
+from quarry.operators.sizing import collect_if_small
 
 
 def top_k(scored: DataFrame, k: int, group: str = "query_id", key: str = "pk") -> DataFrame:

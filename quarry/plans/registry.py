@@ -26,7 +26,7 @@ from quarry.operators import chunks as chunking
 from quarry.operators.search import sparse_topk as _sparse_topk
 from quarry.operators.search import with_text
 from quarry.functions.text import term_id
-from quarry.operators.sizing import at_most, broadcast_if_small, spread
+from quarry.operators.sizing import at_most, spread
 from quarry.plans.corpus import (
     benchmark_queries,
     document_chunks,

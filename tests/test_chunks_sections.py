@@ -1,6 +1,5 @@
 """Arrow operators against their per-row helpers on real tables."""
 
-from pyspark.sql import functions as F
 
 from quarry.operators.chunks import recursive_chunks, window_chunks
 from quarry.operators.htmltext import page_sections

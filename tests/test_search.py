@@ -1,7 +1,6 @@
 """Top-k search against brute force, plan shapes, empty-vector filter."""
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from quarry.operators import search
 from quarry.operators.sizing import broadcast_if_small
