@@ -41,11 +41,12 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
 
     from quarry.plans.registry import QUERIES
-    from quarry.session import checkpoint_dir, local_session
+    from quarry.session import checkpoint_dir, local_session, ship_package
 
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus) * 2, app="quarry-bench")
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     spark.range(1000).selectExpr("sum(id)").collect()
     warm_dir = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001").rstrip("/")
     if warm_dir and os.path.isdir(warm_dir) and warm_dir != sf_dir:
