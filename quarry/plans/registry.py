@@ -166,7 +166,8 @@ def hash_embed_terms(spark, sf_dir):
 
 @register
 def semantic_topk(spark, sf_dir):
-    hits = semantic_hits(spark, sf_dir)
+    """R2 over the corpus vectors written once per corpus."""
+    hits = _retriever(spark, sf_dir).dense(benchmark_queries(spark, sf_dir))
     return hits.select("query_id", "rank", "pk", _r6("score"), "text")
 
 
@@ -199,16 +200,10 @@ def sparse_topk(spark, sf_dir):
 # ------------------------------------------------------- step 4: RRF, context
 
 
-def hybrid_lists(spark, sf_dir, settings: Settings = Settings()):
+def hybrid_lists(spark, sf_dir):
     """Ranked lists fused by the hybrid strategies, in the reference's order:
     dense, then learned sparse (if on), then full text (if on)."""
-    chunks = indexed_chunks(spark, sf_dir)
-    lists = [semantic_hits(spark, sf_dir, chunks=chunks, k=settings.top_k)]
-    if settings.enable_sparse:
-        lists.append(sparse_hits(spark, sf_dir, chunks=chunks, k=settings.top_k))
-    if settings.enable_full_text:
-        lists.append(full_text_hits(spark, sf_dir, k=settings.top_k, chunks=chunks))
-    return lists
+    return _retriever(spark, sf_dir).ranked_lists(benchmark_queries(spark, sf_dir))
 
 
 @register
