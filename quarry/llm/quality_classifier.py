@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import code_points, crc_mod, ship, slices
 
@@ -174,8 +175,7 @@ def score(df: DataFrame, model: QualityModel, text: str = "text", out: str = "sc
                 cols = [part.column(i) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(m.scores(part.column("_text")), pa.float64())], names=[*names, out])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return staged.mapInArrow(run, f"{fields}, `{out}` double")
+    return staged.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm import common
 from quarry.llm import (
     decontamination,
+    embedding_dedup,
     language_id,
     license_scan,
+    lm_scoring,
+    ngram_join,
     packing,
     quality_classifier,
     secret_scan,
@@ -50,23 +53,38 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secrets(common.documents(spark, sf_dir)))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per contaminated (document, benchmark item)."""
     return decontamination.contaminated(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.fit_and_score(common.documents(spark, sf_dir), in_place=True)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(common.documents(spark, sf_dir), ngram_join.Rule(3, 90, 100))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_license_scan": op3_license_scan,
     "op4_language_id": op4_language_id,
     "op5_secret_scan": op5_secret_scan,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_decontamination": op7_decontamination,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_packing": op9_packing,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 #: DuckDB SQL where a query can be said in SQL.
