@@ -45,7 +45,9 @@ from quarry.llm.graph import blocked, components, groups
 COMMON = 48
 MAX_BITMAP_BITS = 1 << 30
 #: Bytes of the parity sketch and of each prefix bitmap.
-SKETCH, BITMAP = 64, 32
+SKETCH, BITMAP = 32, 16
+#: Groups up to this size are compared together, without a step for each.
+SMALL = 32
 ORDERS = (1, 2)
 
 
@@ -90,8 +92,10 @@ def shingle_sets(hashes: np.ndarray, first: np.ndarray, width: int) -> list[np.n
     return out
 
 
-def parity_sketch(s: np.ndarray) -> bytes:
-    bits = np.bincount((mix(s, 60) >> np.uint64(55)).astype(np.int64), minlength=SKETCH * 8) & 1
+def parity_sketch(s: np.ndarray, size: int = SKETCH) -> bytes:
+    """Parity of the shingles at each of ``size`` bytes' bits (a power of two);
+    a sketch's halves joined by xor are the sketch of half the size."""
+    bits = np.bincount((mix(s, 60) & np.uint64(size * 8 - 1)).astype(np.int64), minlength=size * 8) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
@@ -117,7 +121,7 @@ class Orders:
             h = mix(s, seed)
             best = s[np.lexsort((h, kind))[:p]]
             bits = np.zeros(BITMAP * 8, np.uint8)
-            bits[(mix(best, 70 + seed) >> np.uint64(56)).astype(np.int64)] = 1
+            bits[(mix(best, 70 + seed) >> np.uint64(64 - (BITMAP * 8).bit_length() + 1)).astype(np.int64)] = 1
             maps.append(np.packbits(bits).tobytes())
         return first, maps
 
@@ -196,29 +200,60 @@ def _candidates(rows: DataFrame, rule: Rule, first_only: bool) -> DataFrame:
     """Distinct passing pairs of different components inside the buckets; with
     ``first_only`` the passing partner of smallest node for each member."""
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        for g in groups(batches, ("bucket", "lo", "hi")):
-            node, part, n, comp = (g.column(c).to_numpy() for c in ("node", "part", "n", "component"))
-            f = np.frombuffer(b"".join(g.column("filters").to_pylist()), np.uint64).reshape(len(node), -1)
-            lo, hi = g.column("lo")[0].as_py(), g.column("hi")[0].as_py()
-            order = np.argsort(node)
-            left = order if lo == hi else order[part[order] == lo]
-            right = order if lo == hi else order[part[order] == hi]
+    def pairs(g: pa.Table) -> pa.RecordBatch | None:
+        """Passing pairs of a run of whole groups."""
+        node, part, n, comp, bucket, lo, hi = (g.column(c).to_numpy() for c in ("node", "part", "n", "component", "bucket", "lo", "hi"))
+        f = np.frombuffer(b"".join(g.column("filters").to_pylist()), np.uint64).reshape(len(node), -1)
+        group = np.cumsum(np.concatenate([[0], (bucket[1:] != bucket[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+        size = np.bincount(group)
+        found = []
+
+        def keep(i, j):
+            ok = (comp[i] != comp[j]) & (node[i] != node[j])
+            i, j = i[ok], j[ok]
+            ok = _passing(n, f, i, j, rule)
+            i, j = i[ok], j[ok]
+            found.append(np.where(node[i] > node[j], (i, j), (j, i)))  # larger node first
+
+        # small groups: all of them at once, by the distance of their rows
+        small = (size[group] <= SMALL) & (lo == hi)
+        for d in range(1, min(SMALL, int(size.max()))):
+            i = np.flatnonzero((group[d:] == group[:-d]) & small[d:])
+            if len(i):
+                keep(i, i + d)
+        starts = np.concatenate([[0], np.cumsum(size)])
+        for k in np.flatnonzero((size > SMALL) | (lo != hi)[starts[:-1]]):
+            rows_ = np.arange(starts[k], starts[k + 1])
+            same = lo[rows_[0]] == hi[rows_[0]]
+            left = rows_ if same else rows_[part[rows_] == lo[rows_[0]]]
+            right = rows_ if same else rows_[part[rows_] == hi[rows_[0]]]
             for x in range(0, len(left), 64):
                 some = left[x : x + 64]
                 i, j = np.repeat(some, len(right)), np.tile(right, len(some))
-                keep = comp[i] != comp[j]
-                if lo == hi:
-                    keep &= node[i] > node[j]
-                i, j = i[keep], j[keep]
-                keep = _passing(n, f, i, j, rule)
-                i, j = i[keep], j[keep]
-                if first_only and len(i):
-                    i, at = np.unique(i, return_index=True)  # right is in order of node
-                    j = j[at]
-                if len(i):
-                    p, q = node[i], node[j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+                if same:
+                    i, j = i[i < j], j[i < j]
+                keep(i, j)
+        found = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        if not found.shape[1]:
+            return None
+        i, j = found
+        if first_only:
+            order = np.lexsort((node[j], i))
+            i, at = np.unique(i[order], return_index=True)
+            j = j[order][at]
+        return pa.RecordBatch.from_arrays([pa.array(node[j]), pa.array(node[i])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        waiting, size = [], 0
+        for g in groups(batches, ("bucket", "lo", "hi")):
+            waiting.append(g)
+            size += len(g)
+            if size >= 20_000:
+                if (out := pairs(pa.concat_tables(waiting))) is not None:
+                    yield out
+                waiting, size = [], 0
+        if waiting and (out := pairs(pa.concat_tables(waiting))) is not None:
+            yield out
 
     cols = "bucket", "lo", "hi"
     sorted_ = rows.repartition(*cols).sortWithinPartitions(*cols)
@@ -226,8 +261,9 @@ def _candidates(rows: DataFrame, rule: Rule, first_only: bool) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, names: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs that really link. Only texts of candidates are read again;
-    their sets travel once, plus once per pair."""
+    """The pairs that really link. Only texts of candidates are read again.
+    A sketch of about two bits a shingle is compared before the sets, which
+    are 32 times as large, so few sets travel for pairs that do not link."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     chosen = names.join(wanted, "node")  # one row a set: (node, k)
     chosen = texts.join(chosen, "k")
@@ -236,9 +272,29 @@ def _verified(pairs: DataFrame, texts: DataFrame, names: DataFrame, rule: Rule)
         for batch in batches:
             for part in slices(batch, "text"):
                 found = shingle_sets(*words(*text_buffer(part.column("text"))), rule.width)
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "set"])
+                sketches = [parity_sketch(s, 1 << max(5, (len(s) // 4).bit_length())) for s in found]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([len(s) for s in found], pa.int64()), pa.array(sketches, pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "n", "sketch", "set"])
+
+    known = written(chosen.select("node", "text").mapInArrow(sets, "node bigint, n bigint, sketch binary, set binary"), "candidate-sets")
+
+    def near(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            keep = []
+            for nx, ny, x, y in zip(*(batch.column(c).to_pylist() for c in ("nx", "ny", "x", "y"))):
+                a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(len(a), len(b))
+                a, b = (np.bitwise_xor.reduce(v.reshape(-1, size), axis=0) for v in (a, b))
+                keep.append(int(np.bitwise_count(a ^ b).sum()) <= rule.most_apart(nx, ny))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    def with_sides(links: DataFrame, *columns: str) -> DataFrame:
+        one = known.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}x") for c in columns])
+        two = known.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}y") for c in columns])
+        return links.join(one, "a").join(two, "b")
 
-    known = written(chosen.select("node", "text").mapInArrow(sets, "node bigint, set binary"), "candidate-sets")
+    pairs = with_sides(pairs, "n", "sketch").selectExpr("a", "b", "nx", "ny", "sketchx as x", "sketchy as y").mapInArrow(near, "a bigint, b bigint")
+    pairs = written(pairs, "near-pairs")
 
     def check(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -250,9 +306,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, names: DataFrame, rule: Rule)
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    both = pairs.join(known.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    both = both.join(known.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
+    both = with_sides(pairs, "set").selectExpr("a", "b", "setx as x", "sety as y")
+    return both.mapInArrow(check, "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, rule: Rule = Rule(), text: str = "text", key: str = "doc_id") -> DataFrame:
