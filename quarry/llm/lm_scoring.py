@@ -43,7 +43,7 @@ SHORTLIST = 1e-5
 BURN, SAMPLES = 2, 3
 EXACT = 64
 STRENGTH = 1.0
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 
 
 def stirling(discount: float, n: int = EXACT) -> np.ndarray:
@@ -266,7 +266,7 @@ def fit_and_score(df: DataFrame, text: str = "text", key: str = "doc_id", in_pla
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("c"), pa.array(value)], names=["key", "c", "value"])
 
     answers = counted.where(F.col("c") < least).mapInArrow(rare_values, "key bigint, c bigint, value double")
-    word_rows = asked.select("block", "key").join(answers, "key").select("block", F.lit(0).alias("what"), "key", "c", "value")
+    word_rows = asked.select("block", "key").join(answers, "key").select("block", "key", "c", F.col("value").cast("float"))
 
     # 3. pairs of symbols: a restaurant for each context, one parent for all
     shared_list = spark.sparkContext.broadcast(shortlist)
@@ -338,7 +338,7 @@ def fit_and_score(df: DataFrame, text: str = "text", key: str = "doc_id", in_pla
     for r in values.where("key < 0").collect():  # at most symbols x samples
         at = -1 - r["key"]
         backoff[at % SAMPLES, at // SAMPLES] = r["value"]
-    pair_rows = asked_pairs.select("block", "key").join(values, "key").select("block", F.lit(1).alias("what"), "key", F.lit(0).cast("bigint").alias("c"), "value")
+    pair_rows = asked_pairs.select("block", "key").join(values, "key").select("block", "key", F.lit(-1).cast("bigint").alias("c"), F.col("value").cast("float"))
 
     # 4. texts meet their block's answers
     model = Model(shortlist, counts, ends, train_tokens, types, backoff, np.array(sampled), rare_rest, rare_types)
@@ -369,11 +369,10 @@ def _lookup(keys: np.ndarray, values: list[np.ndarray], wanted: np.ndarray) -> t
 
 
 def _score_block(left: pa.Table, right: pa.Table, m: Model, kind: str) -> pa.Table:
-    what = right.column("what").to_numpy()
     key, c, value = (right.column(x).to_numpy() for x in ("key", "c", "value"))
     rows, size = [], len(m.shortlist) + 2
     end, rare = size - 2, size - 1
-    w, p = what == 0, what == 1
+    w, p = c >= 0, c < 0  # rows of pairs carry no count
     known_counts = np.append(m.counts, [m.end_count, 0])
     for batch in left.select(["k", "text"]).combine_chunks().to_batches():
         for part in slices(batch, "text"):
