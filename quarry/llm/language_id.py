@@ -9,7 +9,8 @@ least loss. ``score`` is the softmax of the negative losses; ``ambiguous``
 says that the runner-up's loss is within ``margin``.
 
 Training takes at most ``per_language`` rows of each language (smallest id
-hashes), so the driver holds ``languages * per_language`` sparse rows.
+hashes), so the driver holds ``languages * per_language`` sparse rows. The
+count of languages is taken to be small (it is broadcast).
 
 Defined results: null text or text without a letter is ``und`` with score 0;
 with no usable training row everything is ``und``; a single language is
@@ -121,8 +122,12 @@ def fit(df: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lan
     ship(df)
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_at", "_key"))
     known = df.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (crc_mod(F.col(key), 5) != 0))
-    # the ranking moves ids only, and each task passes on at most per_language of a language
+    # the ranking moves ids only; hashes over about twice the wanted share of
+    # a language stay behind, so that a language's ranking is small
     ids = known.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.xxhash64(key).alias("_at"))
+    sizes = ids.groupBy("_lang").agg(F.count("*").alias("_n"))
+    share = (F.col("_at") + F.lit(2.0**63)) / F.lit(2.0**64)
+    ids = ids.join(F.broadcast(sizes), "_lang").where(share * F.col("_n") <= 2 * per_language)
     ids = ids.withColumn("_rank", rank).where(F.col("_rank") <= per_language).select(F.col("_key").alias("_id")).distinct()
     rows = known.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.lower(F.col(text)).alias("_text")).join(F.broadcast(ids), F.col("_key").eqNullSafe(F.col("_id")), "left_semi")
 

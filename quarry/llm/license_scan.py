@@ -133,7 +133,9 @@ def licenses(df: DataFrame, text: str = "text", key: str = "doc_id", templates:
         for batch in batches:
             for part in slices(batch, "text"):
                 hashes, first = words(*text_buffer(part.column("text")), _BREAK)
-                known_words = np.concatenate([[0], np.cumsum(np.isin(hashes, vocabulary))])
+                at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+                hits = vocabulary[at] == hashes if len(vocabulary) else np.zeros(len(hashes), bool)
+                known_words = np.concatenate([[0], np.cumsum(hits)])
                 held = known_words[first[1:]] - known_words[first[:-1]]
                 rows = [find(hashes[a:b], known, threshold) if h >= need else [] for a, b, h in zip(first[:-1], first[1:], held)]
                 rows = [[dict(zip(("license", "first_word", "end_word", "coverage"), f)) for f in r] for r in rows]
