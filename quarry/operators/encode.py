@@ -99,6 +99,8 @@ def to_sparse_map(rows: DataFrame, key: str = "pk", index: str = "term_id", valu
     explicit zeros are dropped so indexes and values cannot shift."""
     return (
         rows.where(F.col(value) != 0)
+        .groupBy(key, index)  # terms whose ids collide are one index
+        .agg(F.sum(value).alias(value))
         .groupBy(key)
         .agg(
             F.map_from_entries(

@@ -515,7 +515,6 @@ SQL["dry_run_answer"] = (
 
 # Search over the written store through its postings (double weights) equals
 # the full-text search; through the stored maps the weights are FLOAT.
-SQL["store_full_text_topk"] = SQL["full_text_topk"]
 SQL["store_full_text_topk_scan"] = (
     _with(_window_chunks(), BM25, QUERIES)
     + """, stored AS (SELECT pk, term, weight::FLOAT::DOUBLE AS w FROM post),
@@ -531,11 +530,12 @@ st_ranked AS (
 SELECT r.query_id, r.rank, r.pk, round(r.score, 6) AS score, c.text
 FROM st_ranked r JOIN chunks c USING (pk) WHERE r.rank <= 5"""
 )
+SQL["store_full_text_topk"] = SQL["store_full_text_topk_scan"]
 
 
 CONV_QUERIES = QUERIES.replace(
     "queries AS (SELECT item_id::BIGINT AS query_id, text AS query_text FROM benchmark)",
-    "queries AS (SELECT (conv_id * 1000 + turn)::BIGINT AS query_id, text AS query_text "
+    "queries AS (SELECT (conv_id::BIGINT * 4294967296 + turn)::BIGINT AS query_id, text AS query_text "
     "FROM conversations WHERE role = 'user')",
 )
 SQL["conversation_full_text_topk"] = _with(

@@ -184,7 +184,7 @@ class Retriever:
         """Semantic search with the hypothetical paragraph as the query."""
         if self.settings.dry_run:
             return self.no_retrieval(queries)
-        return self.dense(self.hypothetical(queries))
+        return self.dense(materialize(self.hypothetical(queries)))
 
     def hits(self, strategy: str, queries: DataFrame) -> DataFrame:
         fn = {

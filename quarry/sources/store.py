@@ -121,6 +121,8 @@ def search_store(
     """
     from quarry.operators import bm25, search
 
+    # one precision for both stored forms: maps hold floats
+    postings = store.postings.withColumn("weight", F.col("weight").cast("float").cast("double"))
     qw, small = bm25.query_weights(queries, store.bm25_terms, max_broadcast_rows=max_broadcast_rows)
     if small and plan in ("auto", "postings"):
         qp = qw.toPandas()  # proven small above
@@ -131,7 +133,7 @@ def search_store(
             buckets = [
                 r[0] for r in qdf.select(term_bucket(F.col("term")).alias("b")).distinct().collect()
             ]  # at most TERM_BUCKETS values
-            post = store.postings.where(
+            post = postings.where(
                 F.col("term_bucket").isin(buckets) & F.col("term").isin(terms)
             )
             hits = search.sparse_topk(qdf, post, k, True)
@@ -139,5 +141,5 @@ def search_store(
     if small:
         hits = search.bm25_scan_topk(qw, store.knowledge, None, k, doc_weight="stored")
     else:
-        hits = search.sparse_topk(qw, store.postings, k, False)
+        hits = search.sparse_topk(qw, postings, k, False)
     return search.with_text(hits, store.knowledge, hits_small=small)

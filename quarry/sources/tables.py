@@ -30,22 +30,20 @@ def read_html_files(spark: SparkSession, root: str, glob: str = "*.html") -> Dat
         .option("recursiveFileLookup", "true")
         .load(root)
     )
-    rel = F.regexp_replace(F.col("path"), r"^[a-z]+:(//)?" + _regex_quote(root) + "/?", "")
-    rel = F.regexp_replace(rel, r"^.*?" + _regex_quote(root.lstrip("/")) + "/?", "")
+    # the scan names files by qualified paths; the root in the same form is their prefix
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    prefix = system.makeQualified(folder).toString().rstrip("/")
+    rel = F.substring(F.col("path"), len(prefix) + 2, 1 << 30)
+    # text mode: every line end is one newline
+    html = F.regexp_replace(F.decode(F.col("content"), "UTF-8"), "\r\n?", "\n")
     return raw.select(
         F.xxhash64("path").alias("page_id"),
         F.concat(F.lit("https://"), rel).alias("url"),
-        F.decode(F.col("content"), "UTF-8").alias("html"),
+        html.alias("html"),
     )
 
 
-def _regex_quote(s: str) -> str:
-    out = []
-    for ch in s:
-        out.append("\\" + ch if ch in r".^$*+?()[]{}|\\" else ch)
-    return "".join(out)
-
-
 def queries_from_table(
     df: DataFrame, id_col: str = "item_id", text_col: str = "text"
 ) -> DataFrame:
@@ -56,9 +54,10 @@ def queries_from_table(
 
 
 def user_questions(conversations: DataFrame) -> DataFrame:
-    """Questions asked in ``conversations`` (user turns) as a query table."""
+    """Questions asked in ``conversations`` (user turns) as a query table.
+    The id holds conversation and turn (below 2**31 and 2**32) side by side."""
     return conversations.where(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("query_id"),
+        (F.col("conv_id").cast("long") * F.lit(1 << 32) + F.col("turn")).cast("long").alias("query_id"),
         F.col("text").alias("query_text"),
     )
 
