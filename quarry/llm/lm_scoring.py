@@ -44,6 +44,8 @@ BURN, SAMPLES = 2, 3
 EXACT = 64
 STRENGTH = 1.0
 BLOCK_BYTES = 32 << 20
+#: Contexts of a task, and rows that it holds at once.
+CONTEXTS, RUN_ROWS = 256, 500_000
 
 
 def stirling(discount: float, n: int = EXACT) -> np.ndarray:
@@ -183,6 +185,26 @@ def _restaurants(frame: pa.Table, size: int, parents: list[np.ndarray], discount
     return key, c, context, dish, starts, out
 
 
+def context_runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Rows of whole contexts, about ``RUN_ROWS`` at a time; a context has at
+    most one row for each symbol."""
+    waiting, n = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        n += batch.num_rows
+        if n >= RUN_ROWS:
+            table = pa.Table.from_batches(waiting)
+            context = table.column("key").to_numpy() // size
+            done = np.flatnonzero(context != context[-1])
+            if len(done):
+                cut = int(done[-1]) + 1
+                yield table.slice(0, cut)
+                waiting = table.slice(cut).to_batches()
+                n -= cut
+    if n:
+        yield pa.Table.from_batches(waiting)
+
+
 class Model:
     """What scoring needs besides the counts of a block's own words and pairs;
     all arrays are bounded by the shortlist."""
@@ -288,16 +310,13 @@ def fit_and_score(df: DataFrame, text: str = "text", key: str = "doc_id", in_pla
     start = np.append(counts, [ends, rare_tokens]).astype(np.float64) + 1
     parents = [start / start.sum()]
 
-    by_context = lambda: seated.withColumn("context", F.expr(f"key div {size}")).repartition("context").sortWithinPartitions("key").select("key", "c")
-
-    def joined(batches):
-        batches = [b for b in batches if b.num_rows]
-        return pa.Table.from_batches(batches) if batches else None
+    # a task sums the tables of its contexts by dish: few tasks, few sums
+    few = -(-size // CONTEXTS)
+    by_context = lambda: seated.withColumn("context", F.expr(f"key div {size}")).repartition("context").sortWithinPartitions("key").select("key", "c").coalesce(few)
 
     def sweep(ahead):
         def run(batches):
-            frame = joined(batches)
-            if frame is not None:
+            for frame in context_runs(batches, size):
                 *_, dish, _, drawn = _restaurants(frame, size, ahead.value, discount, len(ahead.value))
                 m = np.bincount(dish, weights=drawn[-1])
                 at = np.flatnonzero(m)
@@ -322,8 +341,7 @@ def fit_and_score(df: DataFrame, text: str = "text", key: str = "doc_id", in_pla
     chain = spark.sparkContext.broadcast(parents[:-1])
 
     def pair_values(batches):
-        frame = joined(batches)
-        if frame is not None:
+        for frame in context_runs(batches, size):
             k, c, context, _, starts, drawn = _restaurants(frame, size, chain.value, discount, BURN + SAMPLES)
             length = np.diff(np.append(starts, len(k)))
             guests = np.add.reduceat(c, starts).astype(np.float64)
