@@ -8,15 +8,12 @@ contains ``$query`` would be expanded a second time.
 
 from __future__ import annotations
 
-import re
+from string import Template
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_PLACEHOLDER = re.compile(
-    r"\$(?:(?P<escaped>\$)|(?P<named>[_a-z][_a-z0-9]*)|\{(?P<braced>[_a-z][_a-z0-9]*)\}|(?P<invalid>))",
-    re.IGNORECASE | re.ASCII,
-)
+_PLACEHOLDER = Template.pattern  # compiled by the standard library
 
 
 def split_template(template: str) -> list[tuple[str, str]]:
