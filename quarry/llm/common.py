@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,43 @@ def ship(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
+#: A bitmap is never larger than this; a fuller one only thins less.
+MAX_BITMAP_BITS = 1 << 30
+PAGE_BITS = 13
+
+
+def thinned(df: DataFrame, wanted: DataFrame, key: str, per_key: int = 32) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be one of ``wanted``, to be joined
+    exactly afterwards: all wanted rows and, as long as the bitmap has its
+    ``per_key`` bits, about one in ``per_key`` of the others. Rows of null key
+    go. The driver gets the bitmap in pages of 1 KB and nothing else."""
+    width = min(max(PAGE_BITS, int(np.ceil(np.log2(max(1, wanted.count()) * per_key)))), MAX_BITMAP_BITS.bit_length() - 1)
+    place = F.shiftrightunsigned(F.xxhash64(key), 64 - width)
+
+    def pages(batches: Iterator[pa.RecordBatch]):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = np.sort(batch.column("at").to_numpy(zero_copy_only=False))
+            numbers, first = np.unique(at >> PAGE_BITS, return_index=True)
+            for number, places in zip(numbers.tolist(), np.split(at & ((1 << PAGE_BITS) - 1), first[1:])):
+                page = held.setdefault(number, np.zeros(1 << PAGE_BITS - 3, np.uint8))
+                np.bitwise_or.at(page, places >> 3, np.left_shift(1, places & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([p.tobytes() for p in held.values()], pa.binary())], names=["number", "bits"])
+
+    marks = wanted.select(place.alias("at")).distinct().withColumn("number", F.shiftright("at", PAGE_BITS))
+    bits = np.zeros((1 << width - PAGE_BITS, 1 << PAGE_BITS - 3), np.uint8)
+    for row in marks.repartition("number").select("at").mapInArrow(pages, "number bigint, bits binary").toLocalIterator():
+        bits[row.number] |= np.frombuffer(row.bits, np.uint8)
+    shared = df.sparkSession.sparkContext.broadcast(bits.ravel())
+
+    @F.pandas_udf("boolean")
+    def marked(at: pd.Series) -> pd.Series:
+        a = at.to_numpy()
+        return pd.Series((shared.value[a >> 3] >> (a & 7) & 1).astype(bool))
+
+    return df.where(F.col(key).isNotNull()).withColumn("_at", place).where(marked("_at")).drop("_at")
+
+
 def crc_mod(col, n: int):
     """crc32 of the id as text, modulo n; a null id counts as an empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n

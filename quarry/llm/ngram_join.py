@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix, ship, slices, text_buffer, words, written
+from quarry.llm.common import mix, ship, slices, text_buffer, thinned, words, written
 from quarry.llm.graph import blocked, components, groups
 
 COMMON = 48
@@ -261,12 +261,12 @@ def _candidates(rows: DataFrame, rule: Rule, first_only: bool) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, names: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs that really link. Only texts of candidates are read again.
-    A sketch of about two bits a shingle is compared before the sets, which
-    are 32 times as large, so few sets travel for pairs that do not link."""
+    """The pairs that really link. Few texts but those of candidates are
+    shuffled. A sketch of about two bits a shingle is compared before the sets,
+    which are 32 times as large, so few sets travel for pairs that do not link."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = names.join(wanted, "node")  # one row a set: (node, k)
-    chosen = texts.join(chosen, "k")
+    chosen = written(names.join(wanted, "node"), "chosen-sets")  # one row a set: (node, k)
+    chosen = thinned(texts, chosen, "k").join(chosen, "k")
 
     def sets(batches: Iterator[pa.RecordBatch]):
         for batch in batches:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, embedding_dedup, graph, language_id, license_scan, lm_scoring, ngram_join, packing, quality_classifier, secret_scan, token_counts
+from quarry.llm import common, decontamination, embedding_dedup, graph, language_id, license_scan, lm_scoring, ngram_join, packing, quality_classifier, secret_scan, token_counts
 from quarry.llm.queries import vocabulary
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, k string, node string, n int, label string"
@@ -328,3 +328,13 @@ def test_probabilities_sum_to_one_over_symbols():
     t = drawn[-1]
     p = (guests - 0.6 * t) / (1 + guests.sum()) + (1 + 0.6 * t.sum()) / (1 + guests.sum()) * parent
     assert abs(p.sum() - 1) < 1e-12
+
+
+def test_thinned_keeps_every_wanted_row(spark):
+    rows = spark.range(20_000).selectExpr("case when id % 1000 = 7 then null else id end as k", "id % 3 as text")
+    wanted = spark.range(0, 20_000, 9).selectExpr("id as k").union(spark.createDataFrame([(None,)], "k long"))
+    kept = {r.k for r in common.thinned(rows, wanted, "k").collect()}
+    asked = {r.k for r in rows.join(wanted, "k").select("k").collect()}
+    assert asked <= kept and None not in kept
+    assert len(kept - asked) < 2_000
+    assert common.thinned(rows, wanted.where("false"), "k").count() == 0
