@@ -87,30 +87,55 @@ def _unit_rows(vectors: list, dim: int | None = None) -> np.ndarray:
     return m / norms[:, None]
 
 
-def _local_topk(
-    scores: np.ndarray, doc_ids: np.ndarray, query_ids: np.ndarray, k: int
-) -> pd.DataFrame:
-    """Best k (rounded score desc, id asc) per query column of a score block."""
-    rounded = np.round(scores, 9)
-    out_q, out_d, out_s = [], [], []
-    n_docs = scores.shape[0]
-    for j in range(scores.shape[1]):
-        col = rounded[:, j]
-        if n_docs > k:
-            kth = np.partition(col, n_docs - k)[n_docs - k]
-            cand = np.nonzero(col >= kth)[0]
-        else:
-            cand = np.arange(n_docs)
-        order = np.lexsort((doc_ids[cand], -col[cand]))[:k]
-        pick = cand[order]
-        out_q.append(np.full(len(pick), query_ids[j]))
-        out_d.append(doc_ids[pick])
-        out_s.append(scores[pick, j])
-    if not out_q:
-        return pd.DataFrame({"query_id": [], "pk": [], "score": []})
-    return pd.DataFrame(
-        {"query_id": np.concatenate(out_q), "pk": np.concatenate(out_d), "score": np.concatenate(out_s)}
-    )
+class RunningTopK:
+    """Best k (rounded score desc, id asc) of every query over all the blocks
+    a task has seen, so that a task yields k rows per query once, at its end.
+
+    Candidates wait until there are about as many as kept rows and are then
+    merged in one sort; ``floor`` (each query's k-th best so far) turns most
+    later ones away before that."""
+
+    def __init__(self, query_ids: np.ndarray, k: int):
+        self.query_ids, self.k = query_ids, k
+        self.floor = np.full(len(query_ids), -np.inf)
+        self.limit = max(100_000, 2 * k * len(query_ids))
+        self.waiting: list[tuple] = []
+        self.n_waiting = 0
+
+    def add(self, query: np.ndarray, doc: np.ndarray, score: np.ndarray) -> None:
+        """Candidates as (query index, document id, score)."""
+        ok = np.round(score, 9) >= self.floor[query]
+        if ok.any():
+            self.waiting.append((query[ok], doc[ok], score[ok]))
+            self.n_waiting += int(ok.sum())
+        if self.n_waiting > self.limit:
+            self._merge()
+
+    def add_block(self, scores: np.ndarray, doc: np.ndarray) -> None:
+        """A block of documents x queries."""
+        rounded, floor, n = np.round(scores, 9), self.floor, len(doc)
+        if n > self.k:
+            floor = np.maximum(floor, np.partition(rounded, n - self.k, axis=0)[n - self.k])
+        row, query = np.nonzero(rounded >= floor)
+        self.add(query, doc[row], scores[row, query])
+
+    def _merge(self) -> None:
+        query, doc, score = (np.concatenate(x) for x in zip(*self.waiting))
+        rounded = np.round(score, 9)
+        order = np.lexsort((doc, -rounded, query))
+        place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        order, place = order[place < self.k], place[place < self.k]
+        last = order[place == self.k - 1]
+        self.floor[query[last]] = rounded[last]
+        self.waiting = [(query[order], doc[order], score[order])]
+        self.n_waiting = 0  # new ones only: kept rows are at most k per query
+
+    def result(self) -> pd.DataFrame | None:
+        if not self.waiting:
+            return None
+        self._merge()
+        query, doc, score = self.waiting[0]
+        return pd.DataFrame({"query_id": self.query_ids[query], "pk": doc, "score": score})
 
 
 def dense_topk(
@@ -173,7 +198,11 @@ def dense_topk(
     return (hits, strategy == "broadcast") if with_plan else hits
 
 
-def _rows_per_block(n_queries: int, max_cells: int = 4_000_000) -> int:
+#: Scores, or (posting, query) products, that a task holds at once.
+MAX_CELLS = 4_000_000
+
+
+def _rows_per_block(n_queries: int, max_cells: int = MAX_CELLS) -> int:
     """Rows scored at once so a score block holds at most ``max_cells``."""
     return max(1, max_cells // max(1, n_queries))
 
@@ -193,12 +222,13 @@ def _broadcast_block_product(qp: pd.DataFrame, c: DataFrame, k: int, out_schema)
         ids, m = shared.value
         if len(ids) == 0:
             return
-        step = _rows_per_block(len(ids))
+        best, step = RunningTopK(ids, k), _rows_per_block(len(ids))
         for pdf in batches:
             for i in range(0, len(pdf), step):
                 part = pdf.iloc[i : i + step]
-                d = _unit_rows(list(part["dv"]))
-                yield _local_topk(d @ m.T, _ids(part["pk"]), ids, k)
+                best.add_block(_unit_rows(list(part["dv"])) @ m.T, _ids(part["pk"]))
+        if (rows := best.result()) is not None:
+            yield rows
 
     return c.mapInPandas(score_batches, out_schema)
 
@@ -220,9 +250,9 @@ def _blocked_block_product(
             return pd.DataFrame({"query_id": [], "pk": [], "score": []})
         m = _unit_rows(list(qpdf["qv"]))
         d = _unit_rows(list(cpdf["dv"]))
-        return _local_topk(
-            d @ m.T, _ids(cpdf["pk"]), qpdf["query_id"].to_numpy(dtype=np.int64), k
-        )
+        best = RunningTopK(qpdf["query_id"].to_numpy(dtype=np.int64), k)
+        best.add_block(d @ m.T, _ids(cpdf["pk"]))
+        return best.result()
 
     return (
         cs.groupBy("qb", "cb")
@@ -281,11 +311,11 @@ def bm25_scan_topk(
         ]
     )
 
-    def score_block(pdf, ids, vocab, st, qs, ws, avg):
-        n, nq = len(pdf), len(ids)
+    def score_batch(pdf, best, vocab, st, qs, ws, avg):
+        n, nq = len(pdf), len(best.query_ids)
         lens = pdf["_t"].map(len).to_numpy()
         if lens.sum() == 0:
-            return None
+            return
         flat_terms = pd.Index(np.concatenate(pdf["_t"].to_numpy()))
         tf = np.concatenate(pdf["_tf"].to_numpy()).astype(np.float64)
         row = np.repeat(np.arange(n), lens)
@@ -293,7 +323,7 @@ def bm25_scan_topk(
         hit = col >= 0
         row, col, tf = row[hit], col[hit], tf[hit]
         if len(row) == 0:
-            return None
+            return
         if doc_weight == "bm25":
             dl = pdf["dl"].to_numpy(dtype=np.float64)[row]
             dw = tf * (k1 + 1.0) / (tf + k1 * ((1.0 - b) + b * dl / avg))
@@ -302,27 +332,30 @@ def bm25_scan_topk(
         else:  # "stored": the value already is the document weight
             dw = tf
         fan = st[col + 1] - st[col]
-        src = np.repeat(np.arange(len(row)), fan)
-        offs = np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan)
-        pos = np.repeat(st[col], fan) + offs
-        scores = np.zeros((n, nq))
-        matched = np.zeros((n, nq), dtype=bool)
-        np.add.at(scores, (row[src], qs[pos]), dw[src] * ws[pos])
-        matched[row[src], qs[pos]] = True
-        scores[~matched] = -np.inf
-        res = _local_topk(scores, _ids(pdf["pk"]), ids, k)
-        return res[np.isfinite(res["score"].to_numpy())]
+        docs = _ids(pdf["pk"])
+        # runs of whole rows with a bounded number of (posting, query) products
+        work = np.cumsum(np.bincount(row, weights=fan, minlength=n))
+        lo = 0
+        while lo < n:
+            done = work[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(work, done + MAX_CELLS, side="right")))
+            a, b_ = np.searchsorted(row, (lo, hi))
+            f = fan[a:b_]
+            src = np.repeat(np.arange(a, b_), f)
+            pos = np.repeat(st[col[a:b_]], f) + np.arange(f.sum()) - np.repeat(np.cumsum(f) - f, f)
+            pair, inverse = np.unique(row[src] * nq + qs[pos], return_inverse=True)
+            best.add(pair % nq, docs[pair // nq], np.bincount(inverse, weights=dw[src] * ws[pos], minlength=len(pair)))
+            lo = hi
 
     def score(batches):
         ids, vocab, st, qs, ws, avg = shared.value
         if len(ids) == 0:
             return
-        step = _rows_per_block(len(ids))
+        best = RunningTopK(ids, k)
         for pdf in batches:
-            for i in range(0, len(pdf), step):
-                res = score_block(pdf.iloc[i : i + step], ids, vocab, st, qs, ws, avg)
-                if res is not None and len(res):
-                    yield res
+            score_batch(pdf, best, vocab, st, qs, ws, avg)
+        if (rows := best.result()) is not None:
+            yield rows
 
     if doc_weight == "stored":
         # a written store: ``full_text_vector`` maps term -> BM25 weight

@@ -142,15 +142,6 @@ def dense_topk_blocked(spark, sf_dir):
 # ------------------------------------------- step 3: stand-in encoders, R2, R3
 
 
-def semantic_hits(spark, sf_dir, chunks=None, queries=None, k=TOP_K):
-    chunks = chunks if chunks is not None else indexed_chunks(spark, sf_dir)
-    queries = queries if queries is not None else benchmark_queries(spark, sf_dir)
-    qv = encode.hash_vectors(queries, "query_text")
-    cv = encode.hash_vectors_from_terms(chunks.select("pk", "terms"))
-    hits, small = search.dense_topk(qv, cv, k=k, with_plan=True)
-    return search.with_text(hits, chunks, hits_small=small)
-
-
 @register
 def hash_embed(spark, sf_dir):
     chunks = indexed_chunks(spark, sf_dir)

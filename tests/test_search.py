@@ -90,3 +90,33 @@ def test_empty_vector_filter(spark):
     assert counts["before_filter"].get["n"] == 2 and counts["after_filter"].get["n"] == 1
     assert sorted(r.pk for r in off.collect()) == ["p1", "p2"]
     assert "full_text_vector" not in off.columns
+
+
+def test_running_top_k_over_blocks_equals_one_sort():
+    rng = np.random.default_rng(11)
+    scores = np.round(rng.normal(size=(900, 40)), 1)  # many ties
+    docs = rng.permutation(900)
+    best = search.RunningTopK(np.arange(40) + 100, 5)
+    best.limit = 150  # merges often
+    for lo in range(0, 900, 70):
+        best.add_block(scores[lo : lo + 70], docs[lo : lo + 70])
+    rows = best.result()
+    assert len(rows) == 5 * 40  # once per task, not per block
+    for q, part in rows.groupby("query_id"):
+        want = sorted(range(900), key=lambda i: (-scores[i, q - 100], docs[i]))[:5]
+        assert part["pk"].tolist() == docs[want].tolist()
+
+
+def test_running_top_k_rows_leaving_python(spark):
+    rng = np.random.default_rng(5)
+    corpus = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(600)], "pk long, vector array<double>")
+    queries = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(10)], "query_id long, vector array<double>")
+    qp = queries.selectExpr("query_id", "vector as qv").toPandas()
+    found = search._broadcast_block_product(
+        qp, corpus.selectExpr("pk", "vector as dv").repartition(3), 5, "query_id long, pk long, score double"
+    )
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        assert found.count() <= 5 * 10 * 3
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
