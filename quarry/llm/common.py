@@ -51,7 +51,7 @@ def thinned(df: DataFrame, wanted: DataFrame, key: str, per_key: int = 32) -> Da
     """The rows of ``df`` whose ``key`` may be one of ``wanted``, to be joined
     exactly afterwards: all wanted rows and, as long as the bitmap has its
     ``per_key`` bits, about one in ``per_key`` of the others. Rows of null key
-    go. The driver gets the bitmap in pages of 1 KB and nothing else."""
+    go. The driver gets the bitmap (at most 128 MB) in pages and nothing else."""
     width = min(max(PAGE_BITS, int(np.ceil(np.log2(max(1, wanted.count()) * per_key)))), MAX_BITMAP_BITS.bit_length() - 1)
     place = F.shiftrightunsigned(F.xxhash64(key), 64 - width)
 
@@ -67,7 +67,7 @@ def thinned(df: DataFrame, wanted: DataFrame, key: str, per_key: int = 32) -> Da
 
     marks = wanted.select(place.alias("at")).distinct().withColumn("number", F.shiftright("at", PAGE_BITS))
     bits = np.zeros((1 << width - PAGE_BITS, 1 << PAGE_BITS - 3), np.uint8)
-    for row in marks.repartition("number").select("at").mapInArrow(pages, "number bigint, bits binary").toLocalIterator():
+    for row in marks.repartition("number").select("at").mapInArrow(pages, "number bigint, bits binary").collect():
         bits[row.number] |= np.frombuffer(row.bits, np.uint8)
     shared = df.sparkSession.sparkContext.broadcast(bits.ravel())
 
