@@ -47,13 +47,10 @@ MAX_BITMAP_BITS = 1 << 30
 PAGE_BITS = 13
 
 
-def thinned(df: DataFrame, wanted: DataFrame, key: str, per_key: int = 32) -> DataFrame:
-    """The rows of ``df`` whose ``key`` may be one of ``wanted``, to be joined
-    exactly afterwards: all wanted rows and, as long as the bitmap has its
-    ``per_key`` bits, about one in ``per_key`` of the others. Rows of null key
-    go. The driver gets the bitmap (at most 128 MB) in pages and nothing else."""
-    width = min(max(PAGE_BITS, int(np.ceil(np.log2(max(1, wanted.count()) * per_key)))), MAX_BITMAP_BITS.bit_length() - 1)
-    place = F.shiftrightunsigned(F.xxhash64(key), 64 - width)
+def bitmap(places: DataFrame, width: int) -> np.ndarray:
+    """Bytes of a bitmap of ``2**width`` bits with those at the values of the
+    only column, ``at``, set. One job makes it in pages of ``2**PAGE_BITS``
+    bits; the driver gets the pages and nothing else."""
 
     def pages(batches: Iterator[pa.RecordBatch]):
         held: dict[int, np.ndarray] = {}
@@ -65,11 +62,21 @@ def thinned(df: DataFrame, wanted: DataFrame, key: str, per_key: int = 32) -> Da
                 np.bitwise_or.at(page, places >> 3, np.left_shift(1, places & 7).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([p.tobytes() for p in held.values()], pa.binary())], names=["number", "bits"])
 
-    marks = wanted.select(place.alias("at")).distinct().withColumn("number", F.shiftright("at", PAGE_BITS))
+    marks = places.distinct().withColumn("number", F.shiftright("at", PAGE_BITS))
     bits = np.zeros((1 << width - PAGE_BITS, 1 << PAGE_BITS - 3), np.uint8)
     for row in marks.repartition("number").select("at").mapInArrow(pages, "number bigint, bits binary").collect():
         bits[row.number] |= np.frombuffer(row.bits, np.uint8)
-    shared = df.sparkSession.sparkContext.broadcast(bits.ravel())
+    return bits.ravel()
+
+
+def thinned(df: DataFrame, wanted: DataFrame, key: str, per_key: int = 32) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be one of ``wanted``, to be joined
+    exactly afterwards: all wanted rows and, as long as the bitmap has its
+    ``per_key`` bits, about one in ``per_key`` of the others. Rows of null key
+    go. The driver gets the bitmap (at most 128 MB) in pages and nothing else."""
+    width = min(max(PAGE_BITS, int(np.ceil(np.log2(max(1, wanted.count()) * per_key)))), MAX_BITMAP_BITS.bit_length() - 1)
+    place = F.shiftrightunsigned(F.xxhash64(key), 64 - width)
+    shared = df.sparkSession.sparkContext.broadcast(bitmap(wanted.select(place.alias("at")), width))
 
     @F.pandas_udf("boolean")
     def marked(at: pd.Series) -> pd.Series:

@@ -39,11 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix, ship, slices, text_buffer, thinned, words, written
+from quarry.llm.common import MAX_BITMAP_BITS, PAGE_BITS, bitmap, mix, ship, slices, text_buffer, thinned, words, written
 from quarry.llm.graph import blocked, components, groups
 
 COMMON = 48
-MAX_BITMAP_BITS = 1 << 30
 #: Bytes of the parity sketch and of each prefix bitmap.
 SKETCH, BITMAP = 32, 16
 #: Groups up to this size are compared together, without a step for each.
@@ -139,18 +138,14 @@ def _common_bitmap(texts: DataFrame, rule: Rule) -> tuple[np.ndarray, int]:
 
     common = texts.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
     common = written(common.select("h"), "common-shingles")
-    width = min(max(10, int(np.ceil(np.log2(max(1, common.count()) * 32)))), MAX_BITMAP_BITS.bit_length() - 1)
-    bits = np.zeros(1 << (width - 3), np.uint8)
+    width = min(max(PAGE_BITS, int(np.ceil(np.log2(max(1, common.count()) * 32)))), MAX_BITMAP_BITS.bit_length() - 1)
 
     def places(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             at = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - width)
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(at).astype(np.int64))], names=["at"])
 
-    # at most as many places as the bitmap has bits, a partition at a time
-    for row in common.mapInArrow(places, "at bigint").distinct().toLocalIterator():
-        bits[row.at >> 3] |= 1 << (row.at & 7)
-    return bits, 64 - width
+    return bitmap(common.mapInArrow(places, "at bigint"), width), 64 - width
 
 
 def _describe(texts: DataFrame, rule: Rule, shared, kind: str) -> DataFrame:
