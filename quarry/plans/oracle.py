@@ -312,6 +312,34 @@ FROM nav
 WHERE regexp_matches(inner_html, '<a[^>]*href=')"""
 
 
+# <article> holds the page's content; without a link it is sourced to the page
+SQL["article_sections"] = f"""
+WITH art AS (
+  SELECT page_id, url, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS inner_html
+  FROM pages WHERE regexp_matches(html, '(?s)<body[\\s>].*<article[\\s>]')
+)
+SELECT page_id, 0::BIGINT AS section_pos,
+       {base_url_sql('url')} || CASE WHEN regexp_matches(inner_html, '<a[^>]*href=')
+         THEN '/' || {_entities("regexp_extract(inner_html, 'href=\"([^\"]*)\"', 1)")} ELSE '' END AS source,
+       {strip_sql(_entities("regexp_replace(inner_html, '<[^>]*>', '', 'g')"))} AS text
+FROM art"""
+
+SQL["skip_report"] = """
+WITH body AS (
+  SELECT regexp_matches(html, '<body[\\s>]') AS has_body,
+         regexp_extract_all(regexp_extract(html, '(?s)<body[\\s>].*'), '(?s)<section[\\s>].*?</section>') AS secs
+  FROM pages
+), reasons AS (
+  SELECT CASE WHEN has_body THEN 'no_section' ELSE 'no_body' END AS reason
+  FROM body WHERE NOT coalesce(has_body, false) OR len(secs) = 0
+  UNION ALL
+  SELECT CASE WHEN regexp_matches(s, '<a[^>]*\\shref=') THEN 'ok'
+              WHEN regexp_matches(s, '<a[\\s>]') THEN 'no_href' ELSE 'no_anchor' END
+  FROM (SELECT unnest(secs) AS s FROM body WHERE has_body)
+)
+SELECT reason, count(*)::BIGINT AS n FROM reasons GROUP BY reason"""
+
+
 # ------------------------------------------- step 6: knowledge store tables
 
 NON_EMPTY = """
@@ -546,3 +574,10 @@ SQL["cascade_summary"] = _with(*FULL, CASCADE) + (
     "SELECT query_id, count(*)::BIGINT AS n_tried, "
     "string_agg(strategy, ' > ' ORDER BY priority) AS tried FROM report GROUP BY query_id"
 )
+
+# the strategies over a written store: same answers as their in-session twins
+SQL["store_semantic_topk"] = SQL["semantic_topk"]
+SQL["store_hybrid_rrf"] = SQL["hybrid_rrf"]
+SQL["store_hybrid_rerank"] = SQL["hybrid_rerank"]
+SQL["store_hyde_topk"] = SQL["hyde_topk"]
+SQL["store_cascade_answer"] = SQL["cascade_answer"]

@@ -386,9 +386,12 @@ def dry_run_answer(spark, sf_dir):
 
 
 
+def _store_root(spark, sf_dir):
+    return built_once(spark, ("store", sf_dir), lambda: _write_store(spark, indexed_chunks(spark, sf_dir)))
+
+
 def _store(spark, sf_dir):
-    chunks = indexed_chunks(spark, sf_dir)
-    return read_store(spark, built_once(spark, ("store", sf_dir), lambda: _write_store(spark, chunks)))
+    return read_store(spark, _store_root(spark, sf_dir))
 
 
 @register
@@ -407,6 +410,46 @@ def store_full_text_topk_scan(spark, sf_dir):
     return hits.select("query_id", "rank", "pk", _r6("score"), "text")
 
 
+def _store_retriever(spark, sf_dir):
+    """A retriever that reads nothing but the written store."""
+    return Retriever.from_store(spark, _store_root(spark, sf_dir))
+
+
+@register
+def store_semantic_topk(spark, sf_dir):
+    """R2 over the stored dense vectors."""
+    hits = _store_retriever(spark, sf_dir).dense(benchmark_queries(spark, sf_dir))
+    return hits.select("query_id", "rank", "pk", _r6("score"), "text")
+
+
+@register
+def store_hybrid_rrf(spark, sf_dir):
+    """R5 over the stored vectors, vocabulary and postings."""
+    hits = _store_retriever(spark, sf_dir).hybrid_rrf(benchmark_queries(spark, sf_dir))
+    return hits.select("query_id", "rank", "text", _r6("score"))
+
+
+@register
+def store_hybrid_rerank(spark, sf_dir):
+    """R6 over the store, with the stored idf."""
+    hits = _store_retriever(spark, sf_dir).hybrid_rerank(benchmark_queries(spark, sf_dir))
+    return hits.select("query_id", "rank", "text", _r6("score"))
+
+
+@register
+def store_hyde_topk(spark, sf_dir):
+    """R7 over the store."""
+    hits = _store_retriever(spark, sf_dir).hyde(benchmark_queries(spark, sf_dir))
+    return hits.select("query_id", "rank", "pk", _r6("score"), "text")
+
+
+@register
+def store_cascade_answer(spark, sf_dir):
+    """C1 over the store: the whole lazy cascade without the source corpus."""
+    answers, _ = cascade_lazy(_store_retriever(spark, sf_dir), benchmark_queries(spark, sf_dir))
+    return answers.select("query_id", "strategy", _r6("trust_score"), "response")
+
+
 def _write_store(spark, chunks):
     rows, ix = build.knowledge_rows(chunks)
     root = scratch_path(spark, "store")

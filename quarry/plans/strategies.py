@@ -12,7 +12,7 @@ import copy
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.config import HYDE_PROMPT, MAX_BROADCAST_QUERIES, MAX_BROADCAST_ROWS, RAG_PROMPT, Settings
@@ -20,6 +20,7 @@ from quarry.functions.text import term_id
 from quarry.operators import bm25, encode, fusion, generate, search
 from quarry.operators.sizing import at_most
 from quarry.plans.corpus import FullTextIndex, full_text_index, materialize
+from quarry.sources.store import Store, read_store, search_store
 
 HIT_COLS = ["query_id", "rank", "pk", "text", "score"]
 
@@ -43,6 +44,27 @@ class Retriever:
     models: Models = field(default_factory=Models)
     prefetched: dict | None = None
     prefetch_small: bool = False
+    store: Store | None = None
+
+    @classmethod
+    def from_store(
+        cls,
+        spark: SparkSession,
+        root: str,
+        settings: Settings | None = None,
+        models: Models | None = None,
+    ) -> "Retriever":
+        """Answer from a store written earlier, maybe by another application
+        (S9): the stored vectors, vocabulary and postings are read as they are,
+        nothing is refitted or encoded again. Chunks whose BM25 vector was
+        empty are not in a store (P10), so no strategy returns them."""
+        store = read_store(spark, root)
+        out = cls(store.knowledge, settings or Settings(), models or Models(), store=store)
+        out.index = FullTextIndex(
+            store.knowledge, store.postings, store.bm25_terms, store.bm25_stats, store.postings
+        )
+        out.vectors = store.knowledge.select("pk", F.col("dense_vector").alias("vector"))
+        return out
 
     def prefetch(self, queries: DataFrame) -> "Retriever":
         """A copy whose ranked lists (dense, sparse, full text) for ``queries``
@@ -110,7 +132,10 @@ class Retriever:
     def full_text(self, queries: DataFrame) -> DataFrame:
         """E7 -> J2 -> A3 -> W3 -> J3. A proven-small query side is
         broadcast and scored inside each corpus task (no pair shuffle);
-        otherwise the relational postings join is planned."""
+        otherwise the relational postings join is planned. A written store is
+        searched through its postings (``search_store``)."""
+        if self.store is not None:
+            return search_store(self.store, queries, self.settings.top_k).select(*HIT_COLS)
         qw, small = bm25.query_weights(queries, self.index.vocab)
         if small:
             hits = search.bm25_scan_topk(qw, self.chunks, self.avgdl, self.settings.top_k)
@@ -120,6 +145,8 @@ class Retriever:
 
     def sparse(self, queries: DataFrame) -> DataFrame:
         """R3 with the learned-sparse stand-in."""
+        if self.store is not None:
+            raise ValueError("a store's learned-sparse vectors cannot be searched yet; set enable_sparse=False")
         q = encode.sparse_vectors(queries, "query_text", key="query_id")
         q = q.withColumnRenamed("term_id", "term")
         small = at_most(q, MAX_BROADCAST_ROWS)
