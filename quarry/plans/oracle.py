@@ -312,17 +312,23 @@ FROM nav
 WHERE regexp_matches(inner_html, '<a[^>]*href=')"""
 
 
-# <article> holds the page's content; without a link it is sourced to the page
+# <article> has two direct children, one line each: the heading, and a
+# paragraph that is never closed and so holds the rest; without a link the
+# section is sourced to the page
 SQL["article_sections"] = f"""
 WITH art AS (
   SELECT page_id, url, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS inner_html
   FROM pages WHERE regexp_matches(html, '(?s)<body[\\s>].*<article[\\s>]')
+), parts AS (
+  SELECT page_id, url, inner_html, regexp_extract(inner_html, '(?s)^<h1[^>]*>(.*?)</h1>', 1) AS heading,
+         regexp_replace(inner_html, '(?s)^<h1[^>]*>.*?</h1>', '') AS rest FROM art
 )
 SELECT page_id, 0::BIGINT AS section_pos,
        {base_url_sql('url')} || CASE WHEN regexp_matches(inner_html, '<a[^>]*href=')
          THEN '/' || {_entities("regexp_extract(inner_html, 'href=\"([^\"]*)\"', 1)")} ELSE '' END AS source,
-       {strip_sql(_entities("regexp_replace(inner_html, '<[^>]*>', '', 'g')"))} AS text
-FROM art"""
+       {strip_sql(_entities("regexp_replace(heading, '<[^>]*>', '', 'g')"))} || chr(10) ||
+       {strip_sql(_entities("regexp_replace(rest, '<[^>]*>', '', 'g')"))} AS text
+FROM parts"""
 
 SQL["skip_report"] = """
 WITH body AS (
