@@ -94,6 +94,26 @@ def sparse_vectors(df: DataFrame, text_col: str = "text", key: str = "pk") -> Da
     )
 
 
+def with_sparse_map(df: DataFrame, terms_col: str = "terms", out: str = "sparse_vector") -> DataFrame:
+    """P11/A8 in the row: counted terms -> ``map<int,float>`` of the sparse
+    stand-in's weights. Terms of a row whose ids collide are one index with
+    the sum of their weights. No shuffle."""
+    staged = df.withColumn("_ids", F.transform(terms_col, lambda t: term_id(t["term"]))).withColumn(
+        "_weights", F.transform(terms_col, lambda t: F.lit(1.0) + F.log(t["tf"].cast("double")))
+    )
+    staged = staged.withColumn("_keys", F.array_distinct("_ids"))
+
+    def total(key):
+        mine = F.filter(F.arrays_zip("_ids", "_weights"), lambda p: p["_ids"] == key)
+        return F.aggregate(mine, F.lit(0.0), lambda acc, p: acc + p["_weights"])
+
+    collide = F.size("_keys") < F.size("_ids")
+    values = F.when(collide, F.transform("_keys", total)).otherwise(F.col("_weights"))
+    return staged.withColumn(out, F.map_from_arrays("_keys", values.cast("array<float>"))).drop(
+        "_ids", "_weights", "_keys"
+    )
+
+
 def to_sparse_map(rows: DataFrame, key: str = "pk", index: str = "term_id", value: str = "weight") -> DataFrame:
     """Exploded ``(key, index, value)`` -> ``(key, map<int,float>)``;
     explicit zeros are dropped so indexes and values cannot shift."""

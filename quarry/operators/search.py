@@ -273,6 +273,7 @@ def bm25_scan_topk(
     b: float = 0.75,
     doc_weight: str = "bm25",
     term_key=None,
+    stored: str = "full_text_vector",
 ) -> DataFrame:
     """Full-text top k without a (query, chunk) shuffle.
 
@@ -358,10 +359,10 @@ def bm25_scan_topk(
             yield rows
 
     if doc_weight == "stored":
-        # a written store: ``full_text_vector`` maps term -> BM25 weight
+        # a written store: the column maps term (or term id) -> weight
         cols = [
-            F.map_keys("full_text_vector").alias("_t"),
-            F.map_values("full_text_vector").cast("array<double>").alias("_tf"),
+            F.map_keys(stored).alias("_t"),
+            F.map_values(stored).cast("array<double>").alias("_tf"),
         ]
         local = chunks.select("pk", F.lit(0).alias("dl"), *cols).mapInPandas(score, out_schema)
     else:

@@ -65,8 +65,7 @@ def knowledge_rows(
         rows = encode.encode_with_model(rows, make_encoder, "text", out="dense_vector")
     cols = ["pk", "text", "dense_vector", "source"]
     if settings.enable_sparse:
-        sparse = encode.to_sparse_map(encode.sparse_vectors(rows.select("pk", "text")))
-        rows = rows.join(sparse, "pk", "left")
+        rows = encode.with_sparse_map(rows)
         cols.append("sparse_vector")
     if settings.enable_full_text:
         rows = full_text_vector(rows, ix.stats)

@@ -587,3 +587,33 @@ SQL["store_hybrid_rrf"] = SQL["hybrid_rrf"]
 SQL["store_hybrid_rerank"] = SQL["hybrid_rerank"]
 SQL["store_hyde_topk"] = SQL["hyde_topk"]
 SQL["store_cascade_answer"] = SQL["cascade_answer"]
+
+# learned-sparse weights are stored as floats; ids that collide in a chunk add up
+SPARSE_STORED = SPARSE.replace("sp_d AS (", "sp_d0 AS (", 1).replace(
+    "sp_q AS (",
+    """sp_d AS (
+  SELECT pk, term_id, sum(weight)::FLOAT::DOUBLE AS weight FROM sp_d0 GROUP BY pk, term_id
+),
+sp_q AS (""",
+    1,
+)
+SQL["sparse_vector_map"] = _with(_window_chunks(), BM25, QUERIES, SPARSE_STORED) + (
+    "SELECT pk, term_id, round(weight, 6) AS weight FROM sp_d"
+)
+SQL["store_sparse_topk"] = _with(_window_chunks(), BM25, QUERIES, SPARSE_STORED) + f"""
+SELECT r.query_id, r.rank, r.pk, round(r.score, 6) AS score, c.text
+FROM sp_ranked r JOIN chunks c USING (pk) WHERE r.rank <= {TOP_K}"""
+
+SPARSE_HITS = f"""
+sp_hits AS (
+  SELECT r.query_id, r.rank, r.pk, c.text
+  FROM sp_ranked r JOIN chunks c USING (pk) WHERE r.rank <= {TOP_K}
+)"""
+RRF_THREE = RRF.replace(
+    "  SELECT query_id, text, 1 AS list_no, rank - 1 AS pos FROM ft_hits",
+    "  SELECT query_id, text, 1 AS list_no, rank - 1 AS pos FROM sp_hits\n  UNION ALL\n"
+    "  SELECT query_id, text, 2 AS list_no, rank - 1 AS pos FROM ft_hits",
+)
+SQL["hybrid_rrf_three_lists"] = _with(*HYBRID[:-1], SPARSE_STORED, SPARSE_HITS, RRF_THREE) + (
+    f"SELECT query_id, rank, text, round(score, 6) AS score FROM rrf_ranked WHERE rank <= {TOP_K}"
+)

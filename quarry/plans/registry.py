@@ -386,8 +386,9 @@ def dry_run_answer(spark, sf_dir):
 
 
 
-def _store_root(spark, sf_dir):
-    return built_once(spark, ("store", sf_dir), lambda: _write_store(spark, indexed_chunks(spark, sf_dir)))
+def _store_root(spark, sf_dir, **settings):
+    key = ("store", sf_dir, tuple(sorted(settings.items())))
+    return built_once(spark, key, lambda: _write_store(spark, indexed_chunks(spark, sf_dir), Settings(**settings)))
 
 
 def _store(spark, sf_dir):
@@ -410,9 +411,9 @@ def store_full_text_topk_scan(spark, sf_dir):
     return hits.select("query_id", "rank", "pk", _r6("score"), "text")
 
 
-def _store_retriever(spark, sf_dir):
+def _store_retriever(spark, sf_dir, **settings):
     """A retriever that reads nothing but the written store."""
-    return Retriever.from_store(spark, _store_root(spark, sf_dir))
+    return Retriever.from_store(spark, _store_root(spark, sf_dir, **settings), Settings(**settings))
 
 
 @register
@@ -450,8 +451,45 @@ def store_cascade_answer(spark, sf_dir):
     return answers.select("query_id", "strategy", _r6("trust_score"), "response")
 
 
-def _write_store(spark, chunks):
-    rows, ix = build.knowledge_rows(chunks)
+@register
+def sparse_vector_map(spark, sf_dir):
+    """The stored learned-sparse maps as rows (pk, term_id, weight)."""
+    rows = read_store(spark, _store_root(spark, sf_dir, enable_sparse=True)).knowledge
+    exploded = rows.select("pk", F.explode("sparse_vector").alias("term_id", "weight"))
+    return exploded.select("pk", "term_id", F.round(F.col("weight").cast("double"), 6).alias("weight"))
+
+
+@register
+def store_sparse_topk(spark, sf_dir):
+    """R3 over the stored learned-sparse maps."""
+    hits = _store_retriever(spark, sf_dir, enable_sparse=True).sparse(benchmark_queries(spark, sf_dir))
+    return hits.select("query_id", "rank", "pk", _r6("score"), "text")
+
+
+@register
+def hybrid_rrf_three_lists(spark, sf_dir):
+    """R5 with all three lists (dense, learned sparse, full text) of a store."""
+    hits = _store_retriever(spark, sf_dir, enable_sparse=True).hybrid_rrf(benchmark_queries(spark, sf_dir))
+    return hits.select("query_id", "rank", "text", _r6("score"))
+
+
+@register
+def page_knowledge_table(spark, sf_dir):
+    """The data command: pages -> sections -> recursive chunks -> vectors ->
+    written store, read back."""
+
+    def write():
+        root = scratch_path(spark, "page-store")
+        build.build_and_write(read_table(spark, sf_dir, "pages"), root, tag="article", anchor_policy="page")
+        return root
+
+    return read_store(spark, built_once(spark, ("page-store", sf_dir), write)).knowledge.select(
+        "pk", "text", "source", "dense_vector"
+    )
+
+
+def _write_store(spark, chunks, settings):
+    rows, ix = build.knowledge_rows(chunks, settings)
     root = scratch_path(spark, "store")
     write_store(Store(rows, ix.postings, ix.vocab, ix.stats), root, DENSE_DIM)
     return root

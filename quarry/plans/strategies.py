@@ -144,13 +144,19 @@ class Retriever:
         return search.with_text(hits, self.chunks, hits_small=small).select(*HIT_COLS)
 
     def sparse(self, queries: DataFrame) -> DataFrame:
-        """R3 with the learned-sparse stand-in."""
-        if self.store is not None:
-            raise ValueError("a store's learned-sparse vectors cannot be searched yet; set enable_sparse=False")
+        """R3 with the learned-sparse stand-in. A written store is searched
+        through its ``sparse_vector`` maps."""
         q = encode.sparse_vectors(queries, "query_text", key="query_id")
         q = q.withColumnRenamed("term_id", "term")
         small = at_most(q, MAX_BROADCAST_ROWS)
-        if small:
+        if self.store is not None:
+            k, vector = self.settings.top_k, "sparse_vector"
+            if small:
+                hits = search.bm25_scan_topk(q, self.chunks, None, k, doc_weight="stored", stored=vector)
+            else:
+                post = self.chunks.select("pk", F.explode(vector).alias("term", "weight"))
+                hits = search.sparse_topk(q, post.withColumn("weight", F.col("weight").cast("double")), k, False)
+        elif small:
             hits = search.bm25_scan_topk(
                 q, self.chunks, None, self.settings.top_k, doc_weight="log_tf", term_key=term_id
             )
