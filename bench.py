@@ -32,6 +32,13 @@ HEADLINE = [
     "recursive_chunks",
     "knowledge_table",
     "postings",
+    "store_full_text_topk",
+    "store_full_text_topk_scan",
+    "store_cascade_answer",
+    "conversation_full_text_topk",
+    "full_text_topk_join",
+    "dense_topk_blocked",
+    "cascade_answer_eager",
 ]
 
 
@@ -56,13 +63,18 @@ def main() -> None:
     times = {}
     # the knowledge build (chunks + token counts, BM25 vocabulary, dense
     # vectors) runs once, as in a deployment; queries then reuse it
-    from quarry.plans.registry import _retriever
+    from quarry.plans.registry import _retriever, _store_root
 
     t0 = time.perf_counter()
     r = _retriever(spark, sf_dir)
     r.index, r.vectors  # noqa: B018 - force the written tables
     times["corpus_build"] = round(time.perf_counter() - t0, 3)
     print(f"corpus_build: {times['corpus_build']}s", file=sys.stderr, flush=True)
+    # the write of the store apart from the queries that read it
+    t0 = time.perf_counter()
+    _store_root(spark, sf_dir)
+    times["store_write"] = round(time.perf_counter() - t0, 3)
+    print(f"store_write: {times['store_write']}s", file=sys.stderr, flush=True)
     for name in names:
         t0 = time.perf_counter()
         df = QUERIES[name](spark, sf_dir)

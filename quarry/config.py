@@ -99,3 +99,4 @@ class Settings:
     strategies: tuple = field(default=STRATEGIES)
     dry_run: bool = False
     max_output_tokens: int = MAX_OUTPUT_TOKENS
+    stop_words: tuple = ()  # dropped by the analyzer on the corpus and the query side alike

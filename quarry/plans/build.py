@@ -93,7 +93,7 @@ def page_chunks(
     chunks = chunk(
         secs, key_cols=["page_id", "section_pos"], size=settings.chunk_size, overlap=settings.chunk_overlap
     )
-    return materialize(bm25.with_terms(chunks))
+    return materialize(bm25.with_terms(chunks, stop_words=list(settings.stop_words)))
 
 
 def build_store(

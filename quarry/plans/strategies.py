@@ -135,8 +135,9 @@ class Retriever:
         otherwise the relational postings join is planned. A written store is
         searched through its postings (``search_store``)."""
         if self.store is not None:
-            return search_store(self.store, queries, self.settings.top_k).select(*HIT_COLS)
-        qw, small = bm25.query_weights(queries, self.index.vocab)
+            found = search_store(self.store, queries, self.settings.top_k, stop_words=list(self.settings.stop_words))
+            return found.select(*HIT_COLS)
+        qw, small = bm25.query_weights(queries, self.index.vocab, list(self.settings.stop_words))
         if small:
             hits = search.bm25_scan_topk(qw, self.chunks, self.avgdl, self.settings.top_k)
         else:

@@ -106,9 +106,11 @@ def search_store(
     max_broadcast_rows: int = 2_000_000,
     max_filter_terms: int = 10_000,
     plan: str = "auto",
+    stop_words: list[str] | None = None,
 ) -> DataFrame:
     """Full-text top k over a written store (S9 then R4), the reference's
-    query path: query terms weighted by the stored ``bm25_terms`` idf.
+    query path: query terms weighted by the stored ``bm25_terms`` idf
+    (``stop_words``: those the store was built with).
 
     * ``postings`` (default when the query side is proven small and has at
       most ``max_filter_terms`` distinct terms): the terms and their buckets
@@ -123,7 +125,7 @@ def search_store(
 
     # one precision for both stored forms: maps hold floats
     postings = store.postings.withColumn("weight", F.col("weight").cast("float").cast("double"))
-    qw, small = bm25.query_weights(queries, store.bm25_terms, max_broadcast_rows=max_broadcast_rows)
+    qw, small = bm25.query_weights(queries, store.bm25_terms, stop_words, max_broadcast_rows=max_broadcast_rows)
     if small and plan in ("auto", "postings"):
         qp = qw.toPandas()  # proven small above
         terms = sorted(set(qp["term"]))

@@ -2,8 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from quarry.config import Settings
 from quarry.operators import encode
+from quarry.plans import build
 from quarry.plans.registry import QUERIES
+from quarry.plans.strategies import Retriever
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +42,20 @@ def test_page_store_holds_the_page_chunks(spark):
     apart = F.expr("aggregate(zip_with(dense_vector, vector, (a, b) -> abs(a - b)), 0D, (s, x) -> s + x)")
     assert both.count() == stored.count() > 0
     assert both.where(apart > 1e-4).count() == 0
+
+
+def test_stop_words_hold_on_both_sides(spark, tmp_path):
+    pages = spark.createDataFrame(
+        [
+            (1, "https://h/a/i.html", "<body><section><a href='x'>the red fox</a></section></body>"),
+            (2, "https://h/a/j.html", "<body><section><a href='y'>the blue hen</a></section></body>"),
+            (3, "https://h/a/k.html", "<body><section><a href='z'>a green owl</a></section></body>"),
+        ],
+        "page_id long, url string, html string",
+    )
+    settings = Settings(stop_words=("the", "a"))
+    build.build_and_write(pages, str(tmp_path / "s"), settings)
+    r = Retriever.from_store(spark, str(tmp_path / "s"), settings)
+    assert {x.term for x in r.index.vocab.collect()} == {"red", "fox", "blue", "hen", "green", "owl"}
+    queries = spark.createDataFrame([(1, "the hen"), (2, "the a")], "query_id long, query_text string")
+    assert [(h.query_id, h.text) for h in r.full_text(queries).collect()] == [(1, "the blue hen")]
