@@ -1,13 +1,10 @@
 """LM scoring with a hierarchical Pitman-Yor model.
 
-Tokens are lower-cased words and one end per text. Words that make up
-``SHORTLIST`` of all training tokens or more (so at most ``1/SHORTLIST``
-words, at any corpus size) are symbols of their own; with END and RARE they
-are the symbols of the sequence model. Every symbol as a context has a
-restaurant, and all context restaurants share one parent restaurant over the
-symbols, whose base is uniform. A rare word is spelled out by one more
-restaurant over all rare words with a uniform base:
-``P(w | u) = P(RARE | u) * P(w | RARE)``.
+Tokens are lower-cased words and one end per text. Every training word, however
+rare, is a symbol of its own: as a context it has a restaurant, and all context
+restaurants share one parent restaurant over the words, whose base is uniform
+over the training words and one place for all unseen ones. An unseen context
+has no guests and answers with the parent. Contexts are one word deep.
 
 Seating is sampled by Gibbs on table counts: given the other dishes' tables,
 the number of tables of a dish with c customers is drawn from its exact
@@ -16,7 +13,12 @@ customers after those are seated one after another, in growing strides. All
 dishes of a restaurant are drawn at once from the last sweep's state.
 Predictive probabilities are averaged over ``SAMPLES`` sweeps after ``BURN``.
 Draws come from hashes of dish and sweep, so a task that runs again repeats
-them, and a sweep needs no stored state but the parents' of earlier sweeps.
+them.
+
+Nothing of the size of the vocabulary is held by the driver or broadcast: words,
+contexts and pairs are tables joined by Spark. A dish of one customer always has
+one table, so sweeps touch only pairs seen twice or more; keys with many of
+these are cut into parts of about ``PART_ROWS``.
 
 Counts cover all training texts. Texts are never shuffled for counting: a
 block is a stretch of an input split, blocks exchange distinct words and
@@ -39,13 +41,14 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import crc_mod, mix, ship, slices, text_buffer, words, written
 
-SHORTLIST = 1e-5
 BURN, SAMPLES = 2, 3
 EXACT = 64
 STRENGTH = 1.0
 BLOCK_BYTES = 32 << 20
-#: Contexts of a task, and rows that it holds at once.
-CONTEXTS, RUN_ROWS = 256, 500_000
+#: Pairs that a task draws at once, and pairs of one key in one part of a join.
+RUN_ROWS, PART_ROWS = 200_000, 10_000
+#: The symbol after (and, as a context, before) every text; a fixed value.
+END = np.uint64(0x9D39247E33776D41)
 
 
 def stirling(discount: float, n: int = EXACT) -> np.ndarray:
@@ -123,55 +126,59 @@ class Texts:
                     yield block, part
 
     @staticmethod
-    def sums(stream: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        """Distinct keys of each block with the sum of their weights."""
-
-        def flush(block, keys, weights):
-            k, at = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate(weights)).astype(np.int64)
-            for i in range(0, len(k), 100_000):
-                size = len(k[i : i + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, block, np.int64)), pa.array(k[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000])], names=["block", "key", "n"])
-
-        now, keys, weights = None, [], []
-        for block, k, w in stream:
-            if block != now and keys:
-                yield from flush(now, keys, weights)
-                keys, weights = [], []
+    def sums(stream: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Distinct pairs ``(key, context)`` of each block with the sum of their
+        weights, and its distinct words as rows without a context."""
+
+        def rows(block, keys, contexts, n):
+            for i in range(0, len(keys), 100_000):
+                k, c = keys[i : i + 100_000], None if contexts is None else contexts[i : i + 100_000]
+                c = pa.nulls(len(k), pa.int64()) if c is None else pa.array(c.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block, np.int64)), pa.array(k.view(np.int64)), c, pa.array(n[i : i + 100_000])], names=["block", "key", "context", "n"])
+
+        def flush(block, keys, contexts, weights):
+            k, c, n = distinct(np.concatenate(keys), np.concatenate(contexts), np.concatenate(weights))
+            n = n.astype(np.int64)
+            yield from rows(block, k, c, n)
+            word, at = np.unique(pair_key(c, k), return_inverse=True)
+            yield from rows(block, word, None, np.bincount(at, weights=n).astype(np.int64))
+
+        def distinct(k, c, w):
+            k, first, at = np.unique(k, return_index=True, return_inverse=True)
+            return k, c[first], np.bincount(at, weights=w)
+
+        now, held = None, ([], [], [])
+        for block, *part in stream:
+            if block != now and held[0]:
+                yield from flush(now, *held)
+                held = ([], [], [])
             now = block
-            if len(k):
+            if len(part[0]):
                 # whole numbers of repeats keep what waits small
-                k, at = np.unique(k, return_inverse=True)
-                keys.append(k)
-                weights.append(np.bincount(at, weights=w))
-        if keys:
-            yield from flush(now, keys, weights)
-
-
-def symbols(hashes: np.ndarray, first: np.ndarray, shortlist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all rows with END after each (and each row's first place)."""
-    end, rare = len(shortlist), len(shortlist) + 1
-    at = np.searchsorted(shortlist, hashes)
-    known = np.zeros(len(hashes), bool)
-    inside = at < end
-    known[inside] = shortlist[at[inside]] == hashes[inside]
-    word = np.where(known, at, rare)
+                for waiting, x in zip(held, distinct(*part)):
+                    waiting.append(x)
+        if held[0]:
+            yield from flush(now, *held)
+
+
+def sequence(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all rows with END after each row, the word before each (END
+    before a row's first), and each row's first place."""
     rows = len(first) - 1
-    out = np.full(len(hashes) + rows, end, np.int64)
-    out[np.arange(len(hashes)) + np.repeat(np.arange(rows), np.diff(first))] = word
-    return out, first + np.arange(rows + 1)
+    out = np.full(len(hashes) + rows, END, np.uint64)
+    out[np.arange(len(hashes)) + np.repeat(np.arange(rows), np.diff(first))] = hashes
+    return out, np.concatenate([[END], out])[:-1].astype(np.uint64), first + np.arange(rows + 1)
 
 
-def pairs(seq: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
-    """``context * size + symbol``; END is the context of a text's first token."""
-    before = np.concatenate([[0], seq[:-1]])
-    before[first[:-1]] = size - 2
-    return before * size + seq
+def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A pair's 64-bit key; with the key for ``word`` it gives the word back."""
+    return word ^ (context << np.uint64(1) | context >> np.uint64(63))
 
 
 def _restaurants(frame: pa.Table, size: int, parents: list[np.ndarray], discount: float, sweeps: int):
-    """Runs the chain of the contexts in ``frame`` (sorted by key) and returns
-    keys, counts and the tables after each sweep."""
+    """The chain of all contexts in one ``frame`` (sorted by key) held in memory:
+    keys, counts and the tables after each sweep. The joined chain below draws
+    the same way; tests use this one."""
     key, c = frame.column("key").to_numpy(), frame.column("c").to_numpy()
     logs = stirling(discount)
     context, dish = key // size, key % size
@@ -185,183 +192,145 @@ def _restaurants(frame: pa.Table, size: int, parents: list[np.ndarray], discount
     return key, c, context, dish, starts, out
 
 
-def context_runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
-    """Rows of whole contexts, about ``RUN_ROWS`` at a time; a context has at
-    most one row for each symbol."""
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows, about ``RUN_ROWS`` at a time."""
     waiting, n = [], 0
     for batch in batches:
         waiting.append(batch)
         n += batch.num_rows
         if n >= RUN_ROWS:
-            table = pa.Table.from_batches(waiting)
-            context = table.column("key").to_numpy() // size
-            done = np.flatnonzero(context != context[-1])
-            if len(done):
-                cut = int(done[-1]) + 1
-                yield table.slice(0, cut)
-                waiting = table.slice(cut).to_batches()
-                n -= cut
+            yield pa.Table.from_batches(waiting)
+            waiting, n = [], 0
     if n:
         yield pa.Table.from_batches(waiting)
 
 
-class Model:
-    """What scoring needs besides the counts of a block's own words and pairs;
-    all arrays are bounded by the shortlist."""
+def parted(pairs: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` with a column ``{by}_part`` that cuts the pairs of one ``by``
+    into parts of about ``PART_ROWS``, and the values of ``by`` with many parts."""
+    many = pairs.groupBy(by).agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")).where("parts > 1")
+    many = written(many, f"lm-parts-{by}")
+    cut = pairs.join(F.broadcast(many), by, "left")  # at most one row for PART_ROWS pairs
+    return cut.withColumn(f"{by}_part", F.expr("cast(pmod(xxhash64(key), coalesce(parts, 1)) as int)")).drop("parts"), many
 
-    def __init__(self, shortlist, counts, end_count, train_tokens, types, backoff, parents, rare_rest, rare_types):
-        self.shortlist, self.counts, self.end_count = shortlist, counts, end_count
-        self.train_tokens, self.types = train_tokens, types
-        self.backoff, self.parents = backoff, parents  # samples x symbols
-        self.rare_rest, self.rare_types = rare_rest, rare_types
 
+def spread(table: DataFrame, many: DataFrame, by: str) -> DataFrame:
+    """``table`` with a row for each part of its ``by``."""
+    wide = table.join(F.broadcast(many), by, "left")
+    return wide.withColumn(f"{by}_part", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)"))).drop("parts")
 
-def fit_and_score(df: DataFrame, text: str = "text", key: str = "doc_id", in_place: bool = False, shortlist_share: float = SHORTLIST) -> DataFrame:
+
+def fit_and_score(df: DataFrame, text: str = "text", key: str = "doc_id", in_place: bool = False) -> DataFrame:
     """``key, held_out, n_tokens, n_known, train_tokens, base_score, score``
     of every row; rows whose crc32 of the id mod 7 is not 2 are learnt from.
     ``in_place``: ``df`` is a plain scan of files and need not be written
     first (blocks are named by file and split)."""
-    spark = ship(df)
+    ship(df)
     kind = df.schema[key].dataType.simpleString()
     docs = df.select(F.col(key).alias("k"), F.col(text).alias("text"))
     if not in_place:
         docs = written(docs, "lm-texts")
     docs = docs.select("k", "text", (crc_mod(F.col("k"), 7) != 2).alias("train"), F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("source"))
 
-    def train_rows(part):
-        return part.column("train").to_numpy(zero_copy_only=False).astype(np.float64)
-
-    def word_counts(batches):
+    # 1. the blocks' distinct words and pairs, and all counts
+    def counts(batches):
         def stream():
             for block, part in Texts.blocks(batches):
-                h, first = words(*text_buffer(part.column("text")))
-                yield block, h, np.repeat(train_rows(part), np.diff(first))
+                seq, before, first = sequence(*words(*text_buffer(part.column("text"))))
+                train = part.column("train").to_numpy(zero_copy_only=False).astype(np.float64)
+                yield block, pair_key(before, seq), before, np.repeat(train, np.diff(first))
 
         yield from Texts.sums(stream())
 
-    # 1. words: all counts; the shortlist is bounded by 1 / share
-    asked = written(docs.mapInArrow(word_counts, "block bigint, key bigint, n bigint"), "lm-words")
-    counted = written(asked.groupBy("key").agg(F.sum("n").alias("c")), "lm-counts")
-    ends = docs.where("train").count()
-    total = counted.agg(F.sum("c"), F.sum(F.when(F.col("c") > 0, 1))).first()
-    train_tokens, types = int(total[0] or 0) + ends, int(total[1] or 0) + (ends > 0)
-    least = max(2, int(np.ceil(shortlist_share * train_tokens)))
-    top = counted.where(F.col("c") >= least).orderBy("key").collect()
-    top_hash, top_count = np.array([r["key"] for r in top], np.int64).view(np.uint64), np.array([r["c"] for r in top], np.int64)
-    order = np.argsort(top_hash)
-    shortlist, counts = top_hash[order], top_count[order]
-    size = len(shortlist) + 2
-
-    # 2. rare words: one restaurant, tables drawn where the counts lie
-    rare = counted.where((F.col("c") < least) & (F.col("c") > 0))
-    stat = rare.agg(F.count("*"), F.sum("c"), F.sum(F.when(F.col("c") == 1, 1)), F.sum(F.when(F.col("c") == 2, 1))).first()
-    rare_types, rare_tokens = int(stat[0]), int(stat[1] or 0)
-    rare_discount = discount_of(stat[2] or 0, stat[3] or 0)
-    rare_base = 1 / (rare_types + 1)
-    tables = [float(rare_types)]  # all tables before each sweep
-
-    def rare_tables(c, dish, totals):
-        logs, t, out = stirling(rare_discount), np.minimum(c, 1), []
-        for s, whole in enumerate(totals):
-            t = draw_tables(c, np.full(len(c), rare_base), whole - t, rare_discount, STRENGTH, dish, 10_000 * s + 7, logs)
-            out.append(t)
-        return out
-
-    def rare_sum(batches):
-        for batch in batches:
-            c, dish = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("c", "key"))
-            yield pa.RecordBatch.from_arrays([pa.array([int(rare_tables(c, dish, tables)[-1].sum())])], names=["t"])
-
-    for _ in range(BURN + SAMPLES):
-        tables.append(float(rare.mapInArrow(rare_sum, "t bigint").agg(F.sum("t")).first()[0] or 0))
-    kept = tables[BURN + 1 :]
-    rare_rest = float(np.mean([(STRENGTH + rare_discount * t) / (STRENGTH + rare_tokens) * rare_base for t in kept]))
-
-    def rare_values(batches):
-        for batch in batches:
-            c, dish = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("c", "key"))
-            value = np.zeros(len(c))
-            seen = c > 0
-            if seen.any():
-                drawn = rare_tables(c[seen], dish[seen], tables[:-1])[BURN:]
-                value[seen] = np.mean([(c[seen] - rare_discount * t) / (STRENGTH + rare_tokens) for t in drawn], axis=0)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("c"), pa.array(value)], names=["key", "c", "value"])
-
-    answers = counted.where(F.col("c") < least).mapInArrow(rare_values, "key bigint, c bigint, value double")
-    word_rows = asked.select("block", "key").join(answers, "key").select("block", "key", "c", F.col("value").cast("float"))
-
-    # 3. pairs of symbols: a restaurant for each context, one parent for all
-    shared_list = spark.sparkContext.broadcast(shortlist)
-
-    def pair_counts(batches):
-        def stream():
-            for block, part in Texts.blocks(batches):
-                seq, first = symbols(*words(*text_buffer(part.column("text"))), shared_list.value)
-                yield block, pairs(seq, first, size).view(np.uint64), np.repeat(train_rows(part), np.diff(first))
-
-        yield from Texts.sums(stream())
-
-    asked_pairs = written(docs.mapInArrow(pair_counts, "block bigint, key bigint, n bigint"), "lm-pairs")
-    seated = asked_pairs.groupBy("key").agg(F.sum("n").alias("c")).where("c > 0")
-    seated = seated.withColumn("context", F.expr(f"key div {size}")).repartition("context").sortWithinPartitions("key").select("key", "c")
-    seated = written(seated, "lm-seated")
+    asked = written(docs.mapInArrow(counts, "block bigint, key bigint, context bigint, n bigint"), "lm-asked")
+    asked_words, asked_pairs = asked.where("context is null"), asked.where("context is not null")
+    counted = asked_words.groupBy(F.col("key").alias("dish")).agg(F.sum("n").alias("c")).where("c > 0")
+    seated = written(asked_pairs.where("n > 0").groupBy("key", "context").agg(F.sum("n").alias("c")), "lm-seated")
+    seated = seated.withColumn("dish", F.expr("key ^ (shiftleft(context, 1) | shiftrightunsigned(context, 63))"))
     stat = seated.agg(F.sum(F.when(F.col("c") == 1, 1)), F.sum(F.when(F.col("c") == 2, 1))).first()
     discount = discount_of(stat[0] or 0, stat[1] or 0)
-    start = np.append(counts, [ends, rare_tokens]).astype(np.float64) + 1
-    parents = [start / start.sum()]
+    alone = F.count(F.when(F.col("c") == 1, 1)).alias("alone")  # dishes of one customer: one table each
+    rooms = written(seated.groupBy("context").agg(F.sum("c").alias("guests"), alone), "lm-rooms")
+    dishes = written(counted.join(seated.groupBy("dish").agg(alone), "dish"), "lm-dishes")
+    stat = dishes.agg(F.sum("c"), F.count("*")).first()
+    train_tokens, types = int(stat[0] or 0), int(stat[1])
+    base = 1 / (types + 1)
+
+    # 2. sweeps: a restaurant for each context, one parent for all
+    state = seated.where("c > 1")
+    state, many_contexts = parted(state, "context")
+    state, many_dishes = parted(state, "dish")
+    state = written(state.withColumn("t", F.lit(1).cast("bigint")), "lm-state-first")
+    dishes = dishes.withColumn("root", F.lit(1).cast("bigint"))
+    p = (F.col("c") + 1) / F.lit(float(train_tokens + types + 1))
+    root_discount, root_total = 0.5, types
+    unseen, samples = [], []  # the parent's leftover, and p of a word, of each sample
+
+    def room_tables(column: str, name: str) -> DataFrame:
+        tables = state.groupBy("context").agg(F.sum(column).alias("more"))
+        return rooms.join(tables, "context", "left").select("context", "guests", (F.col("alone") + F.coalesce("more", F.lit(0))).alias(name))
+
+    def sweep(s: int):
+        def run(batches):
+            logs = stirling(discount)
+            for rows in runs(batches):
+                c, t, total, p, pair = (rows.column(x).to_numpy() for x in ("c", "t", "total", "p", "key"))
+                drawn = draw_tables(c, p, total - t, discount, STRENGTH, pair, 10_000 * s, logs)
+                yield from rows.drop_columns(["t", "total", "p"]).append_column("t", pa.array(drawn)).to_batches()
 
-    # a task sums the tables of its contexts by dish: few tasks, few sums
-    few = -(-size // CONTEXTS)
-    by_context = lambda: seated.withColumn("context", F.expr(f"key div {size}")).repartition("context").sortWithinPartitions("key").select("key", "c").coalesce(few)
+        return run
 
-    def sweep(ahead):
+    def root_sweep(s: int, total: int):
         def run(batches):
-            for frame in context_runs(batches, size):
-                *_, dish, _, drawn = _restaurants(frame, size, ahead.value, discount, len(ahead.value))
-                m = np.bincount(dish, weights=drawn[-1])
-                at = np.flatnonzero(m)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(m[at].astype(np.int64))], names=["dish", "t"])
+            logs = stirling(root_discount)
+            for rows in runs(batches):
+                m, root, dish = (rows.column(x).to_numpy() for x in ("m", "root", "dish"))
+                drawn = draw_tables(m, np.full(len(m), base), total - root, root_discount, STRENGTH, dish, 10_000 * s + 3, logs)
+                yield from rows.drop_columns(["root"]).append_column("root", pa.array(drawn)).to_batches()
 
         return run
 
-    root_discount, root_logs = 0.5, stirling(0.5)
-    root_tables, sampled = np.ones(size, np.int64), []
     for s in range(BURN + SAMPLES):
-        ahead = spark.sparkContext.broadcast(parents)
-        m = np.zeros(size, np.int64)
-        for r in by_context().mapInArrow(sweep(ahead), "dish bigint, t bigint").groupBy("dish").agg(F.sum("t").alias("t")).collect():
-            m[r.dish] = r.t
-        ahead.destroy()
-        root_tables = np.where(m > 0, np.maximum(root_tables, 1), 0)
-        root_tables = draw_tables(m, np.full(size, 1 / size), root_tables.sum() - root_tables, root_discount, STRENGTH, np.arange(size), 10_000 * s + 3, root_logs)
-        p = (m - root_discount * root_tables + (STRENGTH + root_discount * root_tables.sum()) / size) / (STRENGTH + m.sum())
+        room = spread(room_tables("t", "total").select("context", "total"), many_contexts, "context")
+        dish = spread(dishes.select("dish", p.alias("p")), many_dishes, "dish")
+        ready = state.join(room, ["context", "context_part"]).join(dish, ["dish", "dish_part"])
+        names = [x for x in state.columns if x != "t"]
+        shape = ", ".join(f"{x} {state.schema[x].dataType.simpleString()}" for x in [*names, "t"])
+        drawn = ready.select(*names, "t", "total", "p").mapInArrow(sweep(s), shape)
+        if s >= BURN:
+            drawn = drawn.withColumn(f"t{s - BURN}", F.col("t"))
+        state = written(drawn, f"lm-state-{s}")
+        tables = state.groupBy("dish").agg(F.sum("t").alias("more"))
+        fed = dishes.drop("m").join(tables, "dish", "left").withColumn("m", F.col("alone") + F.coalesce("more", F.lit(0))).drop("more")
+        shape = ", ".join(f"{x} {t}" for x, t in [*[x for x in fed.dtypes if x[0] != "root"], ("root", "bigint")])
+        dishes = written(fed.mapInArrow(root_sweep(s, root_total), shape), f"lm-dishes-{s}")
+        stat = dishes.agg(F.sum("root"), F.sum("m")).first()
+        root_total, guests = int(stat[0] or 0), int(stat[1] or 0)
+        leftover = (STRENGTH + root_discount * root_total) / (STRENGTH + guests) * base
+        p = (F.col("m") - root_discount * F.col("root")) / F.lit(STRENGTH + guests) + F.lit(leftover)
         if s >= BURN:
-            sampled.append(p)
-        parents.append(p)
-    chain = spark.sparkContext.broadcast(parents[:-1])
-
-    def pair_values(batches):
-        for frame in context_runs(batches, size):
-            k, c, context, _, starts, drawn = _restaurants(frame, size, chain.value, discount, BURN + SAMPLES)
-            length = np.diff(np.append(starts, len(k)))
-            guests = np.add.reduceat(c, starts).astype(np.float64)
-            value = np.mean([c - discount * t for t in drawn[BURN:]], axis=0) / (STRENGTH + np.repeat(guests, length))
-            rest = [(STRENGTH + discount * np.add.reduceat(t, starts)) / (STRENGTH + guests) for t in drawn[BURN:]]
-            # contexts' back-off weights travel as rows of negative keys
-            keys = np.concatenate([k, *[-1 - (context[starts] * SAMPLES + i) for i in range(SAMPLES)]])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([value, *rest]))], names=["key", "value"])
-
-    values = written(by_context().mapInArrow(pair_values, "key bigint, value double"), "lm-pair-values")
-    backoff = np.ones((SAMPLES, size))
-    for r in values.where("key < 0").collect():  # at most symbols x samples
-        at = -1 - r["key"]
-        backoff[at % SAMPLES, at // SAMPLES] = r["value"]
-    pair_rows = asked_pairs.select("block", "key").join(values, "key").select("block", "key", F.lit(-1).cast("bigint").alias("c"), F.col("value").cast("float"))
+            unseen.append(leftover)
+            dishes = dishes.withColumn(f"p{s - BURN}", p)
+            samples.append(f"p{s - BURN}")
+
+    # 3. answers: words as dish and as context, and what pairs add
+    both = state.groupBy("context").agg(*[F.sum(f"t{i}").alias(f"t{i}") for i in range(SAMPLES)])
+    opened = rooms.join(both, "context", "left")
+    share = [((STRENGTH + discount * (F.col("alone") + F.coalesce(f"t{i}", F.lit(0)))) / (STRENGTH + F.col("guests"))).alias(f"b{i}") for i in range(SAMPLES)]
+    opened = opened.select(F.col("context").alias("key"), "guests", *share)
+    served = dishes.select(F.col("dish").alias("key"), "c", *samples)
+    facts = ["c", "guests", *[f"b{i}" for i in range(SAMPLES)], *samples]
+    absent = [0.0, 0.0, *[1.0] * SAMPLES, *unseen]
+    known = served.join(opened, "key", "full")
+    known = known.select("key", F.array(*[F.coalesce(F.col(x).cast("double"), F.lit(float(d))) for x, d in zip(facts, absent)]).alias("extra"))
+    word_rows = asked_words.select("block", "key").join(known, "key", "left")
+    word_rows = word_rows.select("block", "key", F.lit(0.0).alias("x"), F.coalesce("extra", F.array(*[F.lit(float(d)) for d in absent])).alias("extra"))
+    mean = sum((F.col(f"t{i}") for i in range(SAMPLES)), F.lit(0.0)) / SAMPLES
+    pair_values = seated.select("key", "c").join(state.select("key", mean.alias("t")), "key", "left")
+    pair_values = pair_values.select("key", (F.col("c") - discount * F.coalesce("t", F.lit(1.0))).alias("x"))
+    pair_rows = asked_pairs.select("block", "key").join(pair_values, "key").select("block", "key", "x", F.lit(None).cast("array<double>").alias("extra"))
 
     # 4. texts meet their block's answers
-    model = Model(shortlist, counts, ends, train_tokens, types, backoff, np.array(sampled), rare_rest, rare_types)
-    shared = spark.sparkContext.broadcast(model)
-
     def place(batches):
         for block, part in Texts.blocks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, block, np.int64)), part.column("k"), part.column("text")], names=["block", "k", "text"])
@@ -369,7 +338,7 @@ def fit_and_score(df: DataFrame, text: str = "text", key: str = "doc_id", in_pla
     texts = docs.mapInArrow(place, f"block bigint, k {kind}, text string")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _score_block(left, right, shared.value, kind)
+        return _score_block(left, right, train_tokens + types + 1)
 
     schema = f"k {kind}, n_tokens bigint, n_known bigint, base_score double, score double"
     scored = texts.groupBy("block").cogroup(word_rows.unionByName(pair_rows).groupBy("block")).applyInArrow(score, schema)
@@ -378,42 +347,40 @@ def fit_and_score(df: DataFrame, text: str = "text", key: str = "doc_id", in_pla
     )
 
 
-def _lookup(keys: np.ndarray, values: list[np.ndarray], wanted: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    order = np.argsort(keys)
-    keys = keys[order]
-    at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
-    found = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
-    return found, [np.where(found, v[order][at], 0) if len(keys) else np.zeros(len(wanted)) for v in values]
-
-
-def _score_block(left: pa.Table, right: pa.Table, m: Model, kind: str) -> pa.Table:
-    key, c, value = (right.column(x).to_numpy() for x in ("key", "c", "value"))
-    rows, size = [], len(m.shortlist) + 2
-    end, rare = size - 2, size - 1
-    w, p = c >= 0, c < 0  # rows of pairs carry no count
-    known_counts = np.append(m.counts, [m.end_count, 0])
+def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted key is among the sorted ``keys``, and whether it is."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _score_block(left: pa.Table, right: pa.Table, base_total: int) -> pa.Table:
+    key = right.column("key").to_numpy().view(np.uint64)
+    extra = right.column("extra").combine_chunks()
+    is_word = extra.is_valid().to_numpy(zero_copy_only=False)
+    facts = extra.drop_null().flatten().to_numpy().reshape(-1, 2 + 2 * SAMPLES)
+    word, pair, value = key[is_word], key[~is_word], right.column("x").to_numpy()[~is_word]
+    order = np.argsort(word)
+    word, facts = word[order], facts[order]
+    order = np.argsort(pair)
+    pair, value = pair[order], np.append(value[order], 0)
+    rows = []
     for batch in left.select(["k", "text"]).combine_chunks().to_batches():
         for part in slices(batch, "text"):
-            hashes, first = words(*text_buffer(part.column("text")))
-            seq, first2 = symbols(hashes, first, m.shortlist)
-            count = known_counts[seq].astype(np.float64)
-            is_rare = seq == rare
-            spelled = np.ones(len(seq))
-            if is_rare.any():
-                wanted = hashes[np.delete(seq, first2[1:] - 1) == rare].view(np.int64)
-                found, (c1, v1) = _lookup(key[w], [c[w], value[w]], wanted)
-                if not found.all():
-                    raise RuntimeError("a block's words changed between two scans of the input")
-                count[is_rare] = c1
-                spelled[is_rare] = v1 + m.rare_rest
-            pair = pairs(seq, first2, size)
-            _, (seated,) = _lookup(key[p], [value[p]], pair)
-            rest = np.mean([b[pair // size] * q[seq] for b, q in zip(m.backoff, m.parents)], axis=0)
-            logs = np.log10((seated + rest) * spelled)
-            base = np.log10((count + 1) / (m.train_tokens + m.types + 1))
+            seq, before, first = sequence(*words(*text_buffer(part.column("text"))))
+            at, found = _places(word, seq)
+            ahead, found_ahead = _places(word, before)
+            if not (found.all() and found_ahead.all()):
+                raise RuntimeError("a block's words changed between two scans of the input")
+            place, seen = _places(pair, pair_key(before, seq))
+            added = np.where(seen, value[place], 0) / (STRENGTH + facts[ahead, 1])
+            rest = (facts[ahead, 2 : 2 + SAMPLES] * facts[at, 2 + SAMPLES :]).mean(1)
+            count = facts[at, 0]
+            logs, base = np.log10(added + rest), np.log10((count + 1) / base_total)
             rows.append(
                 pa.RecordBatch.from_arrays(
-                    [part.column("k"), pa.array(np.diff(first2)), pa.array(np.add.reduceat((count > 0).astype(np.int64), first2[:-1])), pa.array(np.add.reduceat(base, first2[:-1])), pa.array(np.add.reduceat(logs, first2[:-1]))],
+                    [part.column("k"), pa.array(np.diff(first)), pa.array(np.add.reduceat((count > 0).astype(np.int64), first[:-1])), pa.array(np.add.reduceat(base, first[:-1])), pa.array(np.add.reduceat(logs, first[:-1]))],
                     names=["k", "n_tokens", "n_known", "base_score", "score"],
                 )
             )

@@ -338,3 +338,63 @@ def test_thinned_keeps_every_wanted_row(spark):
     assert asked <= kept and None not in kept
     assert len(kept - asked) < 2_000
     assert common.thinned(rows, wanted.where("false"), "k").count() == 0
+
+
+def test_every_training_word_has_a_context_restaurant(spark):
+    # "left" and "right" stay far under 1e-5 of the tokens
+    filler = " ".join(["w"] * 10_000)
+    learnt = [(i, filler) for i in range(60)] + [(1000 + i, "left one right two") for i in range(3)]
+    asked = [(i, t) for i, t in ((2000, "left one"), (2001, "left two"), (2002, "right two"), (2003, "right one"), (2004, "left unseen"))]
+    ids = [d for d in range(5000, 6000) if zlib.crc32(str(d).encode()) % 7 == 2]
+    texts = [(d if zlib.crc32(str(d).encode()) % 7 != 2 else d + 10_000, t) for d, t in learnt]
+    texts = [(d, t) for d, t in texts if zlib.crc32(str(d).encode()) % 7 != 2] + [(ids[i], t) for i, (_, t) in enumerate(asked)]
+    assert sum(t.startswith("left one right") for _, t in texts) >= 2 and sum(len(t.split()) for _, t in texts) > 300_000
+    got = {r.doc_id: r.score for r in lm_scoring.fit_and_score(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(2)).collect()}
+    one, two, right_two, right_one, unseen = (got[ids[i]] for i in range(5))
+    # what starts and ends the texts cancels; one shared context would leave 0
+    assert one + right_two - two - right_one > 1 and unseen < one
+
+
+def test_lm_scores_equal_the_chain_in_memory(spark, rows, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PART_ROWS", 2)
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    texts = [(d, prose(rng, 60, 5 + d % 30)) for d in range(300)] + [(r[0] + 500, r[1]) for r in rows if r[0] is not None] + [(900, "unseen words w1"), (901, "")]
+    got = sorted((r.doc_id, r.score) for r in lm_scoring.fit_and_score(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)).collect())
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in texts}
+    tokens = [(d, [int(h) for h in common.words(*common.text_buffer(pa.array([t])))[0]] if t else []) for d, t in texts]
+    end, turned = int(lm_scoring.END), lambda u, w: w ^ ((u << 1 | u >> 63) & (2**64 - 1))
+    steps = lambda t: list(zip([end, *t], [*t, end]))
+    pairs = Counter(x for d, t in tokens if not held[d] for x in steps(t))
+    names = list(pairs)
+    c = np.array([pairs[x] for x in names])
+    key = np.array([turned(*x) for x in names], np.uint64).view(np.int64)
+    contexts, context = np.unique(np.array([u for u, _ in names], np.uint64), return_inverse=True)
+    dishes, dish = np.unique(np.array([w for _, w in names], np.uint64), return_inverse=True)
+    count = np.bincount(dish, weights=c)
+    total, types = int(c.sum()), len(dishes)
+    guests, singles = np.bincount(context, weights=c), list(pairs.values()).count(1)
+    discount = lm_scoring.discount_of(singles, list(pairs.values()).count(2))
+    t, root, p, base = np.minimum(c, 1), np.ones(types, np.int64), (count + 1) / (total + types + 1), 1 / (types + 1)
+    want = {x: 0 for _, tt in tokens for x in steps(tt)}
+    at = {int(u): i for i, u in enumerate(contexts)}, {int(w): i for i, w in enumerate(dishes)}
+    place, sums = {x: i for i, x in enumerate(names)}, np.zeros(len(contexts))
+    for s in range(lm_scoring.BURN + lm_scoring.SAMPLES):
+        others = np.bincount(context, weights=t).astype(np.int64)[context] - t
+        t = lm_scoring.draw_tables(c, p[dish], others, discount, 1.0, key, 10_000 * s, lm_scoring.stirling(discount))
+        m = np.bincount(dish, weights=t).astype(np.int64)
+        root = lm_scoring.draw_tables(m, np.full(types, base), root.sum() - root, 0.5, 1.0, dishes.view(np.int64), 10_000 * s + 3, lm_scoring.stirling(0.5))
+        left = (1 + 0.5 * root.sum()) / (1 + m.sum()) * base
+        p = (m - 0.5 * root) / (1 + m.sum()) + left
+        if s >= lm_scoring.BURN:
+            open_ = (1 + discount * np.bincount(context, weights=t)) / (1 + guests)
+            for u, w in want:
+                i, j, k = at[0].get(u), at[1].get(w), place.get((u, w))
+                rest = (1 if i is None else open_[i]) * (left if j is None else p[j])
+                want[u, w] += (rest + (0 if k is None else (c[k] - discount * t[k]) / (1 + guests[i]))) / lm_scoring.SAMPLES
+            sums += (np.bincount(context, weights=(c - discount * t)) / (1 + guests) + open_ * (p.sum() + left)) / lm_scoring.SAMPLES
+    assert np.abs(sums - 1).max() < 1e-9 and c.max() > lm_scoring.EXACT
+    wanted = sorted((d, sum(math.log10(want[x]) for x in steps(tt))) for d, tt in tokens)
+    assert [d for d, _ in got] == [d for d, _ in wanted]
+    assert np.allclose([x for _, x in got], [x for _, x in wanted], rtol=1e-9)
