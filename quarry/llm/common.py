@@ -91,6 +91,11 @@ def crc_mod(col, n: int):
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def text_key(column: str):
+    """128-bit hash of a text, by which equal texts are known; null for null."""
+    return F.unhex(F.md5(F.col(column)))
+
+
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser (splitmix64's), wrapping."""
     h = h.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & (2**64 - 1))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix, ship, slices, text_buffer, words
+from quarry.llm.common import mix, ship, slices, text_buffer, text_key, words
 
 #: Lossless for the window sizes and substitutions above.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 6, 7), (0, 1, 2, 3, 4))
@@ -145,8 +145,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     return best.select(F.col("k").alias(key), F.col("item").alias(item_key), "agree", "share")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
-    """``docs`` without the rows that hold a benchmark passage. A contaminated
-    row with a null id is removed only with all rows of null id."""
-    bad = contaminated(docs, benchmark, text, key, item_text, item_key).select(F.col(key).alias("_bad")).distinct()
-    return docs.join(bad, docs[key].eqNullSafe(F.col("_bad")), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
+    """``docs`` without the rows that hold a benchmark passage. Rows are judged
+    by their text alone, so null or repeated ids take no other row along."""
+    keyed = docs.withColumn("_text_key", text_key(text))
+    bad = contaminated(keyed, benchmark, text, "_text_key", item_text, item_key).select("_text_key").distinct()
+    return keyed.join(bad, "_text_key", "left_anti").select(*docs.columns)

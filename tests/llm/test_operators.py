@@ -398,3 +398,23 @@ def test_lm_scores_equal_the_chain_in_memory(spark, rows, monkeypatch):
     wanted = sorted((d, sum(math.log10(want[x]) for x in steps(tt))) for d, tt in tokens)
     assert [d for d, _ in got] == [d for d, _ in wanted]
     assert np.allclose([x for _, x in got], [x for _, x in wanted], rtol=1e-9)
+
+
+def test_stages_judge_rows_by_text_not_by_id(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    a, b, c, d, e = (prose(rng, 40, 3000) for _ in range(5))
+    item = prose(rng, 20, 3000)
+    bad = f"{a} {item}"
+    near = " ".join([*c.split()[:-1], "changed"])
+    data = [(5, a), (5, b), (3, b), (None, c), (None, c), (None, near), (None, d), (7, d), (8, e), (8, e), (9, ""), (None, ""), (10, None), (None, None)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect())
+    left = Counter([(5, a), (3, b), (7, d), (8, e), (9, ""), (None, ""), (10, None), (None, None)])
+    assert got in (left + Counter([(None, c)]), left + Counter([(None, near)]))
+    more = [*data, (None, bad), (5, bad), (8, bad)]
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows_ = spark.createDataFrame(more, "doc_id bigint, text string")
+    clean = corpus_pipeline.decontamination_stage(spark, rows_, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text) for r in clean) == Counter(data)
