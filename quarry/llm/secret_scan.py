@@ -2,7 +2,7 @@
 
 Base kinds are found by fixed patterns. The method adds kind ``novel``: a
 candidate is a run of key-like characters with letters and digits shortly
-after a sensitive word. Its surprise is the number of bytes it adds to a
+before or after a sensitive word, also glued to it or to a ``name=``. Its surprise is the number of bytes it adds to a
 zstandard frame that is primed with the identifier dictionary and the text
 around the candidate (both sides, the candidate itself cut out), divided by
 its length; what repeats or resembles its surroundings compresses away, a
@@ -15,6 +15,7 @@ each; extra columns are ignored; spans are in code points, end exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,6 +31,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: Words that make a context sensitive; fixed values of this operator.
 SENSITIVE = re.compile(r"credential|private.?key|access.?key|client.?secret|authorization|bearer|passphrase|password|passwd|secret|token|api.?key|signature", re.I | re.A)
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+#: A value without its name: it may start after a '=' and holds none but padding.
+VALUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Common identifiers, as a priming dictionary; fixed values of this operator.
 IDENTIFIERS = (
     "abstract argument array assert async await boolean break buffer bytes callback case catch char class client close "
@@ -67,20 +70,41 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def candidates(text: str, reach: int = REACH) -> Iterator[tuple[int, int]]:
+    """Candidate spans of all sensitive words: whole runs first, then values of
+    a ``name=value``, then what is glued to a word itself."""
+    found = list(SENSITIVE.finditer(text))
+    if not found:
+        return
+    runs, values = ([m.span() for m in p.finditer(text)] for p in (CANDIDATE, VALUE))
+    for spans in (runs, values):
+        for word in found:
+            yield from spans[bisect_left(spans, (word.end(), 0)) : bisect_left(spans, (word.end() + reach, 0))]
+            k = bisect_left(spans, word.start() + 1, key=lambda s: s[1]) - 1  # ends are sorted too
+            while k >= 0 and spans[k][1] >= word.start() - reach:
+                yield spans[k]
+                k -= 1
+    for word in found:
+        for place in (word.start(), word.end() - 1):
+            k = bisect_left(values, (place + 1, 0)) - 1
+            if k >= 0 and (span := values[k])[1] > place:
+                yield from [s for s in ((word.end(), span[1]), (span[0], word.start())) if s[1] - s[0] >= 16]
+
+
 def scan(text: str, novelty: float = NOVELTY, reach: int = REACH) -> list[tuple[str, int, int, float]]:
     base = base_spans(text)
     out = [(k, a, b, surprise(text, a, b)) for k, a, b in base]
+    taken = [(a, b) for _, a, b in base]
     seen = set()
-    for word in SENSITIVE.finditer(text):
-        low, high = word.end(), word.end() + reach
-        while (m := CANDIDATE.search(text, low)) and m.start() < high:
-            low, span = m.end(), m.group()
-            if m.span() in seen:
-                continue
-            seen.add(m.span())
-            mixed = re.search("[0-9]", span) and re.search("[A-Za-z]", span)
-            if mixed and not any(a < m.end() and m.start() < b for _, a, b in base) and (x := surprise(text, *m.span())) >= novelty:
-                out.append(("novel", *m.span(), x))
+    for a, b in candidates(text, reach):
+        if (a, b) in seen:
+            continue
+        seen.add((a, b))
+        span = text[a:b]
+        mixed = re.search("[0-9]", span) and re.search("[A-Za-z]", span)
+        if mixed and not any(x < b and a < y for x, y in taken) and (x := surprise(text, a, b)) >= novelty:
+            out.append(("novel", a, b, x))
+            taken.append((a, b))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -418,3 +418,16 @@ def test_stages_judge_rows_by_text_not_by_id(spark, tmp_path):
     rows_ = spark.createDataFrame(more, "doc_id bigint, text string")
     clean = corpus_pipeline.decontamination_stage(spark, rows_, str(tmp_path)).collect()
     assert Counter((r.doc_id, r.text) for r in clean) == Counter(data)
+
+
+def test_secrets_glued_to_their_names():
+    rng = random.Random(31)
+    key = "q7" + "".join(rng.choice("0123456789abcdefghijkmnopqrstuvwxyzABCDEFGHJK") for _ in range(38))
+    for name in ("AWS_SECRET_ACCESS_KEY=", "access_key=", "private_key=", "passphrase=", "GET /x?signature=", "client_secret_id=", "authorization:", "-H access-key:", "bearer ", "signature"):
+        text = f"run {name}{key} now"
+        assert any(k in ("novel", "assign") and text[a:b].endswith(key) for k, a, b, _ in secret_scan.scan(text)), name
+    for text in (f"{key} is the access key", f"{key}=passphrase", f"x {key}:credential"):
+        assert any(text[a:b].startswith(key) for _, a, b, _ in secret_scan.scan(text)), text
+    padded = f"access_key={key}== end"
+    assert [padded[a:b] for *_, a, b, _ in secret_scan.scan(padded)] == [key + "=="]
+    assert secret_scan.scan("access_key=wordwordword_wordword1 then wordwordword_wordword1") == []
