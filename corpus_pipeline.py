@@ -7,6 +7,7 @@ return the columns of ``documents``.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,28 +22,27 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_classifier.score(docs, model, out="_quality").where("_quality >= 0.5").drop("_quality")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a hash of each row's place in its Parquet file;
+    what is not a plain scan of files is written first."""
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("_row")
+    try:
+        return docs.select("*", place)
+    except AnalysisException:
+        return common.written(docs, "numbered-rows").select("*", place)
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates (five-word shingles, similarity
     of 0.8 or more), the one of smallest id (no id comes last). Rows are told
-    apart by their text, so null or repeated ids take no other row along; rows
+    apart by their place, so null or repeated ids take no other row along; rows
     without a word are in no group and stay."""
-    keyed = docs.withColumn("_text_key", common.text_key("text"))
-    found = ngram_join.near_duplicates(keyed.select("_text_key", "text"), key="_text_key")
-    groups = found.where("n_shingles > 0").select("_text_key", "component_id").distinct()
-    rows = keyed.groupBy("doc_id", "_text_key").agg(F.count("*").alias("n"))
-    members = common.written(rows.join(groups, "_text_key"), "near-members")
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_text_key")
-    best = members.groupBy("component_id").agg(F.min(rank).alias("best"))
-    judged = members.join(best, "component_id").withColumn("stays", rank == F.col("best"))
-    judged = common.written(judged.select("doc_id", "_text_key", "n", "stays"), "near-judged")
-
-    def marked(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-        return docs.join(marks.alias("m"), (docs["_text_key"] == F.col("m._text_key")) & docs["doc_id"].eqNullSafe(F.col("m.doc_id")), how)
-
-    kept = marked(keyed, judged.where("not stays"), "left_anti")
-    repeated = judged.where("stays and n > 1")
-    once = marked(kept, repeated, "left_semi").dropDuplicates(["doc_id", "_text_key"])
-    return marked(kept, repeated, "left_anti").unionByName(once).select(*docs.columns)
+    rows = numbered(docs)
+    found = common.written(ngram_join.near_duplicates(rows, key="_row").select("_row", "component_id"), "near-groups")
+    ids = found.join(rows.select("_row", "doc_id"), "_row")
+    best = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("best"))
+    others = common.written(found.select("_row").join(best.select("best._row"), "_row", "left_anti"), "near-others")
+    return rows.join(others, "_row", "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
