@@ -13,10 +13,13 @@ from quarry.llm import (
     language_id,
     license_scan,
     lm_scoring,
+    merkle_manifest,
     ngram_join,
     packing,
     quality_classifier,
+    quality_rules,
     secret_scan,
+    spelling_variants,
     token_counts,
 )
 
@@ -74,6 +77,23 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(common.documents(spark, sf_dir), ngram_join.Rule(3, 90, 100))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document; trusted are the documents that
+    ``labels`` gives quality 1."""
+    return quality_rules.quality_rules(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof digest of every document, and whether its
+    (perhaps tampered) text still proves the root."""
+    return merkle_manifest.checked(common.documents(spark, sf_dir))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per word of the corpus with its form and the root of its group."""
+    return spelling_variants.spelling_variants(common.documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_classifier": op2_quality_classifier,
@@ -85,6 +105,9 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_packing": op9_packing,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: DuckDB SQL where a query can be said in SQL.
