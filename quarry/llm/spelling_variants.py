@@ -301,7 +301,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
             yield from search(waiting)
 
     columns = "right", "half", "shard"
-    dealt = _dealt(words).repartition("shard").sortWithinPartitions(*columns)
+    # a word is sent to about five places; tasks are cut to about one index
+    points = words.agg(F.sum(F.char_length("word"))).first()[0] or 0
+    dealt = _dealt(words).repartition(5 * points // POINTS + 1, "shard").sortWithinPartitions(*columns)
     pairs = dealt.mapInArrow(run, "word string, n bigint, other string, other_n bigint")
     return pairs.repartition("word").dropDuplicates(["word", "other"])
 
