@@ -22,6 +22,7 @@ from quarry.llm import (
     spelling_variants,
     token_counts,
 )
+from quarry.llm.oracle import SQL  # noqa: F401 - read by the entry module
 
 
 def vocabulary(name: str) -> str:
@@ -109,6 +110,3 @@ QUERIES = {
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_spelling_variants": op13_spelling_variants,
 }
-
-#: DuckDB SQL where a query can be said in SQL.
-SQL: dict[str, str] = {}
