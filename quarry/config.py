@@ -78,7 +78,7 @@ Paragraph:
 MAX_TEXT_BYTES = 65535
 
 # Largest query set whose vectors are shipped to every task as a broadcast
-# (rows). Above it, dense search switches to the blocked cogroup plan.
+# (rows). Above it, queries are searched one block of this size after another.
 MAX_BROADCAST_QUERIES = 20000
 # Largest number of rows of a query-side table we hint as broadcast.
 MAX_BROADCAST_ROWS = 2_000_000
@@ -100,3 +100,4 @@ class Settings:
     dry_run: bool = False
     max_output_tokens: int = MAX_OUTPUT_TOKENS
     stop_words: tuple = ()  # dropped by the analyzer on the corpus and the query side alike
+    suffixes: tuple = ()  # endings the analyzer cuts off on both sides

@@ -19,14 +19,34 @@ def py_strip(col: Column | str) -> Column:
     return F.regexp_replace(c, _EDGE_SPACE, "")
 
 
-def tokens(col: Column | str, stop_words: list[str] | None = None) -> Column:
-    """``array<string>`` of analyzer tokens, in text order, repeats kept."""
+#: Letters that must stay before an ending that is cut off.
+MIN_STEM = 3
+
+
+def without_suffix(token: Column, suffixes: tuple[str, ...]) -> Column:
+    """``token`` without the longest of the ``suffixes`` (plain letters) that
+    leaves ``MIN_STEM`` letters or more."""
+    endings = sorted(suffixes, key=lambda s: (-len(s), s))
+    if not all(s.isalnum() for s in endings):
+        raise ValueError("suffixes are letters and digits only")
+    cut = token
+    for s in reversed(endings):  # the longest is asked first
+        stem = F.substring(token, F.lit(1), F.char_length(token) - len(s))
+        cut = F.when(F.endswith(token, F.lit(s)) & (F.char_length(token) >= len(s) + MIN_STEM), stem).otherwise(cut)
+    return cut
+
+
+def tokens(col: Column | str, stop_words: list[str] | None = None, suffixes: tuple[str, ...] = ()) -> Column:
+    """``array<string>`` of analyzer tokens, in text order, repeats kept; stop
+    words go first, then ``suffixes`` are cut (``without_suffix``)."""
     c = F.col(col) if isinstance(col, str) else col
     parts = F.split(F.lower(c), TOKEN_SPLIT)
     keep = F.array_remove(parts, F.lit(""))
     if stop_words:
         stops = F.array(*[F.lit(w) for w in stop_words])
         keep = F.filter(keep, lambda t: ~F.array_contains(stops, t))
+    if suffixes:
+        keep = F.transform(keep, lambda t: without_suffix(t, suffixes))
     return F.coalesce(keep, F.array().cast("array<string>"))
 
 

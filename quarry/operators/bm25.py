@@ -13,8 +13,8 @@ Formulas (k1=1.5, b=0.75, epsilon=0.25):
 
 Tokens come from ``functions.text.tokens`` (lower case, split on
 non-letter/digit). The library analyzer of the reference also removes English
-stop words and stems; that cannot be had offline, pass ``stop_words`` to get
-the first part.
+stop words and stems; pass ``stop_words`` for the first part, and ``suffixes``
+(endings cut off the corpus and the query side alike) in place of its stemmer.
 """
 
 from __future__ import annotations
@@ -28,11 +28,11 @@ from quarry.operators.sizing import broadcast_if_small
 
 
 def with_terms(
-    chunks: DataFrame, text: str = "text", stop_words: list[str] | None = None
+    chunks: DataFrame, text: str = "text", stop_words: list[str] | None = None, suffixes: tuple[str, ...] = ()
 ) -> DataFrame:
     """Adds ``dl`` (token count) and ``terms array<struct<term, tf>>`` to each
     chunk row; a narrow map, no shuffle."""
-    out = chunks.withColumn("_tok", tokens(F.col(text), stop_words))
+    out = chunks.withColumn("_tok", tokens(F.col(text), stop_words, suffixes))
     out = out.withColumn("dl", F.size("_tok").cast("long"))
     return with_term_counts(out, "_tok", "terms").drop("_tok")
 
@@ -87,10 +87,10 @@ def doc_weights(terms: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def query_terms(
-    queries: DataFrame, stop_words: list[str] | None = None
+    queries: DataFrame, stop_words: list[str] | None = None, suffixes: tuple[str, ...] = ()
 ) -> DataFrame:
     """``(query_id, term, qtf)``: term counts of each query text, no shuffle."""
-    q = queries.select("query_id", tokens(F.col("query_text"), stop_words).alias("_tok"))
+    q = queries.select("query_id", tokens(F.col("query_text"), stop_words, suffixes).alias("_tok"))
     return (
         explode_rows(with_term_counts(q, "_tok", "_qt"), "_qt", "t", ["query_id"])
         .select("query_id", F.col("t.term").alias("term"), F.col("t.tf").alias("qtf"))
@@ -101,16 +101,20 @@ def query_weights(
     queries: DataFrame,
     vocab: DataFrame,
     stop_words: list[str] | None = None,
+    suffixes: tuple[str, ...] = (),
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    with_df: bool = False,
 ) -> tuple[DataFrame, bool]:
     """``(query_id, term, weight = idf * count)``; unknown terms drop out.
 
     Returns the weights and whether they were proven small enough to
     broadcast. When they are, the vocabulary streams past a broadcast of the
-    query terms and is never shuffled.
+    query terms and is never shuffled. ``with_df`` adds the term's document
+    frequency, the number of chunks it matches.
     """
-    qt, small = broadcast_if_small(query_terms(queries, stop_words), max_broadcast_rows)
-    weights = vocab.select("term", "idf").join(qt, "term").select(
-        "query_id", "term", (F.col("idf") * F.col("qtf").cast("double")).alias("weight")
+    qt, small = broadcast_if_small(query_terms(queries, stop_words, suffixes), max_broadcast_rows)
+    more = ["df"] if with_df else []
+    weights = vocab.select("term", "idf", *more).join(qt, "term").select(
+        "query_id", "term", (F.col("idf") * F.col("qtf").cast("double")).alias("weight"), *more
     )
     return weights, small

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from quarry.config import CHUNK_OVERLAP, CHUNK_SIZE, SEPARATORS
 from quarry.functions.text import explode_rows, py_strip
-from quarry.operators.splitter import split_text
+from quarry.operators.splitter import split_spans
 
 
 def chunk_key(key_cols: list[str], pos: Column | str = "chunk_pos") -> Column:
@@ -68,10 +68,14 @@ def window_chunks(
     return out.where(py_strip(F.col(text_col)) != "")
 
 
+_CUT = "array<struct<text:string,start:bigint,end:bigint>>"
+
+
 def _recursive_udf(size: int, overlap: int, separators: tuple):
-    @F.pandas_udf(T.ArrayType(T.StringType()))
+    @F.pandas_udf(_CUT)
     def split_batch(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, size, overlap, separators))
+        cut = lambda t: [{"text": t[a:b], "start": a, "end": b} for a, b in split_spans(t, size, overlap, separators)]
+        return texts.map(cut)
 
     return split_batch
 
@@ -83,15 +87,20 @@ def recursive_chunks(
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
     separators: tuple = SEPARATORS,
+    offsets: bool = False,
 ) -> DataFrame:
     """The recursive splitter over whole texts, in Arrow batches.
 
     The Python step only maps one text to its list of chunks; the explode and
-    keys are Catalyst. Blank text gives no chunk.
+    keys are Catalyst. Blank text gives no chunk. With ``offsets`` each chunk
+    has ``start`` and ``end`` (code points, end exclusive): it is that cut of
+    its text, so an answer can be traced to its place in the source.
     """
     key_cols = key_cols or [df.columns[0]]
     split_batch = _recursive_udf(size, overlap, tuple(separators))
-    return _explode_chunks(df, split_batch(F.col(text_col)), text_col, key_cols)
+    out = _explode_chunks(df, split_batch(F.col(text_col)), text_col, key_cols)
+    more = [F.col(f"{text_col}.{c}").alias(c) for c in ("start", "end")] if offsets else []
+    return out.select(*[c for c in out.columns if c != text_col], F.col(f"{text_col}.text").alias(text_col), *more)
 
 
 def documents_as_sections(documents: DataFrame) -> DataFrame:

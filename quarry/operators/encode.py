@@ -94,9 +94,9 @@ def sparse_vectors(df: DataFrame, text_col: str = "text", key: str = "pk") -> Da
     )
 
 
-def with_sparse_map(df: DataFrame, terms_col: str = "terms", out: str = "sparse_vector") -> DataFrame:
-    """P11/A8 in the row: counted terms -> ``map<int,float>`` of the sparse
-    stand-in's weights. Terms of a row whose ids collide are one index with
+def with_sparse_map(df: DataFrame, terms_col: str = "terms", out: str = "sparse_vector", weight: str = "float") -> DataFrame:
+    """P11/A8 in the row: counted terms -> ``map<int,float>`` (or another type
+    of ``weight``) of the sparse stand-in's weights. Terms of a row whose ids collide are one index with
     the sum of their weights. No shuffle."""
     staged = df.withColumn("_ids", F.transform(terms_col, lambda t: term_id(t["term"]))).withColumn(
         "_weights", F.transform(terms_col, lambda t: F.lit(1.0) + F.log(t["tf"].cast("double")))
@@ -109,7 +109,7 @@ def with_sparse_map(df: DataFrame, terms_col: str = "terms", out: str = "sparse_
 
     collide = F.size("_keys") < F.size("_ids")
     values = F.when(collide, F.transform("_keys", total)).otherwise(F.col("_weights"))
-    return staged.withColumn(out, F.map_from_arrays("_keys", values.cast("array<float>"))).drop(
+    return staged.withColumn(out, F.map_from_arrays("_keys", values.cast(f"array<{weight}>"))).drop(
         "_ids", "_weights", "_keys"
     )
 
@@ -154,3 +154,29 @@ def encode_with_model(
             yield pdf
 
     return df.mapInPandas(run, schema)
+
+
+def sparse_with_model(
+    df: DataFrame,
+    make_encoder: Callable[[], Callable[[list[str]], list[dict[int, float]]]],
+    text_col: str = "text",
+    out: str = "sparse_vector",
+    batch_size: int = BATCH_SIZE,
+) -> DataFrame:
+    """E3/E4 with a caller's model: ``make_encoder()`` runs once per task and
+    returns ``encode(list[str])``, one ``{index: weight}`` per text; called on
+    batches of ``batch_size`` texts. Adds ``out`` as ``map<int,float>``; zero
+    weights are left out. Null texts are encoded as empty ones."""
+    schema = T.StructType(df.schema.fields + [T.StructField(out, T.MapType(T.IntegerType(), T.FloatType()))])
+
+    def run(batches: Iterable[pd.DataFrame]):
+        encode = make_encoder()
+        for pdf in batches:
+            texts = pdf[text_col].fillna("").tolist()
+            maps: list = []
+            for i in range(0, len(texts), batch_size):
+                maps.extend({int(t): float(w) for t, w in m.items() if w} for m in encode(texts[i : i + batch_size]))
+            pdf[out] = maps
+            yield pdf
+
+    return df.mapInPandas(run, schema)

@@ -6,6 +6,8 @@ per task; rows reach it in Arrow batches. Offline stand-ins (not models):
 * response   = the first ranked passage of the context ('' if none);
 * trust      = coverage: share of the query's distinct tokens found in the
                response (0 for a query without tokens);
+* consistency = mean Jaccard similarity of the token sets of all pairs of
+               sampled responses to one prompt (G4);
 * reranker   = sum of BM25 idf over the query's distinct tokens found in the
                candidate text.
 """
@@ -15,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,6 +86,51 @@ def coverage(query_text: Column, response: Column) -> Column:
     return F.when(F.size(q) == 0, F.lit(0.0)).otherwise(hit.cast("double") / F.size(q).cast("double"))
 
 
+#: Most samples of one query that are compared.
+MAX_SAMPLES = 256
+
+
+def sample_responses(
+    prompts: DataFrame, make_generator: Callable, n: int, max_tokens: int = MAX_OUTPUT_TOKENS
+) -> DataFrame:
+    """``n`` responses of a caller's model to every prompt: one row per query
+    and ``sample_no`` (from 0)."""
+    rows = prompts.withColumn("sample_no", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return generate_responses(rows, make_generator, max_tokens)
+
+
+def sample_consistency(samples: DataFrame, most: int = MAX_SAMPLES) -> DataFrame:
+    """``(query_id, n_samples, consistency)`` from ``samples(query_id,
+    response)``: the mean over all pairs of a query's samples of the Jaccard
+    similarity of their token sets (two empty sets are alike: 1; null responses
+    are empty ones; a single sample has no pair: null).
+
+    The sets of a query are collected into one row and the pairs are folded
+    there; no pair becomes a row. A query may have ``most`` samples: rows past
+    that are cut before they are collected, and the query fails the job."""
+    w = Window.partitionBy("query_id").orderBy("_set")
+    sets = samples.select("query_id", F.array_sort(F.array_distinct(tokens(F.coalesce("response", F.lit(""))))).alias("_set"))
+    kept = sets.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most + 1)
+    rows = kept.groupBy("query_id").agg(F.collect_list("_set").alias("_sets"))
+    n = F.size("_sets")
+
+    def alike(a: Column, b: Column) -> Column:
+        both = F.size(F.array_intersect(a, b)).cast("double")
+        either = F.size(a) + F.size(b) - both
+        return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
+
+    def with_later(total: Column, i: Column) -> Column:
+        later = F.slice(F.col("_sets"), i + 2, n)
+        return F.aggregate(later, total, lambda t, other: t + alike(F.get(F.col("_sets"), i), other))
+
+    total = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), with_later)
+    pairs = n.cast("double") * (n - 1) / 2
+    checked = F.when(n > most, F.raise_error(F.lit(f"more than {most} samples of one query"))).otherwise(n)
+    return rows.select(
+        "query_id", checked.cast("long").alias("n_samples"), F.when(n > 1, total / pairs).alias("consistency")
+    )
+
+
 def first_passage(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """G2 stand-in: ``(query_id, response)`` = rank-1 text, '' without hits."""
     top = hits.where(F.col("rank") == 1).select("query_id", F.col("text").alias("response"))

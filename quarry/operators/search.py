@@ -16,17 +16,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.config import MAX_BROADCAST_QUERIES, TOP_K
-from quarry.operators.sizing import collect_if_small
+from quarry.operators.sizing import collect_if_small, in_blocks, query_blocks
 
 
-def top_k(scored: DataFrame, k: int, group: str = "query_id", key: str = "pk") -> DataFrame:
+#: A query's candidates from more tasks than this are merged in two levels.
+MERGE_TASKS = 512
+
+
+def top_k(scored: DataFrame, k: int, group: str = "query_id", key: str = "pk", merge_tasks: int = MERGE_TASKS) -> DataFrame:
     """Keep the best ``k`` rows per ``group`` and number them ``rank`` 1..k.
 
     ``row_number() <= k`` becomes a partial ``WindowGroupLimit`` before the
     shuffle on ``group`` and a final one after it, so at most k rows per group
-    and task cross the network however many candidates there are.
+    and task cross the network however many candidates there are. Of more than
+    ``merge_tasks`` tasks the lists are merged per (group, salt of the task)
+    first, so that the last window gets k rows a salt, not k a task: with few
+    queries over a large corpus that window is one task.
     """
-    w = Window.partitionBy(group).orderBy(F.round("score", 9).desc(), F.col(key).asc())
+    order = [F.round("score", 9).desc(), F.col(key).asc()]
+    tasks = scored.rdd.getNumPartitions()
+    if tasks > merge_tasks:
+        columns = scored.columns
+        salts = math.ceil(math.sqrt(tasks))
+        scored = scored.withColumn("_salt", F.spark_partition_id() % salts)
+        first = Window.partitionBy(group, "_salt").orderBy(*order)
+        scored = scored.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= k).select(*columns)
+    w = Window.partitionBy(group).orderBy(*order)
     return (
         scored.withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= k)
@@ -112,15 +127,16 @@ class RunningTopK:
             self._merge()
 
     def add_block(self, scores: np.ndarray, doc: np.ndarray) -> None:
-        """A block of documents x queries."""
+        """A block of documents x queries; -inf where there is no match."""
         rounded, floor, n = np.round(scores, 9), self.floor, len(doc)
         if n > self.k:
             floor = np.maximum(floor, np.partition(rounded, n - self.k, axis=0)[n - self.k])
-        row, query = np.nonzero(rounded >= floor)
+        row, query = np.nonzero((rounded >= floor) & (rounded > -np.inf))
         self.add(query, doc[row], scores[row, query])
 
     def _merge(self) -> None:
-        query, doc, score = (np.concatenate(x) for x in zip(*self.waiting))
+        query, doc, score = zip(*self.waiting)
+        query, doc, score = (np.concatenate(x) for x in (query, _same_kind(doc), score))
         rounded = np.round(score, 9)
         order = np.lexsort((doc, -rounded, query))
         place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
@@ -135,6 +151,7 @@ class RunningTopK:
             return None
         self._merge()
         query, doc, score = self.waiting[0]
+        doc = np.char.decode(doc, "ascii") if doc.dtype.kind == "S" else doc
         return pd.DataFrame({"query_id": self.query_ids[query], "pk": doc, "score": score})
 
 
@@ -147,7 +164,7 @@ def dense_topk(
     query_vector: str = "vector",
     strategy: str = "auto",
     max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
-    block_rows: int = 4096,
+    block_rows: int = MAX_BROADCAST_QUERIES,
     with_plan: bool = False,
 ):
     """J1 + W1: exact cosine top-k of every query over the whole corpus.
@@ -163,10 +180,10 @@ def dense_topk(
       multiplies its Arrow batches of corpus vectors with it (BLAS) and keeps
       only its local top k per query. The corpus is scanned in place, never
       shuffled.
-    * ``blocked`` – for query sets beyond that bound: queries and corpus are cut
-      into hash blocks, every (query block, corpus block) pair is one cogroup
-      task that keeps its local top k. Each side is replicated only by the
-      block count of the other.
+    * ``blocked`` – for query sets beyond that bound: blocks of ``block_rows``
+      queries go through the ``broadcast`` plan one after another, each block's
+      hits written and its broadcast destroyed before the next one. The corpus
+      is scanned once per block and never copied or shuffled.
 
     A final ``row_number`` per query merges the local lists.
     """
@@ -188,12 +205,15 @@ def dense_topk(
             raise ValueError("query set too large to broadcast; use strategy='blocked'")
         strategy = "broadcast" if qp is not None else "blocked"
     if strategy == "broadcast":
-        local = _broadcast_block_product(qp, c, k, out_schema)
+        hits = top_k(_broadcast_block_product(qp, c, k, out_schema), k)
     elif strategy == "blocked":
-        local = _blocked_block_product(q, c, k, out_schema, block_rows)
+        hits = in_blocks(
+            q.sparkSession,
+            query_blocks(q, block_rows),
+            lambda part, held: top_k(_broadcast_block_product(part, c, k, out_schema, held), k),
+        )
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
-    hits = top_k(local, k)
     hits = hits.withColumnRenamed("pk", key) if key != "pk" else hits
     return (hits, strategy == "broadcast") if with_plan else hits
 
@@ -208,15 +228,31 @@ def _rows_per_block(n_queries: int, max_cells: int = MAX_CELLS) -> int:
 
 
 def _ids(values: pd.Series) -> np.ndarray:
+    """Keys as an array that sorts as they do; one byte a character where all
+    are ASCII (digests)."""
     arr = values.to_numpy()
-    return arr.astype(str) if arr.dtype == object else arr
+    if arr.dtype != object:
+        return arr
+    try:
+        return arr.astype("S")
+    except UnicodeEncodeError:
+        return arr.astype(str)
+
 
+def _same_kind(parts: list[np.ndarray]) -> list[np.ndarray]:
+    """Batches of ASCII and of other keys side by side."""
+    if len({p.dtype.kind for p in parts}) < 2:
+        return parts
+    return [np.char.decode(p, "ascii") if p.dtype.kind == "S" else p for p in parts]
 
-def _broadcast_block_product(qp: pd.DataFrame, c: DataFrame, k: int, out_schema) -> DataFrame:
+
+def _broadcast_block_product(qp: pd.DataFrame, c: DataFrame, k: int, out_schema, held: list | None = None) -> DataFrame:
     # ``qp`` holds at most ``max_broadcast_queries`` rows (checked by the caller)
     qids = qp["query_id"].to_numpy(dtype=np.int64)
     qmat = _unit_rows(list(qp["qv"]))
     shared = c.sparkSession.sparkContext.broadcast((qids, qmat))
+    if held is not None:
+        held.append(shared)
 
     def score_batches(batches):
         ids, m = shared.value
@@ -233,34 +269,6 @@ def _broadcast_block_product(qp: pd.DataFrame, c: DataFrame, k: int, out_schema)
     return c.mapInPandas(score_batches, out_schema)
 
 
-def _blocked_block_product(
-    q: DataFrame, c: DataFrame, k: int, out_schema, block_rows: int
-) -> DataFrame:
-    bq = max(1, math.ceil(q.count() / block_rows))
-    bc = max(1, math.ceil(c.count() / block_rows))
-    qs = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(bq)).cast("int")).withColumn(
-        "cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1)))
-    )
-    cs = c.withColumn("cb", F.pmod(F.xxhash64("pk"), F.lit(bc)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))
-    )
-
-    def score_block(cpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(cpdf) == 0:
-            return pd.DataFrame({"query_id": [], "pk": [], "score": []})
-        m = _unit_rows(list(qpdf["qv"]))
-        d = _unit_rows(list(cpdf["dv"]))
-        best = RunningTopK(qpdf["query_id"].to_numpy(dtype=np.int64), k)
-        best.add_block(d @ m.T, _ids(cpdf["pk"]))
-        return best.result()
-
-    return (
-        cs.groupBy("qb", "cb")
-        .cogroup(qs.groupBy("qb", "cb"))
-        .applyInPandas(score_block, out_schema)
-    )
-
-
 # ---------------------------------------------- sparse search, in-task scoring
 
 
@@ -274,6 +282,7 @@ def bm25_scan_topk(
     doc_weight: str = "bm25",
     term_key=None,
     stored: str = "full_text_vector",
+    held: list | None = None,
 ) -> DataFrame:
     """Full-text top k without a (query, chunk) shuffle.
 
@@ -304,6 +313,8 @@ def bm25_scan_topk(
     shared = chunks.sparkSession.sparkContext.broadcast(
         (qids, terms, starts, q_sorted, w_sorted, avgdl)
     )
+    if held is not None:
+        held.append(shared)
     out_schema = T.StructType(
         [
             T.StructField("query_id", T.LongType()),
@@ -335,17 +346,21 @@ def bm25_scan_topk(
         fan = st[col + 1] - st[col]
         docs = _ids(pdf["pk"])
         # runs of whole rows with a bounded number of (posting, query) products
-        work = np.cumsum(np.bincount(row, weights=fan, minlength=n))
+        # and of (row, query) cells, which are summed in place
+        work, most = np.cumsum(np.bincount(row, weights=fan, minlength=n)), _rows_per_block(nq)
+        positive = bool((ws > 0).all() and (dw > 0).all())
         lo = 0
         while lo < n:
             done = work[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(work, done + MAX_CELLS, side="right")))
+            hi = min(lo + most, max(lo + 1, int(np.searchsorted(work, done + MAX_CELLS, side="right"))))
             a, b_ = np.searchsorted(row, (lo, hi))
             f = fan[a:b_]
             src = np.repeat(np.arange(a, b_), f)
             pos = np.repeat(st[col[a:b_]], f) + np.arange(f.sum()) - np.repeat(np.cumsum(f) - f, f)
-            pair, inverse = np.unique(row[src] * nq + qs[pos], return_inverse=True)
-            best.add(pair % nq, docs[pair // nq], np.bincount(inverse, weights=dw[src] * ws[pos], minlength=len(pair)))
+            cell, cells = (row[src] - lo) * nq + qs[pos], (hi - lo) * nq
+            total = np.bincount(cell, weights=dw[src] * ws[pos], minlength=cells)
+            match = total > 0 if positive else np.bincount(cell, minlength=cells) > 0
+            best.add_block(np.where(match, total, -np.inf).reshape(-1, nq), docs[lo:hi])
             lo = hi
 
     def score(batches):

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import scratch_path
+
 
 def at_most(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows (stops counting early)."""
@@ -38,3 +44,32 @@ def collect_if_small(df: DataFrame, max_rows: int):
     them, else ``None``; one bounded job both proves the size and fetches."""
     pdf = df.limit(max_rows + 1).toPandas()
     return pdf if len(pdf) <= max_rows else None
+
+
+def query_blocks(df: DataFrame, max_rows: int, key: str = "query_id") -> Iterator:
+    """All rows of a query side too large to broadcast, as pandas blocks of
+    about ``max_rows`` rows, one after another. Rows of one ``key`` stay
+    together (its top k is final in its block); the blocks are cut by a hash of
+    it from a written copy, so each is one bounded read."""
+    path = scratch_path(df.sparkSession, "query-side")
+    df.write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    count = max(1, math.ceil(rows.count() / max_rows))
+    for number in range(count):
+        yield rows.where(F.pmod(F.xxhash64(key), F.lit(count)) == number).toPandas()
+
+
+def in_blocks(spark: SparkSession, parts: Iterable, search: Callable) -> DataFrame:
+    """``search(part, held)`` of each part computed and written before the next
+    part is asked for, then read back as one table. What a search broadcasts it
+    puts into the list ``held``; it is destroyed as soon as its part is written."""
+    done = []
+    for part in parts:
+        held: list = []
+        found = search(part, held)
+        path = scratch_path(spark, "block-hits")
+        found.write.parquet(path)
+        for shared in held:
+            shared.destroy()
+        done.append(spark.read.schema(found.schema).parquet(path))
+    return reduce(DataFrame.unionByName, done)

@@ -12,74 +12,96 @@ from collections import deque
 from collections.abc import Sequence
 
 
-def split_text(
+Span = tuple[int, int]
+
+
+def split_spans(
     text: str | None,
     chunk_size: int,
     chunk_overlap: int,
     separators: Sequence[str] = ("\n\n", "\n", " ", ""),
-) -> list[str]:
+) -> list[Span]:
+    """``(start, end)`` of every chunk: pieces tile the text and a chunk is a
+    run of pieces without white space at its ends, so it is ``text[start:end]``."""
     if chunk_overlap > chunk_size:
         raise ValueError("chunk_overlap must not exceed chunk_size")
     if not text:
         return []
-    return _split(text, tuple(separators), chunk_size, chunk_overlap)
+    return _split(text, 0, len(text), tuple(separators), chunk_size, chunk_overlap)
+
+
+def split_text(
+    text: str | None,
+    chunk_size: int,
+    chunk_overlap: int,
+    separators: Sequence[str] = ("\n\n", "\n", " ", ""),
+) -> list[str]:
+    return [text[a:b] for a, b in split_spans(text, chunk_size, chunk_overlap, separators)]
 
 
-def _pieces(text: str, sep: str) -> list[str]:
+def _pieces(text: str, start: int, end: int, sep: str) -> list[Span]:
+    """The pieces of ``text[start:end]``, each but the first with its separator
+    in front; empty ones are left out."""
     if sep == "":
-        return list(text)
-    head, *rest = text.split(sep)
-    out = [head] + [sep + p for p in rest]
-    return [p for p in out if p != ""]
+        return [(i, i + 1) for i in range(start, end)]
+    cuts, at = [start], text.find(sep, start, end)
+    while at >= 0:
+        cuts.append(at)
+        at = text.find(sep, at + len(sep), end)
+    return [(a, b) for a, b in zip(cuts, [*cuts[1:], end]) if a < b]
 
 
-def _split(text: str, separators: tuple, size: int, overlap: int) -> list[str]:
+def _split(text: str, start: int, end: int, separators: tuple, size: int, overlap: int) -> list[Span]:
     sep = separators[-1]
     deeper: tuple = ()
     for i, s in enumerate(separators):
         if s == "":
             sep = s
             break
-        if s in text:
+        if text.find(s, start, end) >= 0:
             sep = s
             deeper = separators[i + 1 :]
             break
-    chunks: list[str] = []
-    small: list[str] = []
-    for piece in _pieces(text, sep):
-        if len(piece) < size:
-            small.append(piece)
+    chunks: list[Span] = []
+    small: list[Span] = []
+    for a, b in _pieces(text, start, end, sep):
+        if b - a < size:
+            small.append((a, b))
             continue
-        if small:
-            chunks.extend(_merge(small, size, overlap))
-            small = []
+        chunks.extend(_merge(text, small, size, overlap))
+        small = []
         if deeper:
-            chunks.extend(_split(piece, deeper, size, overlap))
+            chunks.extend(_split(text, a, b, deeper, size, overlap))
         else:
-            chunks.append(piece)
-    if small:
-        chunks.extend(_merge(small, size, overlap))
+            chunks.append((a, b))
+    chunks.extend(_merge(text, small, size, overlap))
     return chunks
 
 
-def _emit(window, out: list[str]) -> None:
-    joined = "".join(window).strip()
-    if joined:
-        out.append(joined)
+def _emit(text: str, window, out: list[Span]) -> None:
+    if not window:
+        return
+    start, end = window[0][0], window[-1][1]
+    while start < end and text[start].isspace():
+        start += 1
+    while start < end and text[end - 1].isspace():
+        end -= 1
+    if start < end:
+        out.append((start, end))
 
 
-def _merge(pieces: list[str], size: int, overlap: int) -> list[str]:
-    out: list[str] = []
+def _merge(text: str, pieces: list[Span], size: int, overlap: int) -> list[Span]:
+    out: list[Span] = []
     window: deque = deque()
     total = 0
     for piece in pieces:
-        n = len(piece)
+        n = piece[1] - piece[0]
         if total + n > size and window:
-            _emit(window, out)
+            _emit(text, window, out)
             while total > overlap or (total + n > size and total > 0):
-                total -= len(window[0])
+                total -= window[0][1] - window[0][0]
                 window.popleft()
         window.append(piece)
         total += n
-    _emit(window, out)
+    _emit(text, window, out)
     return out

@@ -49,11 +49,13 @@ def knowledge_rows(
     settings: Settings = Settings(),
     make_encoder: Callable[[], Callable[[list[str]], np.ndarray]] | None = None,
     counts: dict | None = None,
+    make_sparse_encoder: Callable | None = None,
 ) -> tuple[DataFrame, object]:
     """Knowledge rows and the full-text index they were scored with.
 
     ``chunks`` must be materialised (see ``corpus.materialize``). Dense
-    vectors come from ``make_encoder`` when given, else the hashing stand-in.
+    vectors come from ``make_encoder`` and learned-sparse ones from
+    ``make_sparse_encoder`` when given, else from the stand-ins.
     With full text on, rows whose BM25 vector is empty are dropped (P10); with
     it off, nothing is dropped.
     """
@@ -65,7 +67,7 @@ def knowledge_rows(
         rows = encode.encode_with_model(rows, make_encoder, "text", out="dense_vector")
     cols = ["pk", "text", "dense_vector", "source"]
     if settings.enable_sparse:
-        rows = encode.with_sparse_map(rows)
+        rows = encode.with_sparse_map(rows) if make_sparse_encoder is None else encode.sparse_with_model(rows, make_sparse_encoder)
         cols.append("sparse_vector")
     if settings.enable_full_text:
         rows = full_text_vector(rows, ix.stats)
@@ -93,7 +95,7 @@ def page_chunks(
     chunks = chunk(
         secs, key_cols=["page_id", "section_pos"], size=settings.chunk_size, overlap=settings.chunk_overlap
     )
-    return materialize(bm25.with_terms(chunks, stop_words=list(settings.stop_words)))
+    return materialize(bm25.with_terms(chunks, stop_words=list(settings.stop_words), suffixes=settings.suffixes))
 
 
 def build_store(
@@ -103,10 +105,11 @@ def build_store(
     anchor_policy: str = "skip",
     chunker: str = "recursive",
     make_encoder=None,
+    make_sparse_encoder=None,
 ) -> Store:
     """pages(page_id, url, html) -> the four store tables (lazy)."""
     chunks = page_chunks(pages, settings, tag, anchor_policy, chunker)
-    rows, ix = knowledge_rows(chunks, settings, make_encoder)
+    rows, ix = knowledge_rows(chunks, settings, make_encoder, make_sparse_encoder=make_sparse_encoder)
     return Store(rows, ix.postings, ix.vocab, ix.stats)
 
 

@@ -46,23 +46,36 @@ def materialize(df: DataFrame) -> DataFrame:
 _BUILT: dict = {}
 
 
+def input_stamp(spark: SparkSession, sf_dir: str, tables: tuple = ("documents", "pages", "benchmark")) -> tuple:
+    """Modification time and size of the input tables, asked of their file
+    system: another stamp is another input under the same path."""
+    out = []
+    for name in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if system.exists(path):
+            out.append((name, system.getFileStatus(path).getModificationTime(), system.getContentSummary(path).getLength()))
+    return tuple(out)
+
+
 def built_once(spark: SparkSession, key: tuple, make):
-    """A corpus artefact built once per Spark application and input folder
-    (the knowledge store is built once and then answers many query tables).
-    The artefact is a table written in the shared checkpoint folder."""
-    full = (spark.sparkContext.applicationId,) + key
+    """A corpus artefact built once per Spark application and input (``key[1]``
+    is its folder, known by its stamp); the knowledge store is built once and
+    then answers many query tables. The artefact is a table written in the
+    shared checkpoint folder."""
+    full = (spark.sparkContext.applicationId, input_stamp(spark, key[1])) + key
     if full not in _BUILT:
         _BUILT[full] = make()
     return _BUILT[full]
 
 
-def indexed_chunks(spark: SparkSession, sf_dir: str, chunker: str = "window") -> DataFrame:
+def indexed_chunks(spark: SparkSession, sf_dir: str, chunker: str = "window", suffixes: tuple = ()) -> DataFrame:
     """Chunks with their token counts, materialised once:
     (pk, doc_id, section_pos, source, chunk_pos, text, dl, terms)."""
     return built_once(
         spark,
-        ("chunks", sf_dir, chunker),
-        lambda: materialize(bm25.with_terms(document_chunks(spark, sf_dir, chunker))),
+        ("chunks", sf_dir, chunker, suffixes),
+        lambda: materialize(bm25.with_terms(document_chunks(spark, sf_dir, chunker), suffixes=suffixes)),
     )
 
 

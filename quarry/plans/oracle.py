@@ -358,9 +358,7 @@ SQL["vector_map"] = _with(_window_chunks(), BM25) + (
 SQL["postings"] = _with(_window_chunks(), BM25) + (
     "SELECT term, pk, round(weight, 6) AS weight FROM post"
 )
-SQL["knowledge_table"] = (
-    _with(_window_chunks(), BM25, _hashed("dhv", "pk", "tok"), NON_EMPTY)
-    + f"""
+KNOWLEDGE = f"""
 SELECT k.pk, k.text, k.source,
        CASE WHEN m.vm IS NULL THEN list_transform(range({DIM}), lambda i: 0::FLOAT)
             ELSE list_transform(range({DIM}), lambda i: coalesce(map_extract_value(m.vm, i::INTEGER), 0::FLOAT))
@@ -368,7 +366,7 @@ SELECT k.pk, k.text, k.source,
 FROM kn k
 LEFT JOIN (SELECT pk, map_from_entries(list(struct_pack(k := b, v := v))) AS vm FROM dhv GROUP BY pk) m
   USING (pk)"""
-)
+SQL["knowledge_table"] = _with(_window_chunks(), BM25, _hashed("dhv", "pk", "tok"), NON_EMPTY) + KNOWLEDGE
 
 
 # ------------------------------- steps 7-9: rerank, prompts, HyDE, cascade
@@ -564,7 +562,8 @@ st_ranked AS (
 SELECT r.query_id, r.rank, r.pk, round(r.score, 6) AS score, c.text
 FROM st_ranked r JOIN chunks c USING (pk) WHERE r.rank <= 5"""
 )
-SQL["store_full_text_topk"] = SQL["store_full_text_topk_scan"]
+for _plan in ("", "_index", "_postings"):
+    SQL["store_full_text_topk" + _plan] = SQL["store_full_text_topk_scan"]
 
 
 CONV_QUERIES = QUERIES.replace(
@@ -617,3 +616,151 @@ RRF_THREE = RRF.replace(
 SQL["hybrid_rrf_three_lists"] = _with(*HYBRID[:-1], SPARSE_STORED, SPARSE_HITS, RRF_THREE) + (
     f"SELECT query_id, rank, text, round(score, 6) AS score FROM rrf_ranked WHERE rank <= {TOP_K}"
 )
+
+
+# ------------------------- recursive chunks, offsets, suffixes, samples, stream
+
+
+def _cut(text: str, sep: str) -> str:
+    """Pieces of ``text`` with their separator in front; empty ones left out."""
+    parts = f"string_split({text}, {sep})"
+    pieces = f"list_transform({parts}, lambda x, i: CASE WHEN i = 1 THEN x ELSE {sep} || x END)"
+    return f"list_filter({pieces}, lambda x: x <> '')"
+
+
+def _pieces(text: str, level: str) -> str:
+    """``[separator, pieces]`` of the first separator from ``level`` on that the
+    text holds; with none, its characters."""
+    cases = " ".join(
+        f"WHEN {level} <= {i} AND contains({text}, {s}) THEN {{'s': {i}, 'p': {_cut(text, s)}}}"
+        for i, s in ((1, "chr(10) || chr(10)"), (2, "chr(10)"), (3, "' '"))
+    )
+    return f"CASE {cases} ELSE {{'s': 4, 'p': string_split({text}, '')}} END"
+
+
+def recursive_chunks_sql(source: str, key: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> str:
+    """CTEs ending in ``rc(key, chunk_pos, start, end_, text)``: long pieces are
+    cut again by the next separators; the leaves tile the text; runs of short
+    leaves of one parent are merged greedily, found by prefix sums."""
+    return f"""
+texts AS (SELECT {key} AS k, text FROM {source} WHERE text <> ''),
+pieces AS (
+  SELECT k, []::INT[] AS parent, {_pieces('text', '1')} AS c FROM texts
+  UNION ALL
+  SELECT k, list_append(parent, i), {_pieces('p', 's + 1')}
+  FROM (SELECT k, parent, c.s AS s, unnest(c.p) AS p, generate_subscripts(c.p, 1)::INT AS i FROM pieces)
+  WHERE length(p) >= {size} AND s < 4
+),
+flat AS (SELECT k, parent, c.s AS s, unnest(c.p) AS p, generate_subscripts(c.p, 1)::INT AS i FROM pieces),
+marked AS (
+  SELECT *, length(p) AS n, length(p) >= {size} AND s < 4 AS cut_again,
+         count(*) FILTER (length(p) >= {size}) OVER (PARTITION BY k, parent ORDER BY i ROWS UNBOUNDED PRECEDING) AS run
+  FROM flat
+),
+leaves AS (
+  SELECT k, parent, run, list_append(parent, i) AS path, n,
+         sum(n) OVER (PARTITION BY k ORDER BY list_append(parent, i) ROWS UNBOUNDED PRECEDING)::BIGINT AS e
+  FROM marked WHERE NOT cut_again
+),
+units AS MATERIALIZED (
+  SELECT k, dense_rank() OVER (PARTITION BY k ORDER BY first_path) AS g, row_number() OVER (PARTITION BY k, first_path ORDER BY path) AS i, e - n AS a, e
+  FROM (SELECT *, first(path) OVER (PARTITION BY k, parent, run ORDER BY path) AS first_path FROM leaves)
+),
+steps AS (
+  SELECT k, g, 1::BIGINT AS i, a AS start FROM units WHERE i = 1
+  UNION ALL
+  SELECT k, g, next_, start_ FROM (
+    SELECT st.k, st.g, arg_min(v.i, v.i) AS next_, arg_min(v.a, v.i) AS start_
+    FROM (SELECT s.k, s.g, s.i, min(u.i) AS e, arg_min(u.a, u.i) AS ea, arg_min(u.e, u.i) AS ee
+          FROM steps s JOIN units u ON u.k = s.k AND u.g = s.g AND u.i > s.i AND u.e - s.start > {size} GROUP BY s.k, s.g, s.i) st
+    JOIN units v ON v.k = st.k AND v.g = st.g AND v.i > st.i AND v.i <= st.e
+      AND v.a >= least(st.ea, greatest(st.ea - {overlap}, st.ee - {size}))
+    GROUP BY st.k, st.g, st.i)
+),
+spans AS (
+  SELECT s.k, s.g, s.i, s.start, coalesce(min(u.a) FILTER (u.i > s.i AND u.e - s.start > {size}), max(u.e)) AS stop
+  FROM steps s JOIN units u ON u.k = s.k AND u.g = s.g GROUP BY s.k, s.g, s.i, s.start
+),
+raw_chunks AS (SELECT k, g, i, start, stop, substring(text, start + 1, stop - start) AS raw FROM spans JOIN texts USING (k)),
+trimmed AS (
+  SELECT k, g, i, start + length(raw) - length(regexp_replace(raw, '^{WHITE}+', '')) AS start, {strip_sql('raw')} AS text FROM raw_chunks
+),
+rc AS (
+  SELECT k, row_number() OVER (PARTITION BY k ORDER BY g, i) - 1 AS chunk_pos, start, start + length(text) AS end_, text
+  FROM trimmed WHERE text <> ''
+)"""
+
+
+_REC = "WITH RECURSIVE "
+
+SQL["recursive_chunks"] = _REC + recursive_chunks_sql("documents", "doc_id").strip() + """
+SELECT sha256(concat_ws('|', rc.k::VARCHAR, '0', rc.chunk_pos::VARCHAR)) AS pk, rc.k AS doc_id, rc.chunk_pos, d.source, rc.text
+FROM rc JOIN documents d ON d.doc_id = rc.k"""
+
+SQL["page_chunks"] = (
+    _REC
+    + f"sections AS ({SQL['article_sections']}),"
+    + recursive_chunks_sql("sections", "page_id")
+    + """
+SELECT sha256(concat_ws('|', rc.k::VARCHAR, '0', rc.chunk_pos::VARCHAR)) AS pk, rc.k AS page_id, 0::BIGINT AS section_pos, rc.chunk_pos, s.source, rc.text
+FROM rc JOIN sections s ON s.page_id = rc.k"""
+)
+
+SQL["chunk_offsets"] = _REC + recursive_chunks_sql("documents", "doc_id").strip() + """,
+cover AS (SELECT *, end_ - greatest(start, coalesce(lag(end_) OVER (PARTITION BY k ORDER BY chunk_pos), 0)) AS fresh FROM rc)
+SELECT k AS doc_id, count(*)::BIGINT AS n_chunks, sum(fresh)::BIGINT AS covered, max(end_ - start)::BIGINT AS longest, bool_and(substring(t.text, start + 1, end_ - start) = cover.text) AS exact
+FROM cover JOIN texts t USING (k) GROUP BY k"""
+
+SQL["stream_chunks"] = SQL["chunk_windows"]
+
+SQL["non_empty_windows"] = _with(_window_chunks(4, 0)) + (
+    f"SELECT text, count(*)::BIGINT AS n FROM chunks WHERE len({tokens_sql('text')}) > 0 GROUP BY text"
+)
+
+SQL["source_counts"] = """
+SELECT 'documents' AS source, count(*)::BIGINT AS n FROM documents
+UNION ALL SELECT 'pages', count(*)::BIGINT FROM pages"""
+
+
+def suffix_sql(tokens: str, suffixes: tuple, least: int = 3) -> str:
+    """Each token without the longest ending that leaves ``least`` letters."""
+    cases = " ".join(
+        f"WHEN ends_with(t, '{s}') AND length(t) >= {len(s) + least} THEN substring(t, 1, length(t) - {len(s)})"
+        for s in sorted(suffixes, key=lambda s: (-len(s), s))
+    )
+    return f"list_transform({tokens}, lambda t: CASE {cases} ELSE t END)"
+
+
+# the endings of the registered query
+_ENDINGS = ("ing", "ed", "es", "s", "eaux")
+SQL["full_text_topk_suffixes"] = _with(
+    _window_chunks(),
+    BM25.replace(tokens_sql("text"), suffix_sql(tokens_sql("text"), _ENDINGS)),
+    QUERIES.replace(tokens_sql("query_text"), suffix_sql(tokens_sql("query_text"), _ENDINGS)),
+    full_text_hits_sql(),
+) + "SELECT query_id, rank, pk, round(score, 6) AS score, text FROM ft_hits"
+
+SQL["sample_consistency"] = _with(_window_chunks(), BM25, QUERIES, full_text_hits_sql()) + f"""
+, sets AS (SELECT query_id, rank, list_distinct({tokens_sql('text')}) AS s FROM ft_hits),
+alike AS (
+  SELECT a.query_id, CASE WHEN len(a.s) = 0 AND len(b.s) = 0 THEN 1.0::DOUBLE
+         ELSE len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))::DOUBLE END AS j
+  FROM sets a JOIN sets b ON a.query_id = b.query_id AND a.rank < b.rank
+)
+SELECT s.query_id, s.n AS n_samples, round(a.m, 6) AS consistency
+FROM (SELECT query_id, count(*)::BIGINT AS n FROM sets GROUP BY query_id) s
+LEFT JOIN (SELECT query_id, avg(j) AS m FROM alike GROUP BY query_id) a USING (query_id)"""
+
+# the data command: vectors of the page chunks that hold a token
+PAGE_CHUNKS = (
+    f"sections AS ({SQL['article_sections']}),"
+    + recursive_chunks_sql("sections", "page_id")
+    + """,
+chunks AS (
+  SELECT sha256(concat_ws('|', rc.k::VARCHAR, '0', rc.chunk_pos::VARCHAR)) AS pk, s.source, rc.text
+  FROM rc JOIN sections s ON s.page_id = rc.k
+)"""
+)
+SQL["page_knowledge_table"] = (
+    _with(PAGE_CHUNKS, BM25, _hashed("dhv", "pk", "tok"), NON_EMPTY).replace("WITH ", _REC, 1) + KNOWLEDGE
+)

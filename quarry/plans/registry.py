@@ -10,13 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.config import (
     DENSE_DIM,
     HYDE_PROMPT,
-    MAX_BROADCAST_ROWS,
     RAG_PROMPT,
     TOP_K,
     Settings,
@@ -26,7 +25,7 @@ from quarry.operators import bm25, encode, fusion, generate, search, sections
 from quarry.operators import chunks as chunking
 from quarry.operators.search import sparse_topk as _sparse_topk
 from quarry.operators.search import with_text
-from quarry.operators.sizing import at_most, spread
+from quarry.operators.sizing import spread
 from quarry.plans import build
 from quarry.plans.cascade import cascade_eager, cascade_lazy
 from quarry.plans.cascade import summary as cascade_summary_of
@@ -36,11 +35,16 @@ from quarry.plans.corpus import (
     document_chunks,
     full_text_index,
     indexed_chunks,
+    materialize,
 )
 from quarry.plans.strategies import Retriever
 from quarry.session import scratch_path
 from quarry.sources.store import Store, read_store, search_store, write_store
-from quarry.sources.tables import read_table, user_questions
+from quarry.sources.tables import count_rows, read_table, user_questions
+from quarry.streaming.ingest import ingest_documents
+
+#: Endings that ``full_text_topk_suffixes`` cuts off (English and French ones).
+SUFFIXES = ("ing", "ed", "es", "s", "eaux")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -87,29 +91,20 @@ def bm25_query_weights(spark, sf_dir):
     return qw.select("query_id", "term", _r6("weight"))
 
 
-def full_text_hits(spark, sf_dir, k=TOP_K, chunks=None, plan="auto", queries=None):
-    chunks = chunks if chunks is not None else indexed_chunks(spark, sf_dir)
-    queries = queries if queries is not None else benchmark_queries(spark, sf_dir)
-    ix = full_text_index(chunks)
-    qw, small = bm25.query_weights(queries, ix.vocab)
-    if plan == "scan" or (plan == "auto" and small):
-        hits = search.bm25_scan_topk(qw, chunks, ix.stats, k)
-    else:
-        hits = _sparse_topk(qw, ix.postings, k, small)
-    return with_text(hits, chunks, hits_small=small)
-
-
 @register
 def full_text_topk(spark, sf_dir):
     """Full-text top 5; query weights proven small -> in-task scoring scan."""
-    hits = full_text_hits(spark, sf_dir)
+    hits = _retriever(spark, sf_dir).full_text(benchmark_queries(spark, sf_dir))
     return hits.select("query_id", "rank", "pk", _r6("score"), "text")
 
 
 @register
 def full_text_topk_join(spark, sf_dir):
     """Same result by the relational plan: postings x query terms, sum, top k."""
-    hits = full_text_hits(spark, sf_dir, plan="join")
+    chunks = indexed_chunks(spark, sf_dir)
+    ix = full_text_index(chunks)
+    qw, small = bm25.query_weights(benchmark_queries(spark, sf_dir), ix.vocab)
+    hits = with_text(_sparse_topk(qw, ix.postings, TOP_K, small), chunks, hits_small=small)
     return hits.select("query_id", "rank", "pk", _r6("score"), "text")
 
 
@@ -133,9 +128,10 @@ def dense_topk(spark, sf_dir):
 
 @register
 def dense_topk_blocked(spark, sf_dir):
-    """Same result through the blocked cogroup plan used for large query sets."""
+    """Same result by the plan for query sets too large to broadcast: blocks of
+    500 queries go one after another over the corpus in place."""
     emb, q = _embedding_queries(spark, sf_dir)
-    hits = search.dense_topk(q, emb, key="vec_id", vector="embedding", strategy="blocked")
+    hits = search.dense_topk(q, emb, key="vec_id", vector="embedding", strategy="blocked", block_rows=500)
     return hits.select("query_id", "rank", "vec_id", _r6("score"))
 
 
@@ -168,23 +164,10 @@ def sparse_weights(spark, sf_dir):
     return rows.select("pk", "term_id", _r6("weight"))
 
 
-def sparse_hits(spark, sf_dir, chunks=None, k=TOP_K):
-    chunks = chunks if chunks is not None else indexed_chunks(spark, sf_dir)
-    queries = benchmark_queries(spark, sf_dir)
-    qrows = encode.sparse_vectors(queries, "query_text", key="query_id")
-    qrows = qrows.withColumnRenamed("term_id", "term")
-    small = at_most(qrows, MAX_BROADCAST_ROWS)
-    if small:
-        hits = search.bm25_scan_topk(qrows, chunks, None, k, doc_weight="log_tf", term_key=term_id)
-    else:
-        post = encode.sparse_vectors(chunks).withColumnRenamed("term_id", "term")
-        hits = search.sparse_topk(qrows, post, k, False)
-    return search.with_text(hits, chunks, hits_small=small)
-
-
 @register
 def sparse_topk(spark, sf_dir):
-    hits = sparse_hits(spark, sf_dir)
+    """R3 over the learned-sparse maps written once per corpus."""
+    hits = _retriever(spark, sf_dir).sparse(benchmark_queries(spark, sf_dir))
     return hits.select("query_id", "rank", "pk", _r6("score"), "text")
 
 
@@ -254,6 +237,26 @@ def recursive_chunks(spark, sf_dir):
     return chunks.select("pk", "doc_id", "chunk_pos", "source", "text")
 
 
+@register
+def chunk_offsets(spark, sf_dir):
+    """P6 with offsets, one row per document: chunks, characters covered by
+    any chunk, longest chunk, and whether every chunk is the cut of its text
+    at its offsets. Consecutive chunks may overlap; starts and ends ascend."""
+    docs = read_table(spark, sf_dir, "documents").where("text is not null")
+    keyed = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("whole"), "text"))
+    chunks = chunking.recursive_chunks(keyed, key_cols=["doc_id"], offsets=True)
+    cut = F.col("text") == F.col("whole").substr(F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
+    w = Window.partitionBy("doc_id").orderBy("chunk_pos")
+    rows = chunks.select("doc_id", "chunk_pos", "start", "end", cut.alias("same"))
+    rows = rows.withColumn("fresh", F.col("end") - F.greatest("start", F.coalesce(F.lag("end").over(w), F.lit(0))))
+    return rows.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_chunks"),
+        F.sum("fresh").alias("covered"),
+        F.max(F.col("end") - F.col("start")).alias("longest"),
+        F.bool_and("same").alias("exact"),
+    )
+
+
 @register
 def page_chunks(spark, sf_dir):
     """Pages -> article sections -> recursive chunks (P1-P8 end to end)."""
@@ -278,6 +281,31 @@ def non_empty_chunks(spark, sf_dir):
     return rows.select("pk", "text")
 
 
+@register
+def non_empty_windows(spark, sf_dir):
+    """P10 where it drops rows: four-character windows of the documents, many
+    without a letter or digit; the kept texts with their counts."""
+    chunks = document_chunks(spark, sf_dir, size=4, overlap=0)
+    rows, _ = build.knowledge_rows(materialize(bm25.with_terms(chunks)))
+    return rows.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register
+def source_counts(spark, sf_dir):
+    """Rows of each source, counted while its rows pass into their chunks
+    or sections, without a scan of its own."""
+    out = []
+    jobs = {
+        "documents": lambda rows: chunking.window_chunks(chunking.documents_as_sections(rows), key_cols=["doc_id"]),
+        "pages": lambda rows: sections.sections(spread(rows), tag="article", anchor_policy="page"),
+    }
+    for name, job in jobs.items():
+        rows, seen = count_rows(read_table(spark, sf_dir, name), f"{name}-rows")
+        job(rows).write.format("noop").mode("overwrite").save()
+        out.append((name, seen.get["n"]))
+    return spark.createDataFrame(out, "source string, n long")
+
+
 @register
 def vector_map(spark, sf_dir):
     """The stored BM25 vector maps as sorted rows (pk, term, weight)."""
@@ -398,12 +426,26 @@ def _store(spark, sf_dir):
 @register
 def store_full_text_topk(spark, sf_dir):
     """Build the store from whole documents, write it, load it back (S9) and
-    answer ``benchmark`` by full text: postings of the query terms only
-    (bucket partitions pruned, term row groups skipped)."""
+    answer ``benchmark`` by full text, through the term buckets or the shard
+    index as the stored document frequencies advise."""
     hits = search_store(_store(spark, sf_dir), benchmark_queries(spark, sf_dir))
     return hits.select("query_id", "rank", "pk", _r6("score"), "text")
 
 
+@register
+def store_full_text_topk_index(spark, sf_dir):
+    """Same search inside the document shards, by block-max postings."""
+    hits = search_store(_store(spark, sf_dir), benchmark_queries(spark, sf_dir), plan="index")
+    return hits.select("query_id", "rank", "pk", _r6("score"), "text")
+
+
+@register
+def store_full_text_topk_postings(spark, sf_dir):
+    """Same search through the term buckets and a join."""
+    hits = search_store(_store(spark, sf_dir), benchmark_queries(spark, sf_dir), plan="postings")
+    return hits.select("query_id", "rank", "pk", _r6("score"), "text")
+
+
 @register
 def store_full_text_topk_scan(spark, sf_dir):
     """Same search scoring every stored term -> weight map in place."""
@@ -418,7 +460,7 @@ def _store_retriever(spark, sf_dir, **settings):
 
 @register
 def store_semantic_topk(spark, sf_dir):
-    """R2 over the stored dense vectors."""
+    """R2 over the stored dense vectors, packed in blocks."""
     hits = _store_retriever(spark, sf_dir).dense(benchmark_queries(spark, sf_dir))
     return hits.select("query_id", "rank", "pk", _r6("score"), "text")
 
@@ -461,7 +503,7 @@ def sparse_vector_map(spark, sf_dir):
 
 @register
 def store_sparse_topk(spark, sf_dir):
-    """R3 over the stored learned-sparse maps."""
+    """R3 over the stored shard index of the learned-sparse maps."""
     hits = _store_retriever(spark, sf_dir, enable_sparse=True).sparse(benchmark_queries(spark, sf_dir))
     return hits.select("query_id", "rank", "pk", _r6("score"), "text")
 
@@ -500,11 +542,42 @@ def _write_store(spark, chunks, settings):
 def conversation_full_text_topk(spark, sf_dir):
     """Every user turn of ``conversations`` as a question, full text top 5."""
     questions = user_questions(read_table(spark, sf_dir, "conversations"))
-    hits = full_text_hits(spark, sf_dir, queries=questions)
+    hits = _retriever(spark, sf_dir).full_text(questions)
     return hits.select("query_id", "rank", "pk", _r6("score"), "text")
 
 
 
+@register
+def full_text_topk_suffixes(spark, sf_dir):
+    """Full-text top 5 with the analyzer's suffix rule on both sides."""
+    r = built_once(
+        spark,
+        ("retriever-suffixes", sf_dir, SUFFIXES),
+        lambda: Retriever(indexed_chunks(spark, sf_dir, suffixes=SUFFIXES), Settings(suffixes=SUFFIXES)),
+    )
+    hits = r.full_text(benchmark_queries(spark, sf_dir))
+    return hits.select("query_id", "rank", "pk", _r6("score"), "text")
+
+
+@register
+def sample_consistency(spark, sf_dir):
+    """Every query's five best full-text passages as its samples (the
+    stand-in generator answers with a passage), and how alike they are."""
+    hits = _retriever(spark, sf_dir).full_text(benchmark_queries(spark, sf_dir))
+    found = generate.sample_consistency(hits.select("query_id", F.col("text").alias("response")))
+    return found.select("query_id", "n_samples", _r6("consistency"))
+
+
+@register
+def stream_chunks(spark, sf_dir):
+    """The window chunks of ``documents`` by a stream that runs until all files
+    are taken in, with its progress in a checkpoint, and read back."""
+    out, progress = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-progress")
+    run = ingest_documents(spark, f"{sf_dir.rstrip('/')}/documents.parquet", out, progress)
+    run.awaitTermination()
+    return spark.read.parquet(out).select("pk", "doc_id", "chunk_pos", "source", "text")
+
+
 @register
 def cascade_summary(spark, sf_dir):
     """Strategies tried per query, in priority order, as one row."""

@@ -16,11 +16,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.config import HYDE_PROMPT, MAX_BROADCAST_QUERIES, MAX_BROADCAST_ROWS, RAG_PROMPT, Settings
-from quarry.functions.text import term_id
 from quarry.operators import bm25, encode, fusion, generate, search
-from quarry.operators.sizing import at_most
+from quarry.operators.sizing import at_most, in_blocks, query_blocks
 from quarry.plans.corpus import FullTextIndex, full_text_index, materialize
-from quarry.sources.store import Store, read_store, search_store
+from quarry.sources.store import Store, dense_store, read_store, search_store, sparse_store
 
 HIT_COLS = ["query_id", "rank", "pk", "text", "score"]
 
@@ -35,6 +34,7 @@ class Models:
     generator: object = None
     trust_scorer: object = None
     reranker: object = None
+    sparse_encoder: object = None
 
 
 @dataclass
@@ -111,6 +111,16 @@ class Retriever:
             )
         return materialize(out.select("pk", "vector"))
 
+    @cached_property
+    def sparse_rows(self) -> DataFrame:
+        """Learned-sparse maps of every chunk, computed once (pk,
+        sparse_vector); ids and weights are not made again at every search."""
+        if self.models.sparse_encoder is None:
+            out = encode.with_sparse_map(self.chunks.select("pk", "terms"), weight="double")
+        else:
+            out = encode.sparse_with_model(self.chunks.select("pk", "text"), self.models.sparse_encoder)
+        return materialize(out.select("pk", "sparse_vector"))
+
     # ----------------------------------------------------------- retrievers
 
     def _encode_queries(self, queries: DataFrame) -> DataFrame:
@@ -126,44 +136,49 @@ class Retriever:
         """R2 (semantic search): E2 -> J1 -> W1 -> J3. The query matrix is
         broadcast when its size check passes, else the blocked plan runs."""
         qv = self._encode_queries(queries)
+        if self.store is not None:
+            found = dense_store(self.store, qv.select("query_id", "vector"), self.settings.top_k, MAX_BROADCAST_QUERIES)
+            return found.select(*HIT_COLS)
         hits, small = search.dense_topk(qv, self.vectors, k=self.settings.top_k, with_plan=True)
         return search.with_text(hits, self.chunks, hits_small=small).select(*HIT_COLS)
 
+    def _scanned(self, weights: DataFrame, small: bool, **kw) -> DataFrame:
+        """Scoring in every corpus task; a query side too large to broadcast
+        goes through in blocks."""
+        k = self.settings.top_k
+        if small:
+            return search.bm25_scan_topk(weights, k=k, **kw)
+        blocks = query_blocks(weights, MAX_BROADCAST_ROWS)
+        return in_blocks(weights.sparkSession, blocks, lambda part, held: search.bm25_scan_topk(part, k=k, held=held, **kw))
+
     def full_text(self, queries: DataFrame) -> DataFrame:
-        """E7 -> J2 -> A3 -> W3 -> J3. A proven-small query side is
-        broadcast and scored inside each corpus task (no pair shuffle);
-        otherwise the relational postings join is planned. A written store is
-        searched through its postings (``search_store``)."""
+        """E7 -> J2 -> A3 -> W3 -> J3. The query weights are broadcast, in
+        blocks where they are many, and scored inside each corpus task (no
+        pair shuffle). A written store is searched by ``search_store``."""
+        words, suffixes = list(self.settings.stop_words), self.settings.suffixes
         if self.store is not None:
-            found = search_store(self.store, queries, self.settings.top_k, stop_words=list(self.settings.stop_words))
+            found = search_store(self.store, queries, self.settings.top_k, stop_words=words, suffixes=suffixes)
             return found.select(*HIT_COLS)
-        qw, small = bm25.query_weights(queries, self.index.vocab, list(self.settings.stop_words))
-        if small:
-            hits = search.bm25_scan_topk(qw, self.chunks, self.avgdl, self.settings.top_k)
-        else:
-            hits = search.sparse_topk(qw, self.index.postings, self.settings.top_k, False)
+        qw, small = bm25.query_weights(queries, self.index.vocab, words, suffixes)
+        hits = self._scanned(qw, small, chunks=self.chunks, stats=self.avgdl)
         return search.with_text(hits, self.chunks, hits_small=small).select(*HIT_COLS)
 
+    def _sparse_queries(self, queries: DataFrame) -> DataFrame:
+        """``(query_id, term, weight)`` of the learned-sparse side."""
+        if self.models.sparse_encoder is None:
+            return encode.sparse_vectors(queries, "query_text", key="query_id").withColumnRenamed("term_id", "term")
+        maps = encode.sparse_with_model(queries.select("query_id", "query_text"), self.models.sparse_encoder, "query_text")
+        rows = maps.select("query_id", F.explode_outer("sparse_vector").alias("term", "weight")).where("term is not null")
+        return materialize(rows.withColumn("weight", F.col("weight").cast("double")))  # the model runs once
+
     def sparse(self, queries: DataFrame) -> DataFrame:
-        """R3 with the learned-sparse stand-in. A written store is searched
-        through its ``sparse_vector`` maps."""
-        q = encode.sparse_vectors(queries, "query_text", key="query_id")
-        q = q.withColumnRenamed("term_id", "term")
-        small = at_most(q, MAX_BROADCAST_ROWS)
+        """R3 with the caller's sparse model or the stand-in. A written store
+        is searched through its shard index of ``sparse_vector``."""
+        q = self._sparse_queries(queries)
         if self.store is not None:
-            k, vector = self.settings.top_k, "sparse_vector"
-            if small:
-                hits = search.bm25_scan_topk(q, self.chunks, None, k, doc_weight="stored", stored=vector)
-            else:
-                post = self.chunks.select("pk", F.explode(vector).alias("term", "weight"))
-                hits = search.sparse_topk(q, post.withColumn("weight", F.col("weight").cast("double")), k, False)
-        elif small:
-            hits = search.bm25_scan_topk(
-                q, self.chunks, None, self.settings.top_k, doc_weight="log_tf", term_key=term_id
-            )
-        else:
-            post = encode.sparse_vectors(self.chunks.select("pk", "text"))
-            hits = search.sparse_topk(q, post.withColumnRenamed("term_id", "term"), self.settings.top_k, False)
+            return sparse_store(self.store, q, self.settings.top_k).select(*HIT_COLS)
+        small = at_most(q, MAX_BROADCAST_ROWS)
+        hits = self._scanned(q, small, chunks=self.sparse_rows, stats=None, doc_weight="stored", stored="sparse_vector")
         return search.with_text(hits, self.chunks, hits_small=small).select(*HIT_COLS)
 
     def ranked_lists(self, queries: DataFrame) -> list[DataFrame]:
@@ -234,6 +249,17 @@ class Retriever:
 
     # ----------------------------------------------------------- evaluation
 
+    def consistency(self, strategy: str, queries: DataFrame, n: int, template: str = RAG_PROMPT) -> DataFrame:
+        """``(query_id, n_samples, consistency)`` of ``n`` responses of the
+        caller's generator to every query's prompt."""
+        if self.models.generator is None:
+            raise ValueError("sampling responses needs a generator")
+        ctx = fusion.context(self.hits(strategy, queries), queries)
+        prompt = generate.prompt_column(template, F.col("query_text"), F.col("context"))
+        rows = queries.join(ctx, "query_id").select("query_id", prompt.alias("prompt"))
+        samples = generate.sample_responses(rows, self.models.generator, n, self.settings.max_output_tokens)
+        return generate.sample_consistency(samples)
+
     def evaluate(
         self, strategy: str, queries: DataFrame, priority: int, template: str = RAG_PROMPT
     ) -> DataFrame:

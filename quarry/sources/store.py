@@ -1,27 +1,49 @@
 """The knowledge store as plain tables.
 
-``<root>/knowledge``  pk, text, dense_vector, source[, sparse_vector][, full_text_vector]
-``<root>/postings``   term, pk, weight; partitioned by ``term_bucket`` and
-                      sorted by term inside each file, so a search reads only
-                      the buckets of its query terms (partition filters) and
-                      row groups of its terms (min/max statistics)
-``<root>/bm25_terms`` term, df, idf      ``<root>/bm25_stats`` n, avgdl
-
-Every write replaces what was there (the reference drops and recreates its
-collection). Nothing passes through the driver.
+``<root>/log``           one row per committed version, written last
+``<root>/<version>/``
+  ``knowledge``   pk, text, dense_vector, source[, sparse_vector]
+                  [, full_text_vector], shard, doc
+  ``vectors``     packed blocks of dense vectors with their norms
+  ``postings``    term, pk, weight; partitioned by ``term_bucket`` and sorted
+                  by term inside each file: a search for few matches opens the
+                  buckets of its terms only
+  ``index``, ``sparse_index``
+                  postings by document shard with block maxima, bucketed by
+                  shard and sorted by term (see ``operators.shards``)
+  ``bm25_terms``  term, df, idf      ``bm25_stats``  n, avgdl
+
+A write makes a new version beside the old one and commits it with one
+appended log row; a reader pins the newest committed version, so it sees the
+old store whole until the new one is whole, and never a mix. The reference
+drops and recreates its collection. Older versions stay until the folder's
+owner expires them. Nothing passes through the driver.
 """
 
 from __future__ import annotations
 
+import os
+import time
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.config import MAX_TEXT_BYTES
+from quarry.config import MAX_BROADCAST_ROWS, MAX_TEXT_BYTES
+from quarry.operators import bm25, search, shards
+from quarry.operators.sizing import collect_if_small, in_blocks, query_blocks
 
 TERM_BUCKETS = 64
+#: Rows of a document shard, about; a small corpus is cut finer, down to
+#: ``LEAST_ROWS``, so that every core has one.
+SHARD_ROWS, LEAST_ROWS = 262_144, 4096
+#: Up to so many matching (query, chunk) postings a search goes through the
+#: term buckets and a join; more are scored inside the shards.
+JOIN_PAIRS = 1_000_000
+
+_LOG = "seq long, version string, shards int"
 
 
 def knowledge_schema(
@@ -48,19 +70,27 @@ def term_bucket(term: Column, buckets: int = TERM_BUCKETS) -> Column:
 
 @dataclass
 class Store:
+    """The tables of a store; the last four are set on what was read back."""
+
     knowledge: DataFrame
     postings: DataFrame
     bm25_terms: DataFrame
     bm25_stats: DataFrame
+    vectors: DataFrame | None = None
+    index: DataFrame | None = None
+    sparse_index: DataFrame | None = None
+    version: str | None = None
 
 
 def validate(knowledge: DataFrame, dense_dim: int) -> DataFrame:
     """Fail the write (not silently drop rows) when a row breaks the store's
-    limits: vector length != dense_dim, or text/source over 65535 bytes."""
+    limits: vector length != dense_dim, text/source over 65535 bytes, or a
+    ``pk`` that is no lowercase hex digest (see ``chunks.chunk_key``)."""
     bad = (
         (F.size("dense_vector") != dense_dim)
         | (F.octet_length("text") > MAX_TEXT_BYTES)
         | (F.octet_length("source") > MAX_TEXT_BYTES)
+        | ~F.col("pk").rlike("^[0-9a-f]{8,}$")
     )
     return knowledge.withColumn(
         "pk",
@@ -70,78 +100,160 @@ def validate(knowledge: DataFrame, dense_dim: int) -> DataFrame:
     )
 
 
-def write_store(store: Store, root: str, dense_dim: int, buckets: int = TERM_BUCKETS) -> None:
-    """Replace the store under ``root`` (one job per table)."""
-    root = root.rstrip("/")
-    validate(store.knowledge, dense_dim).write.mode("overwrite").parquet(f"{root}/knowledge")
+def sharded(knowledge: DataFrame, count: int) -> DataFrame:
+    """Adds ``shard`` (equal ranges of the digests, so shards are in key order
+    and evenly filled) and ``doc``, the place in the shard by key."""
+    lead = F.conv(F.substring("pk", 1, 8), 16, 10).cast("bigint")
+    placed = knowledge.withColumn("shard", F.shiftright(lead * F.lit(count), 32).cast("int"))
+    return placed.withColumn("doc", F.row_number().over(Window.partitionBy("shard").orderBy("pk")) - 1)
+
+
+def _index_table(spark: SparkSession, version: str, name: str, path: str, term: str, buckets: int) -> DataFrame:
+    """The bucketed files under ``path`` as a table of this session, so that
+    Spark knows that a shard lies in one bucket."""
+    table = f"quarry_{version}_{name}"
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} (shard INT, term {term}, docs ARRAY<INT>, weights ARRAY<FLOAT>, block_max ARRAY<FLOAT>) "
+        f"USING parquet CLUSTERED BY (shard) SORTED BY (term) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    return spark.table(table)
+
+
+def committed(spark: SparkSession, root: str, version: str | None = None) -> Row | None:
+    """Log row (``seq, version, shards``) of the newest committed version, or
+    of the one named."""
+    try:
+        rows = spark.read.schema(_LOG).parquet(f"{root.rstrip('/')}/log")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if version is not None:
+        rows = rows.where(F.col("version") == version)
+    return rows.orderBy(F.desc("seq"), F.desc("version")).first()
+
+
+def write_store(store: Store, root: str, dense_dim: int, buckets: int = TERM_BUCKETS, shard_rows: int = SHARD_ROWS) -> str:
+    """Replace the store under ``root``; returns the version.
+    One job per table, and the log row that makes them the store."""
+    root, spark = root.rstrip("/"), store.knowledge.sparkSession
+    before = committed(spark, root)
+    version = f"v{int(time.time() * 1000)}_{os.urandom(4).hex()}"
+    folder = f"{root}/{version}"
+    store.bm25_stats.write.parquet(f"{folder}/bm25_stats")
+    store.bm25_terms.write.parquet(f"{folder}/bm25_terms")
+    n = spark.read.parquet(f"{folder}/bm25_stats").first().n
+    cores = spark.sparkContext.defaultParallelism
+    count = max(1, -(-n // shard_rows), min(cores, n // LEAST_ROWS))
+    sharded(validate(store.knowledge, dense_dim), count).write.parquet(f"{folder}/knowledge")
+    knowledge = spark.read.parquet(f"{folder}/knowledge")
+    shards.packed_vectors(knowledge.withColumn("at", shards.at_column()), "dense_vector").write.parquet(f"{folder}/vectors")
+    for vector, name in (("full_text_vector", "index"), ("sparse_vector", "sparse_index")):
+        if vector in knowledge.columns:
+            rows = shards.posting_rows(knowledge, vector, count)
+            rows = rows.repartition(count, "shard")  # the bucket's own hash: a bucket is one file
+            rows.write.bucketBy(count, "shard").sortBy("term").option("path", f"{folder}/{name}").saveAsTable(f"quarry_{version}_{name}")
     # ``rebalance`` (not ``repartition``): AQE splits the partition of a bucket
     # holding a very frequent term into several tasks and merges tiny ones.
     (
         store.postings.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
         .hint("rebalance", "term_bucket")
         .sortWithinPartitions("term_bucket", "term", "pk")
-        .write.mode("overwrite")
-        .partitionBy("term_bucket")
-        .parquet(f"{root}/postings")
+        .write.partitionBy("term_bucket")
+        .parquet(f"{folder}/postings")
     )
-    store.bm25_terms.write.mode("overwrite").parquet(f"{root}/bm25_terms")
-    store.bm25_stats.write.mode("overwrite").parquet(f"{root}/bm25_stats")
+    commit = spark.createDataFrame([(before.seq + 1 if before else 1, version, count)], _LOG)
+    commit.coalesce(1).write.mode("append").parquet(f"{root}/log")
+    return version
 
 
-def read_store(spark: SparkSession, root: str) -> Store:
-    """The written store as lazy DataFrames."""
+def read_store(spark: SparkSession, root: str, version: str | None = None) -> Store:
+    """The newest committed version (or the given one) as lazy DataFrames.
+    The version stays pinned: a later write changes nothing for this store."""
     root = root.rstrip("/")
-    return Store(
-        knowledge=spark.read.parquet(f"{root}/knowledge"),
-        postings=spark.read.parquet(f"{root}/postings"),
-        bm25_terms=spark.read.parquet(f"{root}/bm25_terms"),
-        bm25_stats=spark.read.parquet(f"{root}/bm25_stats"),
-    )
+    found = committed(spark, root, version)
+    if found is None:
+        raise FileNotFoundError(f"no committed store {version or ''} under {root}")
+    folder = f"{root}/{found.version}"
+    out = Store(*(spark.read.parquet(f"{folder}/{t}") for t in ("knowledge", "postings", "bm25_terms", "bm25_stats")))
+    out.vectors, out.version = spark.read.parquet(f"{folder}/vectors"), found.version
+    for vector, name, term in (("full_text_vector", "index", "STRING"), ("sparse_vector", "sparse_index", "INT")):
+        if vector in out.knowledge.columns:
+            setattr(out, name, _index_table(spark, found.version, name, f"{folder}/{name}", term, found.shards))
+    return out
+
+
+def _named(hits: DataFrame, knowledge: DataFrame, small: bool = True) -> DataFrame:
+    """Keys and texts of hits on ``at``, fetched by a column-pruned scan."""
+    rows = knowledge.select("pk", "text", shards.at_column().alias("at"))
+    return (F.broadcast(hits) if small else hits).join(rows, "at").drop("at")
+
+
+def dense_store(store: Store, queries: DataFrame, k: int, max_queries: int) -> DataFrame:
+    """R2 over the packed vectors: ``queries(query_id, vector)``, one block of
+    queries after another where they are too many to broadcast at once."""
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").alias("qv"))
+    small = collect_if_small(q, max_queries)
+    if small is not None:
+        return _named(shards.packed_topk(small, store.vectors, k), store.knowledge)
+    hits = in_blocks(queries.sparkSession, query_blocks(q, max_queries), lambda part, held: shards.packed_topk(part, store.vectors, k, held))
+    return _named(hits, store.knowledge, False)
+
+
+def sparse_store(store: Store, weights: DataFrame, k: int, max_rows: int = MAX_BROADCAST_ROWS, index: str = "sparse_index") -> DataFrame:
+    """R3/R4 over an index by document shard: ``weights(query_id, term,
+    weight)``, block by block where they are too many."""
+    table = getattr(store, index)
+    small = collect_if_small(weights, max_rows)
+    if small is not None:
+        return _named(shards.index_topk(small, table, k), store.knowledge)
+    hits = in_blocks(weights.sparkSession, query_blocks(weights, max_rows), lambda part, held: shards.index_topk(part, table, k, held))
+    return _named(hits, store.knowledge, False)
+
+
+def _join_postings(store: Store, qp, schema: T.StructType, k: int) -> DataFrame:
+    """Only the buckets of the query terms are read; matches are joined."""
+    spark = store.postings.sparkSession
+    # one precision for all stored forms: maps and index hold floats
+    postings = store.postings.withColumn("weight", F.col("weight").cast("float").cast("double"))
+    qdf = spark.createDataFrame(qp, schema)
+    found = qdf.select(term_bucket(F.col("term")).alias("b")).distinct().collect()  # at most TERM_BUCKETS values
+    post = postings.where(F.col("term_bucket").isin([r[0] for r in found]) & F.col("term").isin(sorted(set(qp["term"]))))
+    return search.with_text(search.sparse_topk(qdf, post, k, True), store.knowledge, hits_small=True)
 
 
 def search_store(
     store: Store,
     queries: DataFrame,
     k: int = 5,
-    max_broadcast_rows: int = 2_000_000,
-    max_filter_terms: int = 10_000,
+    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
     plan: str = "auto",
     stop_words: list[str] | None = None,
+    suffixes: tuple[str, ...] = (),
+    join_pairs: int = JOIN_PAIRS,
 ) -> DataFrame:
     """Full-text top k over a written store (S9 then R4), the reference's
     query path: query terms weighted by the stored ``bm25_terms`` idf
-    (``stop_words``: those the store was built with).
+    (``stop_words`` and ``suffixes``: those the store was built with). All
+    plans give the same rows; ``auto`` chooses by the matches that the stored
+    document frequencies promise:
 
-    * ``postings`` (default when the query side is proven small and has at
-      most ``max_filter_terms`` distinct terms): the terms and their buckets
-      become static filters, so the scan reads only the ``term_bucket``
-      partitions and (files being sorted by term) the row groups of the query
-      terms; the weights are joined from a broadcast and summed per chunk.
+    * ``postings``, up to ``join_pairs`` matches: the terms and their buckets become static filters of the term-bucket table,
+      matches are joined from a broadcast and summed per chunk.
+    * ``index``, otherwise: every shard is scored where its rows are, by block
+      maxima; k rows per query and task are exchanged. A query side too large
+      to broadcast goes through in blocks.
     * ``scan``: every task scores its knowledge rows' stored maps.
-    * otherwise (query side too large to broadcast): the relational join over
-      the whole postings table.
     """
-    from quarry.operators import bm25, search
-
-    # one precision for both stored forms: maps hold floats
-    postings = store.postings.withColumn("weight", F.col("weight").cast("float").cast("double"))
-    qw, small = bm25.query_weights(queries, store.bm25_terms, stop_words, max_broadcast_rows=max_broadcast_rows)
-    if small and plan in ("auto", "postings"):
-        qp = qw.toPandas()  # proven small above
-        terms = sorted(set(qp["term"]))
-        if len(terms) <= max_filter_terms or plan == "postings":
-            spark = store.postings.sparkSession
-            qdf = spark.createDataFrame(qp, qw.schema)
-            buckets = [
-                r[0] for r in qdf.select(term_bucket(F.col("term")).alias("b")).distinct().collect()
-            ]  # at most TERM_BUCKETS values
-            post = postings.where(
-                F.col("term_bucket").isin(buckets) & F.col("term").isin(terms)
-            )
-            hits = search.sparse_topk(qdf, post, k, True)
-            return search.with_text(hits, store.knowledge, hits_small=True)
-    if small:
-        hits = search.bm25_scan_topk(qw, store.knowledge, None, k, doc_weight="stored")
-    else:
-        hits = search.sparse_topk(qw, postings, k, False)
-    return search.with_text(hits, store.knowledge, hits_small=small)
+    qw, small = bm25.query_weights(queries, store.bm25_terms, stop_words, suffixes, max_broadcast_rows=max_broadcast_rows, with_df=True)
+    columns = ["query_id", "term", "weight"]
+    if not small:
+        return sparse_store(store, qw.select(columns), k, max_broadcast_rows, "index")
+    qp = qw.toPandas()  # proven small above
+    few = int(qp["df"].sum()) <= join_pairs
+    qp = qp[columns]
+    if plan == "postings" or (plan == "auto" and few):
+        return _join_postings(store, qp, qw.select(columns).schema, k)
+    if plan == "scan":
+        return search.with_text(search.bm25_scan_topk(qp, store.knowledge, None, k, doc_weight="stored"), store.knowledge, hits_small=True)
+    return _named(shards.index_topk(qp, store.index, k), store.knowledge)

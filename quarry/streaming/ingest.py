@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.config import CHUNK_OVERLAP, CHUNK_SIZE, DENSE_DIM
-from quarry.operators.chunks import recursive_chunks
+from quarry.operators.chunks import documents_as_sections, recursive_chunks, window_chunks
 from quarry.operators.encode import hash_vectors
 from quarry.operators.sections import sections
 
@@ -70,3 +70,36 @@ def start_ingest(
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
+
+
+DOCUMENTS_SCHEMA = T.StructType(
+    [
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("source", T.StringType()),
+    ]
+)
+
+
+def ingest_documents(
+    spark: SparkSession,
+    documents: str,
+    out_dir: str,
+    checkpoint_location: str,
+    size: int = CHUNK_SIZE,
+    overlap: int = CHUNK_OVERLAP,
+    max_files_per_trigger: int | None = None,
+):
+    """Start a stream over the parquet files of ``documents`` (a file or a
+    folder that files are added to): window chunks appended under ``out_dir``.
+    It ends when all files there are taken in; started again on the same
+    checkpoint, it takes in new files only."""
+    reader = spark.readStream.schema(DOCUMENTS_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    # a stream takes a single file only through a pattern, so the path is one
+    pattern = f"{documents[:-1]}[{documents[-1]}]"
+    sections_ = documents_as_sections(reader.parquet(pattern))
+    chunks = window_chunks(sections_, key_cols=["doc_id", "section_pos"], size=size, overlap=overlap)
+    writer = chunks.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint_location)
+    return writer.outputMode("append").trigger(availableNow=True).start()
