@@ -4,9 +4,10 @@ Base kinds are found by fixed patterns. The method adds kind ``novel``: a
 candidate is a run of key-like characters with letters and digits shortly
 before or after a sensitive word, also glued to it or to a ``name=``. Its surprise is the number of bytes it adds to a
 zstandard frame that is primed with the identifier dictionary and the text
-around the candidate (both sides, the candidate itself cut out), divided by
-its length; what repeats or resembles its surroundings compresses away, a
-random key does not. Base spans get the same figure but stay whatever it is.
+around the candidate (both sides, all copies of the candidate cut out),
+divided by its length; what resembles its surroundings compresses away, a
+random key does not. A key that was found is reported wherever the text holds
+it as a run or a value of its own, near a sensitive word or not. Base spans get the same figure but stay whatever it is.
 
 Defined results: null or empty text has no spans; repeated rows are scanned
 each; extra columns are ignored; spans are in code points, end exclusive.
@@ -54,7 +55,7 @@ def surprise(text: str, start: int, end: int, context: int = CONTEXT, dictionary
     """Marginal compressed bytes per byte of ``text[start:end]``."""
     import zstandard
 
-    around = text[max(0, start - context) : start] + " " + text[end : end + context]
+    around = (text[max(0, start - context) : start] + " " + text[end : end + context]).replace(text[start:end], " ")
     prime = zstandard.ZstdCompressionDict(dictionary + around.encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     press = zstandard.ZstdCompressor(level=5, dict_data=prime, write_checksum=False, write_content_size=False, write_dict_id=False)
     raw = text[start:end].encode("utf-8", "replace")
@@ -70,41 +71,71 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def candidates(text: str, reach: int = REACH) -> Iterator[tuple[int, int]]:
-    """Candidate spans of all sensitive words: whole runs first, then values of
-    a ``name=value``, then what is glued to a word itself."""
-    found = list(SENSITIVE.finditer(text))
-    if not found:
-        return
-    runs, values = ([m.span() for m in p.finditer(text)] for p in (CANDIDATE, VALUE))
+Spans = list[tuple[int, int]]
+
+
+def candidates(text: str, words: list[re.Match], runs: Spans, values: Spans, reach: int = REACH) -> Iterator[tuple[int, int]]:
+    """Candidate spans of all sensitive ``words``: whole ``runs`` first, then
+    ``values`` of a ``name=value``, then what is glued to a word itself."""
     for spans in (runs, values):
-        for word in found:
+        for word in words:
             yield from spans[bisect_left(spans, (word.end(), 0)) : bisect_left(spans, (word.end() + reach, 0))]
             k = bisect_left(spans, word.start() + 1, key=lambda s: s[1]) - 1  # ends are sorted too
             while k >= 0 and spans[k][1] >= word.start() - reach:
                 yield spans[k]
                 k -= 1
-    for word in found:
+    for word in words:
         for place in (word.start(), word.end() - 1):
             k = bisect_left(values, (place + 1, 0)) - 1
             if k >= 0 and (span := values[k])[1] > place:
                 yield from [s for s in ((word.end(), span[1]), (span[0], word.start())) if s[1] - s[0] >= 16]
 
 
+class Taken:
+    """Places already taken, as disjoint intervals in order."""
+
+    def __init__(self, spans: Spans):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)  # intervals from k on start at or after b
+        return k == 0 or self.ends[k - 1] <= a
+
+    def add(self, a: int, b: int) -> None:
+        k = bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+
+
 def scan(text: str, novelty: float = NOVELTY, reach: int = REACH) -> list[tuple[str, int, int, float]]:
     base = base_spans(text)
     out = [(k, a, b, surprise(text, a, b)) for k, a, b in base]
-    taken = [(a, b) for _, a, b in base]
-    seen = set()
-    for a, b in candidates(text, reach):
-        if (a, b) in seen:
-            continue
-        seen.add((a, b))
-        span = text[a:b]
-        mixed = re.search("[0-9]", span) and re.search("[A-Za-z]", span)
-        if mixed and not any(x < b and a < y for x, y in taken) and (x := surprise(text, a, b)) >= novelty:
-            out.append(("novel", a, b, x))
-            taken.append((a, b))
+    words = list(SENSITIVE.finditer(text))
+    if words:
+        taken = Taken([(a, b) for _, a, b in base])
+        runs, values = ([m.span() for m in p.finditer(text)] for p in (CANDIDATE, VALUE))
+        seen, keys = set(), set()
+        for a, b in candidates(text, words, runs, values, reach):
+            if (a, b) in seen:
+                continue
+            seen.add((a, b))
+            span = text[a:b]
+            mixed = re.search("[0-9]", span) and re.search("[A-Za-z]", span)
+            if mixed and taken.free(a, b) and (x := surprise(text, a, b)) >= novelty:
+                out.append(("novel", a, b, x))
+                taken.add(a, b)
+                keys.add(span)
+        for a, b in (s for spans in (runs, values) for s in spans if keys):
+            if text[a:b] in keys and taken.free(a, b):
+                out.append(("novel", a, b, surprise(text, a, b)))
+                taken.add(a, b)
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
