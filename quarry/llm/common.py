@@ -86,6 +86,14 @@ def thinned(df: DataFrame, wanted: DataFrame, key: str, per_key: int = 32) -> Da
     return df.where(F.col(key).isNotNull()).withColumn("_at", place).where(marked("_at")).drop("_at")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_mod(col, n: int):
     """crc32 of the id as text, modulo n; a null id counts as an empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
@@ -123,12 +131,13 @@ def text_buffer(col) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of whole rows of about ``max_bytes`` of text."""
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES, max_rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of whole rows of about ``max_bytes`` of text and
+    at most ``max_rows`` rows."""
     _, off = text_buffer(batch.column(column))
     lo = 0
     while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + max_bytes, side="right")) - 1)
+        hi = min(lo + max_rows, max(lo + 1, int(np.searchsorted(off, off[lo] + max_bytes, side="right")) - 1))
         yield batch.slice(lo, hi - lo)
         lo = hi
 

@@ -8,9 +8,10 @@ well that bit did for that language in training, and takes the codeword of
 least loss. ``score`` is the softmax of the negative losses; ``ambiguous``
 says that the runner-up's loss is within ``margin``.
 
-Training takes at most ``per_language`` rows of each language (smallest id
-hashes), so the driver holds ``languages * per_language`` sparse rows. The
-count of languages is taken to be small (it is broadcast).
+Training takes at most ``per_language`` different rows (id and text) of each
+language, those of the smallest hashes, so the driver holds at most
+``languages * per_language`` sparse rows of up to 48 KB, whatever ids repeat.
+The count of languages is taken to be small (it is broadcast).
 
 Defined results: null text or text without a letter is ``und`` with score 0;
 with no usable training row everything is ``und``; a single language is
@@ -35,6 +36,8 @@ BITS = 13
 BUCKETS = 1 << BITS
 PER_LANGUAGE = 600
 MARGIN = 1.0
+#: Texts whose dense profiles (32 KB each) a worker holds at once.
+MOST_ROWS = 512
 EPOCHS = 8
 
 
@@ -97,55 +100,68 @@ class LanguageModel:
         return best, 1 / p.sum(1), gap
 
 
-def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = EPOCHS, seed: int = 5) -> LanguageModel:
-    """All bit classifiers at once by mini-batch Adagrad on logistic loss."""
+#: A text's profile as (buckets, values).
+Row = tuple[np.ndarray, np.ndarray]
+
+
+def dense(rows: list[Row]) -> np.ndarray:
+    x = np.zeros((len(rows), BUCKETS), np.float32)
+    for i, (at, values) in enumerate(rows):
+        x[i, at] = values
+    return x
+
+
+def train(rows: list[Row], y: np.ndarray, languages: list[str], epochs: int = EPOCHS, seed: int = 5) -> LanguageModel:
+    """All bit classifiers at once by mini-batch Adagrad on logistic loss; only
+    a batch is ever dense."""
     code, rng = codebook(len(languages)), np.random.default_rng(seed)
-    w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
+    w, b = np.zeros((BUCKETS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     gw, gb = np.full(w.shape, 1e-4, np.float32), np.full(b.shape, 1e-4, np.float32)
     target = code[y].astype(np.float32)
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for i in range(0, len(y), 64):
             at = order[i : i + 64]
-            slope = -target[at] / (1 + np.exp(np.clip(target[at] * (x[at] @ w + b), -30, 30))) / len(at)
-            dw, db = x[at].T @ slope, slope.sum(0)
+            x = dense([rows[k] for k in at])
+            slope = -target[at] / (1 + np.exp(np.clip(target[at] * (x @ w + b), -30, 30))) / len(at)
+            dw, db = x.T @ slope, slope.sum(0)
             gw += dw * dw
             gb += db * db
             w -= 0.3 * dw / np.sqrt(gw)
             b -= 0.3 * db / np.sqrt(gb)
-    right = (np.sign(x @ w + b) == target).astype(float)
+    right = np.concatenate([np.sign(dense(rows[i : i + 64]) @ w + b) == target[i : i + 64] for i in range(0, len(y), 64)]).astype(float)
     trust = np.array([right[y == k].mean(0) + 1e-3 if (y == k).any() else np.ones(code.shape[1]) for k in range(len(languages))])
     return LanguageModel(languages, code, w, b, trust * trust.shape[1] / trust.sum(1, keepdims=True))
 
 
 def fit(df: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel | None:
     ship(df)
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_at", "_key"))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_at"))
     known = df.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (crc_mod(F.col(key), 5) != 0))
-    # the ranking moves ids only; hashes over about twice the wanted share of
-    # a language stay behind, so that a language's ranking is small
-    ids = known.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.xxhash64(key).alias("_at"))
-    sizes = ids.groupBy("_lang").agg(F.count("*").alias("_n"))
+    # a row is known by a hash of its id and text: rows alike are one, and an
+    # id that repeats with other texts is as many rows
+    known = known.select(F.col(lang).alias("_lang"), F.lower(F.col(text)).alias("_text"), F.xxhash64(key, text).alias("_at"))
+    # the ranking moves hashes only; those over about twice the wanted share of
+    # a language's rows stay behind, so that a language's ranking is small
+    sizes = known.groupBy("_lang").agg(F.approx_count_distinct("_at").alias("_n"))
     share = (F.col("_at") + F.lit(2.0**63)) / F.lit(2.0**64)
-    ids = ids.join(F.broadcast(sizes), "_lang").where(share * F.col("_n") <= 2 * per_language)
-    ids = ids.withColumn("_rank", rank).where(F.col("_rank") <= per_language).select(F.col("_key").alias("_id")).distinct()
-    rows = known.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.lower(F.col(text)).alias("_text")).join(F.broadcast(ids), F.col("_key").eqNullSafe(F.col("_id")), "left_semi")
+    ids = known.select("_lang", "_at").join(F.broadcast(sizes), "_lang").where(share * F.col("_n") <= 2 * per_language).select("_lang", "_at")
+    ids = ids.distinct().withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("_lang", "_at")
+    rows = known.join(F.broadcast(ids), ["_lang", "_at"], "left_semi").dropDuplicates(["_lang", "_at"])
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for part in slices(batch, "_text", 1 << 18):
+            for part in slices(batch, "_text", 1 << 18, MOST_ROWS):
                 for lang_, x in zip(part.column("_lang").to_pylist(), profiles(part.column("_text"))):
                     at = np.flatnonzero(x)
                     yield pa.RecordBatch.from_arrays([pa.array([lang_]), pa.array([at.astype("<u2").tobytes()]), pa.array([x[at].astype("<f4").tobytes()])], names=["lang", "at", "x"])
 
-    got = sorted((r.lang, r.at, r.x) for r in rows.mapInArrow(run, "lang string, at binary, x binary").collect())
+    got = sorted((r.lang, r.at, r.x) for r in rows.select("_lang", "_text").mapInArrow(run, "lang string, at binary, x binary").collect())
     if not got:
         return None
     languages = sorted({g[0] for g in got})
-    x = np.zeros((len(got), BUCKETS), np.float32)
-    for i, (_, at, values) in enumerate(got):
-        x[i, np.frombuffer(at, "<u2")] = np.frombuffer(values, "<f4")
-    return train(x, np.array([languages.index(g[0]) for g in got]), languages)
+    sparse = [(np.frombuffer(at, "<u2"), np.frombuffer(values, "<f4")) for _, at, values in got]
+    return train(sparse, np.array([languages.index(g[0]) for g in got]), languages)
 
 
 def identify(df: DataFrame, model: LanguageModel | None, text: str = "text", key: str = "doc_id", margin: float = MARGIN) -> DataFrame:
@@ -158,7 +174,7 @@ def identify(df: DataFrame, model: LanguageModel | None, text: str = "text", key
     def run(batches: Iterator[pa.RecordBatch]):
         m = shared.value
         for batch in batches:
-            for part in slices(batch, "_text", 1 << 18):
+            for part in slices(batch, "_text", 1 << 18, MOST_ROWS):
                 letters = part.column("_letters").to_pylist()
                 if m is None:
                     lang, score, gap = ["und"] * len(letters), [0.0] * len(letters), [0.0] * len(letters)
