@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix, ship, slices, text_buffer, text_key, words
+from quarry.llm.common import fresh, mix, ship, slices, text_buffer, text_key, words
 
 #: Lossless for the window sizes and substitutions above.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 6, 7), (0, 1, 2, 3, 4))
@@ -148,6 +148,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
     """``docs`` without the rows that hold a benchmark passage. Rows are judged
     by their text alone, so null or repeated ids take no other row along."""
-    keyed = docs.withColumn("_text_key", text_key(text))
-    bad = contaminated(keyed, benchmark, text, "_text_key", item_text, item_key).select("_text_key").distinct()
-    return keyed.join(bad, "_text_key", "left_anti").select(*docs.columns)
+    name = fresh(docs, "_text_key")
+    keyed = docs.withColumn(name, text_key(text))
+    bad = contaminated(keyed, benchmark, text, name, item_text, item_key).select(name).distinct()
+    return keyed.join(bad, name, "left_anti").select(*docs.columns)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import code_points, crc_mod, ship, slices
+from quarry.llm.common import code_points, crc_mod, fresh, ship, slices
 
 BUCKETS = 1 << 15
 ORDERS = (3, 4, 5)
@@ -165,15 +165,15 @@ def score(df: DataFrame, model: QualityModel, text: str = "text", out: str = "sc
     """``df`` with a score in 0..1 for every row's whole text; a narrow map."""
     ship(df)
     shared = df.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # 256 KB
-    staged = df.withColumn("_text", F.col(text)) if text != "_text" else df
-    names = df.columns
+    names, copy = df.columns, fresh(df, "_text")
+    staged = df.withColumn(copy, F.col(text))
 
     def run(batches: Iterator[pa.RecordBatch]):
         m = QualityModel(*shared.value)
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, copy):
                 cols = [part.column(i) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(m.scores(part.column("_text")), pa.float64())], names=[*names, out])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(m.scores(part.column(copy)), pa.float64())], names=[*names, out])
 
     return staged.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
 
