@@ -15,9 +15,10 @@ filters), measured in the tests against brute force; precision is exact.
 
 Defined results: null or zero vectors, and ones with null or non-finite
 components, have no links; identical vectors are all linked; vectors of
-different lengths are never linked; rows of the same id are one vertex; a
-null id links with nothing and has a null component; extra columns are
-ignored.
+different lengths are never linked; rows of the same id are one vertex, which
+has the links of all its vectors, and other ids are counted once each (a row
+of it without a usable vector has none); a null id links with nothing and has
+a null component; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -61,7 +62,13 @@ class CapCode:
         a, b = self.scores(probe / np.linalg.norm(probe, axis=1, keepdims=True))
         # the cap's border: over random vectors, `caps` of all directions exceed it
         share = min(1.0, caps / self.size**2)
-        rows = [np.partition((x[:, None] + y[None, :]).ravel(), -max(1, int(4 * caps)))[-max(1, int(4 * caps)) :] for x, y in zip(a, b)] if self.size**2 > 4 * caps else [(x[:, None] + y[None, :]).ravel() for x, y in zip(a, b)]
+        # the m best sums use the m best words of either half only
+        m = max(1, int(4 * caps))
+        rows = []
+        for x, y in zip(a, b):
+            x, y = (np.partition(v, -min(m, self.size))[-min(m, self.size) :] for v in (x, y))
+            sums = np.add.outer(x, y).ravel()
+            rows.append(np.partition(sums, -m)[-m:] if len(sums) > m else sums)
         top = np.sort(np.concatenate(rows))[::-1]
         self.border = top[min(len(top) - 1, int(share * self.size**2 * len(probe)))]
 
@@ -142,19 +149,40 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     usable = F.exists(v, lambda x: x != 0) & F.forall(v, lambda x: x.isNotNull() & ((x - x) == 0))
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("vector"), F.col(key).alias("_key"))
     rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False)) & F.col("id").isNotNull())
-    # identical vectors are one class, named by its smallest id
-    good = rows.where("ok").select("id", "vector", F.sha2(F.to_json(F.struct("vector")), 256).alias("same"))
-    classes = good.groupBy("same").agg(F.min("id").alias("node"), F.count("*").alias("size"), F.first("vector").alias("vector"))
-    classes = written(classes, "vector-classes")
+    # identical vectors are one class; an id with several vectors is in several
+    node = F.xxhash64(F.sha2(F.to_json(F.struct("vector")), 256))
+    good = rows.where("ok").select("id", "vector", node.alias("node"))
+    member = written(good.select("id", "node").distinct(), "vector-members")
+    classes = written(good.groupBy("node").agg(F.first("vector").alias("vector")), "vector-classes")
     n = classes.count()
-    found = written(links(classes.select("node", "vector"), max(LEAST_DIRECTIONS, PER_VECTOR * n), threshold, caps), "vector-links")
-    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    weight = classes.groupBy(F.col("node").alias("b")).agg(F.sum("size").alias("size"))
-    direct = both.join(weight, "b").groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("others"))
-    place = components(found)
-    of_class = classes.select("same", "node", "size").join(direct, "node", "left").join(place, "node", "left")
-    of_class = of_class.select("same", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    keyed = rows.select("_key", "id", F.when(F.col("ok"), F.sha2(F.to_json(F.struct("vector")), 256)).alias("same"))
-    out = keyed.join(of_class, "same", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("_key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    found = written(links(classes, max(LEAST_DIRECTIONS, PER_VECTOR * n), threshold, caps), "vector-links")
+    sizes = member.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("least"))
+    near = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = near.unionByName(classes.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    weight = sizes.select(F.col("node").alias("b"), "size")
+    of_class = near.join(weight, "b").groupBy(F.col("a").alias("node")).agg((F.sum("size") - 1).alias("class_links"))
+    several = written(member.join(member.groupBy("id").count().where("count > 1").select("id"), "id"), "several-vectors")
+    joined, of_id = found, None
+    if not several.isEmpty():
+        # the ids of near classes, each once: what an id is counted for beyond
+        # once goes off again; an id's own near classes are those of its vectors
+        again = several.select(F.col("id").alias("other"), F.col("node").alias("b"))
+
+        def counted(reach: DataFrame, owner: str) -> DataFrame:
+            total = reach.join(weight, "b").groupBy(owner).agg(F.sum("size").alias("total"))
+            twice = reach.join(again, "b").groupBy(owner, "other").count().groupBy(owner).agg(F.sum(F.col("count") - 1).alias("twice"))
+            return total.join(twice, owner, "left").select(owner, (F.col("total") - F.coalesce("twice", F.lit(0)) - 1).alias("links"))
+
+        of_class = counted(near.withColumnRenamed("a", "node"), "node").withColumnRenamed("links", "class_links")
+        reach = several.join(near.withColumnRenamed("a", "node"), "node").select("id", "b").distinct()
+        of_id = counted(reach, "id").withColumnRenamed("links", "id_links")
+        first = several.groupBy("id").agg(F.min("node").alias("a"))
+        joined = found.unionByName(several.join(first, "id").select("a", F.col("node").alias("b")).where("a <> b"))
+    place = sizes.select("node", "least").join(components(joined), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = place.groupBy("component").agg(F.min("least").alias("component_id"))
+    values = place.join(least, "component").join(of_class, "node").select("node", "class_links", "component_id")
+    out = rows.select("_key", "id", F.when(F.col("ok"), node).alias("node")).join(values, "node", "left")
+    if of_id is not None:
+        out = out.join(of_id, "id", "left").withColumn("class_links", F.when(F.col("node").isNotNull(), F.coalesce("id_links", "class_links")))
+    component = F.coalesce("component_id", "id")
+    return out.select(F.col("_key").alias(key), F.coalesce("class_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
