@@ -10,12 +10,18 @@ share a shingle. Several orders are used at once:
   or more become "common" in a bitmap, and the order is (counted and not
   common, not counted, common), then by hash. The bitmap is part of the
   order's definition, so a wrong bit costs time and never a link;
-* two further orders (other hashes within the same classes) give each set a
-  bitmap of its prefix: a pair without a common bit in either cannot link.
-
-Pairs must pass all filters at once (shared prefix shingle, common bits under
-the other orders, sizes, and the parity sketch, whose differing bits never
-outnumber the differing shingles) before the sets themselves are compared.
+* ``PARTS`` further orders, each putting one part of the hash range first: a
+  set keeps of each the first shingle, its prefix of length one, as one bit,
+  and whether it has any. The first of the two sets' shingles in a part is in
+  both sets with probability J, whatever their sizes, so the parts where the
+  prefixes differ are at most binomial. A pair passes unless more parts differ
+  than a pair at the threshold has with probability ``MISS`` (1e-12: a link
+  is lost as rarely as two 64-bit hashes meet).
+
+Pairs must pass all filters at once (shared prefix shingle, first shingles
+under the other orders, sizes, and the parity sketch, whose differing bits
+never outnumber the differing shingles and which decides small sets) before
+the sets themselves are compared.
 
 Only components are asked for, so no group is expanded to all its pairs:
 the first round verifies for each member of a bucket its first passing
@@ -31,6 +37,7 @@ text are one document; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,11 +50,11 @@ from quarry.llm.common import MAX_BITMAP_BITS, PAGE_BITS, bitmap, mix, ship, sli
 from quarry.llm.graph import blocked, components, groups
 
 COMMON = 48
-#: Bytes of the parity sketch and of each prefix bitmap.
-SKETCH, BITMAP = 32, 16
+#: Bytes of the parity sketch; orders whose first shingles are compared (a
+#: multiple of 64) and the probability that a link is lost by them.
+SKETCH, PARTS, MISS = 16, 256, 1e-12
 #: Groups up to this size are compared together, without a step for each.
 SMALL = 32
-ORDERS = (1, 2)
 
 
 @dataclass(frozen=True)
@@ -70,6 +77,20 @@ class Rule:
         """Most differing shingles of linked sets of these sizes."""
         return (na + nb) * (self.den - self.num) // (self.den + self.num)
 
+    def most_parts(self, share: float = 1.0) -> np.ndarray:
+        """By the number of parts that either set has a shingle in: most parts
+        whose first shingles differ, each counted with probability ``share``."""
+        p, out = share * (1 - self.num / self.den), []
+        for n in range(PARTS + 1):
+            tail, k = 0.0, n
+            while k > 0:
+                tail += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+                if tail > MISS:
+                    break
+                k -= 1
+            out.append(k)
+        return np.array(out)
+
 
 def shingle_sets(hashes: np.ndarray, first: np.ndarray, width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each row."""
@@ -91,6 +112,19 @@ def shingle_sets(hashes: np.ndarray, first: np.ndarray, width: int) -> list[np.n
     return out
 
 
+def first_shingles(s: np.ndarray) -> bytes:
+    """Per part of the hash range: has the set a shingle there, and one bit of
+    the first one."""
+    h = mix(s, 61)
+    key = np.sort((h & np.uint64(PARTS - 1)) << np.uint64(48) | h >> np.uint64(16))
+    part = (key >> np.uint64(48)).astype(np.int64)
+    first = np.concatenate([[True], part[1:] != part[:-1]])
+    bits = np.zeros((2, PARTS), np.uint8)
+    bits[0, part[first]] = 1
+    bits[1, part[first]] = (key[first] & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits, axis=1).tobytes()
+
+
 def parity_sketch(s: np.ndarray, size: int = SKETCH) -> bytes:
     """Parity of the shingles at each of ``size`` bytes' bits (a power of two);
     a sketch's halves joined by xor are the sketch of half the size."""
@@ -110,19 +144,10 @@ class Orders:
         common = (self.common[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         return np.where(counted, np.where(common, 2, 0), 1)
 
-    def prefixes(self, s: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-        """Prefix under the joining order; prefix bitmaps under the others."""
-        p = self.rule.prefix(len(s))
+    def prefix(self, s: np.ndarray) -> np.ndarray:
+        """Prefix under the joining order."""
         kind = self.classes(s)
-        first = np.concatenate([s[kind == c] for c in (0, 1, 2)])[:p]  # s is sorted already
-        maps = []
-        for seed in ORDERS:
-            h = mix(s, seed)
-            best = s[np.lexsort((h, kind))[:p]]
-            bits = np.zeros(BITMAP * 8, np.uint8)
-            bits[(mix(best, 70 + seed) >> np.uint64(64 - (BITMAP * 8).bit_length() + 1)).astype(np.int64)] = 1
-            maps.append(np.packbits(bits).tobytes())
-        return first, maps
+        return np.concatenate([s[kind == c] for c in (0, 1, 2)])[: self.rule.prefix(len(s))]  # s is sorted already
 
 
 def _common_bitmap(texts: DataFrame, rule: Rule) -> tuple[np.ndarray, int]:
@@ -150,7 +175,7 @@ def _common_bitmap(texts: DataFrame, rule: Rule) -> tuple[np.ndarray, int]:
 
 def _describe(texts: DataFrame, rule: Rule, shared, kind: str) -> DataFrame:
     """``k, node, n, prefix, filters`` of every row; node is null for an empty
-    set; filters holds the sketch and the bitmaps."""
+    set; filters holds the sketch and the first shingles of the other orders."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         orders = Orders(rule, *shared.value)
@@ -164,9 +189,8 @@ def _describe(texts: DataFrame, rule: Rule, shared, kind: str) -> DataFrame:
                         continue
                     a = int(np.add.reduce(mix(s, 80))) ^ int(np.bitwise_xor.reduce(mix(s, 81)))
                     node.append(int(mix(np.array([a], np.uint64), len(s) % 1000)[0].view(np.int64)))
-                    first, maps = orders.prefixes(s)
-                    prefix.append(first.view(np.int64))
-                    filters.append(parity_sketch(s) + b"".join(maps))
+                    prefix.append(orders.prefix(s).view(np.int64))
+                    filters.append(parity_sketch(s) + first_shingles(s))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("k"), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(filters, pa.binary())],
                     names=["k", "node", "n", "prefix", "filters"],
@@ -175,26 +199,37 @@ def _describe(texts: DataFrame, rule: Rule, shared, kind: str) -> DataFrame:
     return texts.mapInArrow(run, f"k {kind}, node bigint, n bigint, prefix array<bigint>, filters binary")
 
 
-def _passing(n: np.ndarray, f: np.ndarray, i: np.ndarray, j: np.ndarray, rule: Rule) -> np.ndarray:
-    """Which of the pairs pass sizes, sketch and the other orders' bitmaps.
-    ``f``: filters as rows of 64-bit words, sketch first."""
-    low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-    at = np.flatnonzero(low * rule.den >= high * rule.num)
-    i, j = i[at], j[at]
-    w = SKETCH // 8
-    ok = np.bitwise_count(f[i, :w] ^ f[j, :w]).sum(1) <= rule.most_apart(n[i], n[j])
-    for k in range(len(ORDERS)):
-        b = w + k * (BITMAP // 8)
-        ok &= (f[i, b : b + BITMAP // 8] & f[j, b : b + BITMAP // 8]).any(1)
-    out = np.zeros(len(low), bool)
-    out[at[ok]] = True
-    return out
+class Filters:
+    """Which pairs pass sizes, sketch and first shingles under ``rule``."""
+
+    def __init__(self, rule: Rule):
+        self.rule, self.most, self.most_bits = rule, rule.most_parts(), rule.most_parts(0.5)
+
+    def passing(self, n: np.ndarray, f: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """``f``: filters as rows of 64-bit words, sketch first."""
+        rule, w, v = self.rule, SKETCH // 8, PARTS // 64
+        low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        at = np.flatnonzero(low * rule.den >= high * rule.num)
+        a, b = f[i[at]], f[j[at]]
+        ok = np.bitwise_count(a[:, :w] ^ b[:, :w]).sum(1) <= rule.most_apart(n[i[at]], n[j[at]])
+        at, a, b = at[ok], a[ok], b[ok]
+        both, one = a[:, w : w + v] & b[:, w : w + v], a[:, w : w + v] ^ b[:, w : w + v]
+        bits = np.bitwise_count(both & (a[:, w + v :] ^ b[:, w + v :])).sum(1, dtype=np.int64)
+        alone = np.bitwise_count(one).sum(1, dtype=np.int64)
+        parts = np.bitwise_count(both).sum(1, dtype=np.int64) + alone
+        # two different first shingles show different bits half of the time
+        ok = (alone + bits <= self.most[parts]) & (bits <= self.most_bits[parts])
+        out = np.zeros(len(low), bool)
+        out[at[ok]] = True
+        return out
 
 
 def _candidates(rows: DataFrame, rule: Rule, first_only: bool) -> DataFrame:
     """Distinct passing pairs of different components inside the buckets; with
     ``first_only`` the passing partner of smallest node for each member."""
 
+    filters = Filters(rule)
+
     def pairs(g: pa.Table) -> pa.RecordBatch | None:
         """Passing pairs of a run of whole groups."""
         node, part, n, comp, bucket, lo, hi = (g.column(c).to_numpy() for c in ("node", "part", "n", "component", "bucket", "lo", "hi"))
@@ -206,7 +241,7 @@ def _candidates(rows: DataFrame, rule: Rule, first_only: bool) -> DataFrame:
         def keep(i, j):
             ok = (comp[i] != comp[j]) & (node[i] != node[j])
             i, j = i[ok], j[ok]
-            ok = _passing(n, f, i, j, rule)
+            ok = filters.passing(n, f, i, j)
             i, j = i[ok], j[ok]
             found.append(np.where(node[i] > node[j], (i, j), (j, i)))  # larger node first
 
