@@ -17,19 +17,23 @@ from quarry.session import scratch_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject. Null and empty
+    texts have the score of the training share; repeated rows are judged each;
+    an empty table stays one."""
     model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_classifier.score(docs, model, out="_quality").where("_quality >= 0.5").drop("_quality")
+    name = common.fresh(docs, "quality")
+    return quality_classifier.score(docs, model, out=name).where(F.col(name) >= 0.5).select(*docs.columns)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, a hash of each row's place in its Parquet file;
-    what is not a plain scan of files is written first."""
-    place = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("_row")
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a hash of each row's place in its Parquet file, and that
+    column's name; what is not a plain scan of files is written first."""
+    name = common.fresh(docs, "_row")
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name)
     try:
-        return docs.select("*", place)
+        return docs.select("*", place), name
     except AnalysisException:
-        return common.written(docs, "numbered-rows").select("*", place)
+        return common.written(docs, "numbered-rows").select("*", place), name
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,27 +41,33 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     of 0.8 or more), the one of smallest id (no id comes last). Rows are told
     apart by their place, so null or repeated ids take no other row along; rows
     without a word are in no group and stay."""
-    rows = numbered(docs)
-    found = common.written(ngram_join.near_duplicates(rows, key="_row").select("_row", "component_id"), "near-groups")
-    ids = found.join(rows.select("_row", "doc_id"), "_row")
-    best = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("best"))
-    others = common.written(found.select("_row").join(best.select("best._row"), "_row", "left_anti"), "near-others")
-    return rows.join(others, "_row", "left_anti").select(*docs.columns)
+    rows, row = numbered(docs)
+    found = ngram_join.near_duplicates(rows.select(row, "text"), key=row).select(F.col(row).alias("row"), "component_id")
+    found = common.written(found, "near-groups")
+    ids = found.join(rows.select(F.col(row).alias("row"), "doc_id"), "row")
+    best = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best"))
+    others = common.written(found.select("row").join(best.select("best.row"), "row", "left_anti").withColumnRenamed("row", row), "near-others")
+    return rows.join(others, row, "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; rows are judged by their
+    text, so null and repeated ids take no other row along, and null texts stay."""
     return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every found secret replaced by a mark."""
-    clean = secret_scan.redact(docs.withColumn("_before", F.col("text")))
-    changed = ~F.col("text").eqNullSafe(F.col("_before"))
+    """All documents, with every found secret replaced by a mark and ``n_chars``
+    counted anew where the text changed; null and empty texts stay as they are."""
+    before = common.fresh(docs, "_before")
+    clean = secret_scan.redact(docs.withColumn(before, F.col("text")))
+    changed = ~F.col("text").eqNullSafe(F.col(before))
     return clean.withColumn("n_chars", F.when(changed, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences, one row per piece; a null text is an
+    empty one, which is its end id alone."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.tiktoken"))
 
 
@@ -74,6 +84,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each one's rows written and read again."""
     docs = common.documents(spark, sf_dir)
     for number, (_, stage) in enumerate(STAGES):
         result = stage(spark, docs, sf_dir)
