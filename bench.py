@@ -33,12 +33,18 @@ HEADLINE = [
     "knowledge_table",
     "postings",
     "store_full_text_topk",
+    "store_full_text_topk_index",
     "store_full_text_topk_scan",
+    "store_semantic_topk",
+    "store_sparse_topk",
     "store_cascade_answer",
     "conversation_full_text_topk",
     "full_text_topk_join",
     "dense_topk_blocked",
     "cascade_answer_eager",
+    "sample_consistency",
+    "chunk_offsets",
+    "stream_chunks",
 ]
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.config import MAX_BROADCAST_QUERIES, TOP_K
+from quarry.config import MAX_BROADCAST_QUERIES, MAX_BROADCAST_ROWS, TOP_K
 from quarry.operators.sizing import collect_if_small, in_blocks, query_blocks
 
 
@@ -90,6 +90,11 @@ def with_text(
     return h.join(chunks.select(key, "text"), key)
 
 
+def few_hits(queries: pd.DataFrame, k: int, most: int = MAX_BROADCAST_ROWS // 10) -> bool:
+    """Are the k best of each of these queries few enough to broadcast?"""
+    return queries["query_id"].nunique() * k <= most
+
+
 # ---------------------------------------------------------------- dense search
 
 
@@ -215,7 +220,7 @@ def dense_topk(
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     hits = hits.withColumnRenamed("pk", key) if key != "pk" else hits
-    return (hits, strategy == "broadcast") if with_plan else hits
+    return (hits, strategy == "broadcast" and few_hits(qp, k)) if with_plan else hits
 
 
 #: Scores, or (posting, query) products, that a task holds at once.

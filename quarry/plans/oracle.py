@@ -7,6 +7,9 @@ checked row for row. Shared steps are CTE fragments joined below.
 
 from __future__ import annotations
 
+import re
+from string import Template
+
 from quarry.config import CHUNK_OVERLAP, CHUNK_SIZE, TOP_K
 
 WHITE = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]"
@@ -372,7 +375,6 @@ SQL["knowledge_table"] = _with(_window_chunks(), BM25, _hashed("dhv", "pk", "tok
 # ------------------------------- steps 7-9: rerank, prompts, HyDE, cascade
 
 from quarry.config import HYDE_PROMPT, RAG_PROMPT, STUB_RESPONSE, TRUST_THRESHOLD  # noqa: E402
-from quarry.functions.template import split_template  # noqa: E402
 
 
 def _lit(s: str) -> str:
@@ -380,17 +382,11 @@ def _lit(s: str) -> str:
 
 
 def template_sql(template: str, query: str, context: str | None = None) -> str:
-    parts = split_template(template)
-    names = {v for k, v in parts if k == "var"}
-    out = []
-    for kind, v in parts:
-        if kind == "lit":
-            out.append(_lit(v))
-        elif v == "query":
-            out.append(query)
-        elif v == "context" and names == {"context", "query"}:
-            out.append(context)
-    return "(" + " || ".join(out) + ")"
+    """The template filled with marks by the standard library, cut at them."""
+    filled = Template(template).substitute(query="\x01", context="\x02")
+    columns = {"\x01": query, "\x02": context}
+    parts = [columns.get(p) or _lit(p) for p in re.split("([\x01\x02])", filled) if p]
+    return "(" + " || ".join(parts) + ")"
 
 
 def coverage_sql(q: str, r: str) -> str:

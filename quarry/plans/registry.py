@@ -91,20 +91,29 @@ def bm25_query_weights(spark, sf_dir):
     return qw.select("query_id", "term", _r6("weight"))
 
 
+def full_text_hits(spark, sf_dir, plan="auto", queries=None):
+    """Full-text top 5 as a retriever answers it, or by the relational plan:
+    postings x query terms, sum, top k."""
+    queries = queries if queries is not None else benchmark_queries(spark, sf_dir)
+    if plan != "join":
+        return _retriever(spark, sf_dir).full_text(queries)
+    chunks = indexed_chunks(spark, sf_dir)
+    ix = full_text_index(chunks)
+    qw, small = bm25.query_weights(queries, ix.vocab)
+    return with_text(_sparse_topk(qw, ix.postings, TOP_K, small), chunks, hits_small=small)
+
+
 @register
 def full_text_topk(spark, sf_dir):
     """Full-text top 5; query weights proven small -> in-task scoring scan."""
-    hits = _retriever(spark, sf_dir).full_text(benchmark_queries(spark, sf_dir))
+    hits = full_text_hits(spark, sf_dir)
     return hits.select("query_id", "rank", "pk", _r6("score"), "text")
 
 
 @register
 def full_text_topk_join(spark, sf_dir):
     """Same result by the relational plan: postings x query terms, sum, top k."""
-    chunks = indexed_chunks(spark, sf_dir)
-    ix = full_text_index(chunks)
-    qw, small = bm25.query_weights(benchmark_queries(spark, sf_dir), ix.vocab)
-    hits = with_text(_sparse_topk(qw, ix.postings, TOP_K, small), chunks, hits_small=small)
+    hits = full_text_hits(spark, sf_dir, plan="join")
     return hits.select("query_id", "rank", "pk", _r6("score"), "text")
 
 
@@ -542,7 +551,7 @@ def _write_store(spark, chunks, settings):
 def conversation_full_text_topk(spark, sf_dir):
     """Every user turn of ``conversations`` as a question, full text top 5."""
     questions = user_questions(read_table(spark, sf_dir, "conversations"))
-    hits = _retriever(spark, sf_dir).full_text(questions)
+    hits = full_text_hits(spark, sf_dir, queries=questions)
     return hits.select("query_id", "rank", "pk", _r6("score"), "text")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import HYDE_PROMPT, MAX_BROADCAST_QUERIES, MAX_BROADCAST_ROWS, RAG_PROMPT, Settings
 from quarry.operators import bm25, encode, fusion, generate, search
-from quarry.operators.sizing import at_most, in_blocks, query_blocks
+from quarry.operators.sizing import at_most, collect_if_small, in_blocks, query_blocks
 from quarry.plans.corpus import FullTextIndex, full_text_index, materialize
 from quarry.sources.store import Store, dense_store, read_store, search_store, sparse_store
 
@@ -142,14 +142,15 @@ class Retriever:
         hits, small = search.dense_topk(qv, self.vectors, k=self.settings.top_k, with_plan=True)
         return search.with_text(hits, self.chunks, hits_small=small).select(*HIT_COLS)
 
-    def _scanned(self, weights: DataFrame, small: bool, **kw) -> DataFrame:
-        """Scoring in every corpus task; a query side too large to broadcast
-        goes through in blocks."""
+    def _scanned(self, weights: DataFrame, **kw) -> tuple[DataFrame, bool]:
+        """Scoring in every corpus task, and whether the hits are few enough to
+        broadcast; a query side too large for that goes through in blocks."""
         k = self.settings.top_k
-        if small:
-            return search.bm25_scan_topk(weights, k=k, **kw)
+        rows = collect_if_small(weights, MAX_BROADCAST_ROWS)
+        if rows is not None:
+            return search.bm25_scan_topk(rows, k=k, **kw), search.few_hits(rows, k)
         blocks = query_blocks(weights, MAX_BROADCAST_ROWS)
-        return in_blocks(weights.sparkSession, blocks, lambda part, held: search.bm25_scan_topk(part, k=k, held=held, **kw))
+        return in_blocks(weights.sparkSession, blocks, lambda part, held: search.bm25_scan_topk(part, k=k, held=held, **kw)), False
 
     def full_text(self, queries: DataFrame) -> DataFrame:
         """E7 -> J2 -> A3 -> W3 -> J3. The query weights are broadcast, in
@@ -159,8 +160,8 @@ class Retriever:
         if self.store is not None:
             found = search_store(self.store, queries, self.settings.top_k, stop_words=words, suffixes=suffixes)
             return found.select(*HIT_COLS)
-        qw, small = bm25.query_weights(queries, self.index.vocab, words, suffixes)
-        hits = self._scanned(qw, small, chunks=self.chunks, stats=self.avgdl)
+        qw, _ = bm25.query_weights(queries, self.index.vocab, words, suffixes)
+        hits, small = self._scanned(qw, chunks=self.chunks, stats=self.avgdl)
         return search.with_text(hits, self.chunks, hits_small=small).select(*HIT_COLS)
 
     def _sparse_queries(self, queries: DataFrame) -> DataFrame:
@@ -177,8 +178,7 @@ class Retriever:
         q = self._sparse_queries(queries)
         if self.store is not None:
             return sparse_store(self.store, q, self.settings.top_k).select(*HIT_COLS)
-        small = at_most(q, MAX_BROADCAST_ROWS)
-        hits = self._scanned(q, small, chunks=self.sparse_rows, stats=None, doc_weight="stored", stored="sparse_vector")
+        hits, small = self._scanned(q, chunks=self.sparse_rows, stats=None, doc_weight="stored", stored="sparse_vector")
         return search.with_text(hits, self.chunks, hits_small=small).select(*HIT_COLS)
 
     def ranked_lists(self, queries: DataFrame) -> list[DataFrame]:

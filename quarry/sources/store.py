@@ -183,7 +183,7 @@ def read_store(spark: SparkSession, root: str, version: str | None = None) -> St
     return out
 
 
-def _named(hits: DataFrame, knowledge: DataFrame, small: bool = True) -> DataFrame:
+def _named(hits: DataFrame, knowledge: DataFrame, small: bool) -> DataFrame:
     """Keys and texts of hits on ``at``, fetched by a column-pruned scan."""
     rows = knowledge.select("pk", "text", shards.at_column().alias("at"))
     return (F.broadcast(hits) if small else hits).join(rows, "at").drop("at")
@@ -195,7 +195,7 @@ def dense_store(store: Store, queries: DataFrame, k: int, max_queries: int) -> D
     q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").alias("qv"))
     small = collect_if_small(q, max_queries)
     if small is not None:
-        return _named(shards.packed_topk(small, store.vectors, k), store.knowledge)
+        return _named(shards.packed_topk(small, store.vectors, k), store.knowledge, search.few_hits(small, k))
     hits = in_blocks(queries.sparkSession, query_blocks(q, max_queries), lambda part, held: shards.packed_topk(part, store.vectors, k, held))
     return _named(hits, store.knowledge, False)
 
@@ -206,7 +206,7 @@ def sparse_store(store: Store, weights: DataFrame, k: int, max_rows: int = MAX_B
     table = getattr(store, index)
     small = collect_if_small(weights, max_rows)
     if small is not None:
-        return _named(shards.index_topk(small, table, k), store.knowledge)
+        return _named(shards.index_topk(small, table, k), store.knowledge, search.few_hits(small, k))
     hits = in_blocks(weights.sparkSession, query_blocks(weights, max_rows), lambda part, held: shards.index_topk(part, table, k, held))
     return _named(hits, store.knowledge, False)
 
@@ -219,7 +219,7 @@ def _join_postings(store: Store, qp, schema: T.StructType, k: int) -> DataFrame:
     qdf = spark.createDataFrame(qp, schema)
     found = qdf.select(term_bucket(F.col("term")).alias("b")).distinct().collect()  # at most TERM_BUCKETS values
     post = postings.where(F.col("term_bucket").isin([r[0] for r in found]) & F.col("term").isin(sorted(set(qp["term"]))))
-    return search.with_text(search.sparse_topk(qdf, post, k, True), store.knowledge, hits_small=True)
+    return search.with_text(search.sparse_topk(qdf, post, k, True), store.knowledge, hits_small=search.few_hits(qp, k))
 
 
 def search_store(
@@ -255,5 +255,5 @@ def search_store(
     if plan == "postings" or (plan == "auto" and few):
         return _join_postings(store, qp, qw.select(columns).schema, k)
     if plan == "scan":
-        return search.with_text(search.bm25_scan_topk(qp, store.knowledge, None, k, doc_weight="stored"), store.knowledge, hits_small=True)
-    return _named(shards.index_topk(qp, store.index, k), store.knowledge)
+        return search.with_text(search.bm25_scan_topk(qp, store.knowledge, None, k, doc_weight="stored"), store.knowledge, hits_small=search.few_hits(qp, k))
+    return _named(shards.index_topk(qp, store.index, k), store.knowledge, search.few_hits(qp, k))
