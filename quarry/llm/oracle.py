@@ -92,7 +92,41 @@ SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, b.form, b.form_n, coalesce(
 FROM v LEFT JOIN best b USING (word) LEFT JOIN last_ l USING (word)
 """
 
+#: Components by following links from every vertex: `links(a, b)` both ways.
+_REACH = """
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS least FROM reach GROUP BY a)"""
+
+#: Sets of three-word shingles; pairs by their common shingles.
+JACCARD = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN []
+    ELSE list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM words),
+rows_ AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(list_transform(s, lambda x: hash(x))) AS x FROM sets),
+common AS (SELECT p.doc_id AS a, q.doc_id AS b, any_value(p.n) AS na, any_value(q.n) AS nb, count(*) AS c FROM rows_ p JOIN rows_ q ON p.x = q.x AND p.doc_id <> q.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM common WHERE 100 * c >= 90 * (na + nb - c)),{_REACH}
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(l.least, doc_id)) AS component_id FROM sets LEFT JOIN least l ON l.a = doc_id
+"""
+
+#: All pairs of unit vectors.
+COSINE = f"""
+WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+u AS MATERIALIZED (
+  SELECT vec_id, list_transform(v, lambda x: x / n) AS v
+  FROM (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM e)
+  WHERE n > 0 AND isfinite(n) AND list_count(v) = len(v)),
+links AS MATERIALIZED (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM u p JOIN u q ON p.vec_id <> q.vec_id AND len(p.v) = len(q.v) AND list_dot_product(p.v, q.v) >= 0.95),{_REACH},
+counted AS (SELECT a, count(DISTINCT b) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(l.least, e.vec_id)) AS component_id, least(e.vec_id, coalesce(l.least, e.vec_id)) = e.vec_id AS kept
+FROM e LEFT JOIN counted c ON c.a = e.vec_id LEFT JOIN least l ON l.a = e.vec_id
+"""
+
 SQL = {
+    "op6_embedding_near_dedup": COSINE,
+    "op10_ngram_jaccard_join": JACCARD,
     "op12_merkle_manifest": MERKLE,
     "op13_spelling_variants": SPELLING,
 }

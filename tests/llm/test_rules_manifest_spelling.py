@@ -263,7 +263,7 @@ def test_long_chains_of_forms(spark):
     assert got == {a: "w070" for a, _ in chain[:-1]} | {"x": "y"}
 
 
-@pytest.mark.parametrize("name", ["op12_merkle_manifest", "op13_spelling_variants"])
+@pytest.mark.parametrize("name", ["op6_embedding_near_dedup", "op10_ngram_jaccard_join", "op12_merkle_manifest", "op13_spelling_variants"])
 def test_registered_query_equals_its_sql(spark, name):
     res = compare(spark, SF_SMALL, [name], verbose=False)[name]
     assert res["cols_match"] and res["spark_rows"] == res["duck_rows"] and res["values_match"], res
