@@ -43,20 +43,20 @@ chunks AS (
 
 
 BM25 = f"""
-tok AS (SELECT pk, {tokens_sql('text')} AS toks FROM chunks),
+tok AS MATERIALIZED (SELECT pk, {tokens_sql('text')} AS toks FROM chunks),
 stats AS (SELECT count(*)::BIGINT AS n, avg(len(toks)::DOUBLE) AS avgdl FROM tok),
-tf AS (
+tf AS MATERIALIZED (
   SELECT pk, term, count(*)::BIGINT AS tf, any_value(dl) AS dl
   FROM (SELECT pk, unnest(toks) AS term, len(toks)::BIGINT AS dl FROM tok)
   GROUP BY pk, term
 ),
 dfreq AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term),
-raw AS (
+raw AS MATERIALIZED (
   SELECT term, df,
          ln((SELECT n FROM stats)::DOUBLE - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw_idf
   FROM dfreq
 ),
-vocab AS (
+vocab AS MATERIALIZED (
   SELECT term, df,
          CASE WHEN raw_idf < 0 THEN 0.25::DOUBLE * (SELECT avg(raw_idf) FROM raw)
               ELSE raw_idf END AS idf
