@@ -23,11 +23,15 @@ under the other orders, sizes, and the parity sketch, whose differing bits
 never outnumber the differing shingles and which decides small sets) before
 the sets themselves are compared.
 
-Only components are asked for, so no group is expanded to all its pairs:
-the first round verifies for each member of a bucket its first passing
-partner; the second round takes the passing pairs of *different* components
-only, all of them, so no link between components is lost. Equal sets are one
-vertex, named by a 64-bit hash of the set.
+Only components are asked for, so no group is expanded to all its pairs, and
+no pair that a task refutes becomes a row. A bucket's task keeps a forest of
+its passing pairs: fewer rows than the bucket has, and what passes is joined
+by them. The components of these forests are *families*: linked sets are
+always in one family. The sets of a family are then brought together once (in
+block pairs when it is large), compared exactly, sketches first, and again a
+forest of the links is kept; its components are the result. Sets that are
+known to be joined are not compared again. Equal sets are one vertex, named
+by a 64-bit hash of the set.
 
 Defined results: null, empty or wordless texts have an empty set and are
 their own component; texts under ``width`` words have one shingle; rows of
@@ -112,6 +116,12 @@ def shingle_sets(hashes: np.ndarray, first: np.ndarray, width: int) -> list[np.n
     return out
 
 
+def set_node(s: np.ndarray) -> int:
+    """64-bit hash of a whole set that is not empty."""
+    a = int(np.add.reduce(mix(s, 80))) ^ int(np.bitwise_xor.reduce(mix(s, 81)))
+    return int(mix(np.array([a], np.uint64), len(s) % 1000)[0].view(np.int64))
+
+
 def first_shingles(s: np.ndarray) -> bytes:
     """Per part of the hash range: has the set a shingle there, and one bit of
     the first one."""
@@ -187,8 +197,7 @@ def _describe(texts: DataFrame, rule: Rule, shared, kind: str) -> DataFrame:
                     if not len(s):
                         node.append(None), prefix.append(None), filters.append(None)
                         continue
-                    a = int(np.add.reduce(mix(s, 80))) ^ int(np.bitwise_xor.reduce(mix(s, 81)))
-                    node.append(int(mix(np.array([a], np.uint64), len(s) % 1000)[0].view(np.int64)))
+                    node.append(set_node(s))
                     prefix.append(orders.prefix(s).view(np.int64))
                     filters.append(parity_sketch(s) + first_shingles(s))
                 yield pa.RecordBatch.from_arrays(
@@ -224,26 +233,74 @@ class Filters:
         return out
 
 
-def _candidates(rows: DataFrame, rule: Rule, first_only: bool) -> DataFrame:
-    """Distinct passing pairs of different components inside the buckets; with
-    ``first_only`` the passing partner of smallest node for each member."""
-
+class Joined:
+    """Which rows of a group are joined so far. ``join`` takes pairs of rows
+    and returns those that joined something: a forest."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p, q = self.label[i], self.label[j]
+        key, at = np.unique(np.minimum(p, q) * len(self.label) + np.maximum(p, q), return_index=True)
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
+        kept = []
+        for place, x, y in zip(at.tolist(), (key // len(self.label)).tolist(), (key % len(self.label)).tolist()):
+            x, y = root(x), root(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                kept.append(place)
+        if up:
+            to = np.arange(len(self.label))
+            to[list(up)] = [root(x) for x in up]
+            self.label = to[self.label]
+        return i[kept], j[kept]
+
+
+def sides(part: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two sides of a block pair; the same rows twice for one block."""
+    if lo == hi:
+        return (np.arange(len(part)),) * 2
+    return np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+
+
+def unjoined(left: np.ndarray, right: np.ndarray, joined: Joined) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows not joined yet, some rows of the left side at a time."""
+    for x in range(0, len(left), 64):
+        some = left[x : x + 64]
+        i, j = np.nonzero(joined.label[some][:, None] != joined.label[right][None, :])
+        i, j = some[i], right[j]
+        if left is right:
+            i, j = i[i < j], j[i < j]
+        if len(i):
+            yield i, j
+
+
+def _candidates(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Forests ``(a, b)`` of the passing pairs inside the buckets."""
     filters = Filters(rule)
 
     def pairs(g: pa.Table) -> pa.RecordBatch | None:
-        """Passing pairs of a run of whole groups."""
-        node, part, n, comp, bucket, lo, hi = (g.column(c).to_numpy() for c in ("node", "part", "n", "component", "bucket", "lo", "hi"))
+        """The forest of a run of whole groups."""
+        node, part, n, bucket, lo, hi = (g.column(c).to_numpy() for c in ("node", "part", "n", "bucket", "lo", "hi"))
         f = np.frombuffer(b"".join(g.column("filters").to_pylist()), np.uint64).reshape(len(node), -1)
         group = np.cumsum(np.concatenate([[0], (bucket[1:] != bucket[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
         size = np.bincount(group)
-        found = []
+        _, vertex = np.unique(node, return_inverse=True)  # a set is in many buckets
+        joined, found = Joined(int(vertex.max()) + 1), []
 
         def keep(i, j):
-            ok = (comp[i] != comp[j]) & (node[i] != node[j])
+            ok = joined.label[vertex[i]] != joined.label[vertex[j]]
             i, j = i[ok], j[ok]
             ok = filters.passing(n, f, i, j)
-            i, j = i[ok], j[ok]
-            found.append(np.where(node[i] > node[j], (i, j), (j, i)))  # larger node first
+            a, b = joined.join(vertex[i[ok]], vertex[j[ok]])
+            found.append((a, b))
 
         # small groups: all of them at once, by the distance of their rows
         small = (size[group] <= SMALL) & (lo == hi)
@@ -253,25 +310,23 @@ def _candidates(rows: DataFrame, rule: Rule, first_only: bool) -> DataFrame:
                 keep(i, i + d)
         starts = np.concatenate([[0], np.cumsum(size)])
         for k in np.flatnonzero((size > SMALL) | (lo != hi)[starts[:-1]]):
-            rows_ = np.arange(starts[k], starts[k + 1])
-            same = lo[rows_[0]] == hi[rows_[0]]
-            left = rows_ if same else rows_[part[rows_] == lo[rows_[0]]]
-            right = rows_ if same else rows_[part[rows_] == hi[rows_[0]]]
+            first = starts[k]
+            left, right = (x + first for x in sides(part[first : starts[k + 1]], lo[first], hi[first]))
+            same = lo[first] == hi[first]
             for x in range(0, len(left), 64):
                 some = left[x : x + 64]
-                i, j = np.repeat(some, len(right)), np.tile(right, len(some))
+                i, j = np.nonzero(joined.label[vertex[some]][:, None] != joined.label[vertex[right]][None, :])
+                i, j = some[i], right[j]
                 if same:
                     i, j = i[i < j], j[i < j]
-                keep(i, j)
-        found = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        if not found.shape[1]:
+                if len(i):
+                    keep(i, j)
+        a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        if not len(a):
             return None
-        i, j = found
-        if first_only:
-            order = np.lexsort((node[j], i))
-            i, at = np.unique(i[order], return_index=True)
-            j = j[order][at]
-        return pa.RecordBatch.from_arrays([pa.array(node[j]), pa.array(node[i])], names=["a", "b"])
+        names = np.zeros(len(joined.label), np.int64)
+        names[vertex] = node
+        return pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]):
         waiting, size = [], 0
@@ -287,57 +342,79 @@ def _candidates(rows: DataFrame, rule: Rule, first_only: bool) -> DataFrame:
 
     cols = "bucket", "lo", "hi"
     sorted_ = rows.repartition(*cols).sortWithinPartitions(*cols)
-    return sorted_.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, names: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs that really link. Few texts but those of candidates are
-    shuffled. A sketch of about two bits a shingle is compared before the sets,
-    which are 32 times as large, so few sets travel for pairs that do not link."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = written(names.join(wanted, "node"), "chosen-sets")  # one row a set: (node, k)
+    return sorted_.mapInArrow(run, "a bigint, b bigint")
+
+
+class Sets:
+    """Sets of a family, compared exactly."""
+
+    def __init__(self, column, rule: Rule):
+        self.rule = rule
+        raw = [np.frombuffer(v.as_buffer(), np.uint64) for v in column]
+        self.n = np.array([len(x) for x in raw])
+        self.first = np.concatenate([[0], np.cumsum(self.n)])
+        # shingles as numbers of this family; two bits of parity a shingle
+        _, flat = np.unique(np.concatenate(raw), return_inverse=True)
+        self.flat, self.seen = flat, np.zeros(int(flat.max()) + 1, bool)
+        size = 1 << max(3, int(self.n.max()).bit_length() - 2)
+        self.sketch = np.frombuffer(b"".join(parity_sketch(x, size) for x in raw), np.uint64).reshape(len(raw), -1)
+
+    def linked(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Places of the pairs that link; pairs of one ``i`` stand together."""
+        rule = self.rule
+        low, high = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
+        at = np.flatnonzero(low * rule.den >= high * rule.num)
+        ok = [np.bitwise_count(self.sketch[i[p]] ^ self.sketch[j[p]]).sum(1, dtype=np.int64) <= rule.most_apart(self.n[i[p]], self.n[j[p]]) for p in np.array_split(at, 1 + len(at) // 4096)]
+        at = at[np.concatenate(ok)]
+        out = []
+        for row in np.unique(i[at]):
+            mine = at[i[at] == row]
+            others = j[mine]
+            here = self.flat[self.first[row] : self.first[row + 1]]
+            self.seen[here] = True
+            length = self.n[others]
+            cuts = np.concatenate([[0], np.cumsum(length)])
+            place = np.repeat(self.first[others] - cuts[:-1], length) + np.arange(cuts[-1])
+            both = np.add.reduceat(self.seen[self.flat[place]].astype(np.int64), cuts[:-1])
+            self.seen[here] = False
+            out.append(mine[rule.den * both >= rule.num * (len(here) + length - both)])
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _verified(families: DataFrame, texts: DataFrame, names: DataFrame, rule: Rule) -> DataFrame:
+    """Forests ``(a, b)`` of the links inside the families. Few texts but those
+    of family members are shuffled; the sets of a family meet in one task, or
+    in block pairs where it is large."""
+    cut = blocked(families.select("node", F.col("component").alias("family")), "family", "node")
+    chosen = written(names.join(cut, "node").select("k", "node", "family", "lo", "hi", "part"), "chosen-sets")
     chosen = thinned(texts, chosen, "k").join(chosen, "k")
+    cols = "family", "lo", "hi"
 
     def sets(batches: Iterator[pa.RecordBatch]):
+        sent = set()
         for batch in batches:
             for part in slices(batch, "text"):
                 found = shingle_sets(*words(*text_buffer(part.column("text"))), rule.width)
-                sketches = [parity_sketch(s, 1 << max(5, (len(s) // 4).bit_length())) for s in found]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([len(s) for s in found], pa.int64()), pa.array(sketches, pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "n", "sketch", "set"])
+                # an id may have other texts too, and its text many times
+                keys = list(zip(*(part.column(c).to_pylist() for c in (*cols, "node"))))
+                kept = [i for i, (s, key) in enumerate(zip(found, keys)) if len(s) and set_node(s) == key[-1] and not (key in sent or sent.add(key))]
+                found, part = [found[i] for i in kept], part.take(pa.array(kept, pa.int64()))
+                same = [part.column(c) for c in (*cols, "part", "node")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array([s.tobytes() for s in found], pa.binary())], names=[*cols, "part", "node", "set"])
 
-    known = written(chosen.select("node", "text").mapInArrow(sets, "node bigint, n bigint, sketch binary, set binary"), "candidate-sets")
-
-    def near(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            keep = []
-            for nx, ny, x, y in zip(*(batch.column(c).to_pylist() for c in ("nx", "ny", "x", "y"))):
-                a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-                size = min(len(a), len(b))
-                a, b = (np.bitwise_xor.reduce(v.reshape(-1, size), axis=0) for v in (a, b))
-                keep.append(int(np.bitwise_count(a ^ b).sum()) <= rule.most_apart(nx, ny))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
-
-    def with_sides(links: DataFrame, *columns: str) -> DataFrame:
-        one = known.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}x") for c in columns])
-        two = known.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}y") for c in columns])
-        return links.join(one, "a").join(two, "b")
-
-    pairs = with_sides(pairs, "n", "sketch").selectExpr("a", "b", "nx", "ny", "sketchx as x", "sketchy as y").mapInArrow(near, "a bigint, b bigint")
-    pairs = written(pairs, "near-pairs")
+    known = chosen.select(*cols, "part", "node", "text").mapInArrow(sets, "family bigint, lo int, hi int, part int, node bigint, set binary")
 
     def check(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(rule.den * both >= rule.num * (len(a) + len(b) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+        for g in groups(batches, cols):
+            node, held = g.column("node").to_numpy(), Sets(g.column("set"), rule)
+            joined = Joined(len(node))
+            for i, j in unjoined(*sides(g.column("part").to_numpy(), g.column("lo")[0].as_py(), g.column("hi")[0].as_py()), joined):
+                ok = held.linked(i, j)
+                a, b = joined.join(i[ok], j[ok])
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
-    both = with_sides(pairs, "set").selectExpr("a", "b", "setx as x", "sety as y")
-    return both.mapInArrow(check, "a bigint, b bigint")
+    return known.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(check, "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, rule: Rule = Rule(), text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -356,14 +433,8 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule(), text: str = "text", key:
     sets = written(sets.select("node", "n", "prefix", "filters"), "shingle-sets")
     buckets = written(blocked(sets.select("node", F.explode("prefix").alias("bucket")), "bucket", "node"), "shingle-buckets")
     payload = sets.select("node", "n", "filters")
-    rows = buckets.join(payload, "node")
-    once = written(_candidates(rows.withColumn("component", F.col("node")), rule, True), "first-pairs")
-    links = written(_verified(once, texts, names, rule), "first-links")
-    label = components(links)
-    place = payload.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rest = _candidates(buckets.join(place, "node"), rule, False).join(once, ["a", "b"], "left_anti")
-    more = written(_verified(written(rest, "more-pairs"), texts, names, rule), "more-links")
-    label = components(links.unionByName(more))
+    families = components(_candidates(buckets.join(payload, "node"), rule))
+    label = components(_verified(families, texts, names, rule))
     members = names.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = members.groupBy("component").agg(F.min("k").alias("component_id"))
     of_set = members.join(least, "component").select("node", "component_id")

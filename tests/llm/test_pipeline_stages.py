@@ -275,3 +275,57 @@ def test_notices_are_found_at_their_place(spark):
         exact = [f for f in got[i] if f.license == name and abs(f.first_word - start) <= 3 and abs(f.coverage - share) < 0.06]
         right += len(got[i]) == len(exact) == 1
     assert right >= 38
+
+
+def test_ids_with_several_texts_keep_their_sets_apart(spark):
+    rng = random.Random(14)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, prose(rng, 60))] + [(9, prose(rng, 50))] * 30
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect())
+    assert got == Counter({(1, 56, 1): 2, (2, 57, 1): 1, (3, 57, 1): 1, (4, 56, 4): 1, (9, 46, 9): 30})
+
+
+def test_a_group_is_joined_by_a_forest():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        n = int(rng.integers(2, 40))
+        i, j = rng.integers(0, n, (2, 60))
+        joined, label = ngram_join.Joined(n), list(range(n))
+        total = 0
+        for part in np.array_split(np.arange(60), 4):
+            some = part[i[part] != j[part]]
+            a, b = joined.join(i[some], j[some])
+            total += len(a)
+            for x, y in zip(i[some], j[some]):
+                old, new = max(label[x], label[y]), min(label[x], label[y])
+                label = [new if v == old else v for v in label]
+        assert joined.label.tolist() == label and total == n - len(set(label))
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_large_families_equal_brute_force(spark, monkeypatch, block):
+    """A group of many variants, some near the threshold, in one block and in
+    block pairs."""
+    from quarry.llm import graph
+
+    monkeypatch.setattr(graph, "BLOCK", block)
+    monkeypatch.setattr(graph.blocked, "__defaults__", (block,))
+    rng = random.Random(15)
+    base = prose(rng, 80).split()
+    texts = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randrange(7)):
+            w[rng.randrange(len(w))] = "new%d" % rng.randrange(10**6)
+        texts.append(" ".join(w))
+    docs = list(enumerate(texts))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(76)} for t in texts]
+    label = list(range(90))
+    for a in range(90):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if v == old else v for v in label]
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()}
+    assert got == dict(enumerate(label)) and 2 < len(set(label)) < 80
