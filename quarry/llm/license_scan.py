@@ -101,7 +101,7 @@ def _families() -> None:
             number = version.removesuffix(".0")
             name = f"{short}-{version}"
             TEMPLATES[name] = f"This work is licensed under the GNU {kind} Public License, version {version}"
-            DECIDING[name] = f"gnu {kind} {version}"
+            DECIDING[name] = f"gnu {kind} {number}"  # "version 3" as well as "version 3.0"
             TEMPLATES[f"{name}-header"] = (
                 f"you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by the Free Software Foundation, "
                 f"either version {number} of the License, or (at your option) any later version. It is distributed in the hope that it will be useful, but "

@@ -240,7 +240,7 @@ def test_licenses_go_by_their_deciding_words(spark):
     t = license_scan.TEMPLATES
     want = {
         "Released under the BSD License": ["BSD"], "Licensed under CC BY 4.0": ["CC-BY-4.0"], "Licensed under CC BY-SA 4.0": ["CC-BY-SA-4.0"],
-        "Licensed under CC BY 1.0": [], "Released under some License": [],
+        "This work is licensed under the GNU General Public License, version 3.": ["GPL-3.0"], "Licensed under CC BY 1.0": [], "Released under some License": [],
         "This work is licensed under a Creative Commons Attribution 4.0 International License": ["CC-BY-4.0-sentence"],
         "This work is licensed under the GNU General Public License, version 2.0": ["GPL-2.0"],
         t["GPL-2.0-header"].replace("useful", "usable"): ["GPL-2.0-header"], t["LGPL-3.0-header"].replace("hope", "wish"): ["LGPL-3.0-header"],
