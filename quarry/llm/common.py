@@ -37,9 +37,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows go to a Python worker in batches of at most so many bytes, unless the
+#: session says otherwise: 10,000 whole texts, Spark's default, may be many.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(df: DataFrame) -> SparkSession:
-    ship_package(df.sparkSession)
-    return df.sparkSession
+    spark = df.sparkSession
+    ship_package(spark)
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return spark
 
 
 #: A bitmap is never larger than this; a fuller one only thins less.
