@@ -16,26 +16,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.config import MAX_BROADCAST_QUERIES, MAX_BROADCAST_ROWS, TOP_K
-from quarry.operators.sizing import collect_if_small, in_blocks, query_blocks
+from quarry.operators.sizing import collect_if_small, in_blocks, query_blocks, scan_tasks
 
 
 #: A query's candidates from more tasks than this are merged in two levels.
 MERGE_TASKS = 512
 
 
-def top_k(scored: DataFrame, k: int, group: str = "query_id", key: str = "pk", merge_tasks: int = MERGE_TASKS) -> DataFrame:
+def top_k(scored: DataFrame, k: int, group: str = "query_id", key: str = "pk", tasks: int = 0) -> DataFrame:
     """Keep the best ``k`` rows per ``group`` and number them ``rank`` 1..k.
 
     ``row_number() <= k`` becomes a partial ``WindowGroupLimit`` before the
     shuffle on ``group`` and a final one after it, so at most k rows per group
-    and task cross the network however many candidates there are. Of more than
-    ``merge_tasks`` tasks the lists are merged per (group, salt of the task)
-    first, so that the last window gets k rows a salt, not k a task: with few
-    queries over a large corpus that window is one task.
+    and task cross the network however many candidates there are. Where the
+    caller knows of more than ``MERGE_TASKS`` ``tasks`` behind ``scored``, their
+    lists are merged per (group, salt of the task) first, so that the last
+    window gets k rows a salt, not k a task: with few queries over a large
+    corpus that window is one task.
     """
     order = [F.round("score", 9).desc(), F.col(key).asc()]
-    tasks = scored.rdd.getNumPartitions()
-    if tasks > merge_tasks:
+    if tasks > MERGE_TASKS:
         columns = scored.columns
         salts = math.ceil(math.sqrt(tasks))
         scored = scored.withColumn("_salt", F.spark_partition_id() % salts)
@@ -210,12 +210,12 @@ def dense_topk(
             raise ValueError("query set too large to broadcast; use strategy='blocked'")
         strategy = "broadcast" if qp is not None else "blocked"
     if strategy == "broadcast":
-        hits = top_k(_broadcast_block_product(qp, c, k, out_schema), k)
+        hits = top_k(_broadcast_block_product(qp, c, k, out_schema), k, tasks=scan_tasks(corpus))
     elif strategy == "blocked":
         hits = in_blocks(
             q.sparkSession,
             query_blocks(q, block_rows),
-            lambda part, held: top_k(_broadcast_block_product(part, c, k, out_schema, held), k),
+            lambda part, held: top_k(_broadcast_block_product(part, c, k, out_schema, held), k, tasks=scan_tasks(corpus)),
         )
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
@@ -392,4 +392,4 @@ def bm25_scan_topk(
         local = chunks.select(
             "pk", "dl", keys.alias("_t"), F.col("terms.tf").alias("_tf")
         ).mapInPandas(score, out_schema)
-    return top_k(local, k)
+    return top_k(local, k, tasks=scan_tasks(chunks))

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from quarry.config import TOP_K
 from quarry.operators.search import RunningTopK, _rows_per_block, _unit_rows, top_k
+from quarry.operators.sizing import scan_tasks
 
 #: Postings under one stored maximum, vectors in one packed row.
 BLOCK = 128
@@ -174,7 +175,7 @@ def index_topk(query_weights: pd.DataFrame, index: DataFrame, k: int = TOP_K, he
         return pa.table({"query_id": pa.array(ids, pa.int64()), "at": pa.array(at, pa.int64()), "score": pa.array(scores, pa.float64())})
 
     local = rows.select("shard", "term", "docs", "weights", "block_max").groupBy("shard").applyInArrow(score, "query_id long, at long, score double")
-    return top_k(local, k, key="at")
+    return top_k(local, k, key="at", tasks=scan_tasks(index))
 
 
 def packed_vectors(rows: DataFrame, vector: str, at: str = "at") -> DataFrame:
@@ -232,4 +233,4 @@ def packed_topk(queries: pd.DataFrame, packed: DataFrame, k: int = TOP_K, held:
             yield pa.RecordBatch.from_pandas(found, preserve_index=False)
 
     local = packed.mapInArrow(score, "query_id long, at long, score double")
-    return top_k(local, k, key="at")
+    return top_k(local, k, key="at", tasks=scan_tasks(packed))

@@ -39,6 +39,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
+def scan_tasks(df: DataFrame) -> int:
+    """Tasks that read ``df`` in place; 0 where it is planned with an exchange
+    (asking for its partitions would run that)."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return 0
+    return df.rdd.getNumPartitions()
+
+
 def collect_if_small(df: DataFrame, max_rows: int):
     """The rows of ``df`` as pandas when there are at most ``max_rows`` of
     them, else ``None``; one bounded job both proves the size and fetches."""

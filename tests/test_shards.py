@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import Settings
 from quarry.operators import search, shards
+from quarry.operators.sizing import scan_tasks
 from quarry.plans import build
 from quarry.plans.strategies import Models, Retriever
 from quarry.sources import store as stores
@@ -189,7 +190,8 @@ def test_two_level_merge_of_many_tasks(spark):
     """One query with candidates from 1,000 tasks: the last window reads k rows
     a salt."""
     rows = spark.range(0, 20_000, 1, 1000).selectExpr("id div 100000 as query_id", "id as pk", "(id * 7919 % 20011) / 20011.0D as score")
-    two = search.top_k(rows, 5)
+    assert scan_tasks(rows) == 1000 and scan_tasks(rows.repartition(3)) == 0
+    two = search.top_k(rows, 5, tasks=1000)
     one = search.top_k(rows.coalesce(8), 5)
     assert two.orderBy("rank").collect() == one.orderBy("rank").collect()
     plan = _plan(two)
