@@ -1,6 +1,7 @@
 """Top-k search against brute force, plan shapes, empty-vector filter."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quarry.operators import search
 from quarry.operators.sizing import broadcast_if_small
@@ -120,3 +121,25 @@ def test_running_top_k_rows_leaving_python(spark):
         assert found.count() <= 5 * 10 * 3
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def _exchanges_of(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.split("== Initial Plan ==")[0].splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_pairs_of_dealt_postings_are_not_exchanged(spark, tmp_path):
+    """The relational plan deals chunks by key; of the (query, chunk) sums only
+    the k best of a task cross the network."""
+    from quarry.plans import registry
+
+    spark.createDataFrame(
+        [(i, f"w{i % 7} w{i % 5} common", "en", "s", 1) for i in range(60)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    ).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, f"common w{i}") for i in range(9)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    hits = registry.full_text_topk_join(spark, str(tmp_path))
+    found = _exchanges_of(hits)
+    assert found and not [line for line in found if "query_id" in line and "pk" in line]
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, registry.full_text_topk(spark, str(tmp_path)).collect()))
