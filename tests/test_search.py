@@ -143,3 +143,23 @@ def test_pairs_of_dealt_postings_are_not_exchanged(spark, tmp_path):
     found = _exchanges_of(hits)
     assert found and not [line for line in found if "query_id" in line and "pk" in line]
     assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, registry.full_text_topk(spark, str(tmp_path)).collect()))
+
+
+def test_blocks_scan_a_written_corpus(spark, monkeypatch):
+    """A corpus that is planned with an exchange is written once; no block of
+    queries runs the exchange again."""
+    rows = [(i, [float(i % 5), 1.0, float(i)]) for i in range(40)]
+    emb = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    q = emb.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    seen, real = [], search._broadcast_block_product
+
+    def watched(part, c, *rest):
+        seen.append("Exchange" in c._jdf.queryExecution().executedPlan().toString())
+        return real(part, c, *rest)
+
+    monkeypatch.setattr(search, "_broadcast_block_product", watched)
+    blocked = search.dense_topk(q, emb, key="vec_id", vector="embedding", strategy="blocked", block_rows=10)
+    assert len(seen) > 1 and not any(seen)
+    whole = search.dense_topk(q, emb, key="vec_id", vector="embedding", strategy="broadcast")
+    pick = lambda df: sorted((r.query_id, r["rank"], r.vec_id) for r in df.collect())
+    assert pick(blocked) == pick(whole)
