@@ -53,3 +53,19 @@ def test_nav_sections_on_pages(spark):
         status, secs = page_sections(r.html, "nav")
         if status == "ok" and secs[0][1] is not None:
             assert got[r.page_id] == secs[0][3]
+
+
+def test_window_chunks_read_a_text_once(spark):
+    """Windows come from pieces of one pass, at every size and overlap; they are
+    not counted off from the start of the text, which is quadratic."""
+    texts = ["", " ", "a", "\U0001f600b\n\rc" * 90, "x" * 500, "y" * 501, "é " * 475, "z" * 951, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size, overlap in ((500, 50), (4, 0), (7, 5), (5, 4)):
+        cut = window_chunks(docs, key_cols=["doc_id"], size=size, overlap=overlap)
+        step, want = size - overlap, []
+        for key, text in enumerate(texts):
+            count = 0 if text is None else 1 + max(0, -(-(len(text) - size) // step))
+            cuts = [(key, i, text[i * step : i * step + size]) for i in range(count)]
+            want += [c for c in cuts if c[2].strip()]
+        assert sorted((r.doc_id, r.chunk_pos, r.text) for r in cut.collect()) == want
+        assert "regexp_extract_all" in cut._jdf.queryExecution().optimizedPlan().toString()
