@@ -238,3 +238,26 @@ def test_sparse_model_hook_and_its_postings(spark, tmp_path, queries):
     assert got == sorted(want)
     session = Retriever(build.page_chunks(_pages(spark, 20), settings), settings, Models(sparse_encoder=hook))
     assert _rows(session.sparse(queries)) == got
+
+
+def test_stored_postings_hold_places_not_keys(spark, root, queries):
+    """Postings are written with an 8-byte place for the key and read back with
+    the keys and the exact weights; rows that share a key share a place."""
+    store = stores.read_store(spark, root)
+    assert set(store.entries.columns) == {"term", "at", "weight", "term_bucket"}
+    assert store.postings.schema["weight"].dataType.simpleString() == "double"
+    counted = store.knowledge.select("pk", F.explode("full_text_vector").alias("term", "weight"))
+    key = lambda df: sorted((r.pk, r.term, round(float(r.weight), 5)) for r in df.collect())
+    assert key(store.postings) == key(counted)
+
+
+def test_postings_of_repeated_keys_and_of_rows_without_counts(spark, tmp_path):
+    pages = _pages(spark)
+    chunks = build.page_chunks(pages, Settings(chunk_size=60, chunk_overlap=10))
+    chunks = chunks.unionByName(chunks.limit(20))  # keys that come twice
+    rows, ix = build.knowledge_rows(chunks, Settings())
+    want = sorted((r.pk, r.term, round(r.weight, 9)) for r in ix.postings.collect())
+    for name, given in (("counted", rows), ("plain", rows.drop("dl", "tf"))):
+        stores.write_store(stores.Store(given, ix.postings, ix.vocab, ix.stats), str(tmp_path / name), 384, shard_rows=40)
+        back = stores.read_store(spark, str(tmp_path / name)).postings
+        assert sorted((r.pk, r.term, round(r.weight, 9)) for r in back.collect()) == want, name
