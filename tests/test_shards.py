@@ -261,3 +261,40 @@ def test_postings_of_repeated_keys_and_of_rows_without_counts(spark, tmp_path):
         stores.write_store(stores.Store(given, ix.postings, ix.vocab, ix.stats), str(tmp_path / name), 384, shard_rows=40)
         back = stores.read_store(spark, str(tmp_path / name)).postings
         assert sorted((r.pk, r.term, round(r.weight, 9)) for r in back.collect()) == want, name
+
+
+def test_posting_rows_equal_lists_made_by_hand_and_never_slice_a_list_per_block(spark):
+    rng = np.random.default_rng(8)
+    rows = [
+        (int(i % 3), int(i), {f"t{t}": float(np.float32(rng.random() + 0.1)) for t in rng.choice(9, rng.integers(0, 9), replace=False)})
+        for i in rng.permutation(2000)
+    ]
+    rows += [(0, 9000, None), (1, 9001, {})]
+    df = spark.createDataFrame(rows, "shard int, doc int, v map<string,float>").repartition(7)
+    made = shards.posting_rows(df, "v", 3)
+    plan = _plan(made)
+    assert "slice(" not in plan and plan.count("Exchange hashpartitioning") == 1
+    want = {}
+    for shard, doc, v in rows:
+        for t, w in (v or {}).items():
+            want.setdefault((shard, t), []).append((doc, w))
+    found = made.collect()
+    assert len(found) == len(want)
+    for r in found:
+        listed = sorted(want[r.shard, r.term])
+        assert list(zip(r.docs, r.weights)) == listed
+        assert r.block_max == [max(w for _, w in listed[i : i + shards.BLOCK]) for i in range(0, len(listed), shards.BLOCK)]
+
+
+def test_store_rows_are_dealt_to_shards_before_their_vectors_are_made(spark):
+    made = build.build_store(_pages(spark, 30), Settings(enable_sparse=True, chunk_size=60, chunk_overlap=10))
+    plan = _plan(made.knowledge)
+    assert "ArrowEvalPython" in plan[: plan.index("Exchange hashpartitioning(shard")]
+    assert "weighted_unit" not in plan[plan.index("Exchange hashpartitioning(shard") :]
+
+
+def test_stored_postings_move_as_runs(spark, root):
+    store = stores.read_store(spark, root)
+    plan = _plan(stores.entries(store, store.knowledge, store.bm25_stats))
+    moved = plan[plan.index("Exchange") :]
+    assert "inline" not in moved and "MapInArrow" in moved
