@@ -163,3 +163,33 @@ def test_blocks_scan_a_written_corpus(spark, monkeypatch):
     whole = search.dense_topk(q, emb, key="vec_id", vector="embedding", strategy="broadcast")
     pick = lambda df: sorted((r.query_id, r["rank"], r.vec_id) for r in df.collect())
     assert pick(blocked) == pick(whole)
+
+
+def test_a_block_under_the_floor_is_not_partitioned(monkeypatch):
+    """Once the floor is set, a block of worse scores costs a comparison; the
+    rows are those of one sort, ties at the floor included."""
+    rng = np.random.default_rng(4)
+    scores = np.round(rng.random((1200, 30)), 2)
+    scores[:200] += 1  # the best come first, so the floor is high afterwards
+    scores[700, :] = np.sort(scores[:200], axis=0)[-3]  # ties with kept rows
+    docs = rng.permutation(1200)
+    best, calls = search.RunningTopK(np.arange(30), 3), []
+    best.limit = 50
+    real = np.partition
+    monkeypatch.setattr(search.np, "partition", lambda *a, **kw: calls.append(1) or real(*a, **kw))
+    for lo in range(0, 1200, 100):
+        best.add_block(scores[lo : lo + 100], docs[lo : lo + 100])
+    assert 1 <= len(calls) <= 3
+    for q, part in best.result().groupby("query_id"):
+        want = sorted(range(1200), key=lambda i: (-scores[i, q], docs[i]))[:3]
+        assert part["pk"].tolist() == docs[want].tolist()
+
+
+def test_blank_windows_are_told_at_their_first_letter(spark):
+    from quarry.functions.text import not_blank, py_strip
+
+    texts = ["", " ", "\t\n \x85\x1c", " a ", " ", "\n.", "​", "x" * 40, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(not_blank("t").alias("a"), (py_strip("t") != "").alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
+    assert True in {r.a for r in rows} and False in {r.a for r in rows}
