@@ -15,14 +15,18 @@ Predictive probabilities are averaged over ``SAMPLES`` sweeps after ``BURN``.
 Draws come from hashes of dish and sweep, so a task that runs again repeats
 them.
 
-Nothing of the size of the vocabulary is held by the driver or broadcast: words,
-contexts and pairs are tables joined by Spark. A dish of one customer always has
-one table, so sweeps touch only pairs seen twice or more; keys with many of
-these are cut into parts of about ``PART_ROWS``.
+Nothing of the size of the vocabulary is held by the driver or broadcast: words
+and pairs are dealt by hash into buckets, and a bucket's part of a block, of the
+counts or of a sweep is a few rows of packed numbers that Spark groups by bucket.
+A word or pair seen once has one table and needs no place of its own: a bucket
+says "once" and keeps only what was seen twice or more. A word is followed as
+often as it comes (END closes the ring), so its count is also its guests, and
+what comes once beside it is its count less that of its repeated pairs.
 
 Counts cover all training texts. Texts are never shuffled for counting: a
-block is a stretch of an input split, blocks exchange distinct words and
-pairs with the count tables, and the texts meet their block's answers once.
+block is a stretch of an input split, blocks send their distinct words and
+pairs to the buckets, and the texts meet their block's answers once. Answers
+come in the order of the questions, so they hold no keys.
 
 Defined results: null or empty text is one END token; null ids count as the
 empty id in the split and keep their row; repeated rows count and score each;
@@ -40,13 +44,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import crc_mod, mix, ship, slices, text_buffer, words, written
+from quarry.session import scratch_path, write_table
 
 BURN, SAMPLES = 2, 3
 EXACT = 64
 STRENGTH = 1.0
 BLOCK_BYTES = 32 << 20
-#: Pairs that a task draws at once, and pairs of one key in one part of a join.
+#: Pairs that a task draws at once, and keys of one packed row of a block.
 RUN_ROWS, PART_ROWS = 200_000, 10_000
+#: Text of all blocks whose pairs one bucket counts, about; with the most
+#: buckets, which send each other a row a sweep, they only grow.
+BUCKET_BYTES, MAX_BUCKETS = 8 << 20, 2048
+#: What blocks and buckets send: ``a`` to ``d`` are packed, ``size`` numbers each.
+PACKED = "to bigint, kind string, source bigint, part int, size bigint, a binary, b binary, c binary, d binary, x bigint, y bigint, z bigint"
 #: The symbol after (and, as a context, before) every text; a fixed value.
 END = np.uint64(0x9D39247E33776D41)
 
@@ -126,22 +136,9 @@ class Texts:
                     yield block, part
 
     @staticmethod
-    def sums(stream: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        """Distinct pairs ``(key, context)`` of each block with the sum of their
-        weights, and its distinct words as rows without a context."""
-
-        def rows(block, keys, contexts, n):
-            for i in range(0, len(keys), 100_000):
-                k, c = keys[i : i + 100_000], None if contexts is None else contexts[i : i + 100_000]
-                c = pa.nulls(len(k), pa.int64()) if c is None else pa.array(c.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block, np.int64)), pa.array(k.view(np.int64)), c, pa.array(n[i : i + 100_000])], names=["block", "key", "context", "n"])
-
-        def flush(block, keys, contexts, weights):
-            k, c, n = distinct(np.concatenate(keys), np.concatenate(contexts), np.concatenate(weights))
-            n = n.astype(np.int64)
-            yield from rows(block, k, c, n)
-            word, at = np.unique(pair_key(c, k), return_inverse=True)
-            yield from rows(block, word, None, np.bincount(at, weights=n).astype(np.int64))
+    def sums(stream: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """``(block, key, context, n)``: distinct pairs of each block, sorted by
+        key, with the sum of their weights."""
 
         def distinct(k, c, w):
             k, first, at = np.unique(k, return_index=True, return_inverse=True)
@@ -150,7 +147,7 @@ class Texts:
         now, held = None, ([], [], [])
         for block, *part in stream:
             if block != now and held[0]:
-                yield from flush(now, *held)
+                yield now, *distinct(*map(np.concatenate, held))
                 held = ([], [], [])
             now = block
             if len(part[0]):
@@ -158,7 +155,227 @@ class Texts:
                 for waiting, x in zip(held, distinct(*part)):
                     waiting.append(x)
         if held[0]:
-            yield from flush(now, *held)
+            yield now, *distinct(*map(np.concatenate, held))
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 in the fewest bytes each, compressed."""
+    most = int(numbers.max()) if len(numbers) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return bytes([width]) + (pa.compress(numbers.astype(f"u{width}").tobytes(), codec="zstd", asbytes=True) if len(numbers) else b"")
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int64)
+    raw = pa.decompress(data[1:], n * data[0], codec="zstd", asbytes=True)
+    return np.frombuffer(raw, f"u{data[0]}").astype(np.int64)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their steps."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpacked(data, n).view(np.uint64), dtype=np.uint64)
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+
+def dealt(keys: np.ndarray, buckets: int, later: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted ``keys`` by bucket, those that are ``later`` last in
+    each, and where the earlier and later keys of each bucket begin."""
+    place = 2 * bucket_of(keys, buckets) + (0 if later is None else later)
+    order = np.argsort(place.astype(np.uint16 if buckets <= 1 << 15 else np.int64), kind="stable")
+    return order, np.append(0, np.cumsum(np.bincount(place, minlength=2 * buckets)))
+
+
+def message(to: int, kind: str, **values) -> dict:
+    return {"to": int(to), "kind": kind, **values}
+
+
+def batches_of(messages: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``PACKED``, a few MB at a time."""
+    waiting, held = [], 0
+    for row in messages:
+        waiting.append(row)
+        held += 100 + sum(len(row.get(x) or b"") for x in "abcd")
+        if held > 4 << 20:
+            yield from _table(waiting).to_batches()
+            waiting, held = [], 0
+    if waiting:
+        yield from _table(waiting).to_batches()
+
+
+_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _table(messages: list[dict]) -> pa.Table:
+    names = [x.split() for x in PACKED.split(", ")]
+    return pa.table({x: pa.array([row.get(x) for row in messages], _TYPES[t]) for x, t in names})
+
+
+def questions(block: int, keys: np.ndarray, contexts: np.ndarray | None, n: np.ndarray, buckets: int, first: int, part_rows: int) -> Iterator[dict]:
+    """A block's distinct keys to their buckets (numbered from ``first``): what
+    it learns from with counts, then what it only asks for."""
+    order, starts = dealt(keys, buckets, n == 0)
+    for i in np.flatnonzero(np.diff(starts)):
+        at = order[starts[i] : starts[i + 1]]
+        for part, lo in enumerate(range(0, len(at), part_rows)):
+            here = at[lo : lo + part_rows]
+            row = message(first + i // 2, "asked" if i % 2 else "seen", source=block, part=2 * part + i % 2, size=len(here), a=packed_keys(keys[here]))
+            if not i % 2:
+                row["c"] = packed(n[here].astype(np.int64))
+                if contexts is not None:
+                    row["b"] = contexts[here].tobytes()
+            yield row
+
+
+def tally(table: pa.Table, buckets: int) -> Iterator[dict]:
+    """A bucket's counts: keys seen twice or more, how many were seen once, and
+    to every question 0 (never), 1 (once) or 2 and more (a place among the
+    former)."""
+    rows = table.to_pylist()
+    to, seen = rows[0]["to"], [r for r in rows if r["kind"] == "seen"]
+    empty = np.zeros(0, np.uint64)
+    n = np.concatenate([empty.astype(np.int64), *[unpacked(r["c"], r["size"]) for r in seen]])
+    keys, at = np.unique(np.concatenate([empty, *[unpacked_keys(r["a"], r["size"]) for r in seen]]), return_inverse=True)
+    count = np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
+    many = count > 1
+    ref = np.where(many, np.cumsum(many) + 1, 1)
+    fact = message(to, "pairs" if to < buckets else "words", size=int(many.sum()), a=packed_keys(keys[many]), c=packed(count[many]))
+    if fact["kind"] == "pairs":
+        contexts = np.zeros(len(keys), np.uint64)
+        contexts[at] = np.concatenate([empty, *[np.frombuffer(r["b"], np.uint64) for r in seen]])
+        fact["b"] = contexts[many].tobytes()
+    yield fact | {"x": int((count == 1).sum()), "y": int((count == 2).sum()), "z": int(count.sum())}
+    lo = 0
+    for r in rows:
+        if r["kind"] == "seen":
+            answer, lo = ref[at[lo : lo + r["size"]]], lo + r["size"]
+        else:
+            place, found = _places(keys, unpacked_keys(r["a"], r["size"]))
+            answer = np.append(ref, 0)[np.where(found, place, len(keys))]
+        yield message(to, "ref", source=r["source"], part=r["part"], size=r["size"], a=packed(answer))
+
+
+def pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context, dish and count of a bucket's pairs."""
+    context = np.frombuffer(row["b"], np.uint64)
+    return context, pair_key(context, unpacked_keys(row["a"], row["size"])), unpacked(row["c"], row["size"])
+
+
+def sums_of(row: dict, buckets: int) -> tuple:
+    """The distinct words of a bucket's pairs in the order of their buckets,
+    where each bucket's begin, and each pair's context and dish among them."""
+    context, dish, c = pairs_of(row)
+    word, at = np.unique(np.concatenate([context, dish]), return_inverse=True)
+    order, starts = dealt(word, buckets)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    at = back[at]
+    return word[order], starts[::2], at[: len(c)], at[len(c) :], c
+
+
+def links(row: dict, buckets: int) -> Iterator[dict]:
+    """A bucket's pairs make themselves known to the buckets of their words."""
+    word, starts, context, dish, c = sums_of(row, buckets)
+    sums = [np.bincount(x, weights=w, minlength=len(word)).astype(np.int64) for x, w in ((context, c), (dish, c), (context, np.minimum(c, 1)))]
+    for i in np.flatnonzero(np.diff(starts)):
+        lo, hi = starts[i], starts[i + 1]
+        yield message(buckets + i, "link", source=row["to"], size=int(hi - lo), a=packed_keys(word[lo:hi]), **{x: packed(s[lo:hi]) for x, s in zip("bcd", sums)})
+
+
+def linked(table: pa.Table) -> Iterator[dict]:
+    """A bucket's words with what comes once beside them, as context and as
+    dish, the places of the words that each bucket of pairs uses, and its first
+    answers to these: tables in the context, and the count."""
+    rows = table.to_pylist()
+    word = next(r for r in rows if r["kind"] == "words")
+    size, keys, c = word["size"], unpacked_keys(word["a"], word["size"]), unpacked(word["c"], word["size"])
+    again, tables, found = [c.copy(), c.copy()], np.zeros(size, np.int64), []
+    for r in rows:
+        if r["kind"] == "link":
+            at, known = _places(keys, unpacked_keys(r["a"], r["size"]))
+            if not known.all():
+                raise RuntimeError("a repeated pair of a word that was not counted")
+            found.append((r, at))
+            again[0][at] -= unpacked(r["b"], r["size"])
+            again[1][at] -= unpacked(r["c"], r["size"])
+            tables[at] += unpacked(r["d"], r["size"])
+    yield message(word["to"], "word", size=size, a=packed_keys(keys), b=packed(c), c=packed(again[0]), d=packed(again[1]))
+    yield message(word["to"], "root", size=size, a=packed(np.ones(size, np.int64)))
+    for r, at in found:
+        yield message(word["to"], "place", source=r["source"], size=r["size"], a=packed(at))
+        yield message(r["source"], "answer", source=word["to"], size=r["size"], a=packed((again[0] + tables)[at]), b=packed(c[at]), c=packed(np.zeros(len(at), np.int64)))
+
+
+def drawn(table: pa.Table, buckets: int, seed: int, discount: float, p) -> Iterator[dict]:
+    """A sweep over a bucket's pairs: their tables, summed for their words'
+    buckets. ``p``: the parent's probability from what an answer holds."""
+    rows = table.to_pylist()
+    pairs = next(r for r in rows if r["kind"] == "pairs")
+    _, starts, context, dish, c = sums_of(pairs, buckets)
+    t = next((unpacked(r["a"], r["size"]) for r in rows if r["kind"] == "tables"), np.minimum(c, 1))
+    heard = sorted((r for r in rows if r["kind"] == "answer"), key=lambda r: r["source"])
+    total, b, d = (np.concatenate([np.zeros(0, np.int64), *[unpacked(r[x], r["size"]) for r in heard]]) for x in "abc")
+    key, parent, logs = unpacked_keys(pairs["a"], pairs["size"]).view(np.int64), p(b, d), stirling(discount)
+    new = np.empty_like(t)
+    for lo in range(0, len(c), RUN_ROWS):
+        x = slice(lo, lo + RUN_ROWS)
+        new[x] = draw_tables(c[x], parent[dish[x]], total[context[x]] - t[x], discount, STRENGTH, key[x], seed, logs)
+    yield message(pairs["to"], "tables", size=len(c), a=packed(new))
+    sums = [np.bincount(x, weights=new, minlength=int(starts[-1])).astype(np.int64) for x in (context, dish)]
+    for i in np.flatnonzero(np.diff(starts)):
+        lo, hi = starts[i], starts[i + 1]
+        yield message(buckets + i, "sums", source=pairs["to"], size=int(hi - lo), a=packed(sums[0][lo:hi]), b=packed(sums[1][lo:hi]))
+
+
+def rooted(table: pa.Table, seed: int, base: float, root_total: int, root_discount: float) -> Iterator[dict]:
+    """A sweep over a bucket's words in the parent: tables there (``a``), guests
+    there (``b``) and tables in the word's own restaurant (``c``)."""
+    rows = table.to_pylist()
+    word, root = (next(r for r in rows if r["kind"] == x) for x in ("word", "root"))
+    size, places = word["size"], {r["source"]: unpacked(r["a"], r["size"]) for r in rows if r["kind"] == "place"}
+    own, m = unpacked(word["c"], size), unpacked(word["d"], size)
+    for r in rows:
+        if r["kind"] == "sums":
+            own[places[r["source"]]] += unpacked(r["a"], r["size"])
+            m[places[r["source"]]] += unpacked(r["b"], r["size"])
+    last, key, logs = unpacked(root["a"], size), unpacked_keys(word["a"], size).view(np.int64), stirling(root_discount)
+    new = np.empty_like(m)
+    for lo in range(0, size, RUN_ROWS):
+        x = slice(lo, lo + RUN_ROWS)
+        new[x] = draw_tables(m[x], np.full(len(m[x]), base), root_total - last[x], root_discount, STRENGTH, key[x], seed, logs)
+    yield message(word["to"], "root", size=size, a=packed(new), b=packed(m), c=packed(own), x=int(new.sum()), y=int(m.sum()))
+    for source, at in places.items():
+        yield message(source, "answer", source=word["to"], size=len(at), a=packed(own[at]), b=packed(m[at]), c=packed(new[at]))
+
+
+def answers(table: pa.Table) -> Iterator[dict]:
+    """What a bucket tells each block: of a pair its count and the sum of its
+    tables in the samples; of a word its count and, for each sample, the tables
+    in its restaurant, its guests and its tables in the parent."""
+    rows = table.to_pylist()
+    fact = next(r for r in rows if r["kind"] in ("pairs", "word"))
+    size, samples = fact["size"], sorted((r for r in rows if r["kind"] in ("tables", "root")), key=lambda r: r["part"])
+    taken = {x: [unpacked(r[x], size) for r in samples] for x in ("a" if fact["kind"] == "pairs" else "abc")}
+    if fact["kind"] == "pairs":
+        columns = [[unpacked(fact["c"], size)], [np.sum(taken["a"], axis=0)]]
+        once = [1, SAMPLES]
+    else:
+        columns = [[unpacked(fact["b"], size)], taken["c"], taken["b"], taken["a"]]
+        once = [1, 1, 1, 1]
+    # never, once, and the places
+    columns = [[np.concatenate([[0, one], x]).astype(np.int64) for x in group] for one, group in zip(once, columns)]
+    for r in rows:
+        if r["kind"] == "ref":
+            ref = unpacked(r["a"], r["size"])
+            told = {x: packed(np.concatenate([column[ref] for column in group])) for x, group in zip("abcd", columns)}
+            yield message(r["source"], fact["kind"], source=fact["to"], part=r["part"], size=r["size"], **told)
 
 
 def sequence(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,34 +409,6 @@ def _restaurants(frame: pa.Table, size: int, parents: list[np.ndarray], discount
     return key, c, context, dish, starts, out
 
 
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows, about ``RUN_ROWS`` at a time."""
-    waiting, n = [], 0
-    for batch in batches:
-        waiting.append(batch)
-        n += batch.num_rows
-        if n >= RUN_ROWS:
-            yield pa.Table.from_batches(waiting)
-            waiting, n = [], 0
-    if n:
-        yield pa.Table.from_batches(waiting)
-
-
-def parted(pairs: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
-    """``pairs`` with a column ``{by}_part`` that cuts the pairs of one ``by``
-    into parts of about ``PART_ROWS``, and the values of ``by`` with many parts."""
-    many = pairs.groupBy(by).agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")).where("parts > 1")
-    many = written(many, f"lm-parts-{by}")
-    cut = pairs.join(F.broadcast(many), by, "left")  # at most one row for PART_ROWS pairs
-    return cut.withColumn(f"{by}_part", F.expr("cast(pmod(xxhash64(key), coalesce(parts, 1)) as int)")).drop("parts"), many
-
-
-def spread(table: DataFrame, many: DataFrame, by: str) -> DataFrame:
-    """``table`` with a row for each part of its ``by``."""
-    wide = table.join(F.broadcast(many), by, "left")
-    return wide.withColumn(f"{by}_part", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)"))).drop("parts")
-
-
 def fit_and_score(df: DataFrame, text: str = "text", key: str = "doc_id", in_place: bool = False) -> DataFrame:
     """``key, held_out, n_tokens, n_known, train_tokens, base_score, score``
     of every row; rows whose crc32 of the id mod 7 is not 2 are learnt from.
@@ -232,121 +421,113 @@ def fit_and_score(df: DataFrame, text: str = "text", key: str = "doc_id", in_pla
         docs = written(docs, "lm-texts")
     docs = docs.select("k", "text", (crc_mod(F.col("k"), 7) != 2).alias("train"), F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("source"))
 
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets, part_rows = min(MAX_BUCKETS, 1 + size // BUCKET_BYTES), PART_ROWS
+
+    def kept(name: str, rows: DataFrame) -> DataFrame:
+        path = scratch_path(df.sparkSession, f"lm-{name}")
+        write_table(rows, path)
+        return df.sparkSession.read.schema(PACKED).parquet(path)
+
+    def grouped(rows: DataFrame, step, *args) -> DataFrame:
+        def run(table: pa.Table) -> pa.Table:
+            return _table(list(step(table, *args)))
+
+        return rows.groupBy("to").applyInArrow(run, PACKED)
+
+    def of(rows: DataFrame, *kinds: str) -> DataFrame:
+        return rows.where(F.col("kind").isin(*kinds))
+
     # 1. the blocks' distinct words and pairs, and all counts
-    def counts(batches):
+    def ask(batches):
         def stream():
             for block, part in Texts.blocks(batches):
                 seq, before, first = sequence(*words(*text_buffer(part.column("text"))))
                 train = part.column("train").to_numpy(zero_copy_only=False).astype(np.float64)
                 yield block, pair_key(before, seq), before, np.repeat(train, np.diff(first))
 
-        yield from Texts.sums(stream())
-
-    asked = written(docs.mapInArrow(counts, "block bigint, key bigint, context bigint, n bigint"), "lm-asked")
-    asked_words, asked_pairs = asked.where("context is null"), asked.where("context is not null")
-    counted = asked_words.groupBy(F.col("key").alias("dish")).agg(F.sum("n").alias("c")).where("c > 0")
-    seated = written(asked_pairs.where("n > 0").groupBy("key", "context").agg(F.sum("n").alias("c")), "lm-seated")
-    seated = seated.withColumn("dish", F.expr("key ^ (shiftleft(context, 1) | shiftrightunsigned(context, 63))"))
-    stat = seated.agg(F.sum(F.when(F.col("c") == 1, 1)), F.sum(F.when(F.col("c") == 2, 1))).first()
-    discount = discount_of(stat[0] or 0, stat[1] or 0)
-    alone = F.count(F.when(F.col("c") == 1, 1)).alias("alone")  # dishes of one customer: one table each
-    rooms = written(seated.groupBy("context").agg(F.sum("c").alias("guests"), alone), "lm-rooms")
-    dishes = written(counted.join(seated.groupBy("dish").agg(alone), "dish"), "lm-dishes")
-    stat = dishes.agg(F.sum("c"), F.count("*")).first()
-    train_tokens, types = int(stat[0] or 0), int(stat[1])
+        def rows():
+            for block, keys, contexts, n in Texts.sums(stream()):
+                yield from questions(block, keys, contexts, n, buckets, 0, part_rows)
+                word, n = block_words(keys, contexts, n)
+                yield from questions(block, word, None, n, buckets, buckets, part_rows)
+
+        yield from batches_of(rows())
+
+    counted = kept("counts", grouped(docs.mapInArrow(ask, PACKED), tally, buckets))
+    pairs, wordy, refs = of(counted, "pairs"), of(counted, "words"), of(counted, "ref")
+    stats = counted.where("kind != 'ref'").groupBy((F.col("to") >= buckets).alias("word")).agg(*[F.sum(x).alias(x) for x in ("x", "y", "z", "size")])
+    stats = {r.word: r for r in stats.collect()}  # two rows
+    if True not in stats:
+        return df.sparkSession.createDataFrame([], scored_schema(key, kind))
+    discount = discount_of(stats[False].x, stats[False].y)
+    train_tokens, once = stats[True].z, stats[True].x
+    types = once + stats[True]["size"]
     base = 1 / (types + 1)
 
     # 2. sweeps: a restaurant for each context, one parent for all
-    state = seated.where("c > 1")
-    state, many_contexts = parted(state, "context")
-    state, many_dishes = parted(state, "dish")
-    state = written(state.withColumn("t", F.lit(1).cast("bigint")), "lm-state-first")
-    dishes = dishes.withColumn("root", F.lit(1).cast("bigint"))
-    p = (F.col("c") + 1) / F.lit(float(train_tokens + types + 1))
-    root_discount, root_total = 0.5, types
-    unseen, samples = [], []  # the parent's leftover, and p of a word, of each sample
-
-    def room_tables(column: str, name: str) -> DataFrame:
-        tables = state.groupBy("context").agg(F.sum(column).alias("more"))
-        return rooms.join(tables, "context", "left").select("context", "guests", (F.col("alone") + F.coalesce("more", F.lit(0))).alias(name))
-
-    def sweep(s: int):
-        def run(batches):
-            logs = stirling(discount)
-            for rows in runs(batches):
-                c, t, total, p, pair = (rows.column(x).to_numpy() for x in ("c", "t", "total", "p", "key"))
-                drawn = draw_tables(c, p, total - t, discount, STRENGTH, pair, 10_000 * s, logs)
-                yield from rows.drop_columns(["t", "total", "p"]).append_column("t", pa.array(drawn)).to_batches()
-
-        return run
-
-    def root_sweep(s: int, total: int):
-        def run(batches):
-            logs = stirling(root_discount)
-            for rows in runs(batches):
-                m, root, dish = (rows.column(x).to_numpy() for x in ("m", "root", "dish"))
-                drawn = draw_tables(m, np.full(len(m), base), total - root, root_discount, STRENGTH, dish, 10_000 * s + 3, logs)
-                yield from rows.drop_columns(["root"]).append_column("root", pa.array(drawn)).to_batches()
-
-        return run
+    def link(batches):
+        yield from batches_of(m for batch in batches for row in batch.to_pylist() for m in links(row, buckets))
 
+    known = kept("words", grouped(wordy.unionByName(pairs.mapInArrow(link, PACKED)), linked))
+    word, places = of(known, "word"), of(known, "place")
+    roots, heard, tables = of(known, "root"), of(known, "answer"), []
+    root_discount, root_total = 0.5, types
+    levels, samples = [], []  # the parent's guests and leftover, and the roots, of each sample
+    parent = lambda c, none: (c + 1) / float(train_tokens + types + 1)
     for s in range(BURN + SAMPLES):
-        room = spread(room_tables("t", "total").select("context", "total"), many_contexts, "context")
-        dish = spread(dishes.select("dish", p.alias("p")), many_dishes, "dish")
-        ready = state.join(room, ["context", "context_part"]).join(dish, ["dish", "dish_part"])
-        names = [x for x in state.columns if x != "t"]
-        shape = ", ".join(f"{x} {state.schema[x].dataType.simpleString()}" for x in [*names, "t"])
-        drawn = ready.select(*names, "t", "total", "p").mapInArrow(sweep(s), shape)
-        if s >= BURN:
-            drawn = drawn.withColumn(f"t{s - BURN}", F.col("t"))
-        state = written(drawn, f"lm-state-{s}")
-        tables = state.groupBy("dish").agg(F.sum("t").alias("more"))
-        fed = dishes.drop("m").join(tables, "dish", "left").withColumn("m", F.col("alone") + F.coalesce("more", F.lit(0))).drop("more")
-        shape = ", ".join(f"{x} {t}" for x, t in [*[x for x in fed.dtypes if x[0] != "root"], ("root", "bigint")])
-        dishes = written(fed.mapInArrow(root_sweep(s, root_total), shape), f"lm-dishes-{s}")
-        stat = dishes.agg(F.sum("root"), F.sum("m")).first()
-        root_total, guests = int(stat[0] or 0), int(stat[1] or 0)
+        state = pairs.unionByName(heard)
+        swept = kept(f"sweep-{s}", grouped(state.unionByName(tables[-1]) if tables else state, drawn, buckets, 10_000 * s, discount, parent))
+        tables.append(of(swept, "tables"))
+        state = word.unionByName(places).unionByName(roots).unionByName(of(swept, "sums"))
+        root = kept(f"root-{s}", grouped(state, rooted, 10_000 * s + 3, base, root_total, root_discount))
+        roots, heard = of(root, "root"), of(root, "answer")
+        stat = roots.agg(F.sum("x"), F.sum("y")).first()
+        root_total, guests = (stat[0] or 0) + once, (stat[1] or 0) + once
         leftover = (STRENGTH + root_discount * root_total) / (STRENGTH + guests) * base
-        p = (F.col("m") - root_discount * F.col("root")) / F.lit(STRENGTH + guests) + F.lit(leftover)
+        parent = above(guests, leftover, root_discount)
         if s >= BURN:
-            unseen.append(leftover)
-            dishes = dishes.withColumn(f"p{s - BURN}", p)
-            samples.append(f"p{s - BURN}")
+            levels.append((guests, leftover))
+            samples.append(roots)
 
     # 3. answers: words as dish and as context, and what pairs add
-    both = state.groupBy("context").agg(*[F.sum(f"t{i}").alias(f"t{i}") for i in range(SAMPLES)])
-    opened = rooms.join(both, "context", "left")
-    share = [((STRENGTH + discount * (F.col("alone") + F.coalesce(f"t{i}", F.lit(0)))) / (STRENGTH + F.col("guests"))).alias(f"b{i}") for i in range(SAMPLES)]
-    opened = opened.select(F.col("context").alias("key"), "guests", *share)
-    served = dishes.select(F.col("dish").alias("key"), "c", *samples)
-    facts = ["c", "guests", *[f"b{i}" for i in range(SAMPLES)], *samples]
-    absent = [0.0, 0.0, *[1.0] * SAMPLES, *unseen]
-    known = served.join(opened, "key", "full")
-    known = known.select("key", F.array(*[F.coalesce(F.col(x).cast("double"), F.lit(float(d))) for x, d in zip(facts, absent)]).alias("extra"))
-    word_rows = asked_words.select("block", "key").join(known, "key", "left")
-    word_rows = word_rows.select("block", "key", F.lit(0.0).alias("x"), F.coalesce("extra", F.array(*[F.lit(float(d)) for d in absent])).alias("extra"))
-    mean = sum((F.col(f"t{i}") for i in range(SAMPLES)), F.lit(0.0)) / SAMPLES
-    pair_values = seated.select("key", "c").join(state.select("key", mean.alias("t")), "key", "left")
-    pair_values = pair_values.select("key", (F.col("c") - discount * F.coalesce("t", F.lit(1.0))).alias("x"))
-    pair_rows = asked_pairs.select("block", "key").join(pair_values, "key").select("block", "key", "x", F.lit(None).cast("array<double>").alias("extra"))
+    told = pairs.unionByName(word).unionByName(refs)
+    for i, rows in enumerate([*tables[BURN:], *samples]):
+        told = told.unionByName(rows.withColumn("part", F.lit(i)))
+    told = kept("answers", grouped(told, answers))
 
     # 4. texts meet their block's answers
     def place(batches):
         for block, part in Texts.blocks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, block, np.int64)), part.column("k"), part.column("text")], names=["block", "k", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, block, np.int64)), part.column("k"), part.column("train"), part.column("text")], names=["block", "k", "train", "text"])
 
-    texts = docs.mapInArrow(place, f"block bigint, k {kind}, text string")
+    texts = docs.mapInArrow(place, f"block bigint, k {kind}, train boolean, text string")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _score_block(left, right, train_tokens + types + 1)
+        return _score_block(left, right, buckets, discount, root_discount, levels, train_tokens + types + 1)
 
     schema = f"k {kind}, n_tokens bigint, n_known bigint, base_score double, score double"
-    scored = texts.groupBy("block").cogroup(word_rows.unionByName(pair_rows).groupBy("block")).applyInArrow(score, schema)
+    scored = texts.groupBy("block").cogroup(told.groupBy("to")).applyInArrow(score, schema)
     return scored.select(
         F.col("k").alias(key), (crc_mod(F.col("k"), 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
 
+def scored_schema(key: str, kind: str) -> str:
+    return f"{key} {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+
+
+def block_words(keys: np.ndarray, contexts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of distinct pairs, and their counts."""
+    word, at = np.unique(pair_key(contexts, keys), return_inverse=True)
+    return word, np.bincount(at, weights=n)
+
+
+def above(guests: int, leftover: float, root_discount: float):
+    """The parent's probability of words with ``m`` guests at ``root`` tables."""
+    return lambda m, root: (m - root_discount * root) / (STRENGTH + guests) + leftover
+
+
 def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each wanted key is among the sorted ``keys``, and whether it is."""
     if not len(keys):
@@ -355,35 +536,55 @@ def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, keys[at] == wanted
 
 
-def _score_block(left: pa.Table, right: pa.Table, base_total: int) -> pa.Table:
-    key = right.column("key").to_numpy().view(np.uint64)
-    extra = right.column("extra").combine_chunks()
-    is_word = extra.is_valid().to_numpy(zero_copy_only=False)
-    facts = extra.drop_null().flatten().to_numpy().reshape(-1, 2 + 2 * SAMPLES)
-    word, pair, value = key[is_word], key[~is_word], right.column("x").to_numpy()[~is_word]
-    order = np.argsort(word)
-    word, facts = word[order], facts[order]
-    order = np.argsort(pair)
-    pair, value = pair[order], np.append(value[order], 0)
-    rows = []
-    for batch in left.select(["k", "text"]).combine_chunks().to_batches():
+def _told(rows: list[dict], column: str, wide: int, order: np.ndarray) -> np.ndarray:
+    """A column of a block's answers, ``wide`` numbers a key, by its sorted keys."""
+    out = np.zeros((wide, len(order)), np.int64)
+    if sum(r["size"] for r in rows) != len(order):
+        raise RuntimeError("a block's words changed between two scans of the input")
+    if rows:
+        out[:, order] = np.concatenate([unpacked(r[column], wide * r["size"]).reshape(wide, -1) for r in rows], axis=1)
+    return out
+
+
+def _score_block(left: pa.Table, right: pa.Table, buckets: int, discount: float, root_discount: float, levels: list, base_total: int) -> pa.Table:
+    held, sums = [], ([], [], [])
+    for batch in left.select(["k", "train", "text"]).combine_chunks().to_batches():
         for part in slices(batch, "text"):
             seq, before, first = sequence(*words(*text_buffer(part.column("text"))))
-            at, found = _places(word, seq)
-            ahead, found_ahead = _places(word, before)
-            if not (found.all() and found_ahead.all()):
-                raise RuntimeError("a block's words changed between two scans of the input")
-            place, seen = _places(pair, pair_key(before, seq))
-            added = np.where(seen, value[place], 0) / (STRENGTH + facts[ahead, 1])
-            rest = (facts[ahead, 2 : 2 + SAMPLES] * facts[at, 2 + SAMPLES :]).mean(1)
-            count = facts[at, 0]
-            logs, base = np.log10(added + rest), np.log10((count + 1) / base_total)
-            rows.append(
-                pa.RecordBatch.from_arrays(
-                    [part.column("k"), pa.array(np.diff(first)), pa.array(np.add.reduceat((count > 0).astype(np.int64), first[:-1])), pa.array(np.add.reduceat(base, first[:-1])), pa.array(np.add.reduceat(logs, first[:-1]))],
-                    names=["k", "n_tokens", "n_known", "base_score", "score"],
-                )
-            )
-    if not rows:
+            train = part.column("train").to_numpy(zero_copy_only=False).astype(np.float64)
+            pair, at, which = np.unique(pair_key(before, seq), return_index=True, return_inverse=True)
+            for waiting, x in zip(sums, (pair, before[at], np.bincount(which, weights=np.repeat(train, np.diff(first))))):
+                waiting.append(x)
+            held.append((part.column("k"), seq, first, pair, which))
+    if not held:
         return pa.table({"k": left.column("k"), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
+    pairs, first, at = np.unique(np.concatenate(sums[0]), return_index=True, return_inverse=True)
+    n = np.bincount(at, weights=np.concatenate(sums[2]))
+    word, n_word = block_words(pairs, np.concatenate(sums[1])[first], n)
+    # answers in the order of the questions: by bucket, and in it by part
+    heard = right.to_pylist()
+    by_kind = [sorted((r for r in heard if r["kind"] == x), key=lambda r: (r["source"], r["part"] % 2, r["part"])) for x in ("pairs", "word")]
+    order = [dealt(x, buckets, y == 0)[0] for x, y in ((pairs, n), (word, n_word))]
+    value = _told(by_kind[0], "a", 1, order[0])[0] - discount * (_told(by_kind[0], "b", 1, order[0])[0] / SAMPLES)
+    count, own, m, root = (_told(by_kind[1], x, wide, order[1]) for x, wide in zip("abcd", (1, SAMPLES, SAMPLES, SAMPLES)))
+    count = count[0]
+    share = (STRENGTH + discount * own) / (STRENGTH + count)
+    p = np.stack([above(*level, root_discount)(m[i], root[i]) for i, level in enumerate(levels)])
+    logs_base = np.log10((count + 1) / base_total)
+    end = np.searchsorted(word, END)
+    rows = []
+    for k, seq, first, pair, which in held:
+        at = np.searchsorted(word, seq)
+        ahead = np.append(end, at[:-1])
+        added = value[np.searchsorted(pairs, pair)][which] / (STRENGTH + count[ahead])
+        rest = np.zeros(len(seq))
+        for i in range(SAMPLES):
+            rest += share[i][ahead] * p[i][at]
+        logs = np.log10(added + rest / SAMPLES)
+        rows.append(
+            pa.RecordBatch.from_arrays(
+                [k, pa.array(np.diff(first)), pa.array(np.add.reduceat((count[at] > 0).astype(np.int64), first[:-1])), pa.array(np.add.reduceat(logs_base[at], first[:-1])), pa.array(np.add.reduceat(logs, first[:-1]))],
+                names=["k", "n_tokens", "n_known", "base_score", "score"],
+            )
+        )
     return pa.Table.from_batches(rows)

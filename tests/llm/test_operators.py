@@ -3,6 +3,7 @@ repeated rows, empty tables and clashing extra columns."""
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -12,6 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import session
 from quarry.llm import common, decontamination, embedding_dedup, graph, language_id, license_scan, lm_scoring, ngram_join, packing, quality_classifier, secret_scan, token_counts
 from quarry.llm.queries import vocabulary
 
@@ -356,6 +358,35 @@ def test_every_training_word_has_a_context_restaurant(spark):
     assert one + right_two - two - right_one > 1 and unseen < one
 
 
+def written_bytes(spark):
+    folder = session.checkpoint_dir(spark).removeprefix("file:")
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files if os.path.basename(d).startswith("lm-") and f.endswith(".parquet"))
+
+
+def test_lm_writes_no_row_for_a_pair_seen_once(spark, tmp_path):
+    rng = random.Random(5)
+    texts = [(d, " ".join("w%d" % rng.randrange(4000) for _ in range(600))) for d in range(400)]
+    pairs = {x for _, t in texts for x in zip(t.split(), t.split()[1:])}
+    assert len(pairs) > 200_000
+    spark.createDataFrame(texts, "doc_id bigint, text string").repartition(2).write.parquet(f"{tmp_path}/t")
+    before = written_bytes(spark)
+    assert lm_scoring.fit_and_score(spark.read.parquet(f"{tmp_path}/t"), in_place=True).count() == 400
+    assert written_bytes(spark) - before < 4 * len(pairs)
+
+
+def test_lm_scores_do_not_depend_on_buckets(spark, rows, monkeypatch):
+    rng = random.Random(13)
+    texts = [(d, prose(rng, 80, 30)) for d in range(60)] + [(r[0], r[1]) for r in rows] + [(7, "one two"), (7, "one two")]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    got = []
+    for size in (lm_scoring.BUCKET_BYTES, 5_000):
+        monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", size)
+        got.append(sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm_scoring.fit_and_score(df).collect()))
+    assert got[0] == got[1] and len(got[0]) == len(texts)
+    none = spark.createDataFrame([(d, "a b a b") for d in range(200) if zlib.crc32(str(d).encode()) % 7 == 2], "doc_id bigint, text string")
+    assert {(r.n_known, r.train_tokens, round(r.score, 6)) for r in lm_scoring.fit_and_score(none).collect()} == {(0, 0, 0.0)}
+
+
 def test_lm_scores_equal_the_chain_in_memory(spark, rows, monkeypatch):
     monkeypatch.setattr(lm_scoring, "PART_ROWS", 2)
     import pyarrow as pa
