@@ -52,8 +52,8 @@ STRENGTH = 1.0
 BLOCK_BYTES = 32 << 20
 #: Pairs that a task draws at once, and keys of one packed row of a block.
 RUN_ROWS, PART_ROWS = 200_000, 10_000
-#: Text of all blocks whose pairs one bucket counts, about; with the most
-#: buckets, which send each other a row a sweep, they only grow.
+#: Text for each bucket of pairs, about. Two buckets send each other a row a
+#: sweep, so there are at most ``MAX_BUCKETS``; from then on they grow.
 BUCKET_BYTES, MAX_BUCKETS = 8 << 20, 2048
 #: What blocks and buckets send: ``a`` to ``d`` are packed, ``size`` numbers each.
 PACKED = "to bigint, kind string, source bigint, part int, size bigint, a binary, b binary, c binary, d binary, x bigint, y bigint, z bigint"
@@ -394,8 +394,8 @@ def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def _restaurants(frame: pa.Table, size: int, parents: list[np.ndarray], discount: float, sweeps: int):
     """The chain of all contexts in one ``frame`` (sorted by key) held in memory:
-    keys, counts and the tables after each sweep. The joined chain below draws
-    the same way; tests use this one."""
+    keys, counts and the tables after each sweep. The chain over buckets below
+    draws the same way; tests use this one."""
     key, c = frame.column("key").to_numpy(), frame.column("c").to_numpy()
     logs = stirling(discount)
     context, dish = key // size, key % size
