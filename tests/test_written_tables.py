@@ -40,3 +40,13 @@ def test_packed_terms_come_back_as_they_were(spark):
     assert moved.schema["terms"].dataType.simpleString() == chunks.schema["terms"].dataType.simpleString()
     key = lambda r: r.pk
     assert sorted(moved.select("pk", "terms").collect(), key=key) == sorted(chunks.select("pk", "terms").collect(), key=key)
+
+
+def test_windows_that_are_read_once_are_not_written(spark, monkeypatch):
+    from quarry.plans import corpus, registry
+    from tests.conftest import SF_SMALL
+
+    written = []
+    monkeypatch.setattr(corpus, "write_table", lambda df, path: written.append(path))
+    rows = registry.non_empty_windows(spark, SF_SMALL).collect()
+    assert not written and rows and all(any(c.isalnum() for c in r.text) and r.n > 0 for r in rows)
