@@ -193,3 +193,26 @@ def test_blank_windows_are_told_at_their_first_letter(spark):
     rows = df.select(not_blank("t").alias("a"), (py_strip("t") != "").alias("b")).collect()
     assert [r.a for r in rows] == [r.b for r in rows]
     assert True in {r.a for r in rows} and False in {r.a for r in rows}
+
+
+def test_small_blocks_are_searched_in_one_job(spark, monkeypatch):
+    """Blocks of few queries are read and searched together; the corpus is
+    written once, as packed unit vectors."""
+    from quarry.operators import sizing
+
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=5).tolist()) for i in range(1500)] + [(5000, [0.0] * 5)]
+    emb = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2)
+    q = emb.where("vec_id < 90 or vec_id = 5000").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    written, columns, real, product = [], [], sizing.write_table, search._broadcast_block_product
+    monkeypatch.setattr(sizing, "write_table", lambda df, path: written.append(path) or real(df, path))
+    monkeypatch.setattr(search, "_broadcast_block_product", lambda part, c, *rest: columns.append(c.columns) or product(part, c, *rest))
+    blocked = search.dense_topk(q, emb, key="vec_id", vector="embedding", strategy="blocked", block_rows=10)
+    assert len(columns) == 10 and all(c == ["pk", "units"] for c in columns)
+    assert len([p for p in written if "block-hits" in p]) == 1
+    monkeypatch.setattr(sizing, "TOGETHER_ROWS", 25)
+    again = search.dense_topk(q, emb, key="vec_id", vector="embedding", strategy="blocked", block_rows=10)
+    assert len([p for p in written if "block-hits" in p]) > 3
+    whole = search.dense_topk(q, emb, key="vec_id", vector="embedding", strategy="broadcast")
+    pick = lambda df: sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in df.collect())
+    assert pick(blocked) == pick(again) == pick(whole)
