@@ -298,3 +298,39 @@ def test_stored_postings_move_as_runs(spark, root):
     plan = _plan(stores.entries(store, store.knowledge, store.bm25_stats))
     moved = plan[plan.index("Exchange") :]
     assert "inline" not in moved and "MapInArrow" in moved
+
+
+def test_shards_are_hashed_apart(spark):
+    found = [r[0] for r in spark.range(200).select(F.hash(F.col("id").cast("int"))).collect()]
+    assert [stores._hash(i) for i in range(200)] == found
+    for count in (1, 2, 6, 15, 90):
+        n = stores.shard_tasks(count)
+        load = pd.Series([h % n for h in found[:count]]).value_counts()
+        assert count <= n <= 4 * count and load.max() <= (1 if count < 8 else 2)
+
+
+def test_store_rows_lie_one_shard_a_file_and_postings_sorted(spark, root):
+    store = stores.read_store(spark, root)
+    files = store.knowledge.select("shard", F.input_file_name().alias("f")).distinct().collect()
+    assert len(files) == len({r.f for r in files}) == len({r.shard for r in files}) > 1
+    rows = store.entries.select("term_bucket", "term", "at", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i")).collect()
+    by_file: dict = {}
+    for r in sorted(rows, key=lambda r: r.i):
+        by_file.setdefault(r.f, []).append((r.term.encode(), r.at))
+    assert by_file and all(x == sorted(x) for x in by_file.values())
+
+
+def test_runs_that_go_on_in_the_next_batch_are_joined(spark, monkeypatch):
+    rows = [(i % 2, i, {f"t{i % 3}": 1.0 + i, "all": 2.0}) for i in range(300)]
+    df = spark.createDataFrame(rows, "shard int, doc int, v map<string,float>").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        made = shards.posting_rows(df, "v", 2)
+        plan, found = _plan(made), made.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "collect_list" not in plan
+    assert len(found) == len({(r.shard, r.term) for r in found}) == 8
+    for r in found:
+        want = sorted((d, v[r.term]) for s, d, v in rows if s == r.shard and r.term in v)
+        assert list(zip(r.docs, r.weights)) == want

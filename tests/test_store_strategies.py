@@ -59,3 +59,12 @@ def test_stop_words_hold_on_both_sides(spark, tmp_path):
     assert {x.term for x in r.index.vocab.collect()} == {"red", "fox", "blue", "hen", "green", "owl"}
     queries = spark.createDataFrame([(1, "the hen"), (2, "the a")], "query_id long, query_text string")
     assert [(h.query_id, h.text) for h in r.full_text(queries).collect()] == [(1, "the blue hen")]
+
+
+def test_ids_of_whole_batches_are_those_of_each_term(spark):
+    words = [["a", "é", "中文", "\U0001f600x"], [], ["a"], None]
+    df = spark.createDataFrame([(i, w and [(x, 1 + j) for j, x in enumerate(w)] if w is not None else None) for i, w in enumerate(words)], "pk int, terms array<struct<term:string,tf:bigint>>")
+    one = encode.with_sparse_map(df.where("pk < 3"))
+    plan = encode.with_sparse_map(df, ids=encode.term_ids("terms"))._jdf.queryExecution().executedPlan().toString()
+    assert "md5" not in plan and "ArrowEvalPython" in plan
+    assert sorted(map(tuple, encode.with_sparse_map(df.where("pk < 3"), ids=encode.term_ids("terms")).collect())) == sorted(map(tuple, one.collect()))
